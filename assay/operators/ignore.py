@@ -13,14 +13,11 @@ from pyspark.sql import Column, DataFrame, functions as F
 
 from assay.functions.globs import parse_ignore_rule
 from assay.functions.paths import ancestors
-from assay.plans.sizing import BROADCAST_LIMIT_BYTES, estimated_bytes
+from assay.plans.skew import COPIES, spread_join
 
 #: Up to this many rules become one expression.
 COMPILED_RULES = 200
 
-#: Copies of the rule table a shuffled join spreads each base directory over.
-SALT = 32
-
 
 def rules_from_lines(lines: DataFrame) -> DataFrame:
     """RULE rows of ``(base_path, line_no, value)``; blanks and comments fall away."""
@@ -79,21 +76,16 @@ def compile_rules(rules: list):
     return ignored
 
 
-def ignore_rule_join(paths: DataFrame, rules: DataFrame, salt: int = SALT) -> DataFrame:
+def ignore_rule_join(paths: DataFrame, rules: DataFrame, copies: int = COPIES) -> DataFrame:
     """``(path, is_dir, base_path, rule_seq, negated)`` for each rule that matches a path.
 
     Each path meets the rules of its ancestor directories by equality on the directory;
     no path is paired with rules from elsewhere. The root's rules concern every path, so
-    in a shuffled join each directory is spread over ``salt`` copies.
+    a join too big to broadcast spreads each directory over ``copies`` tasks.
     """
     bases = F.concat(F.array(F.lit("")), ancestors(F.col("path")))
     candidates = paths.select("path", "is_dir", F.explode(bases).alias("base_path"))
-    if estimated_bytes(rules) <= BROADCAST_LIMIT_BYTES:
-        joined = candidates.join(F.broadcast(rules), "base_path")
-    else:
-        spread = rules.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(salt - 1))))
-        salted = candidates.withColumn("salt", F.pmod(F.xxhash64("path"), F.lit(salt)).cast("int"))
-        joined = salted.join(spread, ["base_path", "salt"])
+    joined = spread_join(candidates, rules, ["base_path"], copies=copies)
     below = F.when(F.col("base_path") == "", F.col("path")).otherwise(
         F.substring(F.col("path"), F.length("base_path") + 2, F.length("path"))
     )
@@ -116,18 +108,17 @@ def ignored_paths(paths: DataFrame, rules: DataFrame) -> DataFrame:
 def prune_subtree(entries: DataFrame, dropped_dirs: DataFrame) -> DataFrame:
     """Entries below none of ``dropped_dirs (path)``, even where a deeper rule would re-include them.
 
-    One shuffle on the parent directory: directories are judged once each, on their
-    own, far smaller table.
+    Directories are judged once each, on their own, far smaller table; the entries then
+    only look up their parent, which may be one directory holding most of them.
     """
     parents = entries.select(_parent(F.col("path")).alias("parent")).filter("parent <> ''").distinct()
     chains = parents.select(
         "parent", F.explode(F.concat(ancestors(F.col("parent")), F.array("parent"))).alias("path")
     )
     dead = chains.join(dropped_dirs.select("path"), "path", "left_semi").select("parent").distinct()
-    own = entries.withColumn("parent", _parent(F.col("path"))).join(dead, "parent", "left_anti")
-    return own.select(*entries.columns).join(
-        dropped_dirs.select("path", F.lit(True).alias("is_dir")), ["path", "is_dir"], "left_anti"
-    ).select(*entries.columns)
+    live = spread_join(entries.withColumn("parent", _parent(F.col("path"))), dead, ["parent"], "left_anti")
+    own = dropped_dirs.select("path", F.lit(True).alias("is_dir"))
+    return live.join(own, ["path", "is_dir"], "left_anti").select(*entries.columns)
 
 
 def _parent(path: Column) -> Column:

@@ -7,6 +7,7 @@ from pyspark.sql import Column, DataFrame, Window, functions as F
 from assay.functions import paths
 from assay.functions.digests import DIGESTS, valid_digest
 from assay.functions.text import manifest_line, nfc
+from assay.plans.skew import spread_join
 
 
 def digest_entries(entries: DataFrame, digest: str = "md5", payload: str = "payload") -> DataFrame:
@@ -19,9 +20,9 @@ def digest_entries(entries: DataFrame, digest: str = "md5", payload: str = "payl
 
 
 def generate_manifest(entries: DataFrame, digest: str = "md5", payload: str = "payload") -> DataFrame:
-    """``(path, digest)`` of every readable entry, in name order."""
+    """``(path, digest)`` of every readable entry. The sinks sort; a table needs no order."""
     readable = entries.filter(F.col(payload).isNotNull())
-    return digest_entries(readable, digest, payload).select("path", "digest").orderBy("path")
+    return digest_entries(readable, digest, payload).select("path", "digest")
 
 
 def unreadable_entries(entries: DataFrame, payload: str = "payload") -> DataFrame:
@@ -98,13 +99,12 @@ def parse_checksum_lines(lines: DataFrame) -> DataFrame:
         .otherwise("VALID")
     )
     parsed = _with_state(lines, state, F.lower(digest), normal)
-    valid = F.col("state") == "VALID"
-    first_line = parsed.filter(valid).groupBy("path").agg(F.min("line_no").alias("first_line"))
-    joined = parsed.withColumn("key", F.when(valid, F.col("path"))).join(
-        first_line.withColumnRenamed("path", "key"), "key", "left"
-    )
-    repeated = F.col("line_no") > F.col("first_line")
-    return joined.select("line_no", F.when(repeated, "DUPLICATE").otherwise(F.col("state")).alias("state"), "digest", "path")
+    first = parsed.filter("state = 'VALID'").groupBy("path").agg(F.min("line_no").alias("first_line"), F.count("*").alias("n"))
+    # Only names that do repeat are looked up; one of them may be on most lines.
+    repeated = first.filter("n > 1").select("path", "first_line", F.lit("VALID").alias("state"))
+    joined = spread_join(parsed, repeated, ["path", "state"], "left")
+    state = F.when(F.col("line_no") > F.col("first_line"), "DUPLICATE").otherwise(F.col("state"))
+    return joined.select("line_no", state.alias("state"), "digest", "path")
 
 
 def _with_state(lines: DataFrame, state: Column, digest: Column, path: Column) -> DataFrame:

@@ -14,7 +14,8 @@ from assay.functions.errors import attempt_outcome
 from assay.functions.numbers import INT64_MAX, backoff_seconds, cumulative_backoff
 from assay.functions.paths import sanitize_name
 from assay.plans.scans import SLICE, running, slice_groups
-from assay.plans.sizing import ONE_TASK_ROWS, broadcast_if_small
+from assay.plans.sizing import ONE_TASK_ROWS
+from assay.plans.skew import spread_join
 
 FAILURE_LIMIT = 5
 
@@ -24,7 +25,7 @@ def number_rows(
 ) -> DataFrame:
     """Add each row's 1-based position in its group."""
     sliced = slice_groups(df, groups, order, rows_per_task)
-    return running(sliced, groups, order, {name: ("sum", F.lit(1).cast("bigint"))}).drop(SLICE)
+    return running(sliced, groups, order, {name: F.lit(1).cast("bigint")}).drop(SLICE)
 
 
 def breaker_positions(
@@ -45,19 +46,17 @@ def breaker_positions(
     groups = [run]
     fails = F.col("status") == "FAIL"
     resets = (F.col("status") == "OK") | (F.lit(reset_on_skip) & (F.col("status") == "SKIP"))
-    sliced = slice_groups(log, groups, order, rows_per_task)
-    counted = running(
-        sliced,
+    based = running(
+        slice_groups(log, groups, order, rows_per_task),
         groups,
         order,
-        {"position": ("sum", F.lit(1).cast("bigint")), "_fails": ("sum", fails.cast("bigint"))},
+        sums={"position": F.lit(1).cast("bigint"), "_fails": fails.cast("bigint")},
+        sums_at={"_base": ("_fails", resets)},
     )
-    # The failure count only grows, so its largest value at a reset is that of the latest reset.
-    based = running(counted, groups, order, {"_base": ("max", F.when(resets, F.col("_fails")))})
     streak = F.col("_fails") - F.coalesce("_base", F.lit(0))
     if before is not None:
         earlier = before.select(run, F.col("n_seen").alias("_seen"), F.col("open_streak").alias("_open"))
-        based = based.join(broadcast_if_small(earlier), run, "left")
+        based = spread_join(based, earlier, [run], "left")
         streak = streak + F.when(F.col("_base").isNull(), F.coalesce("_open", F.lit(0))).otherwise(0)
         based = based.withColumn("position", F.col("position") + F.coalesce("_seen", F.lit(0)))
     device = F.col("error_class") == "DEVICE" if "error_class" in log.columns else F.lit(False)
@@ -83,7 +82,7 @@ def processed_entries(log: DataFrame, run: str = "run_id", **options) -> DataFra
     """Log rows up to and including the one the breaker stops at."""
     placed = breaker_positions(log, run, **options)
     stops = placed.filter("trips").groupBy(run).agg(F.min("position").alias("stop_position"))
-    joined = placed.join(stops, run, "left")
+    joined = spread_join(placed, stops, [run], "left")
     return joined.filter("stop_position IS NULL OR position <= stop_position")
 
 
@@ -155,14 +154,14 @@ def running_progress(
     """
     starts = F.col("kind") == "TotalBytes"
     advance = F.when(F.col("kind") == "BytesAdvanced", F.col("bytes")).otherwise(0).cast("decimal(38,0)")
-    sliced = slice_groups(events, [job], order, rows_per_task)
-    summed = running(
-        sliced,
+    based = running(
+        slice_groups(events, [job], order, rows_per_task),
         [job],
         order,
-        {"_sum": ("sum", advance), "_total": ("last", F.when(starts, F.col("bytes")))},
+        sums={"_sum": advance},
+        last={"_total": F.when(starts, F.col("bytes"))},
+        sums_at={"_base": ("_sum", starts)},
     )
-    based = running(summed, [job], order, {"_base": ("max", F.when(starts, F.col("_sum")))})
     total = F.coalesce("_total", F.lit(0)).cast("bigint")
     done = F.least(F.col("_sum") - F.coalesce("_base", F.lit(0)), F.lit(INT64_MAX)).cast("bigint")
     return based.withColumns(
@@ -180,7 +179,7 @@ def done_of_total(
     numbered = number_rows(entries, list(groups), order, "done", rows_per_task)
     if groups:
         totals = entries.groupBy(*groups).agg(F.count("*").alias("total"))
-        return numbered.join(totals, list(groups))
+        return spread_join(numbered, totals, list(groups))
     return numbered.withColumn("total", F.lit(entries.count()).cast("bigint"))
 
 

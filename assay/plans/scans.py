@@ -12,7 +12,7 @@ from collections.abc import Mapping, Sequence
 
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
-from assay.plans.sizing import ONE_TASK_ROWS, fits_one_task
+from assay.plans.sizing import ONE_TASK_ROWS, broadcast_if_small, fits_one_task
 from assay.session import scratch_dir
 
 SLICE = "_slice"
@@ -24,19 +24,18 @@ def slice_groups(
     order: Sequence[str],
     rows_per_task: int = ONE_TASK_ROWS,
 ) -> DataFrame:
-    """Add a slice number that grows with ``order`` inside each group.
+    """``df`` itself when every group fits a task, else ``df`` with a slice number.
 
-    When a group is too big for a task, the rows are range-partitioned on
-    (group, order) and written out: the bounds come from sampling, so the slice
-    numbers have to be fixed before they are read twice. ``order`` must be unique
-    within a group.
+    The slice number grows with ``order``, which must be unique within a group. The rows
+    are range-partitioned on (group, order), which splits a big group like any other
+    range, and written out: range bounds come from sampling, so they have to be fixed
+    before the slices are read twice.
     """
     if fits_one_task(df, groups, rows_per_task):
-        return df.withColumn(SLICE, F.lit(0))
+        return df
     spark = df.sparkSession
-    n_rows = df.count()
     width = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    parts = max(width, -(-n_rows // rows_per_task) * 2)
+    parts = max(width, -(-df.count() // rows_per_task))
     target = scratch_dir(spark, "slices")
     (
         df.repartitionByRange(parts, *groups, *order)
@@ -47,58 +46,58 @@ def slice_groups(
 
 
 def running(
-    sliced: DataFrame,
+    df: DataFrame,
     groups: Sequence[str],
     order: Sequence[str],
-    columns: Mapping[str, tuple[str, Column]],
+    sums: Mapping[str, Column],
+    last: Mapping[str, Column] | None = None,
+    sums_at: Mapping[str, tuple[str, Column]] | None = None,
 ) -> DataFrame:
-    """Add running aggregates up to and including each row.
+    """Add running aggregates up to and including each row of :func:`slice_groups`' result.
 
-    ``columns`` maps a new name to ``(kind, value)`` with kind ``sum``, ``max`` or
-    ``last`` (last non-null value). ``sliced`` comes from :func:`slice_groups`; calls
-    can be chained without another shuffle of the rows.
+    ``sums``: running totals of non-negative values. ``last``: the last non-null value.
+    ``sums_at``: ``name: (sum, condition)``, what that total was at the last row where the
+    condition held. All of them share one shuffle and one sort.
     """
-    local = Window.partitionBy(*groups, SLICE).orderBy(*order)
-    local = local.rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    aggregate = {
-        "sum": F.sum,
-        "max": F.max,
-        "last": lambda value: F.last(value, ignorenulls=True),
-    }
-    out = sliced.withColumns(
-        {name: aggregate[kind](value).over(local) for name, (kind, value) in columns.items()}
+    last, sums_at = last or {}, sums_at or {}
+    keys = [*groups, SLICE] if SLICE in df.columns else [*groups]
+    so_far = Window.partitionBy(*keys).orderBy(*order).rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    out = df.withColumns(
+        {name: F.sum(value).over(so_far) for name, value in sums.items()}
+        | {name: F.last(value, ignorenulls=True).over(so_far) for name, value in last.items()}
     )
-    if _is_single_slice(sliced):
+    # A total never falls, so its largest value where the condition held is the latest one.
+    if sums_at:
+        out = out.withColumns(
+            {name: F.max(F.when(held, F.col(total))).over(so_far) for name, (total, held) in sums_at.items()}
+        )
+    if SLICE not in df.columns:
         return out
-
-    keys = [*groups, SLICE]
-    latest = F.struct(*order)
-    totals = sliced.groupBy(*keys).agg(
-        *[
-            (F.max_by(value, F.when(value.isNotNull(), latest)) if kind == "last" else aggregate[kind](value)).alias(
-                name
-            )
-            for name, (kind, value) in columns.items()
-        ]
-    )
-    before = Window.partitionBy(*groups).orderBy(SLICE).rowsBetween(Window.unboundedPreceding, -1)
-    carried = totals.select(
-        *keys,
-        *[aggregate[kind](F.col(name)).over(before).alias(f"_carry_{name}") for name, (kind, _) in columns.items()],
-    )
-    out = out.join(carried, keys, "left")
-    merged = {}
-    for name, (kind, _) in columns.items():
-        here, carry = F.col(name), F.col(f"_carry_{name}")
-        if kind == "sum":
-            merged[name] = F.coalesce(here + carry, here, carry)
-        elif kind == "max":
-            merged[name] = F.greatest(here, carry)
-        else:
-            merged[name] = F.coalesce(here, carry)
-    return out.withColumns(merged).drop(*[f"_carry_{name}" for name in columns])
+    return _add_what_came_before(out, groups, order, [*sums], [*last], {n: total for n, (total, _) in sums_at.items()})
 
 
-def _is_single_slice(sliced: DataFrame) -> bool:
-    """Slice numbers that are a literal were never cut; those read back are a stored column."""
-    return not sliced.schema[SLICE].nullable
+def _add_what_came_before(
+    out: DataFrame, groups: Sequence[str], order: Sequence[str], sums: list, last: list, sums_at: dict
+) -> DataFrame:
+    keys, here = [*groups, SLICE], F.struct(*order)
+    names = [*sums, *last, *sums_at]
+    ends = out.groupBy(*keys).agg(
+        *[F.max(name).alias(name) for name in sums],
+        *[F.max_by(name, F.when(F.col(name).isNotNull(), here)).alias(name) for name in last],
+        *[F.max(name).alias(name) for name in sums_at],
+    )
+    earlier = Window.partitionBy(*groups).orderBy(SLICE).rowsBetween(Window.unboundedPreceding, -1)
+    carried = ends.withColumns({f"_{name}": F.coalesce(F.sum(name).over(earlier), F.lit(0)) for name in sums})
+    carried = carried.withColumns(
+        {f"_{name}": F.last(name, ignorenulls=True).over(earlier) for name in last}
+        | {f"_{name}": F.max(F.col(name) + F.col(f"_{total}")).over(earlier) for name, total in sums_at.items()}
+    ).select(*keys, *[f"_{name}" for name in names])
+    joined = out.join(broadcast_if_small(carried), keys)
+    return joined.withColumns(
+        {name: F.col(name) + F.col(f"_{name}") for name in sums}
+        | {name: F.coalesce(name, f"_{name}") for name in last}
+        | {
+            name: F.coalesce(F.col(name) + F.col(f"_{total}"), F.col(f"_{name}"))
+            for name, total in sums_at.items()
+        }
+    ).drop(*[f"_{name}" for name in names])

@@ -182,6 +182,8 @@ run_log AS (
          row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) AS position
   FROM events)"""
 
+ONE_RUN_LOG = RUN_LOG.replace("user_id AS run_id", "0::BIGINT AS run_id").replace("PARTITION BY user_id ", "")
+
 RUN_ORDER = ("ts", "event_id")
 
 
@@ -201,6 +203,8 @@ progress_log AS (
               ELSE 'Scanning' END AS phase
   FROM events)"""
 
+ONE_JOB_LOG = PROGRESS_LOG.replace("user_id AS job_id", "0::BIGINT AS job_id")
+
 
 def progress_log(t: Tables) -> DataFrame:
     event, first = F.col("event_type"), F.substring(F.md5(F.col("props").cast("binary")), 1, 1)

@@ -13,10 +13,10 @@ from assay.streaming import breaker, checksum, progress
 ORDER = list(X.RUN_ORDER)
 
 
-def _breaker_sql(reset_on_skip: bool) -> str:
+def _breaker_sql(reset_on_skip: bool, log: str = X.RUN_LOG) -> str:
     neutral = "FALSE" if reset_on_skip else "status = 'SKIP'"
     return X.with_(
-        X.RUN_LOG,
+        log,
         f"""marked AS (
   SELECT *, CASE WHEN {neutral} THEN 'neutral' WHEN status = 'FAIL' THEN 'fail' ELSE 'reset' END AS effect FROM run_log),
 islands AS (
@@ -45,10 +45,18 @@ def failure_circuit_breaker_reset_on_skip(t: Tables):
     return _shown(runs.failure_circuit_breaker(X.run_log(t), order=ORDER, reset_on_skip=True))
 
 
-@query(_breaker_sql(False) + "SELECT run_id, n_entries, coalesce(stop_position, 0) AS stop_position, coalesce(stop_position, n_entries) AS n_processed FROM stops")
-def failure_circuit_breaker_sliced(t: Tables):
-    # The way taken for runs too long for one task.
-    return _shown(runs.failure_circuit_breaker(X.run_log(t), order=ORDER, rows_per_task=20))
+@query(
+    _breaker_sql(False, X.ONE_RUN_LOG)
+    + "SELECT run_id, n_entries, coalesce(stop_position, 0) AS stop_position, coalesce(stop_position, n_entries) AS n_processed FROM stops"
+)
+def failure_circuit_breaker_one_run(t: Tables):
+    # All events as one run, cut into slices as a run too long for one task would be.
+    log = X.run_log(t).withColumn("run_id", F.lit(0).cast("bigint"))
+    return _shown(runs.failure_circuit_breaker(log, order=ORDER, rows_per_task=_part(t)))
+
+
+def _part(t: Tables) -> int:
+    return max(1, t.events.count() // 12)
 
 
 @query(
@@ -92,8 +100,7 @@ def attempt_verdict(t: Tables):
     return runs.attempt_verdict(numbered, max_retries=60)
 
 
-PROGRESS = X.with_(
-    X.PROGRESS_LOG,
+PROGRESS_STEPS = (
     """started AS (
   SELECT *, sum(CAST(kind = 'TotalBytes' AS INT)) OVER w AS island,
          coalesce(last_value(CASE WHEN kind = 'TotalBytes' THEN bytes END IGNORE NULLS) OVER w, 0) AS total_bytes
@@ -105,6 +112,7 @@ summed AS (
 progressed AS (
   SELECT *, CAST(CASE WHEN total_bytes > 0 THEN least(raw, total_bytes) ELSE raw END AS BIGINT) AS completed_bytes FROM summed)""",
 )
+PROGRESS = X.with_(X.PROGRESS_LOG, *PROGRESS_STEPS)
 
 
 @query(PROGRESS + "SELECT job_id, event_id, total_bytes, completed_bytes FROM progressed")
@@ -114,10 +122,11 @@ def running_progress(t: Tables):
     )
 
 
-@query(PROGRESS + "SELECT job_id, event_id, total_bytes, completed_bytes FROM progressed")
-def running_progress_sliced(t: Tables):
-    return runs.running_progress(X.progress_log(t), order=ORDER, rows_per_task=20).select(
-        "job_id", "event_id", "total_bytes", "completed_bytes"
+@query(X.with_(X.ONE_JOB_LOG, *PROGRESS_STEPS) + "SELECT event_id, total_bytes, completed_bytes FROM progressed")
+def running_progress_one_job(t: Tables):
+    log = X.progress_log(t).withColumn("job_id", F.lit(0).cast("bigint"))
+    return runs.running_progress(log, order=ORDER, rows_per_task=_part(t)).select(
+        "event_id", "total_bytes", "completed_bytes"
     )
 
 

@@ -273,9 +273,9 @@ def _positions(t: Tables, ordered: DataFrame) -> DataFrame:
 # Fingerprints -------------------------------------------------------------------------------
 
 _ROW = """l_orderkey || '|' || l_partkey || '|' || l_suppkey || '|' || l_linenumber || '|' ||
-  CAST(l_quantity AS DECIMAL(18,2)) || '|' || CAST(l_extendedprice AS DECIMAL(18,2)) || '|' || CAST(l_discount AS DECIMAL(18,2))
-  || '|' || CAST(l_tax AS DECIMAL(18,2)) || '|' || strlen(l_returnflag) || ':' || l_returnflag || '|' ||
-  strlen(l_linestatus) || ':' || l_linestatus || '|' || CAST(l_shipdate AS VARCHAR)"""
+  CAST(round_even(l_quantity * 100, 0) AS BIGINT) || '|' || CAST(round_even(l_extendedprice * 100, 0) AS BIGINT) || '|' ||
+  CAST(round_even(l_discount * 100, 0) AS BIGINT) || '|' || CAST(round_even(l_tax * 100, 0) AS BIGINT) || '|' ||
+  strlen(l_returnflag) || ':' || l_returnflag || '|' || strlen(l_linestatus) || ':' || l_linestatus || '|' || epoch_us(l_shipdate)"""
 _FINGERPRINT = f"""
 WITH hashed AS (
   SELECT *, CAST(('0x' || substr(md5({_ROW}), 1, 15)) AS BIGINT) AS h FROM lineitem)

@@ -6,10 +6,14 @@ from pyspark.sql import DataFrame, SparkSession, Window, functions as F
 
 from assay.functions import paths, text
 from assay.operators import manifests
-from assay.plans.sizing import broadcast_if_small
+from assay.plans.sizing import BROADCAST_LIMIT_BYTES, estimated_bytes
 from assay.sources import stores
 
 
+OPEN_COST_BYTES = 4 << 20
+OFFSET_BYTES = 512
+
+
 def numbered_lines(spark: SparkSession, location: str) -> DataFrame:
     """``(line_no, value, valid_utf8)`` of a text file, or of a folder of part files in name order.
 
@@ -26,7 +30,10 @@ def numbered_lines(spark: SparkSession, location: str) -> DataFrame:
     counted = lines.groupBy("file", "block").agg(F.count("*").alias("n"), F.min("place").alias("first"))
     before = Window.orderBy("file", "block").rowsBetween(Window.unboundedPreceding, -1)
     offsets = counted.select("file", "block", "first", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("offset"))
-    joined = lines.join(broadcast_if_small(offsets), ["file", "block"])
+    # A split is never smaller than the open cost, which bounds the number of offsets.
+    splits = estimated_bytes(lines) // OPEN_COST_BYTES + len(lines.inputFiles())
+    small = splits * OFFSET_BYTES <= BROADCAST_LIMIT_BYTES
+    joined = lines.join(F.broadcast(offsets) if small else offsets, ["file", "block"])
     return joined.select(
         (F.col("offset") + F.col("place") - F.col("first") + 1).alias("line_no"),
         "value",
