@@ -2,7 +2,8 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+import re
+from collections.abc import Callable, Sequence
 
 from pyspark.sql import Column, functions as F
 
@@ -92,6 +93,22 @@ def is_junk_extended(parts: Column, is_dir: Column) -> Column:
     return F.when(is_dir, as_dir).otherwise(as_file)
 
 
+def junk_dir_test(kind: str) -> Callable[[str], bool]:
+    """The directory side of the junk rules as a plain function, for tasks that walk a tree."""
+    exact, families = {
+        "basic": (set(BASIC_JUNK_DIRS), re.compile(_DIR_FAMILIES)),
+        "extended": (set(EXTENDED_JUNK_DIRS), re.compile(_EXTENDED_DIR_FAMILIES)),
+    }[kind]
+
+    def is_junk(path: str) -> bool:
+        lowered = path.lower()
+        name = lowered.rpartition("/")[2]
+        generated = kind == "extended" and f"/{lowered}".endswith("/src-tauri/gen")
+        return name in exact or bool(families.search(name)) or generated
+
+    return is_junk
+
+
 def _any_junk(parts: Column, is_dir: Column, exact_dirs, dir_families, own: Column, generated: bool) -> Column:
     lowered = F.transform(parts, F.lower)
     above = F.slice(lowered, F.lit(1), F.greatest(F.size(parts) - 1, F.lit(0)))

@@ -122,7 +122,7 @@ def _previous(spark, files, destination, table, key, options) -> DataFrame | Non
         return manifest.withColumn("size", F.lit(0).cast("bigint"))
     if not _has_rows(spark, table, key):
         return None
-    return writers.read_checkpoint_table(spark, table, key)
+    return writers.read_checkpoint_table(spark, table, key, size="bytes")
 
 
 def _has_rows(spark: SparkSession, table: str, key: str) -> bool:

@@ -231,7 +231,7 @@ SELECT nfc_normalize(name) AS nfc_name, max(name) AS name, count(*) AS n_names F
 )
 def nfc_collision_last_wins(t: Tables):
     name = F.col("name")
-    stem = F.when(X.draw(name, 1) < "8", "café").otherwise("café")
+    stem = F.when(X.draw(name, 1) < "8", "cafe\u0301").otherwise("café")
     flat = X.names(t).select(F.concat(stem, F.lit("_"), X.draw(name, 2)).alias("name"))
     return E.nfc_collision_last_wins(flat)
 

@@ -1,19 +1,22 @@
 """File trees as entry tables.
 
-A tree is listed level by level: each round spreads all directories found so far over
-the cluster, lists them, and writes the children out; the child directories that survive
-the filters are the next round. The driver never holds a listing, no task walks a whole
-subtree, and pruned directories are never opened. Spark's ``binaryFile`` source is no
-substitute: it leaves out empty and hidden files and holds whole contents in memory.
+A tree is listed in rounds. Each round spreads the directories still to be listed over
+the cluster; a task lists its share and walks on below it until it has opened a fixed
+number of directories, and hands the rest to the next round. So no task is stuck with a
+large subtree, the driver never holds a listing, a small tree takes one round, and
+pruned directories are never opened. Spark's ``binaryFile`` source is no substitute: it
+leaves out empty and hidden files and holds whole contents in memory.
 """
 
 from __future__ import annotations
 
+from collections import deque
 from collections.abc import Callable, Iterator
 from functools import reduce
+from itertools import islice
 
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession, functions as F
+from pyspark.sql import DataFrame, Observation, SparkSession, functions as F
 
 from assay import schemas
 from assay.functions import paths
@@ -22,45 +25,64 @@ from assay.operators import ignore
 from assay.session import scratch_dir
 from assay.sources import stores
 
-MAX_DEPTH = 512
+MAX_ROUNDS = 512
 DIRS_PER_TASK = 64
 
-_LISTED = "parent string, name string, abs_path string, kind string, size long, mtime long, atime long, scan_error string"
-
-
-def _list_batches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    schema = pa.schema(
-        [
-            ("parent", pa.string()), ("name", pa.string()), ("abs_path", pa.string()), ("kind", pa.string()),
-            ("size", pa.int64()), ("mtime", pa.int64()), ("atime", pa.int64()), ("scan_error", pa.string()),
-        ]
-    )
-    for batch in batches:
-        for directory in batch.to_pylist():
-            base = directory["abs_path"].rstrip("/")
-            rows = []
-            try:
-                for child in stores.list_dir(base or "/"):
-                    rows.append(child | {"parent": directory["path"], "abs_path": f"{base}/{child['name']}"})
-                    if len(rows) == 10_000:
-                        yield pa.RecordBatch.from_pylist(rows, schema)
-                        rows = []
-            except FileNotFoundError as error:
-                if not directory["path"]:
-                    raise
-                rows.append(
-                    {"parent": directory["path"], "name": "", "abs_path": base, "kind": "gone",
-                     "scan_error": f"vanished: {error.strerror}"}
-                )
-            if rows:
-                yield pa.RecordBatch.from_pylist(rows, schema)
-
+#: Directories a task opens before it hands on what is left.
+WALK_BUDGET = 1000
+
+_LISTED = (
+    "parent string, name string, abs_path string, kind string, size long, mtime long, atime long, scan_error string, open boolean"
+)
+_LISTED_ARROW = pa.schema(
+    [
+        ("parent", pa.string()), ("name", pa.string()), ("abs_path", pa.string()), ("kind", pa.string()),
+        ("size", pa.int64()), ("mtime", pa.int64()), ("atime", pa.int64()), ("scan_error", pa.string()),
+        ("open", pa.bool_()),
+    ]
+)
+_ROWS_PER_BATCH = 10_000
+
+
+def _walk(batch: pa.RecordBatch, budget: int, skips: Callable[[str], bool] | None) -> Iterator[dict]:
+    """Rows of the batch's directories and of what the budget allows to open below them."""
+    todo = deque(batch.to_pylist())
+    budget += len(todo)
+    while todo:
+        directory = todo.popleft()
+        base = directory["abs_path"].rstrip("/")
+        budget -= 1
+        try:
+            for child in stores.list_dir(base or "/"):
+                row = child | {"parent": directory["path"], "abs_path": f"{base}/{child['name']}", "open": False}
+                if child["kind"] == "dir":
+                    path = f"{directory['path']}/{child['name']}" if directory["path"] else child["name"]
+                    if skips and skips(path):
+                        continue
+                    row["open"] = len(todo) >= budget
+                    if not row["open"]:
+                        todo.append({"path": path, "abs_path": row["abs_path"]})
+                yield row
+        except FileNotFoundError as error:
+            if not directory["path"]:
+                raise
+            gone = {"parent": directory["path"], "name": "", "abs_path": base, "kind": "gone", "open": False}
+            yield gone | {"scan_error": f"vanished: {error.strerror}"}
+
+
+def _list_round(
+    directories: DataFrame, n_dirs: int, budget: int = 0, skips: Callable[[str], bool] | None = None
+) -> DataFrame:
+    def list_batches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            rows = _walk(batch, budget, skips)
+            while chunk := list(islice(rows, _ROWS_PER_BATCH)):
+                yield pa.RecordBatch.from_pylist(chunk, _LISTED_ARROW)
 
-def _list_level(directories: DataFrame, n_dirs: int) -> DataFrame:
     spark = directories.sparkSession
     width = int(spark.conf.get("spark.sql.shuffle.partitions"))
     tasks = max(1, min(n_dirs, max(width, -(-n_dirs // DIRS_PER_TASK))))
-    listed = directories.repartition(tasks).mapInArrow(_list_batches, _LISTED)
+    listed = directories.repartition(tasks).mapInArrow(list_batches, _LISTED)
     path = F.when(F.col("parent") == "", F.col("name")).otherwise(F.concat_ws("/", "parent", "name"))
     return listed.select(
         F.when(F.col("name") == "", F.col("parent")).otherwise(path).alias("path"),
@@ -71,6 +93,7 @@ def _list_level(directories: DataFrame, n_dirs: int) -> DataFrame:
         F.timestamp_micros("mtime").alias("mtime"),
         F.timestamp_micros("atime").alias("atime"),
         "scan_error",
+        "open",
     )
 
 
@@ -132,30 +155,35 @@ def scan_all(
     respect_ignore_files: bool = False,
     keep: Callable[[DataFrame], DataFrame] | None = None,
 ) -> DataFrame:
-    """All kinds of entries below ``root``, with paths relative to it and pruned subtrees left out."""
+    """All kinds of entries below ``root``, with paths relative to it and pruned subtrees left out.
+
+    ``keep`` and ignore files are applied between rounds, so these go one level a round.
+    """
     junk = {None: None, "basic": paths.is_junk_basic, "extended": paths.is_junk_extended}[skip_junk]
+    skips = paths.junk_dir_test(skip_junk) if skip_junk else None
+    budget = 0 if respect_ignore_files or keep else WALK_BUDGET
     out = scratch_dir(spark, "listing")
     directories = spark.createDataFrame([("", root)], "path string, abs_path string")
     rules = spark.createDataFrame([], schemas.RULE)
-    n_dirs, depth = 1, 0
-    levels = []
-    while n_dirs and depth < MAX_DEPTH:
-        level = f"{out}/all-{depth}"
-        _list_level(directories, n_dirs).write.parquet(level)
-        found = spark.read.parquet(level)
+    n_dirs, rounds = 1, []
+    while n_dirs:
+        if len(rounds) == MAX_ROUNDS:
+            raise RecursionError(f"{MAX_ROUNDS} rounds did not exhaust {root}")
+        place, opened = f"{out}/round-{len(rounds)}", Observation()
+        listed = _list_round(directories, n_dirs, budget, skips)
+        listed.observe(opened, F.count_if("open").alias("n")).write.parquet(place)
+        found = spark.read.parquet(place)
+        n_dirs = opened.get["n"]
         if junk is not None:
             found = found.filter((F.col("kind") == "gone") | ~junk(paths.path_parts(F.col("path")), F.col("is_dir")))
         if keep is not None:
             found = keep(found)
         if respect_ignore_files:
-            rules = _extend_rules(rules, found, f"{out}/rules-{depth}")
+            rules = _extend_rules(rules, found, f"{out}/rules-{len(rounds)}")
             found = _drop_ignored(found, rules)
-        levels.append(found)
-        directories = found.filter("is_dir").select("path", "abs_path")
-        n_dirs, depth = directories.count(), depth + 1
-    if n_dirs:
-        raise RecursionError(f"more than {MAX_DEPTH} levels below {root}")
-    return reduce(DataFrame.unionByName, levels)
+        rounds.append(found)
+        directories = found.filter("open").select("path", "abs_path")
+    return reduce(DataFrame.unionByName, rounds).drop("open")
 
 
 def _extend_rules(rules: DataFrame, found: DataFrame, place: str) -> DataFrame:
@@ -220,7 +248,7 @@ def read_ignore_rules(entries: DataFrame) -> tuple[DataFrame, DataFrame]:
 def scan_flat(spark: SparkSession, directory: str, own_name: str = paths.CHECKSUMS_NAME) -> DataFrame:
     """Everything but directories in one folder, by NFC name, without the engine's own artifacts."""
     one = spark.createDataFrame([("", directory)], "path string, abs_path string")
-    listed = _list_level(one, 1).filter("NOT is_dir AND kind <> 'gone'")
+    listed = _list_round(one, 1).filter("NOT is_dir AND kind <> 'gone'").drop("open")
     named = listed.withColumn("path", nfc(F.col("path")))
     return named.filter(~paths.is_own_artifact(F.col("path"), own_name)).orderBy("path")
 

@@ -107,10 +107,10 @@ def write_checkpoint(outcomes: DataFrame, table: str, key: str) -> None:
     outcomes.withColumn("checkpoint_key", F.lit(key)).write.mode("append").partitionBy("checkpoint_key").parquet(table)
 
 
-def read_checkpoint_table(spark: SparkSession, table: str, key: str) -> DataFrame:
+def read_checkpoint_table(spark: SparkSession, table: str, key: str, size: str = "size") -> DataFrame:
     """Newest ``(path, digest, size)`` per path of one checkpoint; failed entries carry no digest."""
     rows = spark.read.parquet(table).filter(F.col("checkpoint_key") == key).filter("digest IS NOT NULL")
-    return latest_per_path(rows, "finished_ms", "digest", "size")
+    return latest_per_path(rows.withColumn("size", F.col(size)), "finished_ms", "digest", "size")
 
 
 def checkpoint_lines(records: DataFrame) -> DataFrame:
