@@ -2,13 +2,14 @@
 
 from __future__ import annotations
 
+import uuid
 from dataclasses import dataclass
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from assay.functions.digests import digest_equal
 from assay.functions.paths import MANIFEST_NAME
-from assay.operators import copying, entries as guards, manifests, resume, runs, verify
+from assay.operators import copying, entries as guards, resume, runs, verify
 from assay.options import JobOptions
 from assay.session import scratch_dir
 from assay.sources import filetree, readers, stores, writers
@@ -55,32 +56,26 @@ def copy_tree(
     guards.require_clean_names(files, writes_manifest=not options.no_manifest)
 
     work = _plan(spark, files, destination, table, key, options)
+    run = uuid.uuid4().hex
     for wave in range(waves):
         part = work.filter(F.pmod(F.xxhash64("path"), F.lit(waves)) == wave) if waves > 1 else work
         outcomes = copying.verified_copy(part.filter("action = 'COPY'"), destination, options)
-        skipped = _skipped(part)
-        writers.write_checkpoint(outcomes.unionByName(skipped, allowMissingColumns=True), table, key)
-        _stop_if_broken(spark, table, key, options)
-
-    stored = spark.read.schema(copying.OUTCOME_SCHEMA).parquet(f"{table}/checkpoint_key={key}")
-    newest = manifests.latest_per_path(stored, "finished_ms", *[c for c in stored.columns if c != "path"])
-    current = newest.join(files.select("path"), "path", "left_semi")
-    failures = current.filter("status = 'FAILED'")
-    manifest = current.filter("status <> 'FAILED'").select("path", "digest")
+        rows = outcomes.unionByName(_skipped(part), allowMissingColumns=True)
+        writers.write_checkpoint(rows.withColumns({"run": F.lit(run), "wave": F.lit(wave)}), table, key)
+        done = _outcomes(spark, table, key).filter(F.col("run") == run)
+        _set_aside(done.filter((F.col("wave") == wave) & (F.col("status") == "FAILED")), destination)
+        _stop_if_broken(done, options)
+
+    failures = done.filter("status = 'FAILED'")
+    manifest = done.filter("status <> 'FAILED'").select("path", "digest")
     guards.require_non_empty(manifest, "file copied")
-    if not failures.isEmpty():
-        reports = failures.select(
-            F.col("path").alias("source_relative"), "attempts", F.unix_seconds(F.now()).alias("unix_time"), "reason"
-        )
-        writers.write_quarantine(reports, destination)
-
     result = _read_back(spark, manifest, destination, options.digest)
     verification = verify.final_reverify(manifest, result, unique=True)
     if not verification.first()["passed"]:
         raise RunStopped(f"the final verification failed: {verification.first()}")
     if not options.no_manifest:
         writers.write_manifest_bundle(manifest, destination, verification)
-    return CopyResult(manifest, current, failures, verification)
+    return CopyResult(manifest, done, failures, verification)
 
 
 def overlapping(spark: SparkSession, source: str, destination: str) -> bool:
@@ -141,17 +136,30 @@ def _skipped(part: DataFrame) -> DataFrame:
     )
 
 
-def _stop_if_broken(spark: SparkSession, table: str, key: str, options: JobOptions) -> None:
-    stored = spark.read.schema(copying.OUTCOME_SCHEMA).parquet(f"{table}/checkpoint_key={key}")
-    status = F.when(F.col("status") == "FAILED", "FAIL").when(F.col("status") == "SKIPPED", "SKIP").otherwise("OK")
-    newest = manifests.latest_per_path(stored, "finished_ms", "status", "error_class")
-    if newest.filter("status = 'FAILED'").isEmpty():
+def _outcomes(spark: SparkSession, table: str, key: str) -> DataFrame:
+    schema = f"{copying.OUTCOME_SCHEMA}, run string, wave int"
+    return spark.read.schema(schema).parquet(f"{table}/checkpoint_key={key}")
+
+
+def _set_aside(failures: DataFrame, destination: str) -> None:
+    """Quarantine records come first, whatever the failures lead to."""
+    if failures.isEmpty():
         return
-    log = newest.select(F.lit(0).alias("run_id"), F.split("path", "/").alias("parts"), status.alias("status"), "error_class")
+    reports = failures.select(
+        F.col("path").alias("source_relative"), "attempts", F.unix_seconds(F.now()).alias("unix_time"), "reason"
+    )
+    writers.write_quarantine(reports, destination)
+
+
+def _stop_if_broken(done: DataFrame, options: JobOptions) -> None:
+    if done.filter("status = 'FAILED'").isEmpty():
+        return
+    status = F.when(F.col("status") == "FAILED", "FAIL").when(F.col("status") == "SKIPPED", "SKIP").otherwise("OK")
+    log = done.select(F.lit(0).alias("run_id"), F.split("path", "/").alias("parts"), status.alias("status"), "error_class")
     stops = runs.failure_circuit_breaker(log, order=["parts"], limit=options.failure_limit)
     at = stops.first()["stop_position"]
     if at is not None:
-        raise RunStopped(f"the device seems to fail: stopped at entry {at} of the wave")
+        raise RunStopped(f"the device seems to fail: stopped at entry {at} in component order")
 
 
 def _read_back(spark: SparkSession, manifest: DataFrame, destination: str, digest: str) -> DataFrame:

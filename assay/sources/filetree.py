@@ -250,7 +250,9 @@ def scan_flat(spark: SparkSession, directory: str, own_name: str = paths.CHECKSU
     one = spark.createDataFrame([("", directory)], "path string, abs_path string")
     listed = _list_round(one, 1).filter("NOT is_dir AND kind <> 'gone'").drop("open")
     named = listed.withColumn("path", nfc(F.col("path")))
-    return named.filter(~paths.is_own_artifact(F.col("path"), own_name)).orderBy("path")
+    place = scratch_dir(spark, "listing")
+    named.filter(~paths.is_own_artifact(F.col("path"), own_name)).write.parquet(place)
+    return spark.read.parquet(place).orderBy("path")
 
 
 def scan_warnings(entries: DataFrame) -> DataFrame:
