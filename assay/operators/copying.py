@@ -192,12 +192,18 @@ def clean_stale_temps(spark, destination: str, dry_run: bool = False) -> DataFra
     if dry_run:
         return found.withColumn("deleted", F.lit(False))
 
+    return delete_files(found)
+
+
+def delete_files(files: DataFrame) -> DataFrame:
+    """Delete each ``(path, abs_path)``; the stored report tells which went."""
+
     def remove(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             done = [_quietly(stores.delete, location) for location in batch.column("abs_path").to_pylist()]
             yield batch.append_column("deleted", pa.array(done, pa.bool_()))
 
-    return _settle(found.mapInArrow(remove, "path string, abs_path string, deleted boolean"))
+    return settle(files.mapInArrow(remove, "path string, abs_path string, deleted boolean"))
 
 
 def recover_interrupted(spark, destination: str) -> DataFrame:
@@ -214,7 +220,7 @@ def recover_interrupted(spark, destination: str) -> DataFrame:
                 done.append(_quietly(stores.move, backup, final) if restore else _quietly(stores.delete, backup))
             yield batch.append_column("done", pa.array(done, pa.bool_()))
 
-    return _settle(actions.mapInArrow(act, "path string, final_path string, action string, done boolean"))
+    return settle(actions.mapInArrow(act, "path string, final_path string, action string, done boolean"))
 
 
 def _quietly(action, *args) -> bool:
@@ -225,7 +231,7 @@ def _quietly(action, *args) -> bool:
     return True
 
 
-def _settle(acted: DataFrame) -> DataFrame:
+def settle(acted: DataFrame) -> DataFrame:
     """Run a side effect once by storing its report, and return the stored report."""
     place = scratch_dir(acted.sparkSession, "report")
     acted.write.parquet(place)

@@ -8,7 +8,7 @@ from assay.functions import paths
 
 
 def lookup_name_ci(wanted: DataFrame, listing: DataFrame) -> DataFrame:
-    """``(wanted, found, exact)``: the exact name when listed, else a case-insensitive match.
+    """``(wanted, found, exact)`` for each name wanted: the exact name when listed, else a case-insensitive match.
 
     Every lower-cased name is reduced to its first spelling before joining, so names that
     differ only in case do not multiply; exact matches are a join of their own.
@@ -16,7 +16,7 @@ def lookup_name_ci(wanted: DataFrame, listing: DataFrame) -> DataFrame:
     names = listing.select(F.col("path").alias("found")).distinct()
     exact = names.select(F.col("found").alias("wanted"), F.lit(True).alias("exact"))
     folded = names.groupBy(F.lower("found").alias("folded")).agg(F.min("found").alias("near"))
-    keys = wanted.select(F.col("path").alias("wanted")).withColumn("folded", F.lower("wanted"))
+    keys = wanted.select(F.col("path").alias("wanted")).distinct().withColumn("folded", F.lower("wanted"))
     joined = keys.join(exact, "wanted", "left").join(folded, "folded", "left")
     return joined.select(
         "wanted",

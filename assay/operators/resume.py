@@ -2,22 +2,25 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, functions as F
 
 from assay.functions.digests import digest_equal
 from assay.functions.paths import MANIFEST_NAME, is_reserved_first, path_parts, record_key
-from assay.operators.verify import one_per_path
+from assay.operators.verify import by_path
 
 SKIP, COPY = "SKIP", "COPY"
 
 
 def resume_size_precheck(previous: DataFrame, destination: DataFrame) -> DataFrame:
     """``(path, size_differs)``: both sizes known and different means copy, without hashing."""
-    joined = previous.select("path", F.col("size").alias("recorded_size")).join(
-        destination.select("path", F.col("size").alias("found_size")), "path"
-    )
-    differs = (F.col("recorded_size") > 0) & (F.col("found_size") > 0) & (F.col("recorded_size") != F.col("found_size"))
-    return joined.select("path", F.coalesce(differs, F.lit(False)).alias("size_differs"))
+    recorded = by_path(previous, "size").withColumnRenamed("size", "recorded_size")
+    found = by_path(destination, "size").withColumnRenamed("size", "found_size")
+    return recorded.join(found, "path").select("path", _sizes_differ().alias("size_differs"))
+
+
+def _sizes_differ() -> Column:
+    recorded, found = F.col("recorded_size"), F.col("found_size")
+    return F.coalesce((recorded > 0) & (found > 0) & (recorded != found), F.lit(False))
 
 
 def resume_plan(
@@ -29,12 +32,9 @@ def resume_plan(
     both contents still match the manifest. The inputs are ``(path, digest)`` tables; a
     NULL digest means unreadable. All three meet on path, so each is shuffled once.
     """
-    sides = [side.select("path", "digest") for side in (source, previous, destination)]
-    if not unique:
-        sides = [one_per_path(side, "digest") for side in sides]
-    src = sides[0].withColumnRenamed("digest", "source_digest")
-    prev = sides[1].withColumnRenamed("digest", "recorded")
-    dest = sides[2].select("path", F.col("digest").alias("found"), F.lit(True).alias("exists"))
+    src = by_path(source, "digest", unique).withColumnRenamed("digest", "source_digest")
+    prev = by_path(previous, "digest", unique).withColumnRenamed("digest", "recorded")
+    dest = by_path(destination, "digest", unique).select("path", F.col("digest").alias("found"), F.lit(True).alias("exists"))
     reason = (
         F.when(F.col("recorded").isNull(), "new")
         .when(F.col("exists").isNull(), "missing_at_destination")
@@ -54,15 +54,13 @@ def resume_candidates(source: DataFrame, previous: DataFrame, destination: DataF
     """Source entries that could be skipped, with both sides' ``abs_path``.
 
     Everything that already fails on presence or size is left out, so only these files
-    need their contents read.
+    need their contents read. Listings and the newest records hold each path once.
     """
     prev = previous.select("path", F.col("digest").alias("recorded"), F.col("size").alias("recorded_size"))
     dest = destination.select(
         "path", F.col("abs_path").alias("destination_path"), F.col("size").alias("found_size")
     )
-    differs = (F.col("recorded_size") > 0) & (F.col("found_size") > 0) & (F.col("recorded_size") != F.col("found_size"))
-    joined = source.join(prev, "path").join(dest, "path")
-    return joined.filter(~F.coalesce(differs, F.lit(False)))
+    return source.join(prev, "path").join(dest, "path").filter(~_sizes_differ())
 
 
 def previous_for_same_tree(records: DataFrame, tree_id: str) -> DataFrame:

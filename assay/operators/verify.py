@@ -18,10 +18,13 @@ def one_per_path(rows: DataFrame, *columns: str) -> DataFrame:
     return rows.groupBy("path").agg(F.max(F.struct(*columns)).alias("row")).select("path", "row.*")
 
 
+def by_path(rows: DataFrame, column: str, unique: bool = False) -> DataFrame:
+    """``(path, column)`` with each path once; ``unique`` tells it already is."""
+    return rows.select("path", column) if unique else one_per_path(rows, column)
+
+
 def _sides(expected: DataFrame, actual: DataFrame, unique: bool) -> tuple[DataFrame, DataFrame]:
-    expected, actual = expected.select("path", "digest"), actual.select("path", "digest")
-    if not unique:
-        expected, actual = one_per_path(expected, "digest"), one_per_path(actual, "digest")
+    expected, actual = by_path(expected, "digest", unique), by_path(actual, "digest", unique)
     left = expected.select("path", F.col("digest").alias("expected"), F.lit(True).alias("listed"))
     right = actual.select("path", F.col("digest").alias("actual"), F.lit(True).alias("found"))
     return left, right
@@ -149,7 +152,7 @@ def generate_summary(entries: DataFrame, payload: str = "payload", cancelled: bo
 
 def manifest_bytes(manifest: DataFrame, actual: DataFrame) -> DataFrame:
     """Bytes a verification will read: sizes at the destination, 0 where missing."""
-    sizes = manifest.select("path").join(actual.select("path", "size"), "path", "left")
+    sizes = manifest.select("path").distinct().join(by_path(actual, "size"), "path", "left")
     return sizes.agg(
         F.count("*").alias("n_entries"), F.coalesce(F.sum(F.coalesce("size", F.lit(0))), F.lit(0)).alias("total_bytes")
     )
@@ -157,15 +160,15 @@ def manifest_bytes(manifest: DataFrame, actual: DataFrame) -> DataFrame:
 
 def verify_copy(written: DataFrame, read_back: DataFrame) -> DataFrame:
     """Entries whose digest when read back differs from the one taken while writing."""
-    left = written.select("path", F.col("digest").alias("written"))
-    right = read_back.select("path", F.col("digest").alias("read_back"))
+    left = by_path(written, "digest").withColumnRenamed("digest", "written")
+    right = by_path(read_back, "digest").withColumnRenamed("digest", "read_back")
     return left.join(right, "path").filter(~digest_equal(F.col("written"), F.col("read_back")))
 
 
 def byte_count_check(source: DataFrame, destination: DataFrame) -> DataFrame:
     """Entries whose byte counts differ."""
-    left = source.select("path", F.col("size").alias("bytes_read"))
-    right = destination.select("path", F.col("size").alias("bytes_written"))
+    left = by_path(source, "size").withColumnRenamed("size", "bytes_read")
+    right = by_path(destination, "size").withColumnRenamed("size", "bytes_written")
     return left.join(right, "path").filter("bytes_read <> bytes_written")
 
 

@@ -12,7 +12,7 @@ from collections.abc import Mapping, Sequence
 
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
-from assay.plans.sizing import ONE_TASK_ROWS, broadcast_if_small, fits_one_task
+from assay.plans.sizing import ONE_TASK_ROWS, broadcast_if_small, oversized_rows
 from assay.session import scratch_dir
 
 SLICE = "_slice"
@@ -31,11 +31,12 @@ def slice_groups(
     range, and written out: range bounds come from sampling, so they have to be fixed
     before the slices are read twice.
     """
-    if fits_one_task(df, groups, rows_per_task):
+    n_rows = oversized_rows(df, groups, rows_per_task)
+    if n_rows is None:
         return df
     spark = df.sparkSession
     width = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    parts = max(width, -(-df.count() // rows_per_task))
+    parts = max(width, -(-n_rows // rows_per_task))
     target = scratch_dir(spark, "slices")
     (
         df.repartitionByRange(parts, *groups, *order)

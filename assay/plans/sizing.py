@@ -25,14 +25,14 @@ def broadcast_if_small(df: DataFrame, limit: int = BROADCAST_LIMIT_BYTES) -> Dat
     return F.broadcast(df) if estimated_bytes(df) <= limit else df
 
 
-def fits_one_task(df: DataFrame, groups: Sequence[str], max_rows: int = ONE_TASK_ROWS) -> bool:
-    """Whether every group of ``df`` is small enough to be windowed by a single task.
+def oversized_rows(df: DataFrame, groups: Sequence[str], max_rows: int = ONE_TASK_ROWS) -> int | None:
+    """The row count of ``df`` if some group is too big for a single task, else None.
 
     The estimate answers for small inputs at no cost; otherwise the group keys are
     counted, which is one map-side-combined aggregate over those columns alone.
     """
     if max_rows >= ONE_TASK_ROWS and estimated_bytes(df) <= ONE_TASK_BYTES:
-        return True
+        return None
     counts = df.groupBy(*groups).count() if groups else df.agg(F.count("*").alias("count"))
-    largest = counts.agg(F.max("count")).first()[0]
-    return largest is None or largest <= max_rows
+    load = counts.agg(F.max("count").alias("largest"), F.sum("count").alias("total")).first()
+    return load.total if (load.largest or 0) > max_rows else None

@@ -8,13 +8,13 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
 from assay.functions import paths
-from assay.operators import copying, resume, verify
+from assay.operators import copying, manifests, resume, verify
 from assay.options import JobOptions
 from assay.plans import jobs
 from assay.queries import fixtures as X
 from assay.queries.registry import Tables, query
 from assay.session import scratch_dir
-from assay.sources import filetree, stores, writers
+from assay.sources import filetree, readers, stores, writers
 
 SRC = X.with_(X.SOURCE)
 QUICK = JobOptions(digest="md5", backoff_unit_secs=0.0)
@@ -85,6 +85,16 @@ def scan_flat(t: Tables):
     return filetree.scan_flat(t.spark, place).select("path", "size")
 
 
+@query(SRC + "SELECT DISTINCT regexp_extract(path, '^(.*)/[^/]*$', 1) || '-gone' AS path, TRUE AS warned FROM source")
+def scan_tolerant(t: Tables):
+    # Every folder, and one beside it that has vanished.
+    root = source_files(t)
+    folders = X.source_entries(t).select(paths.parent_dir(F.col("path")).alias("path")).distinct()
+    both = folders.unionByName(folders.select(F.concat("path", F.lit("-gone")).alias("path")))
+    listed = filetree.list_directories(both.withColumn("abs_path", F.concat(F.lit(f"{root}/"), "path")))
+    return filetree.scan_warnings(listed).select("path", F.col("scan_error").startswith("vanished").alias("warned"))
+
+
 @query(SRC + "SELECT path, size, TRUE AS has_mtime FROM source")
 def file_stats(t: Tables):
     stats = filetree.file_stats(filetree.scan_tree(t.spark, f"{source_files(t)}/root"))
@@ -119,7 +129,7 @@ def read_ignore_rules(t: Tables):
 def verified_copy(t: Tables):
     place = scratch_dir(t.spark, "copied")
     entries = filetree.scan_tree(t.spark, f"{source_files(t)}/root")
-    outcomes = copying._settle(copying.verified_copy(entries, place, QUICK))
+    outcomes = copying.settle(copying.verified_copy(entries, place, QUICK))
     return outcomes.select("path", "digest", "bytes", "attempts", "status")
 
 
@@ -129,6 +139,30 @@ def copy_tree(t: Tables):
     return jobs.copy_tree(t.spark, f"{source_files(t)}/root", place, QUICK).verification
 
 
+@query(SRC + "SELECT path, CASE substr(md5(path), 1, 1) WHEN '0' THEN 'COPIED' WHEN '1' THEN 'COPIED' ELSE 'SKIPPED' END AS status FROM source")
+def copy_tree_resumed(t: Tables):
+    # A finished copy loses some files (0) and has others altered (1); the next run puts back just those.
+    place, table = scratch_dir(t.spark, "job"), scratch_dir(t.spark, "checkpoint")
+    jobs.copy_tree(t.spark, f"{source_files(t)}/root", place, QUICK, checkpoint_table=table)
+    source = X.source_entries(t)
+    fault = X.draw(F.col("path"), 1)
+    write_files(source.filter(fault == "1").select("path", F.reverse("payload").alias("payload")), place)
+    lost = source.filter(fault == "0").select("path", F.concat(F.lit(f"{place}/"), "path").alias("abs_path"))
+    copying.delete_files(lost).count()
+    resumed = jobs.copy_tree(t.spark, f"{source_files(t)}/root", place, QUICK, checkpoint_table=table)
+    return resumed.outcomes.select("path", "status")
+
+
+@query(SRC + "SELECT md5(payload) || '  ' || path AS value, row_number() OVER (ORDER BY string_split(path, '/')) AS line_no FROM source")
+def write_manifest_bundle(t: Tables):
+    place = scratch_dir(t.spark, "bundle")
+    stores.make_parents(f"{place}/x")
+    manifest = manifests.digest_entries(X.source_entries(t)).select("path", "digest")
+    verification = verify.final_reverify(manifest, manifest)
+    target = writers.write_manifest_bundle(manifest, place, verification)
+    return readers.numbered_lines(t.spark, target).select("line_no", "value")
+
+
 @query(
     SRC
     + """SELECT path, CASE substr(md5(path), 1, 1) WHEN '0' THEN 'MISSING' WHEN '1' THEN 'FAIL' ELSE 'OK' END AS status FROM source"""

@@ -9,13 +9,15 @@ from pyspark.sql import DataFrame, SparkSession
 
 
 class Tables:
-    """The given tables as attributes."""
+    """The given tables as attributes, each opened once."""
 
     def __init__(self, spark: SparkSession, folder: str):
         self.spark, self.folder = spark, folder
 
     def __getattr__(self, name: str) -> DataFrame:
-        return self.spark.read.parquet(f"{self.folder}/{name}.parquet")
+        table = self.spark.read.parquet(f"{self.folder}/{name}.parquet")
+        setattr(self, name, table)
+        return table
 
 
 @dataclass(frozen=True)

@@ -186,6 +186,11 @@ def scan_all(
     return reduce(DataFrame.unionByName, rounds).drop("open")
 
 
+def list_directories(directories: DataFrame) -> DataFrame:
+    """One level below each of ``(path, abs_path)``; a vanished directory becomes a row with a ``scan_error``."""
+    return _list_round(directories, directories.count()).drop("open")
+
+
 def _extend_rules(rules: DataFrame, found: DataFrame, place: str) -> DataFrame:
     """Rules so far plus those of the ignore files in the directories just listed."""
     spark = found.sparkSession

@@ -100,7 +100,7 @@ def test_missing_root_fails_and_a_vanished_folder_does_not(spark, tmp_path):
     with pytest.raises(Exception, match="FileNotFoundError"):
         filetree.scan_tree(spark, str(tmp_path / "nowhere")).count()
     gone = spark.createDataFrame([("gone", str(tmp_path / "gone"))], "path string, abs_path string")
-    row = filetree._list_round(gone, 1).first()
+    row = filetree.list_directories(gone).first()
     assert (row.path, row.kind) == ("gone", "gone") and "vanished" in row.scan_error
 
 
