@@ -2,12 +2,29 @@
 
 from __future__ import annotations
 
+from collections.abc import Sequence
+
 from pyspark.sql import Column, DataFrame, functions as F
 
 from assay.functions import paths
+from assay.functions.rows import row_text
 from assay.functions.text import nfc
 
 
+def entries_from_rows(
+    df: DataFrame, keys: Sequence[str], columns: Sequence[str], root: str, double_scale: int | None = None
+) -> DataFrame:
+    """Rows of an ordinary table as entries: ``keys`` make the path, ``columns`` the payload.
+
+    Key values must not contain a slash.
+    """
+    path = F.concat_ws("/", F.lit(root), *[F.col(key).cast("string") for key in keys])
+    payload = row_text([df.schema[name] for name in columns], double_scale)
+    return df.select(path.alias("path"), payload.alias("payload")).withColumn(
+        "size", F.octet_length("payload").cast("bigint")
+    )
+
+
 def keep_regular_files(entries: DataFrame) -> DataFrame:
     """Drop directories, links and devices."""
     return entries.filter(F.col("kind") == "file")

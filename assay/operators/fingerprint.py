@@ -4,56 +4,20 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame, SparkSession, functions as F, types as T
+from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from assay.functions.digests import digest_to_bigint
-from assay.session import scratch_dir
+from assay.functions.rows import row_text
 
-_LIMB_BITS = 20
-
-
-def field_text(field: T.StructField, double_scale: int | None = None) -> Column:
-    """An unambiguous text form of one column; NULL is ``~``, strings carry their byte length.
+PROBE_BYTES = 10 << 20
 
-    Times are epoch microseconds. With ``double_scale`` doubles are rounded to that many
-    decimals and shown as scaled integers.
-    """
-    column = F.col(f"`{field.name}`")
-    kind = field.dataType
-    if isinstance(kind, (T.DoubleType, T.FloatType)) and double_scale is not None:
-        scaled = F.rint(column * F.lit(float(10**double_scale)))
-        whole = F.when(F.abs(scaled) < F.lit(9e18), scaled.cast("bigint").cast("string"))
-        text = F.coalesce(whole, column.cast("string"))
-    elif isinstance(kind, T.TimestampType):
-        text = F.unix_micros(column).cast("string")
-    elif isinstance(kind, T.TimestampNTZType):
-        text = _ntz_micros(column).cast("string")
-    elif isinstance(kind, T.BinaryType):
-        text = F.lower(F.hex(column))
-    elif isinstance(kind, (T.StringType, T.VarcharType, T.CharType)):
-        text = F.concat(F.octet_length(column).cast("string"), F.lit(":"), column)
-    elif isinstance(kind, (T.ArrayType, T.StructType, T.MapType, T.VariantType)):
-        json = F.to_json(column, {"ignoreNullFields": "false"})
-        text = F.concat(F.octet_length(json).cast("string"), F.lit(":"), json)
-    else:
-        text = column.cast("string")
-    return F.coalesce(text, F.lit("~"))
-
-
-def _ntz_micros(column: Column) -> Column:
-    """Microseconds since 1970 of a time without a zone, whatever the session's zone."""
-    if SparkSession.active().conf.get("spark.sql.session.timeZone") in ("UTC", "Etc/UTC", "GMT", "Z"):
-        return F.unix_micros(column.cast("timestamp"))
-    seconds = (F.unix_date(column.cast("date")) * 24 + F.hour(column)) * 60 + F.minute(column)
-    micros = F.date_format(column, "ssSSSSSS").cast("bigint")
-    return seconds.cast("bigint") * 60_000_000 + micros
+_LIMB_BITS = 20
 
 
 def row_hash(df: DataFrame, columns: Sequence[str] | None = None, double_scale: int | None = None) -> Column:
     """60 bits of MD5 over the row's fields."""
     fields = [df.schema[name] for name in (columns or df.columns)]
-    text = F.concat_ws("|", *[field_text(field, double_scale) for field in fields])
-    return digest_to_bigint(F.md5(text.cast("binary")))
+    return digest_to_bigint(F.md5(row_text(fields, double_scale).cast("binary")))
 
 
 def table_fingerprint(
@@ -128,13 +92,14 @@ def promote_with_backup(spark: SparkSession, staged: str, target: str) -> None:
         fs.delete(path(backup), True)
 
 
-def preflight_probe(spark: SparkSession, target: str, rows: int = 1_310_720) -> DataFrame:
+def preflight_probe(spark: SparkSession, target: str, ids: DataFrame | None = None) -> DataFrame:
     """Write deterministic noise to the target store, read it back, compare, delete it.
 
-    8 bytes a row, 10 MiB by default. Raises :class:`VerificationError` on a mismatch;
-    otherwise returns the probe's fingerprint.
+    Noise is drawn from ``ids (id)``; 16 bytes a row, 10 MiB by default. Raises
+    :class:`VerificationError` on a mismatch; otherwise returns the probe's fingerprint.
     """
-    probe = spark.range(rows).select("id", F.xxhash64("id").alias("noise"))
+    ids = spark.range(PROBE_BYTES // 16) if ids is None else ids
+    probe = ids.select("id", digest_to_bigint(F.md5(F.col("id").cast("string").cast("binary"))).alias("noise"))
     place = f"{target.rstrip('/')}/.verify-probe.tmp"
     fs, path = _filesystem(spark, place)
     try:

@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame, functions as F
 BROADCAST_LIMIT_BYTES = 64 * 1024 * 1024
 
 #: An ordered group is left to one task only below this many estimated bytes ...
-ONE_TASK_BYTES = 256 * 1024 * 1024
+ONE_TASK_BYTES = 64 * 1024 * 1024
 #: ... or this many counted rows.
 ONE_TASK_ROWS = 5_000_000
 

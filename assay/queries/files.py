@@ -153,14 +153,28 @@ def copy_tree_resumed(t: Tables):
     return resumed.outcomes.select("path", "status")
 
 
-@query(SRC + "SELECT md5(payload) || '  ' || path AS value, row_number() OVER (ORDER BY string_split(path, '/')) AS line_no FROM source")
-def write_manifest_bundle(t: Tables):
+def _bundle(t: Tables) -> str:
+    """A folder with the documents' manifest; returns the manifest's place."""
     place = scratch_dir(t.spark, "bundle")
     stores.make_parents(f"{place}/x")
     manifest = manifests.digest_entries(X.source_entries(t)).select("path", "digest")
-    verification = verify.final_reverify(manifest, manifest)
-    target = writers.write_manifest_bundle(manifest, place, verification)
-    return readers.numbered_lines(t.spark, target).select("line_no", "value")
+    return writers.write_manifest_bundle(manifest, place, verify.final_reverify(manifest, manifest))
+
+
+@query(SRC + "SELECT md5(payload) || '  ' || path AS value, row_number() OVER (ORDER BY string_split(path, '/')) AS line_no FROM source")
+def write_manifest_bundle(t: Tables):
+    return readers.numbered_lines(t.spark, _bundle(t)).select("line_no", "value")
+
+
+@query(SRC + "SELECT path, md5(payload) AS digest FROM source")
+def resolve_manifest(t: Tables):
+    folder = _bundle(t).rpartition("/")[0]
+    return readers.read_manifest(t.spark, readers.resolve_manifest(folder))
+
+
+@query(SRC + "SELECT 'manifest.xxh3' AS path, CAST(sum(32 + 2 + strlen(path) + 1) AS BIGINT) AS size FROM source")
+def scan_single(t: Tables):
+    return filetree.scan_single(t.spark, _bundle(t)).select("path", "size")
 
 
 @query(

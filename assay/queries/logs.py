@@ -167,17 +167,33 @@ def _as_stream(t: Tables, frame, label: str):
     return t.spark.readStream.schema(frame.schema).option("maxFilesPerTrigger", 2).parquet(place)
 
 
-@query(
+JOB_STATE = (
     PROGRESS
     + """SELECT job_id, arg_max(phase, event_id) FILTER (kind = 'Phase') AS phase,
                 arg_max(file, event_id) FILTER (kind = 'CurrentFile') AS current_file, arg_max(total_bytes, event_id) AS total_bytes,
                 arg_max(completed_bytes, event_id) AS completed_bytes FROM progressed GROUP BY job_id"""
 )
+
+
+@query(JOB_STATE)
 def progress_stream(t: Tables):
-    events = X.progress_log(t)
     states = scratch_dir(t.spark, "job-state")
-    feed = _as_stream(t, events, "progress-feed")
+    feed = _as_stream(t, X.progress_log(t), "progress-feed")
     progress.progress_stream(feed, states, order=ORDER).awaitTermination()
+    return _job_state(t, states)
+
+
+@query(JOB_STATE)
+def throttled_updates(t: Tables):
+    states = scratch_dir(t.spark, "job-state")
+    feed = _as_stream(t, X.progress_log(t), "progress-feed")
+    live = progress.progress_stream(feed, states, order=ORDER, every="1 second")
+    live.processAllAvailable()
+    live.stop()
+    return _job_state(t, states)
+
+
+def _job_state(t: Tables, states: str):
     return progress.current_state(t.spark, states).select(
         "job_id", "phase", "current_file", "total_bytes", "completed_bytes"
     )

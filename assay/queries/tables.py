@@ -16,26 +16,18 @@ LINES = X.with_(X.SOURCE, X.LINES)
 CHECKSUMS = X.with_(X.SOURCE, X.CHECKSUM_LINES)
 DEST = X.with_(X.SOURCE, X.DESTINATION)
 
-_LINEITEM_KEY = "'row/' || l_orderkey || '/' || l_linenumber || '/' || l_partkey || '/' || l_suppkey"
-
-
-def lineitem_entries(t: Tables) -> DataFrame:
-    """Rows of an ordinary table as entries: keys make the path, the other columns the payload."""
-    path = F.concat_ws("/", F.lit("row"), *[F.col(c).cast("string") for c in ("l_orderkey", "l_linenumber", "l_partkey", "l_suppkey")])
-    cents = [F.col(c).cast("decimal(18,2)").cast("string") for c in ("l_quantity", "l_extendedprice", "l_discount", "l_tax")]
-    payload = F.concat_ws("|", *cents, "l_returnflag", "l_linestatus", F.col("l_shipdate").cast("string"))
-    return t.lineitem.select(path.alias("path"), F.octet_length(payload).cast("bigint").alias("size"), payload.alias("payload"))
+LINEITEM_KEYS = ["l_orderkey", "l_linenumber", "l_partkey", "l_suppkey"]
+LINEITEM_KEY = "'row/' || " + " || '/' || ".join(LINEITEM_KEYS)
+LINEITEM_VALUES = ["l_quantity", "l_extendedprice", "l_discount", "l_tax", "l_returnflag", "l_linestatus", "l_shipdate"]
+LINEITEM_TEXT = """CAST(round_even(l_quantity * 100, 0) AS BIGINT) || '|' || CAST(round_even(l_extendedprice * 100, 0) AS BIGINT) || '|' ||
+  CAST(round_even(l_discount * 100, 0) AS BIGINT) || '|' || CAST(round_even(l_tax * 100, 0) AS BIGINT) || '|' ||
+  strlen(l_returnflag) || ':' || l_returnflag || '|' || strlen(l_linestatus) || ':' || l_linestatus || '|' || epoch_us(l_shipdate)"""
 
 
-@query(
-    f"""SELECT {_LINEITEM_KEY} AS path,
-               md5(CAST(l_quantity AS DECIMAL(18,2)) || '|' || CAST(l_extendedprice AS DECIMAL(18,2)) || '|' ||
-                   CAST(l_discount AS DECIMAL(18,2)) || '|' || CAST(l_tax AS DECIMAL(18,2)) || '|' || l_returnflag || '|' ||
-                   l_linestatus || '|' || CAST(l_shipdate AS VARCHAR)) AS digest
-        FROM lineitem"""
-)
+@query(f"SELECT {LINEITEM_KEY} AS path, md5({LINEITEM_TEXT}) AS digest FROM lineitem")
 def generate_manifest(t: Tables):
-    return manifests.generate_manifest(lineitem_entries(t))
+    rows = E.entries_from_rows(t.lineitem, LINEITEM_KEYS, LINEITEM_VALUES, "row", double_scale=2)
+    return manifests.generate_manifest(rows)
 
 
 @query(DEST + "SELECT path, md5(payload) AS digest FROM destination WHERE payload IS NOT NULL")
@@ -272,10 +264,7 @@ def _positions(t: Tables, ordered: DataFrame) -> DataFrame:
 
 # Fingerprints -------------------------------------------------------------------------------
 
-_ROW = """l_orderkey || '|' || l_partkey || '|' || l_suppkey || '|' || l_linenumber || '|' ||
-  CAST(round_even(l_quantity * 100, 0) AS BIGINT) || '|' || CAST(round_even(l_extendedprice * 100, 0) AS BIGINT) || '|' ||
-  CAST(round_even(l_discount * 100, 0) AS BIGINT) || '|' || CAST(round_even(l_tax * 100, 0) AS BIGINT) || '|' ||
-  strlen(l_returnflag) || ':' || l_returnflag || '|' || strlen(l_linestatus) || ':' || l_linestatus || '|' || epoch_us(l_shipdate)"""
+_ROW = f"l_orderkey || '|' || l_partkey || '|' || l_suppkey || '|' || l_linenumber || '|' || {LINEITEM_TEXT}"
 _FINGERPRINT = f"""
 WITH hashed AS (
   SELECT *, CAST(('0x' || substr(md5({_ROW}), 1, 15)) AS BIGINT) AS h FROM lineitem)
@@ -301,3 +290,15 @@ def promote_with_backup(t: Tables):
     t.orders.write.parquet(target)
     written = fingerprint.verified_write(t.lineitem, target, mode="overwrite")
     return fingerprint.table_fingerprint(written, double_scale=2)
+
+
+@query(
+    """WITH hashed AS (
+  SELECT CAST(('0x' || substr(md5(l_orderkey || '|' || CAST(('0x' || substr(md5(CAST(l_orderkey AS VARCHAR)), 1, 15)) AS BIGINT)), 1, 15)) AS BIGINT) AS h
+  FROM lineitem)
+SELECT count(*) AS n_rows, CAST(sum(h) AS VARCHAR) AS hash_sum, bit_xor(h) AS hash_xor FROM hashed"""
+)
+def preflight_probe(t: Tables):
+    # As much noise as the table about to be written has rows.
+    target = scratch_dir(t.spark, "probed")
+    return fingerprint.preflight_probe(t.spark, target, t.lineitem.select(F.col("l_orderkey").alias("id")))

@@ -331,7 +331,7 @@ def test_verified_write(spark, tmp_path, monkeypatch):
 
 
 def test_probe_leaves_nothing_behind(spark, tmp_path):
-    assert fingerprint.preflight_probe(spark, str(tmp_path), rows=5000).first().n_rows == 5000
+    assert fingerprint.preflight_probe(spark, str(tmp_path)).first().n_rows == 655_360
     assert [name for name in os.listdir(tmp_path) if "probe" in name and not name.endswith(".crc")] == []
 
 
