@@ -9,11 +9,13 @@ from collections.abc import Iterator
 import pyarrow as pa
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, functions as F
+from pyspark.sql.pandas.types import to_arrow_schema
 
 from assay.functions import paths
 from assay.functions.errors import DEVICE, DEVICE_IO_KINDS, FILE, TRANSIENT
 from assay.operators.lookup import recover_backups
 from assay.options import JobOptions
+from assay.schemas import COPY_OUTCOME
 from assay.session import scratch_dir
 from assay.sources import stores
 from assay.sources.filetree import scan_all, spread_by_size
@@ -27,7 +29,7 @@ _IO_KINDS = {
     errno.ETIMEDOUT: "TimedOut",
 }
 
-OUTCOME_SCHEMA = "path string, digest string, bytes long, attempts int, status string, error_kind string, io_kind string, error_class string, reason string, times_kept boolean, finished_ms long"
+_ARROW_OUTCOME = to_arrow_schema(COPY_OUTCOME)
 
 
 class AttemptFailed(Exception):
@@ -65,17 +67,7 @@ def verified_copy(
                 row = _copy_one(file, f"{root}/{file['path']}", task, digest, unit, options, backup)
                 yield pa.RecordBatch.from_pylist([row], _ARROW_OUTCOME)
 
-    return spread_by_size(work.select("path", "abs_path", "size")).mapInArrow(copy_batches, OUTCOME_SCHEMA)
-
-
-_ARROW_OUTCOME = pa.schema(
-    [
-        ("path", pa.string()), ("digest", pa.string()), ("bytes", pa.int64()), ("attempts", pa.int32()),
-        ("status", pa.string()), ("error_kind", pa.string()), ("io_kind", pa.string()),
-        ("error_class", pa.string()), ("reason", pa.string()), ("times_kept", pa.bool_()),
-        ("finished_ms", pa.int64()),
-    ]
-)
+    return spread_by_size(work.select("path", "abs_path", "size")).mapInArrow(copy_batches, COPY_OUTCOME)
 
 
 def _copy_one(file: dict, target: str, task: int, digest: str, unit: float, options: JobOptions, backup: bool) -> dict:

@@ -12,7 +12,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, functions as F
 
 from assay.functions.globs import parse_ignore_rule
-from assay.functions.paths import ancestors
+from assay.functions.paths import ancestors, parent_dir
 from assay.plans.skew import COPIES, spread_join
 
 #: Up to this many rules become one expression.
@@ -111,20 +111,16 @@ def prune_subtree(entries: DataFrame, dropped_dirs: DataFrame) -> DataFrame:
     Directories are judged once each, on their own, far smaller table; the entries then
     only look up their parent, which may be one directory holding most of them.
     """
-    parents = entries.select(_parent(F.col("path")).alias("parent")).filter("parent <> ''").distinct()
+    parents = entries.select(parent_dir(F.col("path")).alias("parent")).filter("parent <> ''").distinct()
     chains = parents.select(
         "parent", F.explode(F.concat(ancestors(F.col("parent")), F.array("parent"))).alias("path")
     )
     dead = chains.join(dropped_dirs.select("path"), "path", "left_semi").select("parent").distinct()
-    live = spread_join(entries.withColumn("parent", _parent(F.col("path"))), dead, ["parent"], "left_anti")
+    live = spread_join(entries.withColumn("parent", parent_dir(F.col("path"))), dead, ["parent"], "left_anti")
     own = dropped_dirs.select("path", F.lit(True).alias("is_dir"))
     return live.join(own, ["path", "is_dir"], "left_anti").select(*entries.columns)
 
 
-def _parent(path: Column) -> Column:
-    return F.regexp_extract(path, "^(.*)/[^/]*$", 1)
-
-
 def _apply_by_join(entries: DataFrame, rules: DataFrame) -> DataFrame:
     above = entries.select(F.explode(ancestors(F.col("path"))).alias("path"), F.lit(True).alias("is_dir")).distinct()
     paths = entries.select("path", "is_dir").unionByName(above).distinct()

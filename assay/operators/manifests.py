@@ -64,21 +64,21 @@ def split_line(value: Column) -> tuple[Column, Column, Column]:
     return at > 0, F.substring(value, F.lit(1), at - 1), F.substring(value, at + 2, F.length(value))
 
 
-def parse_manifest_lines(lines: DataFrame) -> DataFrame:
+def parse_manifest_lines(lines: DataFrame, digest: str = "xxh3_128") -> DataFrame:
     """Every line of a manifest with its verdict: ``(line_no, state, digest, path)``.
 
     States: VALID, BLANK, NO_SEPARATOR, BAD_DIGEST, UNSAFE.
     """
     value = F.regexp_replace("value", "[\\r\\n]+$", "")
-    separated, digest, path = split_line(value)
+    separated, hex_digits, path = split_line(value)
     state = (
         F.when(value == "", "BLANK")
         .when(~separated, "NO_SEPARATOR")
-        .when(~valid_digest(digest), "BAD_DIGEST")
+        .when(~valid_digest(hex_digits, digest), "BAD_DIGEST")
         .when(paths.is_unsafe_path(path), "UNSAFE")
         .otherwise("VALID")
     )
-    return _with_state(lines, state, F.lower(digest), path)
+    return _with_state(lines, state, F.lower(hex_digits), path)
 
 
 def parse_checksum_lines(lines: DataFrame) -> DataFrame:

@@ -5,12 +5,13 @@ from __future__ import annotations
 import uuid
 from dataclasses import dataclass
 
-from pyspark.sql import DataFrame, SparkSession, functions as F
+from pyspark.sql import DataFrame, SparkSession, functions as F, types as T
 
 from assay.functions.digests import digest_equal
 from assay.functions.paths import MANIFEST_NAME
 from assay.operators import copying, entries as guards, resume, runs, verify
 from assay.options import JobOptions
+from assay.schemas import COPY_OUTCOME
 from assay.session import scratch_dir
 from assay.sources import filetree, readers, stores, writers
 
@@ -74,7 +75,7 @@ def copy_tree(
     if not verification.first()["passed"]:
         raise RunStopped(f"the final verification failed: {verification.first()}")
     if not options.no_manifest:
-        writers.write_manifest_bundle(manifest, destination, verification)
+        writers.write_manifest_bundle(manifest, destination, verification, options.digest)
     return CopyResult(manifest, done, failures, verification)
 
 
@@ -113,7 +114,7 @@ def _previous(spark, files, destination, table, key, options) -> DataFrame | Non
     """``(path, digest, size)`` of the manifest at the destination, else of the checkpoint."""
     placed = f"{destination.rstrip('/')}/{MANIFEST_NAME}"
     if stores.exists(placed) and guards.any_reserved(files).first()[0] is False:
-        manifest = readers.read_manifest(spark, placed)
+        manifest = readers.read_manifest(spark, placed, digest=options.digest)
         return manifest.withColumn("size", F.lit(0).cast("bigint"))
     if not _has_rows(spark, table, key):
         return None
@@ -137,7 +138,7 @@ def _skipped(part: DataFrame) -> DataFrame:
 
 
 def _outcomes(spark: SparkSession, table: str, key: str) -> DataFrame:
-    schema = f"{copying.OUTCOME_SCHEMA}, run string, wave int"
+    schema = T.StructType([*COPY_OUTCOME, T.StructField("run", T.StringType()), T.StructField("wave", T.IntegerType())])
     return spark.read.schema(schema).parquet(f"{table}/checkpoint_key={key}")
 
 
@@ -171,7 +172,7 @@ def _read_back(spark: SparkSession, manifest: DataFrame, destination: str, diges
 def verify_tree(spark: SparkSession, target: str, digest: str = "xxh3_128") -> DataFrame:
     """Every row of a manifest (a file, or the one in a folder) against the files beside it."""
     placed = readers.resolve_manifest(target)
-    manifest = readers.read_manifest(spark, placed)
+    manifest = readers.read_manifest(spark, placed, digest=digest)
     guards.require_non_empty(manifest, "rows in the manifest")
     root = placed.rpartition("/")[0]
     return verify.verify_manifest(manifest, _read_back(spark, manifest, root, digest), unique=True)

@@ -8,6 +8,7 @@ from assay.functions import digests, text
 from assay.operators import entries as E, fingerprint, manifests, runs, verify
 from assay.queries import fixtures as X
 from assay.queries.registry import Tables, query
+from assay.schemas import QUARANTINE
 from assay.session import scratch_dir
 from assay.sources import readers, writers
 
@@ -186,9 +187,7 @@ def write_quarantine(t: Tables):
     place = scratch_dir(t.spark, "quarantine")
     failures = _failures(t)
     rows = writers.write_quarantine(failures, place)
-    back = t.spark.read.schema("source_relative string, attempts int, unix_time long, reason string").json(
-        f"{place}/{writers.QUARANTINE_DIR}"
-    )
+    back = t.spark.read.schema(QUARANTINE).json(f"{place}/{writers.QUARANTINE_DIR}")
     return back.join(rows.select("source_relative", "report_name"), "source_relative").select(*rows.columns)
 
 

@@ -46,10 +46,12 @@ def resolve_manifest(target: str, name: str = paths.MANIFEST_NAME) -> str:
     return target if stores.is_file(target) else f"{target.rstrip('/')}/{name}"
 
 
-def read_manifest(spark: SparkSession, target: str, mode: str = "FAILFAST") -> DataFrame:
+def read_manifest(
+    spark: SparkSession, target: str, mode: str = "FAILFAST", digest: str = "xxh3_128"
+) -> DataFrame:
     """``(path, digest)`` of a manifest file, the last line winning for a repeated path."""
     lines = numbered_lines(spark, target)
-    return manifests.accept_manifest(manifests.parse_manifest_lines(lines), mode)
+    return manifests.accept_manifest(manifests.parse_manifest_lines(lines, digest), mode)
 
 
 def read_checksums(spark: SparkSession, location: str, mode: str = "FAILFAST") -> DataFrame:

@@ -12,11 +12,11 @@ BLOCK_BYTES = 1024 * 1024
 
 
 def is_posix(location: str) -> bool:
-    return "://" not in location or location.startswith("file://")
+    return "://" not in location or location.startswith("file:")
 
 
 def local_path(location: str) -> str:
-    return location.removeprefix("file://")
+    return location.removeprefix("file:").replace("//", "/", 1) if location.startswith("file:") else location
 
 
 def _arrow(location: str):

@@ -18,11 +18,12 @@ QUARANTINE_DIR = ".quarantine"
 SINGLE_FILE_BYTES = 1 << 30
 
 README_TEXT = """\
-This folder's manifest lists an XXH3-128 digest for every file in it.
+The manifest beside this file lists the {digest} digest of every file in this folder.
 To check the files:
 
-    xxhsum -c manifest.xxh3
+    {tool} -c {manifest}
 """
+CHECK_TOOLS = {"xxh3_128": "xxhsum", "md5": "md5sum", "sha256": "sha256sum"}
 
 
 def write_manifest(manifest: DataFrame, folder: str, mode: str = "errorifexists") -> DataFrame:
@@ -67,14 +68,17 @@ def publish_single_file(parts: str, target: str, max_bytes: int = SINGLE_FILE_BY
     return target
 
 
-def write_manifest_bundle(manifest: DataFrame, destination: str, verification: DataFrame) -> str:
+def write_manifest_bundle(
+    manifest: DataFrame, destination: str, verification: DataFrame, digest: str = "xxh3_128"
+) -> str:
     """Manifest and a short README, only once the final verification has passed."""
     if not verification.first()["passed"]:
         raise ValueError("the final verification did not pass; no manifest is written")
     parts = scratch_dir(manifest.sparkSession, "manifest")
     write_manifest(manifest, parts)
     target = publish_single_file(parts, f"{destination.rstrip('/')}/{MANIFEST_NAME}")
-    _write_small(f"{destination.rstrip('/')}/{MANIFEST_README}", README_TEXT)
+    readme = README_TEXT.format(digest=digest, tool=CHECK_TOOLS[digest], manifest=MANIFEST_NAME)
+    _write_small(f"{destination.rstrip('/')}/{MANIFEST_README}", readme)
     return target
 
 

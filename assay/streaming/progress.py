@@ -9,7 +9,7 @@ from pyspark.sql.streaming import StreamingQuery
 
 from assay.functions.numbers import INT64_MAX
 from assay.operators.runs import log_tail
-from assay.plans.sizing import broadcast_if_small
+from assay.plans.skew import spread_join
 from assay.streaming.state import VersionedState
 
 LOG_LINES = 300
@@ -34,9 +34,8 @@ def progress_stream(
     state = VersionedState(events.sparkSession, f"{folder}/state")
 
     def fold(batch: DataFrame, batch_id: int) -> None:
-        before = state.read(before=batch_id)
-        after = _summarize(batch, job, order, keep_lines)
-        state.write(after if before is None else _merge(before, after, job, keep_lines), batch_id)
+        summary = _summarize(batch, job, order, keep_lines)
+        state.write(_fold(state.read(before=batch_id), summary, job, keep_lines), batch_id)
         if report:
             report(state.read())
 
@@ -69,12 +68,12 @@ def _latest(value: Column, when: Column, at: Column) -> Column:
 
 
 def _summarize(batch: DataFrame, job: str, order: Sequence[str], keep_lines: int) -> DataFrame:
-    """What one batch says about each job, as if it were the first."""
+    """What one batch says about each job; ``total`` is NULL unless the batch started it over."""
     kind, at = F.col("kind"), F.struct(*order)
     starts = batch.filter(kind == "TotalBytes").groupBy(job).agg(F.max(at).alias("started"))
-    marked = batch.join(broadcast_if_small(starts), job, "left")
+    marked = spread_join(batch, starts, [job], "left")
     counts = (kind == "BytesAdvanced") & (F.col("started").isNull() | (at > F.col("started")))
-    advanced = F.coalesce(F.sum(F.when(counts, F.col("bytes")).cast("decimal(38,0)")), F.lit(0))
+    advanced = F.sum(F.when(counts, F.col("bytes")).otherwise(0).cast("decimal(20,0)"))
     is_file = kind == "CurrentFile"
     summary = marked.groupBy(job).agg(
         _latest(F.col("phase"), kind == "Phase", at).alias("phase"),
@@ -84,46 +83,33 @@ def _summarize(batch: DataFrame, job: str, order: Sequence[str], keep_lines: int
         F.count("*").alias("n_events"),
     )
     lines = log_tail(batch.filter(kind == "Log"), keep_lines, job, order)
-    tails = lines.groupBy(job).agg(
-        F.sort_array(F.collect_list(F.struct(at.alias("at"), F.col("message").alias("message")))).alias("log")
-    )
-    return _capped(summary.join(tails, job, "left"), job, F.col("total"), F.col("advanced"))
-
-
-def _capped(frame: DataFrame, job: str, total: Column, advanced: Column) -> DataFrame:
-    total = F.coalesce(total, F.lit(0)).cast("bigint")
-    held = F.least(advanced, F.lit(INT64_MAX).cast("decimal(38,0)")).cast("bigint")
-    return frame.select(
-        job,
-        "phase",
-        "file",
-        total.alias("total_bytes"),
-        F.when(total > 0, F.least(held, total)).otherwise(held).alias("completed_bytes"),
-        "n_events",
-        F.coalesce("log", F.expr("filter(log, x -> false)")).alias("log"),
-        frame["total"].isNotNull().alias("restarted") if "total" in frame.columns else F.lit(False).alias("restarted"),
-    )
-
-
-def _merge(before: DataFrame, after: DataFrame, job: str, keep_lines: int) -> DataFrame:
-    old = before.select(job, F.struct(*[c for c in before.columns if c != job]).alias("old"))
-    new = after.select(job, F.struct(*[c for c in after.columns if c != job]).alias("new"))
-    both = old.join(new, job, "full_outer")
-    fresh = F.coalesce("new.restarted", F.lit(False))
-    total = F.when(fresh, F.col("new.total_bytes")).otherwise(F.coalesce("old.total_bytes", "new.total_bytes"))
-    so_far = F.when(fresh, F.lit(0)).otherwise(F.coalesce("old.completed_bytes", F.lit(0))).cast("decimal(38,0)")
-    lines = F.concat(
-        F.coalesce("old.log", F.expr("filter(new.log, x -> false)")),
-        F.coalesce("new.log", F.expr("filter(old.log, x -> false)")),
-    )
-    lines = F.coalesce(lines, F.col("old.log"), F.col("new.log"))
-    merged = both.select(
+    line = F.struct(at.alias("at"), F.col("message").alias("message"))
+    tails = lines.groupBy(job).agg(F.sort_array(F.collect_list(line)).alias("log"))
+    return summary.join(tails, job, "left")
+
+
+def _fold(before: DataFrame | None, summary: DataFrame, job: str, keep_lines: int) -> DataFrame:
+    """The state after a batch, from the state before it and the batch's summary."""
+    new = summary.select(job, F.struct(*[c for c in summary.columns if c != job]).alias("new"))
+    if before is None:
+        nothing = F.lit(None)
+        old = {"total_bytes": nothing.cast("bigint"), "completed_bytes": nothing.cast("bigint")}
+        both = new.withColumn("old", F.struct("new.*", *[c.alias(n) for n, c in old.items()]))
+        both = both.withColumn("old", F.when(F.lit(False), F.col("old")))
+    else:
+        old = before.select(job, F.struct(*[c for c in before.columns if c != job]).alias("old"))
+        both = old.join(new, job, "full_outer")
+    total = F.coalesce("new.total", "old.total_bytes", F.lit(0)).cast("bigint")
+    so_far = F.when(F.col("new.total").isNotNull(), 0).otherwise(F.coalesce("old.completed_bytes", F.lit(0)))
+    done = so_far.cast("decimal(38,0)") + F.coalesce("new.advanced", F.lit(0))
+    held = F.least(done, F.lit(INT64_MAX).cast("decimal(38,0)")).cast("bigint")
+    lines = F.coalesce(F.concat("old.log", "new.log"), "old.log", "new.log")
+    return both.select(
         job,
         F.coalesce("new.phase", "old.phase").alias("phase"),
         F.coalesce("new.file", "old.file").alias("file"),
-        total.alias("total"),
-        (so_far + F.coalesce("new.completed_bytes", F.lit(0))).alias("advanced"),
+        total.alias("total_bytes"),
+        F.when(total > 0, F.least(held, total)).otherwise(held).alias("completed_bytes"),
         (F.coalesce("old.n_events", F.lit(0)) + F.coalesce("new.n_events", F.lit(0))).alias("n_events"),
         F.slice(lines, F.greatest(F.size(lines) - keep_lines + 1, F.lit(1)), keep_lines).alias("log"),
     )
-    return _capped(merged, job, F.col("total"), F.col("advanced"))

@@ -2,6 +2,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from assay.operators import manifests, verify
+from assay.schemas import MANIFEST, VERIFY_RESULT
 from assay.sources import readers, writers
 
 A, B = "a" * 32, "b" * 32
@@ -135,10 +136,31 @@ def test_checkpoint_key_xxh3(evaluate):
 SIDES = "path string, digest string"
 
 
+def test_sha256_manifests(spark, tmp_path):
+    place = write(tmp_path, f"{A}{B}  x/y\n".encode(), "m.sha256")
+    assert as_dict(readers.read_manifest(spark, place, digest="sha256")) == {"x/y": A + B}
+    with pytest.raises(ValueError, match="BAD_DIGEST"):
+        readers.read_manifest(spark, place)
+
+
+def test_a_table_of_rows_becomes_a_manifest(spark):
+    from assay.operators.entries import entries_from_rows
+
+    df = spark.createDataFrame([(1, 2, 1.25, None), (1, 3, 2.0, "x")], "a int, b long, x double, s string")
+    manifest = manifests.generate_manifest(entries_from_rows(df, ["a", "b"], ["x", "s"], "t", double_scale=2))
+    assert manifest.columns == MANIFEST.names
+    import hashlib
+
+    assert as_dict(manifest) == {
+        "t/1/2": hashlib.md5(b"125|~").hexdigest(), "t/1/3": hashlib.md5(b"200|1:x").hexdigest(),
+    }
+
+
 def test_check_full_statuses(spark):
     expected = spark.createDataFrame([("ok", A.upper()), ("bad", A), ("gone", A), ("dark", A)], SIDES)
     actual = spark.createDataFrame([("ok", A), ("bad", B), ("dark", None), ("new", B)], SIDES)
     results = verify.check_full(expected, actual)
+    assert results.columns == VERIFY_RESULT.names
     assert {r.path: r.status for r in results.collect()} == {
         "ok": "OK", "bad": "FAIL", "gone": "MISSING", "dark": "UNREADABLE", "new": "EXTRA",
     }

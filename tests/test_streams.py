@@ -4,6 +4,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from assay.operators import runs
+from assay.schemas import PROGRESS_EVENT
 from assay.streaming import breaker, checksum, progress
 
 LOG = "run_id int, seq long, status string"
@@ -41,14 +42,14 @@ def test_breaker_across_batches(spark, tmp_path, reset_on_skip):
     assert {r.run_id for r in alerts} == set(expected) and len(alerts) == len(expected)
 
 
-PROGRESS = "job_id string, seq long, kind string, phase string, bytes long, file string, message string"
+PROGRESS = PROGRESS_EVENT
 
 
 def test_progress_across_batches(spark, tmp_path):
     rng = random.Random(5)
     kinds = ["TotalBytes", "BytesAdvanced", "BytesAdvanced", "CurrentFile", "Phase", "Log", "CooldownLeft"]
     rows = [
-        (rng.choice("aab"), n, rng.choice(kinds), f"p{n}", rng.randint(0, 99) * (1 if n % 3 else 4), f"f{n}", f"m{n}")
+        (rng.choice("aab"), n, None, rng.choice(kinds), f"p{n}", rng.randint(0, 99) * (1 if n % 3 else 4), f"f{n}", "Info", f"m{n}")
         for n in range(240)
     ]
     stream = feed(spark, str(tmp_path), [rows[n : n + 50] for n in range(0, 240, 50)], PROGRESS)
@@ -67,7 +68,7 @@ def test_progress_across_batches(spark, tmp_path):
         assert (row.total_bytes, row.completed_bytes) == (t.total_bytes, t.completed_bytes)
         state = states[job_id]
         assert (row.phase, row.current_file, row.n_events) == (state.phase, state.current_file, state.n_events)
-        tail = [f"m{n}" for j, n, kind, *_ in rows if j == job_id and kind == "Log"][-4:]
+        tail = [f"m{n}" for j, n, _, kind, *_ in rows if j == job_id and kind == "Log"][-4:]
         assert [line.message for line in row.log] == tail
     assert len(updates) == 5
 
