@@ -16,7 +16,7 @@ from assay.functions.errors import DEVICE, DEVICE_IO_KINDS, FILE, TRANSIENT
 from assay.operators.lookup import recover_backups
 from assay.options import JobOptions
 from assay.schemas import COPY_OUTCOME
-from assay.session import scratch_dir
+from assay.plans.storing import store
 from assay.sources import stores
 from assay.sources.filetree import scan_all, spread_by_size
 
@@ -195,7 +195,7 @@ def delete_files(files: DataFrame) -> DataFrame:
             done = [_quietly(stores.delete, location) for location in batch.column("abs_path").to_pylist()]
             yield batch.append_column("deleted", pa.array(done, pa.bool_()))
 
-    return settle(files.mapInArrow(remove, "path string, abs_path string, deleted boolean"))
+    return store(files.mapInArrow(remove, "path string, abs_path string, deleted boolean"), "report")[0]
 
 
 def recover_interrupted(spark, destination: str) -> DataFrame:
@@ -212,7 +212,8 @@ def recover_interrupted(spark, destination: str) -> DataFrame:
                 done.append(_quietly(stores.move, backup, final) if restore else _quietly(stores.delete, backup))
             yield batch.append_column("done", pa.array(done, pa.bool_()))
 
-    return settle(actions.mapInArrow(act, "path string, final_path string, action string, done boolean"))
+    schema = "path string, final_path string, action string, done boolean"
+    return store(actions.mapInArrow(act, schema), "report")[0]
 
 
 def _quietly(action, *args) -> bool:
@@ -221,10 +222,3 @@ def _quietly(action, *args) -> bool:
     except OSError:
         return False
     return True
-
-
-def settle(acted: DataFrame) -> DataFrame:
-    """Run a side effect once by storing its report, and return the stored report."""
-    place = scratch_dir(acted.sparkSession, "report")
-    acted.write.parquet(place)
-    return acted.sparkSession.read.parquet(place)

@@ -8,6 +8,7 @@ from assay.functions import paths
 from assay.functions.digests import DIGESTS, valid_digest
 from assay.functions.text import manifest_line, nfc
 from assay.plans.skew import spread_join
+from assay.plans.storing import store
 
 
 def digest_entries(entries: DataFrame, digest: str = "md5", payload: str = "payload") -> DataFrame:
@@ -58,10 +59,17 @@ def duplicate_keys(lines: DataFrame, name: str = "path", order: str = "line_no")
     return seconds.filter("rank = 2").select(name, F.col(order).alias("second_line"))
 
 
-def split_line(value: Column) -> tuple[Column, Column, Column]:
-    """``(has separator, digest text, path)``: only the first double space separates."""
-    at = F.instr(value, "  ")
-    return at > 0, F.substring(value, F.lit(1), at - 1), F.substring(value, at + 2, F.length(value))
+def split_lines(lines: DataFrame, line_end: str) -> DataFrame:
+    """``(line_no, value, separated, digest, path)``: only the first double space separates."""
+    value, at = F.col("value"), F.col("at")
+    cut = lines.select("line_no", F.regexp_replace(value, line_end, "").alias("value"))
+    return cut.withColumn("at", F.instr(value, "  ")).select(
+        "line_no",
+        "value",
+        (at > 0).alias("separated"),
+        F.substring(value, F.lit(1), at - 1).alias("digest"),
+        F.substring(value, at + 2, F.length(value)).alias("path"),
+    )
 
 
 def parse_manifest_lines(lines: DataFrame, digest: str = "xxh3_128") -> DataFrame:
@@ -69,16 +77,14 @@ def parse_manifest_lines(lines: DataFrame, digest: str = "xxh3_128") -> DataFram
 
     States: VALID, BLANK, NO_SEPARATOR, BAD_DIGEST, UNSAFE.
     """
-    value = F.regexp_replace("value", "[\\r\\n]+$", "")
-    separated, hex_digits, path = split_line(value)
     state = (
-        F.when(value == "", "BLANK")
-        .when(~separated, "NO_SEPARATOR")
-        .when(~valid_digest(hex_digits, digest), "BAD_DIGEST")
-        .when(paths.is_unsafe_path(path), "UNSAFE")
+        F.when(F.col("value") == "", "BLANK")
+        .when(~F.col("separated"), "NO_SEPARATOR")
+        .when(~valid_digest(F.col("digest"), digest), "BAD_DIGEST")
+        .when(paths.is_unsafe_path(F.col("path")), "UNSAFE")
         .otherwise("VALID")
     )
-    return _with_state(lines, state, F.lower(hex_digits), path)
+    return _with_state(split_lines(lines, "[\\r\\n]+$"), state)
 
 
 def parse_checksum_lines(lines: DataFrame) -> DataFrame:
@@ -87,18 +93,16 @@ def parse_checksum_lines(lines: DataFrame) -> DataFrame:
     States: VALID, SKIPPED (own artifacts, before the duplicate test), NO_SEPARATOR
     (blank lines too), BAD_DIGEST, EMPTY_NAME, PATH_IN_NAME, DUPLICATE.
     """
-    value = F.regexp_replace("value", "\\r?\\n?$", "")
-    separated, digest, name = split_line(value)
-    normal = nfc(name)
     state = (
-        F.when(~separated, "NO_SEPARATOR")
-        .when(~valid_digest(digest), "BAD_DIGEST")
-        .when(name == "", "EMPTY_NAME")
-        .when(paths.is_path_like(name), "PATH_IN_NAME")
-        .when(paths.is_own_artifact(normal), "SKIPPED")
+        F.when(~F.col("separated"), "NO_SEPARATOR")
+        .when(~valid_digest(F.col("digest")), "BAD_DIGEST")
+        .when(F.col("path") == "", "EMPTY_NAME")
+        .when(paths.is_path_like(F.col("path")), "PATH_IN_NAME")
+        .when(paths.is_own_artifact(F.col("path")), "SKIPPED")
         .otherwise("VALID")
     )
-    parsed = _with_state(lines, state, F.lower(digest), normal)
+    split = split_lines(lines, "\\r$").withColumn("path", nfc(F.col("path")))
+    parsed = _with_state(split, state)
     first = parsed.filter("state = 'VALID'").groupBy("path").agg(F.min("line_no").alias("first_line"), F.count("*").alias("n"))
     # Only names that do repeat are looked up; one of them may be on most lines.
     repeated = first.filter("n > 1").select("path", "first_line", F.lit("VALID").alias("state"))
@@ -107,13 +111,12 @@ def parse_checksum_lines(lines: DataFrame) -> DataFrame:
     return joined.select("line_no", state.alias("state"), "digest", "path")
 
 
-def _with_state(lines: DataFrame, state: Column, digest: Column, path: Column) -> DataFrame:
-    parsed = lines.select("line_no", state.alias("state"), digest.alias("digest"), path.alias("path"))
+def _with_state(split: DataFrame, state: Column) -> DataFrame:
     usable = F.col("state") == "VALID"
-    return parsed.select(
+    return split.withColumn("state", state).select(
         "line_no",
         "state",
-        F.when(usable, F.col("digest")).alias("digest"),
+        F.when(usable, F.lower("digest")).alias("digest"),
         F.when(usable, F.col("path")).alias("path"),
     )
 
@@ -124,13 +127,23 @@ def accept_manifest(parsed: DataFrame, mode: str = "FAILFAST") -> DataFrame:
     FAILFAST raises at the first bad line; PERMISSIVE leaves bad lines to
     :func:`bad_lines`.
     """
-    if mode == "FAILFAST":
-        first = bad_lines(parsed).orderBy("line_no").head(1)
-        if first:
-            raise ValueError(f"line {first[0].line_no}: {first[0].state}")
-    valid = parsed.filter("state = 'VALID'").withColumn("path", paths.normalize_path_key(F.col("path")))
+    valid = accept_lines(parsed, mode).withColumn("path", paths.normalize_path_key(F.col("path")))
     return last_wins_by_key(valid)
 
 
+def accept_lines(parsed: DataFrame, mode: str = "FAILFAST") -> DataFrame:
+    """The valid lines. FAILFAST stores the parsed lines and looks for bad ones in the same pass."""
+    if mode == "FAILFAST":
+        first_bad = F.min(F.when(_is_bad(), F.struct("line_no", "state")))
+        parsed, seen = store(parsed, "lines", first_bad=first_bad)
+        if seen["first_bad"]:
+            raise ValueError(f"line {seen['first_bad'].line_no}: {seen['first_bad'].state}")
+    return parsed.filter("state = 'VALID'")
+
+
+def _is_bad() -> Column:
+    return ~F.col("state").isin("VALID", "BLANK", "SKIPPED")
+
+
 def bad_lines(parsed: DataFrame) -> DataFrame:
-    return parsed.filter(~F.col("state").isin("VALID", "BLANK", "SKIPPED")).select("line_no", "state")
+    return parsed.filter(_is_bad()).select("line_no", "state")

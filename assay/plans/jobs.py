@@ -12,6 +12,7 @@ from assay.functions.paths import MANIFEST_NAME
 from assay.operators import copying, entries as guards, resume, runs, verify
 from assay.options import JobOptions
 from assay.schemas import COPY_OUTCOME
+from assay.plans.storing import store
 from assay.session import scratch_dir
 from assay.sources import filetree, readers, stores, writers
 
@@ -105,9 +106,7 @@ def _plan(
     skip = same.filter(digest_equal(F.col("digest"), F.col("recorded"))).select("path", "recorded")
     planned = files.select("path", "abs_path", "size").join(skip, "path", "left")
     action = F.when(F.col("recorded").isNull(), "COPY").otherwise("SKIP")
-    place = scratch_dir(spark, "plan")
-    planned.withColumn("action", action).write.parquet(place)
-    return spark.read.parquet(place)
+    return store(planned.withColumn("action", action), "plan")[0]
 
 
 def _previous(spark, files, destination, table, key, options) -> DataFrame | None:
@@ -180,9 +179,7 @@ def verify_tree(spark: SparkSession, target: str, digest: str = "xxh3_128") -> D
 
 def generate_checksums(spark: SparkSession, directory: str) -> DataFrame:
     """Write the folder's checksum file; returns ``(path, digest, error)`` of each file."""
-    place = scratch_dir(spark, "digests")
-    filetree.digest_files(filetree.scan_flat(spark, directory), "md5").write.parquet(place)
-    digested = spark.read.parquet(place)
+    digested, _ = store(filetree.digest_files(filetree.scan_flat(spark, directory), "md5"), "digests")
     writers.write_checksums_file(digested.filter("digest IS NOT NULL").select("path", "digest"), directory)
     return digested
 

@@ -13,7 +13,7 @@ from collections.abc import Mapping, Sequence
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from assay.plans.sizing import ONE_TASK_ROWS, broadcast_if_small, oversized_rows
-from assay.session import scratch_dir
+from assay.plans.storing import store
 
 SLICE = "_slice"
 
@@ -37,13 +37,8 @@ def slice_groups(
     spark = df.sparkSession
     width = int(spark.conf.get("spark.sql.shuffle.partitions"))
     parts = max(width, -(-n_rows // rows_per_task))
-    target = scratch_dir(spark, "slices")
-    (
-        df.repartitionByRange(parts, *groups, *order)
-        .withColumn(SLICE, F.spark_partition_id())
-        .write.parquet(target)
-    )
-    return spark.read.parquet(target)
+    sliced = df.repartitionByRange(parts, *groups, *order).withColumn(SLICE, F.spark_partition_id())
+    return store(sliced, "slices")[0]
 
 
 def running(

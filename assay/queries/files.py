@@ -11,6 +11,7 @@ from assay.functions import paths
 from assay.operators import copying, manifests, resume, verify
 from assay.options import JobOptions
 from assay.plans import jobs
+from assay.plans.storing import store
 from assay.queries import fixtures as X
 from assay.queries.registry import Tables, query
 from assay.session import scratch_dir
@@ -129,7 +130,7 @@ def read_ignore_rules(t: Tables):
 def verified_copy(t: Tables):
     place = scratch_dir(t.spark, "copied")
     entries = filetree.scan_tree(t.spark, f"{source_files(t)}/root")
-    outcomes = copying.settle(copying.verified_copy(entries, place, QUICK))
+    outcomes, _ = store(copying.verified_copy(entries, place, QUICK), "outcomes")
     return outcomes.select("path", "digest", "bytes", "attempts", "status")
 
 

@@ -16,13 +16,13 @@ from functools import reduce
 from itertools import islice
 
 import pyarrow as pa
-from pyspark.sql import DataFrame, Observation, SparkSession, functions as F
+from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from assay import schemas
 from assay.functions import paths
 from assay.functions.text import nfc
 from assay.operators import ignore
-from assay.session import scratch_dir
+from assay.plans.storing import store
 from assay.sources import stores
 
 MAX_ROUNDS = 512
@@ -162,24 +162,21 @@ def scan_all(
     junk = {None: None, "basic": paths.is_junk_basic, "extended": paths.is_junk_extended}[skip_junk]
     skips = paths.junk_dir_test(skip_junk) if skip_junk else None
     budget = 0 if respect_ignore_files or keep else WALK_BUDGET
-    out = scratch_dir(spark, "listing")
     directories = spark.createDataFrame([("", root)], "path string, abs_path string")
     rules = spark.createDataFrame([], schemas.RULE)
     n_dirs, rounds = 1, []
     while n_dirs:
         if len(rounds) == MAX_ROUNDS:
             raise RecursionError(f"{MAX_ROUNDS} rounds did not exhaust {root}")
-        place, opened = f"{out}/round-{len(rounds)}", Observation()
         listed = _list_round(directories, n_dirs, budget, skips)
-        listed.observe(opened, F.count_if("open").alias("n")).write.parquet(place)
-        found = spark.read.parquet(place)
-        n_dirs = opened.get["n"]
+        found, seen = store(listed, "listing", n_open=F.count_if("open"))
+        n_dirs = seen["n_open"]
         if junk is not None:
             found = found.filter((F.col("kind") == "gone") | ~junk(paths.path_parts(F.col("path")), F.col("is_dir")))
         if keep is not None:
             found = keep(found)
         if respect_ignore_files:
-            rules = _extend_rules(rules, found, f"{out}/rules-{len(rounds)}")
+            rules = _extend_rules(rules, found)
             found = _drop_ignored(found, rules)
         rounds.append(found)
         directories = found.filter("open").select("path", "abs_path")
@@ -191,13 +188,11 @@ def list_directories(directories: DataFrame) -> DataFrame:
     return _list_round(directories, directories.count()).drop("open")
 
 
-def _extend_rules(rules: DataFrame, found: DataFrame, place: str) -> DataFrame:
+def _extend_rules(rules: DataFrame, found: DataFrame) -> DataFrame:
     """Rules so far plus those of the ignore files in the directories just listed."""
-    spark = found.sparkSession
     files = found.filter("kind = 'file' AND path RLIKE '(^|/)[.]gitignore$'")
     lines = read_ignore_lines(files).filter("error IS NULL")
-    ignore.rules_from_lines(lines).write.parquet(place)
-    return rules.unionByName(spark.read.parquet(place))
+    return rules.unionByName(store(ignore.rules_from_lines(lines), "rules")[0])
 
 
 def _drop_ignored(found: DataFrame, rules: DataFrame) -> DataFrame:
@@ -255,9 +250,7 @@ def scan_flat(spark: SparkSession, directory: str, own_name: str = paths.CHECKSU
     one = spark.createDataFrame([("", directory)], "path string, abs_path string")
     listed = _list_round(one, 1).filter("NOT is_dir AND kind <> 'gone'").drop("open")
     named = listed.withColumn("path", nfc(F.col("path")))
-    place = scratch_dir(spark, "listing")
-    named.filter(~paths.is_own_artifact(F.col("path"), own_name)).write.parquet(place)
-    return spark.read.parquet(place).orderBy("path")
+    return store(named.filter(~paths.is_own_artifact(F.col("path"), own_name)), "listing")[0].orderBy("path")
 
 
 def scan_warnings(entries: DataFrame) -> DataFrame:
@@ -297,13 +290,12 @@ def digest_files(entries: DataFrame, digest: str = "xxh3_128", bytes_per_task: i
 
 
 def spread_by_size(files: DataFrame, bytes_per_task: int = 4 << 30, files_per_task: int = 20_000) -> DataFrame:
-    """Spread files over enough tasks for their volume and number.
+    """Spread files over enough tasks for their volume and number, both counted while the list is stored.
 
     Small files balance by hash; each file above the task volume is its own unit of
     hash, and bounds its task, since one sequential digest cannot be split.
     """
-    spark = files.sparkSession
-    total = files.agg(F.sum("size").alias("b"), F.count("*").alias("n")).first()
-    width = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    wanted = max((total.b or 0) // bytes_per_task, total.n // files_per_task) + 1
-    return files.repartition(max(1, min(max(wanted, width), total.n or 1)), "path")
+    stored, total = store(files, "work", volume=F.sum("size"), n=F.count("*"))
+    width = int(files.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    wanted = max((total["volume"] or 0) // bytes_per_task, total["n"] // files_per_task) + 1
+    return stored.repartition(max(1, min(max(wanted, width), total["n"])), "path")

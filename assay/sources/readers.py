@@ -56,15 +56,8 @@ def read_manifest(
 
 def read_checksums(spark: SparkSession, location: str, mode: str = "FAILFAST") -> DataFrame:
     """``(path, digest)`` of a flat checksums file; any bad line fails it."""
-    return accept_checksums(manifests.parse_checksum_lines(numbered_lines(spark, location)), mode)
-
-
-def accept_checksums(parsed: DataFrame, mode: str = "FAILFAST") -> DataFrame:
-    if mode == "FAILFAST":
-        first = manifests.bad_lines(parsed).orderBy("line_no").head(1)
-        if first:
-            raise ValueError(f"line {first[0].line_no}: {first[0].state}")
-    return parsed.filter("state = 'VALID'").select("path", "digest")
+    parsed = manifests.parse_checksum_lines(numbered_lines(spark, location))
+    return manifests.accept_lines(parsed, mode).select("path", "digest")
 
 
 # Fixed value: the header of a checkpoint file, after the writer's own name.

@@ -16,7 +16,7 @@ def spark(tmp_path_factory):
         app="tests",
         spark__checkpoint__dir=str(tmp_path_factory.mktemp("scratch")),
         spark__ui__showConsoleProgress="false",
-        spark__sql__shuffle__partitions="4",
+        spark__sql__shuffle__partitions="2",
     )
     session.sparkContext.setLogLevel("OFF")
     yield session
