@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window, functions as F
+from collections.abc import Callable
+
+from pyspark.sql import Column, DataFrame, Row, Window, functions as F
 
 from assay.functions import paths
 from assay.functions.digests import DIGESTS, valid_digest
@@ -60,12 +62,14 @@ def duplicate_keys(lines: DataFrame, name: str = "path", order: str = "line_no")
 
 
 def split_lines(lines: DataFrame, line_end: str) -> DataFrame:
-    """``(line_no, value, separated, digest, path)``: only the first double space separates."""
+    """``(line_no, value, valid_utf8, separated, digest, path)``: only the first double space separates."""
     value, at = F.col("value"), F.col("at")
-    cut = lines.select("line_no", F.regexp_replace(value, line_end, "").alias("value"))
+    valid = F.call_function("is_valid_utf8", value).alias("valid_utf8")
+    cut = lines.select("line_no", valid, F.regexp_replace(value, line_end, "").alias("value"))
     return cut.withColumn("at", F.instr(value, "  ")).select(
         "line_no",
         "value",
+        "valid_utf8",
         (at > 0).alias("separated"),
         F.substring(value, F.lit(1), at - 1).alias("digest"),
         F.substring(value, at + 2, F.length(value)).alias("path"),
@@ -75,10 +79,11 @@ def split_lines(lines: DataFrame, line_end: str) -> DataFrame:
 def parse_manifest_lines(lines: DataFrame, digest: str = "xxh3_128") -> DataFrame:
     """Every line of a manifest with its verdict: ``(line_no, state, digest, path)``.
 
-    States: VALID, BLANK, NO_SEPARATOR, BAD_DIGEST, UNSAFE.
+    States: VALID, BLANK, NO_SEPARATOR, BAD_DIGEST, UNSAFE, BAD_ENCODING.
     """
     state = (
-        F.when(F.col("value") == "", "BLANK")
+        F.when(~F.col("valid_utf8"), "BAD_ENCODING")
+        .when(F.col("value") == "", "BLANK")
         .when(~F.col("separated"), "NO_SEPARATOR")
         .when(~valid_digest(F.col("digest"), digest), "BAD_DIGEST")
         .when(paths.is_unsafe_path(F.col("path")), "UNSAFE")
@@ -91,10 +96,23 @@ def parse_checksum_lines(lines: DataFrame) -> DataFrame:
     """As :func:`parse_manifest_lines` for flat checksum files, which are stricter.
 
     States: VALID, SKIPPED (own artifacts, before the duplicate test), NO_SEPARATOR
-    (blank lines too), BAD_DIGEST, EMPTY_NAME, PATH_IN_NAME, DUPLICATE.
+    (blank lines too), BAD_DIGEST, EMPTY_NAME, PATH_IN_NAME, BAD_ENCODING, DUPLICATE.
     """
+    parsed = classify_checksum_lines(lines)
+    valid = parsed.filter("state = 'VALID'")
+    first = valid.groupBy("path").agg(F.min("line_no").alias("first_line"), F.count("*").alias("n"))
+    # Only names that do repeat are looked up; one of them may be on most lines.
+    repeated = first.filter("n > 1").select("path", "first_line", F.lit("VALID").alias("state"))
+    joined = spread_join(parsed, repeated, ["path", "state"], "left")
+    state = F.when(F.col("line_no") > F.col("first_line"), "DUPLICATE").otherwise(F.col("state"))
+    return joined.select("line_no", state.alias("state"), "digest", "path")
+
+
+def classify_checksum_lines(lines: DataFrame) -> DataFrame:
+    """Each line judged by itself; repeated names are still VALID."""
     state = (
-        F.when(~F.col("separated"), "NO_SEPARATOR")
+        F.when(~F.col("valid_utf8"), "BAD_ENCODING")
+        .when(~F.col("separated"), "NO_SEPARATOR")
         .when(~valid_digest(F.col("digest")), "BAD_DIGEST")
         .when(F.col("path") == "", "EMPTY_NAME")
         .when(paths.is_path_like(F.col("path")), "PATH_IN_NAME")
@@ -102,13 +120,19 @@ def parse_checksum_lines(lines: DataFrame) -> DataFrame:
         .otherwise("VALID")
     )
     split = split_lines(lines, "\\r$").withColumn("path", nfc(F.col("path")))
-    parsed = _with_state(split, state)
-    first = parsed.filter("state = 'VALID'").groupBy("path").agg(F.min("line_no").alias("first_line"), F.count("*").alias("n"))
-    # Only names that do repeat are looked up; one of them may be on most lines.
-    repeated = first.filter("n > 1").select("path", "first_line", F.lit("VALID").alias("state"))
-    joined = spread_join(parsed, repeated, ["path", "state"], "left")
-    state = F.when(F.col("line_no") > F.col("first_line"), "DUPLICATE").otherwise(F.col("state"))
-    return joined.select("line_no", state.alias("state"), "digest", "path")
+    return _with_state(split, state)
+
+
+def accept_checksums(lines: DataFrame, mode: str = "FAILFAST") -> DataFrame:
+    """``(path, digest)`` of checksum lines. FAILFAST raises at the first bad or repeated one, PERMISSIVE drops them."""
+    valid = accept_lines(classify_checksum_lines(lines), mode, also_bad=_first_repeat)
+    return valid.groupBy("path").agg(F.min_by("digest", "line_no").alias("digest"))
+
+
+def _first_repeat(parsed: DataFrame) -> Row | None:
+    repeats = duplicate_keys(parsed.filter("state = 'VALID'"))
+    found = repeats.agg(F.min("second_line").alias("line_no")).first()
+    return None if found.line_no is None else Row(line_no=found.line_no, state="DUPLICATE")
 
 
 def _with_state(split: DataFrame, state: Column) -> DataFrame:
@@ -131,13 +155,17 @@ def accept_manifest(parsed: DataFrame, mode: str = "FAILFAST") -> DataFrame:
     return last_wins_by_key(valid)
 
 
-def accept_lines(parsed: DataFrame, mode: str = "FAILFAST") -> DataFrame:
+def accept_lines(
+    parsed: DataFrame, mode: str = "FAILFAST", also_bad: Callable[[DataFrame], Row | None] | None = None
+) -> DataFrame:
     """The valid lines. FAILFAST stores the parsed lines and looks for bad ones in the same pass."""
     if mode == "FAILFAST":
         first_bad = F.min(F.when(_is_bad(), F.struct("line_no", "state")))
         parsed, seen = store(parsed, "lines", first_bad=first_bad)
-        if seen["first_bad"]:
-            raise ValueError(f"line {seen['first_bad'].line_no}: {seen['first_bad'].state}")
+        bad = [row for row in (seen["first_bad"], also_bad and also_bad(parsed)) if row]
+        if bad:
+            worst = min(bad, key=lambda row: row.line_no)
+            raise ValueError(f"line {worst.line_no}: {worst.state}")
     return parsed.filter("state = 'VALID'")
 
 

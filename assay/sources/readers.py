@@ -15,7 +15,7 @@ OFFSET_BYTES = 512
 
 
 def numbered_lines(spark: SparkSession, location: str) -> DataFrame:
-    """``(line_no, value, valid_utf8)`` of a text file, or of a folder of part files in name order.
+    """``(line_no, value)`` of a text file, or of a folder of part files in name order.
 
     The file is split like any other: each split counts its lines, the counts are summed
     in order, and a line's number is its place in its split plus what came before. Only
@@ -34,11 +34,7 @@ def numbered_lines(spark: SparkSession, location: str) -> DataFrame:
     splits = estimated_bytes(lines) // OPEN_COST_BYTES + len(lines.inputFiles())
     small = splits * OFFSET_BYTES <= BROADCAST_LIMIT_BYTES
     joined = lines.join(F.broadcast(offsets) if small else offsets, ["file", "block"])
-    return joined.select(
-        (F.col("offset") + F.col("place") - F.col("first") + 1).alias("line_no"),
-        "value",
-        F.call_function("is_valid_utf8", F.col("value")).alias("valid_utf8"),
-    )
+    return joined.select((F.col("offset") + F.col("place") - F.col("first") + 1).alias("line_no"), "value")
 
 
 def resolve_manifest(target: str, name: str = paths.MANIFEST_NAME) -> str:
@@ -56,8 +52,7 @@ def read_manifest(
 
 def read_checksums(spark: SparkSession, location: str, mode: str = "FAILFAST") -> DataFrame:
     """``(path, digest)`` of a flat checksums file; any bad line fails it."""
-    parsed = manifests.parse_checksum_lines(numbered_lines(spark, location))
-    return manifests.accept_lines(parsed, mode).select("path", "digest")
+    return manifests.accept_checksums(numbered_lines(spark, location), mode)
 
 
 # Fixed value: the header of a checkpoint file, after the writer's own name.

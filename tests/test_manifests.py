@@ -61,6 +61,13 @@ def test_checksums_are_stricter(spark, tmp_path, line, state):
         readers.read_checksums(spark, place)
 
 
+def test_lines_that_are_not_utf8_fail(spark, tmp_path):
+    place = write(tmp_path, f"{A}  ok\n{A}  ".encode() + b"\xff\xfe\n")
+    for read in (readers.read_manifest, readers.read_checksums):
+        with pytest.raises(ValueError, match="line 2: BAD_ENCODING"):
+            read(spark, place)
+
+
 def test_checksums_normalize_names_and_digests(spark, tmp_path):
     place = write(tmp_path, f"{A.upper()}  cafe\u0301\r\n{B}  checksums.txt\n".encode(), "checksums.txt")
     assert as_dict(readers.read_checksums(spark, place)) == {"caf\u00e9": A}
