@@ -9,11 +9,11 @@ from pyspark.sql import Column, functions as F
 
 TEMP_MARKER = ".verify.tmp"
 BACKUP_MARKER = ".verify.old"
+
+# File names of the exchange formats, and names of tool caches and OS litter in lower case.
 MANIFEST_NAME = "manifest.xxh3"
 MANIFEST_README = "manifest.README.txt"
 CHECKSUMS_NAME = "checksums.txt"
-
-# Names of tool caches and OS litter, lower case.
 BASIC_JUNK_DIRS = (
     ".agents", ".claude", ".eggs", ".mplconfig", ".nox", ".tox", ".venv", "__pycache__", "build", "dist",
     "node_modules", "target", "venv",
@@ -28,7 +28,6 @@ EXTENDED_JUNK_DIRS = (
 EXTENDED_JUNK_FILES = (
     ".coverage", ".ds_store", ".eslintcache", ".localized", "desktop.ini", "nuitka-crash-report.xml", "thumbs.db",
 )
-
 _DIR_FAMILIES = r"^[.].*cache$|-venv$|^[.]pytest-tmp|[.]egg-info$|[.]build$|[.]dist$"
 _EXTENDED_DIR_FAMILIES = _DIR_FAMILIES + "|^cmake-build-"
 _EXTENDED_FILE_FAMILIES = r"^[.]coverage[.]|^[.]trashed-|^[.]_|[.]idsig$|[.]pyc$|[.]pyo$"

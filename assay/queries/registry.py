@@ -7,6 +7,8 @@ from dataclasses import dataclass
 
 from pyspark.sql import DataFrame, SparkSession
 
+from assay.plans.shipping import ship_package
+
 
 class Tables:
     """The given tables as attributes, each opened once."""
@@ -26,6 +28,7 @@ class Query:
     sql: str | None
 
     def __call__(self, spark: SparkSession, folder: str) -> DataFrame:
+        ship_package(spark)
         return self.build(Tables(spark, folder))
 
 

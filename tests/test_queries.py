@@ -33,3 +33,23 @@ def test_xxh3_query_matches_the_package(spark):
 
 def test_entry_is_one_summary_row(spark):
     assert entry(spark).count() == 1
+
+
+def test_queries_run_from_any_folder(tmp_path):
+    """Workers get the package even when the session was started elsewhere without it."""
+    import subprocess
+    import sys
+    from pathlib import Path
+
+    root = Path(__file__).resolve().parents[1]
+    script = f"""
+import sys
+sys.path.insert(0, {str(root)!r})
+from pyspark.sql import SparkSession
+spark = (SparkSession.builder.master('local[2]').config('spark.ui.enabled', 'false')
+         .config('spark.checkpoint.dir', 'file://{tmp_path}/scratch').getOrCreate())
+from __spark_entry__ import queries
+print(queries()['parse_ignore_rule'](spark, {FOLDER!r}).count(), queries()['scan_tree'](spark, {FOLDER!r}).count())
+"""
+    done = subprocess.run([sys.executable, "-c", script], cwd=tmp_path, capture_output=True, text=True, timeout=300)
+    assert done.stdout.split() == ["104", "200"], done.stderr[-2000:]
