@@ -63,9 +63,11 @@ def verified_copy(
     def copy_batches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         task = TaskContext.get().taskAttemptId()
         for batch in batches:
-            for file in batch.to_pylist():
-                row = _copy_one(file, f"{root}/{file['path']}", task, digest, unit, options, backup)
-                yield pa.RecordBatch.from_pylist([row], _ARROW_OUTCOME)
+            rows = [
+                _copy_one(file, f"{root}/{file['path']}", task, digest, unit, options, backup)
+                for file in batch.to_pylist()
+            ]
+            yield pa.RecordBatch.from_pylist(rows, _ARROW_OUTCOME)
 
     return spread_by_size(work.select("path", "abs_path", "size")).mapInArrow(copy_batches, COPY_OUTCOME)
 

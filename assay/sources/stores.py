@@ -86,13 +86,13 @@ def open_write(location: str):
 
 def sync(stream) -> None:
     """Push written bytes to the device where the store has such a notion."""
-    if isinstance(stream, io.IOBase):
+    if isinstance(stream, io.FileIO):
         os.fsync(stream.fileno())
 
 
 def drop_cached(stream) -> None:
     """Ask for a read from the device rather than from memory; best effort."""
-    if isinstance(stream, io.IOBase) and hasattr(os, "posix_fadvise"):
+    if isinstance(stream, io.FileIO) and hasattr(os, "posix_fadvise"):
         os.posix_fadvise(stream.fileno(), 0, 0, os.POSIX_FADV_DONTNEED)
 
 

@@ -240,6 +240,25 @@ def test_short_read(tmp_path, monkeypatch):
         stores.digest_file(str(tmp_path / "f"), "md5")
 
 
+def test_other_stores_are_reached_through_arrow(tmp_path, monkeypatch):
+    from pyarrow import fs
+
+    monkeypatch.setattr(stores, "_arrow", lambda uri: (fs.LocalFileSystem(), uri.removeprefix("store://")))
+    root = f"store://{tmp_path}"
+    stores.make_parents(f"{root}/d/x.tmp")
+    with stores.open_write(f"{root}/d/x.tmp") as out:
+        out.write(b"abc")
+        stores.sync(out)
+    stores.move(f"{root}/d/x.tmp", f"{root}/d/x")
+    assert [(c["name"], c["kind"], c["size"]) for c in stores.list_dir(f"{root}/d")] == [("x", "file", 3)]
+    assert [(c["name"], c["kind"]) for c in stores.list_dir(root)] == [("d", "dir")]
+    assert stores.digest_file(f"{root}/d/x", "md5") == "900150983cd24fb0d6963f7d28e17f72"
+    assert stores.is_file(f"{root}/d/x") and not stores.is_file(f"{root}/d")
+    stores.delete(f"{root}/d/x")
+    stores.delete(f"{root}/d/x")
+    assert not stores.exists(f"{root}/d/x")
+
+
 def test_leftovers_of_interrupted_runs(spark, tmp_path):
     names = ["a", "a.verify.tmp", "d/b.verify.tmp.12", "d/c.verify.tmp.x", "a.verify.old.1", "gone.verify.old.1", "gone.verify.old.2"]
     for name in names:
