@@ -55,49 +55,53 @@ def verified_copy(
     Each file is written under a temporary name while being digested, synced, read back
     and digested again, and renamed last. Temporary names carry the task attempt, so a
     rerun or speculative task cannot collide, and a repeated copy ends in the same file.
+    After a device failure a task leaves the rest of its files alone (``STOPPED``).
     The copying happens when the outcome is read: write it out first, then use that.
     """
     root = destination.rstrip("/")
-    digest, unit = options.digest, options.backoff_unit_secs
 
     def copy_batches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        task = TaskContext.get().taskAttemptId()
+        share = _Share(root, TaskContext.get().taskAttemptId(), options, backup)
         for batch in batches:
-            rows = [
-                _copy_one(file, f"{root}/{file['path']}", task, digest, unit, options, backup)
-                for file in batch.to_pylist()
-            ]
-            yield pa.RecordBatch.from_pylist(rows, _ARROW_OUTCOME)
+            yield pa.RecordBatch.from_pylist([share.copy(file) for file in batch.to_pylist()], _ARROW_OUTCOME)
 
     return spread_by_size(work.select("path", "abs_path", "size")).mapInArrow(copy_batches, COPY_OUTCOME)
 
 
-def _copy_one(file: dict, target: str, task: int, digest: str, unit: float, options: JobOptions, backup: bool) -> dict:
-    attempt = 0
-    while True:
-        attempt += 1
-        temporary = f"{target}{paths.TEMP_MARKER}.{task}{attempt:03d}"
-        try:
-            value, size, times_kept = _attempt(file["abs_path"], target, temporary, digest, backup)
-        except AttemptFailed as failure:
-            stores.delete(temporary)
-            cls = failure.error_class
-            ceiling = options.attempt_ceiling if cls == TRANSIENT and options.unlimited_retries else options.max_retries
-            if cls != DEVICE and attempt < ceiling:
-                time.sleep(unit * (1 << min(attempt - 1, 5)))
-                continue
-            exhausted = cls != DEVICE
-            return {
-                "path": file["path"], "digest": None, "bytes": file["size"], "attempts": attempt, "status": "FAILED",
-                "error_kind": "RetriesExhausted" if exhausted else failure.kind, "io_kind": failure.io_kind,
-                "error_class": FILE if exhausted else cls, "reason": str(failure), "times_kept": None,
-                "finished_ms": _now_ms(),
-            }
-        return {
-            "path": file["path"], "digest": value, "bytes": size, "attempts": attempt, "status": "COPIED",
-            "error_kind": None, "io_kind": None, "error_class": None, "reason": None, "times_kept": times_kept,
-            "finished_ms": _now_ms(),
-        }
+class _Share:
+    """The files of one task."""
+
+    def __init__(self, root: str, task: int, options: JobOptions, backup: bool):
+        self.root, self.task, self.options, self.backup = root, task, options, backup
+        self.device_failed = False
+
+    def copy(self, file: dict) -> dict:
+        row = dict.fromkeys(COPY_OUTCOME.names) | {"path": file["path"], "bytes": file["size"], "attempts": 0}
+        if self.device_failed:
+            return row | {"status": "STOPPED", "finished_ms": _now_ms()}
+        return row | self._try(file["abs_path"], f"{self.root}/{file['path']}") | {"finished_ms": _now_ms()}
+
+    def _try(self, source: str, target: str) -> dict:
+        options, attempt = self.options, 0
+        while True:
+            attempt += 1
+            temporary = f"{target}{paths.TEMP_MARKER}.{self.task}{attempt:03d}"
+            try:
+                digest, size, times_kept = _attempt(source, target, temporary, options.digest, self.backup)
+            except AttemptFailed as failure:
+                stores.delete(temporary)
+                cls = failure.error_class
+                unlimited = cls == TRANSIENT and options.unlimited_retries
+                if cls != DEVICE and attempt < (options.attempt_ceiling if unlimited else options.max_retries):
+                    time.sleep(options.backoff_unit_secs * (1 << min(attempt - 1, 5)))
+                    continue
+                self.device_failed = cls == DEVICE
+                # Retries used up replace the error itself, and concern the file only.
+                kind, cls = (failure.kind, DEVICE) if self.device_failed else ("RetriesExhausted", FILE)
+                failed = {"status": "FAILED", "attempts": attempt, "error_kind": kind, "error_class": cls}
+                return failed | {"io_kind": failure.io_kind, "reason": str(failure)}
+            copied = {"status": "COPIED", "attempts": attempt, "digest": digest, "bytes": size}
+            return copied | {"times_kept": times_kept}
 
 
 def _now_ms() -> int:

@@ -187,7 +187,7 @@ def first_problem(results: DataFrame, order: str = "path") -> DataFrame:
 def copy_summary(outcomes: DataFrame) -> DataFrame:
     """Copied and failed counts; the failed paths themselves are :func:`failed_paths`."""
     return outcomes.agg(
-        F.count_if(F.col("status") != "FAILED").alias("copied"),
+        F.count_if(F.col("status").isin("COPIED", "SKIPPED")).alias("copied"),
         F.count_if(F.col("status") == "FAILED").alias("failed"),
     )
 

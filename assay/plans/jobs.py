@@ -69,7 +69,7 @@ def copy_tree(
         _stop_if_broken(done, options)
 
     failures = done.filter("status = 'FAILED'")
-    manifest = done.filter("status <> 'FAILED'").select("path", "digest")
+    manifest = done.filter("digest IS NOT NULL").select("path", "digest")
     guards.require_non_empty(manifest, "file copied")
     result = _read_back(spark, manifest, destination, options.digest)
     verification = verify.final_reverify(manifest, result, unique=True)
@@ -154,7 +154,8 @@ def _set_aside(failures: DataFrame, destination: str) -> None:
 def _stop_if_broken(done: DataFrame, options: JobOptions) -> None:
     if done.filter("status = 'FAILED'").isEmpty():
         return
-    status = F.when(F.col("status") == "FAILED", "FAIL").when(F.col("status") == "SKIPPED", "SKIP").otherwise("OK")
+    neutral = F.col("status").isin("SKIPPED", "STOPPED")
+    status = F.when(F.col("status") == "FAILED", "FAIL").when(neutral, "SKIP").otherwise("OK")
     log = done.select(F.lit(0).alias("run_id"), F.split("path", "/").alias("parts"), status.alias("status"), "error_class")
     stops = runs.failure_circuit_breaker(log, order=["parts"], limit=options.failure_limit)
     at = stops.first()["stop_position"]

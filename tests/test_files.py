@@ -214,6 +214,22 @@ def test_a_blocked_destination_is_retried_and_leaves_no_temporary_file(spark, tm
     assert os.listdir(tmp_path / "out") == ["f"]
 
 
+def test_a_device_failure_ends_the_share_of_its_task(tmp_path, monkeypatch):
+    import errno
+
+    tried = []
+
+    def full(source, *_):
+        tried.append(source)
+        raise copying.AttemptFailed("DestinationWrite", OSError(errno.ENOSPC, "full"))
+
+    monkeypatch.setattr(copying, "_attempt", full)
+    share = copying._Share(str(tmp_path), 1, QUICK, False)
+    rows = [share.copy({"path": p, "abs_path": p, "size": 1}) for p in "abc"]
+    assert [row["status"] for row in rows] == ["FAILED", "STOPPED", "STOPPED"] and tried == ["a"]
+    assert (rows[0]["error_class"], rows[0]["io_kind"], rows[0]["attempts"]) == ("DEVICE", "StorageFull", 1)
+
+
 def test_damage_while_writing_is_noticed(tmp_path, monkeypatch):
     (tmp_path / "f").write_text("f")
     monkeypatch.setattr(stores, "digest_file", lambda location, digest: "0" * 32)
