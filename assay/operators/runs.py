@@ -203,7 +203,15 @@ def log_tail(
     """The newest ``keep`` lines of each job, numbered from the newest.
 
     Spark applies the rank limit before the shuffle too, so a task sends at most
-    ``keep`` rows per job, whatever a job's share of the log.
+    ``keep`` rows per job, whatever a job's share of the log. It does so up to a
+    threshold; longer tails count positions from the front instead.
     """
+    threshold = int(logs.sparkSession.conf.get("spark.sql.optimizer.windowGroupLimitThreshold", "1000"))
+    if keep > threshold:
+        sizes = logs.groupBy(job).agg(F.count("*").alias("_n"))
+        placed = spread_join(number_rows(logs, [job], order, "_position"), sizes, [job])
+        placed = placed.withColumn("age", F.col("_n") - F.col("_position") + 1).drop("_n", "_position")
+        return placed.filter(F.col("age") <= keep)
     newest = Window.partitionBy(job).orderBy(*[F.desc(column) for column in order])
-    return logs.withColumn("age", F.row_number().over(newest)).filter(F.col("age") <= keep)
+    kept = logs.withColumn("age", F.row_number().over(newest)).filter(F.col("age") <= keep)
+    return kept.withColumn("age", F.col("age").cast("bigint"))

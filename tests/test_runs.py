@@ -98,10 +98,15 @@ def test_counters(spark, rows_per_task):
     assert {row.total for row in rows} == {500}
 
 
-def test_log_tail_keeps_the_newest(spark):
+@pytest.mark.parametrize("threshold", ["1000", "2"])
+def test_log_tail_keeps_the_newest(spark, threshold):
     logs = spark.range(100).select((F.col("id") % 2).alias("job_id"), F.col("id").alias("seq"))
-    kept = runs.log_tail(logs, 3).collect()
-    assert sorted(row.seq for row in kept) == [94, 95, 96, 97, 98, 99]
+    spark.conf.set("spark.sql.optimizer.windowGroupLimitThreshold", threshold)
+    try:
+        kept = runs.log_tail(logs, 3).collect()
+    finally:
+        spark.conf.unset("spark.sql.optimizer.windowGroupLimitThreshold")
+    assert sorted((row.seq, row.age) for row in kept) == [(94, 3), (95, 3), (96, 2), (97, 2), (98, 1), (99, 1)]
 
 
 def test_cooldown_clears_the_current_file(spark):
