@@ -43,7 +43,7 @@ def scratch_dir(spark: SparkSession, label: str) -> str:
     Only a local-mode session may fall back to the machine's temporary folder: on a
     cluster the executors would not see it.
     """
-    root = spark.conf.get("spark.checkpoint.dir", None)
+    root = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
     if not root:
         if not spark.conf.get("spark.master", "").startswith("local"):
             raise ValueError("set spark.checkpoint.dir to a folder every executor can reach")
