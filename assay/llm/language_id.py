@@ -47,10 +47,10 @@ def letters(text: str | Column) -> Column:
     return F.when(column.rlike(r"\p{L}"), words).otherwise("")
 
 
-def gram_buckets(texts) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+def gram_buckets(texts, orders=range(1, ORDERS + 1), bits: int = BUCKET_BITS) -> Iterator[tuple[np.ndarray, np.ndarray]]:
     """(number of the text, bucket) of every n-gram, a piece and an order at a time."""
-    shift = np.uint32(32 - BUCKET_BITS)
-    for pieces in in_pieces(texts, PIECE, ORDERS - 1):
+    shift = np.uint32(32 - bits)
+    for pieces in in_pieces(texts, PIECE, orders[-1] - 1):
         codes = np.frombuffer((" " + " ".join(p for _, p, _ in pieces) + " ").encode("utf-32-le"), np.uint32)
         owner = np.repeat([n for n, _, _ in pieces], [len(p) + 1 for _, p, _ in pieces]).astype(np.int32)
         owner = np.concatenate([np.array([-1], np.int32), owner])
@@ -61,7 +61,7 @@ def gram_buckets(texts) -> Iterator[tuple[np.ndarray, np.ndarray]]:
         letter = codes != _SPACE
         spread = codes * np.uint32(2654435761) + np.uint32(12345)
         rolled, inner = np.zeros(len(codes), np.uint32), np.ones(len(codes), bool)
-        for order in range(1, ORDERS + 1):
+        for order in range(1, orders[-1] + 1):
             # characters i-order+1 .. i; those between the first and the last are letters
             rolled = rolled[1:] if order > 1 else rolled
             rolled = (rolled ^ spread[: len(rolled)]) * np.uint32(0x9E3779B1) + np.uint32(order)
@@ -70,6 +70,8 @@ def gram_buckets(texts) -> Iterator[tuple[np.ndarray, np.ndarray]]:
                 inner = inner[1:] & letter[1 : 1 + len(rolled)]
             elif order == 2:
                 inner = inner[1:]
+            if order < orders[0]:
+                continue
             good = inner & (owner[order - 1 :] >= 0) & ((first | last) if order > 1 else first)
             mixed = rolled[good]
             yield owner[order - 1 :][good], ((mixed ^ (mixed >> np.uint32(15))) * np.uint32(0x85EBCA6B)) >> shift

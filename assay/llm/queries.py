@@ -5,7 +5,18 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from assay.llm import language_id, simhash, token_counts
+from assay.llm import (
+    byte_bpe,
+    decontamination,
+    embedding_dedup,
+    language_id,
+    licences,
+    quality,
+    simhash,
+    substring_dedup,
+    token_counts,
+    toxicity,
+)
 from assay.llm.common import held_out
 from assay.plans.shipping import ship_package
 
@@ -48,3 +59,51 @@ def op2_token_counts(spark, folder):
 @query
 def op6_simhash_near_dedup(spark, folder):
     return simhash.near_duplicates(table(spark, folder, "documents"))
+
+
+@query
+def op4_byte_bpe(spark, folder):
+    ranks = tokenizer("byte_bpe_multi_50k.tiktoken")
+    ids = byte_bpe.encode(table(spark, folder, "documents").select("doc_id", "text"), ranks).drop("text")
+    return ids.select(
+        "doc_id",
+        F.size("ids").cast("long").alias("n_tokens"),
+        F.sha2(F.array_join(F.col("ids").cast("array<string>"), ",").cast("binary"), 256).alias("ids_sha256"),
+        F.sha2(byte_bpe.decoded(ids, ranks), 256).alias("decoded_sha256"),
+    )
+
+
+@query
+def op7_embedding_near_dedup(spark, folder):
+    return embedding_dedup.near_duplicates(table(spark, folder, "embeddings"))
+
+
+@query
+def op9_toxicity(spark, folder):
+    docs, labels = table(spark, folder, "documents"), table(spark, folder, "labels")
+    model = toxicity.train(docs, labels.filter(~held_out()))
+    return toxicity.score(docs.select("doc_id", held_out().alias("held_out"), "text"), model).drop("text")
+
+
+@query
+def op10_licence_scan(spark, folder):
+    return licences.scan(table(spark, folder, "documents"), licences.known_licences(spark))
+
+
+SQL["op10_licence_scan"] = licences.scan_sql()
+
+
+@query
+def op5_substring_dedup(spark, folder):
+    return substring_dedup.repeated_passages(table(spark, folder, "documents"))
+
+
+@query
+def op8_benchmark_decontamination(spark, folder):
+    return decontamination.contaminated(table(spark, folder, "documents"), table(spark, folder, "benchmark"))
+
+
+@query
+def op3_quality(spark, folder):
+    docs, labels = table(spark, folder, "documents"), table(spark, folder, "labels")
+    return quality.classify(docs, labels.filter("quality = 1"))
