@@ -1,9 +1,9 @@
 """Byte-level BPE encoding and decoding by a file of ranks, as recursive DuckDB queries per batch.
 
 The JVM splits texts into words by the vocabulary's pattern. In a task a batch's distinct
-words become rows (word, position, token), one per byte. A recursive query joins
-neighbouring rows with the merge table and contracts the leftmost pair of lowest rank of
-every word, until no word has a pair left. Decoding joins the tokens with the vocabulary
+words start as their bytes. A round of a recursive query turns each word into rows (word,
+position, token, next token), joins them with the merge table and contracts the word's
+leftmost pair of lowest rank; words that have no pair left are done. Decoding joins the tokens with the vocabulary
 and puts their bytes together by an aggregation ordered by position.
 
 Cases: NULL counts as the empty text: no tokens, decoded to no bytes. Repeated rows are
@@ -28,24 +28,26 @@ from pyspark.sql import functions as F
 from assay.llm.token_counts import merges_left, words
 
 LONG_WORD = 256
-WORDS_AT_ONCE = 100_000
-TOKENS_AT_ONCE = 2_000_000
-REMEMBERED = 200_000
+WORDS_AT_ONCE = 20_000
+TOKENS_AT_ONCE = 250_000
+REMEMBERED = 300_000
 
 ENCODE = """
-WITH RECURSIVE parts(word, pos, token, done) AS (
-    SELECT word, pos, token, false FROM start
+WITH RECURSIVE parts(word, tokens, done) AS (
+    SELECT word, tokens, false FROM start
   UNION ALL
-    SELECT word, pos, CASE WHEN pos = best % 4294967296 THEN CAST(best // 4294967296 AS INTEGER) ELSE token END, best IS NULL
+    SELECT word, CASE WHEN best IS NULL THEN tokens ELSE
+        tokens[:(best % 4294967296) - 1] || [CAST(best // 4294967296 AS INTEGER)] || tokens[(best % 4294967296) + 2:] END, best IS NULL
     FROM (
-        SELECT word, pos, token, before, min(CAST(merged AS BIGINT) * 4294967296 + pos) OVER (PARTITION BY word) AS best
+        SELECT word, any_value(tokens) AS tokens, min(merged * 4294967296 + pos) AS best
         FROM (
-            SELECT word, pos, token, lead(token) OVER side AS right_token, lag(pos) OVER side AS before
-            FROM parts WHERE NOT done WINDOW side AS (PARTITION BY word ORDER BY pos)
-        ) LEFT JOIN merges ON token = left_token AND right_token = merges.right_part
-    ) WHERE best IS NULL OR before IS DISTINCT FROM best % 4294967296
+            SELECT word, tokens, unnest(tokens[:-2]) AS token, unnest(tokens[2:]) AS right_token, unnest(range(1, len(tokens))) AS pos
+            FROM parts WHERE NOT done AND len(tokens) > 1
+        ) LEFT JOIN merges ON pair = CAST(token AS BIGINT) * 4294967296 + right_token
+        GROUP BY word
+    )
 )
-SELECT word, token FROM parts WHERE done ORDER BY word, pos
+SELECT word, tokens FROM parts WHERE done OR len(tokens) = 1
 """
 DECODE = """
 SELECT tokens.text AS text, unhex(string_agg(piece, '' ORDER BY pos)) AS bytes
@@ -60,12 +62,12 @@ class Codec:
         lines = [line.split() for line in ranks.splitlines() if line]
         self.ids = {base64.b64decode(token): int(rank) for token, rank in lines}
         self.byte_ids = np.array([self.ids[bytes([b])] for b in range(256)], np.int32)
-        self.known: dict[str, np.ndarray] = {}
+        self.known: dict[str, bytes] = {}
         self._pairs = None
-        self.db = duckdb.connect(config={"threads": 1, "memory_limit": "400MB"})
-        left, right, merged = zip(*self._splits(), strict=True)
+        self.db = duckdb.connect(config={"threads": 1, "memory_limit": "200MB"})
+        left, right, merged = (np.array(v, np.int64) for v in zip(*self._splits(), strict=True))
         tables = {
-            "merges": {"left_token": pa.array(left, pa.int32()), "right_part": pa.array(right, pa.int32()), "merged": pa.array(merged, pa.int32())},
+            "merges": {"pair": left * 2**32 + right, "merged": merged},
             "vocabulary": {"token": pa.array(list(self.ids.values()), pa.int32()), "piece": [t.hex() for t in self.ids]},
         }
         for name, columns in tables.items():
@@ -83,31 +85,33 @@ class Codec:
             self._pairs = {(a, b): (rank, rank) for a, b, rank in self._splits()}
         return merges_left([int(self.byte_ids[b]) for b in word.encode()], self._pairs)
 
-    def _contracted(self, new: list[str]) -> list[np.ndarray]:
+    def _contracted(self, new: list[str]) -> list[bytes]:
         raw = [w.encode() for w in new]
-        sizes = np.array([len(r) for r in raw])
-        word = np.repeat(np.arange(len(raw), dtype=np.int32), sizes)
-        pos = np.arange(len(word)) - np.repeat(np.cumsum(sizes) - sizes, sizes)
-        token = self.byte_ids[np.frombuffer(b"".join(raw), np.uint8)]
-        self.db.register("start", pa.table({"word": word, "pos": pos, "token": token}))
-        found = self.db.execute(ENCODE).fetchnumpy()
-        cuts = np.searchsorted(found["word"], np.arange(1, len(raw)))
-        return np.split(np.asarray(found["token"], np.int32), cuts)
-
-    def encode(self, distinct: list[str]) -> list[np.ndarray]:
-        """Token ids of each of the distinct words."""
+        ends = np.cumsum([0, *map(len, raw)])
+        tokens = pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(self.byte_ids[np.frombuffer(b"".join(raw), np.uint8)]))
+        self.db.register("start", pa.table({"word": np.arange(len(raw), dtype=np.int32), "tokens": tokens}))
+        found = self.db.sql(ENCODE).to_arrow_table().combine_chunks()
+        lists = found["tokens"].combine_chunks()
+        flat, ends = lists.flatten().to_numpy().tobytes(), np.concatenate([[0], np.cumsum(pc.list_value_length(lists).to_numpy())]) * 4
+        out = [b""] * len(raw)
+        for word, begin, end in zip(found["word"].to_pylist(), ends[:-1].tolist(), ends[1:].tolist(), strict=True):
+            out[word] = flat[begin:end]
+        return out
+
+    def encode(self, distinct: list[str], often: np.ndarray) -> list[bytes]:
+        """Token ids, as 32-bit numbers, of each of the distinct words; those met ``often`` are remembered."""
         new = [w for w in distinct if w not in self.known]
-        found = {w: np.array(self._long(w), np.int32) for w in new if len(w.encode()) > LONG_WORD}
+        found = {w: np.array(self._long(w), np.int32).tobytes() for w in new if len(w.encode()) > LONG_WORD}
         short = [w for w in new if w not in found]
         for start in range(0, len(short), WORDS_AT_ONCE):
             part = short[start : start + WORDS_AT_ONCE]
             found.update(zip(part, self._contracted(part), strict=True))
-        out = [found[w] if w in found else self.known[w] for w in distinct]
-        if len(self.known) + len(new) > REMEMBERED:
-            self.known = {}
-        room = REMEMBERED - len(self.known)
-        for w in [w for w in short if len(w) <= 32][:room]:
-            self.known[w] = found[w].copy()
+        known = self.known
+        out = [found[w] if w in found else known[w] for w in distinct]
+        again = [w for w, n in zip(distinct, often.tolist(), strict=True) if n and len(w) <= 32 and w not in known]
+        if len(known) + len(again) > REMEMBERED:
+            known.clear()
+        known.update((w, found[w]) for w in again[:REMEMBERED] if w in found)
         return out
 
     def decode(self, text: np.ndarray, pos: np.ndarray, token: np.ndarray):
@@ -135,15 +139,15 @@ def encode(docs: DataFrame, ranks_path: str, text: str = "text", ids: str = "ids
         codec = _codec(shared.value)
         for lists in batches:
             coded = lists.flatten().dictionary_encode()
-            tokens = codec.encode(coded.dictionary.to_pylist())
-            sizes = np.array([len(t) for t in tokens], np.int64)
-            starts, flat = np.cumsum(sizes) - sizes, np.concatenate([*tokens, np.zeros(0, np.int32)])
-            used = coded.indices.to_numpy()
-            each = sizes[used]
-            ends = np.concatenate([[0], np.cumsum(each)])
-            at = np.repeat(starts[used] - ends[:-1], each) + np.arange(ends[-1])
-            bounds = np.concatenate([[0], np.cumsum(pc.list_value_length(lists).to_numpy())])
-            yield pa.ListArray.from_arrays(pa.array(ends[bounds], pa.int32()), pa.array(flat[at], pa.int32()))
+            used, sizes = coded.indices.to_numpy(), pc.list_value_length(lists).to_numpy()
+            met = np.bincount(used, minlength=len(coded.dictionary))
+            tokens = codec.encode(coded.dictionary.to_pylist(), met > 1)
+            each = np.array([len(t) for t in tokens], np.int32) // 4
+            ends = np.concatenate([[0], np.cumsum(sizes)])
+            flat = pa.py_buffer(b"".join([tokens[i] for i in used.tolist()]))
+            bounds = np.concatenate([[0], np.cumsum(each[used], dtype=np.int64)])[ends]
+            ids = pa.Array.from_buffers(pa.int32(), int(bounds[-1]), [None, flat])
+            yield pa.ListArray.from_arrays(pa.array(bounds, pa.int32()), ids)
 
     return docs.select(*[c for c in docs.columns if c.lower() != ids.lower()], encoded(words(text)).alias(ids))
 

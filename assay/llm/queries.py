@@ -68,7 +68,7 @@ def op4_byte_bpe(spark, folder):
     return ids.select(
         "doc_id",
         F.size("ids").cast("long").alias("n_tokens"),
-        F.sha2(F.array_join(F.col("ids").cast("array<string>"), ",").cast("binary"), 256).alias("ids_sha256"),
+        F.sha2(F.btrim(F.to_json("ids"), F.lit("[]")).cast("binary"), 256).alias("ids_sha256"),
         F.sha2(byte_bpe.decoded(ids, ranks), 256).alias("decoded_sha256"),
     )
 
