@@ -30,7 +30,8 @@ from assay.llm.token_counts import merges_left, words
 LONG_WORD = 256
 WORDS_AT_ONCE = 20_000
 TOKENS_AT_ONCE = 250_000
-REMEMBERED = 300_000
+WORDS_PER_PART = 500_000
+REMEMBERED = 250_000
 
 ENCODE = """
 WITH RECURSIVE parts(word, tokens, done) AS (
@@ -64,7 +65,7 @@ class Codec:
         self.byte_ids = np.array([self.ids[bytes([b])] for b in range(256)], np.int32)
         self.known: dict[str, bytes] = {}
         self._pairs = None
-        self.db = duckdb.connect(config={"threads": 1, "memory_limit": "200MB"})
+        self.db = duckdb.connect(config={"threads": 1, "memory_limit": "150MB"})
         left, right, merged = (np.array(v, np.int64) for v in zip(*self._splits(), strict=True))
         tables = {
             "merges": {"pair": left * 2**32 + right, "merged": merged},
@@ -114,7 +115,7 @@ class Codec:
         known.update((w, found[w]) for w in again[:REMEMBERED] if w in found)
         return out
 
-    def decode(self, text: np.ndarray, pos: np.ndarray, token: np.ndarray):
+    def decode(self, text: np.ndarray, pos: np.ndarray, token: pa.Array) -> pa.Table:
         """(text, its bytes) of rows (text, position, token)."""
         self.db.register("tokens", pa.table({"text": text, "pos": pos, "token": token}))
         return self.db.sql(DECODE).to_arrow_table()
@@ -130,26 +131,66 @@ def _ranks(path: str) -> bytes:
         return file.read()
 
 
-def encode(docs: DataFrame, ranks_path: str, text: str = "text", ids: str = "ids") -> DataFrame:
-    """``docs`` with the token ids of each text. The rank file, of fixed size, is read by the driver and broadcast."""
+def _parts(lists: pa.Array, most: int) -> Iterator[pa.Array]:
+    """Slices of ``lists`` with about ``most`` values, one row at least."""
+    ends = np.cumsum(pc.fill_null(pc.list_value_length(lists), 0).to_numpy(), dtype=np.int64)
+    first = 0
+    while first < len(lists):
+        begun = ends[first - 1] if first else 0
+        last = max(first + 1, int(np.searchsorted(ends, begun + most, side="right")))
+        yield lists.slice(first, last - first)
+        first = last
+
+
+def _encoded(codec: Codec, lists: pa.Array) -> pa.Array:
+    """Token ids of rows of words."""
+    coded = lists.flatten().dictionary_encode()
+    used, sizes = coded.indices.to_numpy(), pc.list_value_length(lists).to_numpy()
+    met = np.bincount(used, minlength=len(coded.dictionary))
+    tokens = codec.encode(coded.dictionary.to_pylist(), met > 1)
+    each = np.array([len(t) for t in tokens], np.int32) // 4
+    ends = np.concatenate([[0], np.cumsum(sizes)])
+    flat = pa.py_buffer(b"".join([tokens[i] for i in used.tolist()]))
+    bounds = np.concatenate([[0], np.cumsum(each[used], dtype=np.int64)])[ends]
+    return pa.ListArray.from_arrays(pa.array(bounds, pa.int32()), pa.Array.from_buffers(pa.int32(), int(bounds[-1]), [None, flat]))
+
+
+def _decoded(codec: Codec, lists: pa.Array) -> pa.Array:
+    """The bytes of rows of token ids."""
+    out = [b""] * len(lists)
+    first = 0
+    for part in _parts(lists, TOKENS_AT_ONCE):
+        sizes = pc.fill_null(pc.list_value_length(part), 0).to_numpy()
+        text = np.repeat(np.arange(first, first + len(part)), sizes)
+        pos = np.arange(len(text)) - np.repeat(np.cumsum(sizes) - sizes, sizes)
+        got = codec.decode(text, pos, part.flatten())
+        for i, value in zip(got["text"].to_pylist(), got["bytes"].to_pylist(), strict=True):
+            out[i] = value
+        first += len(part)
+    return pa.array(out, pa.binary())
+
+
+def encode(docs: DataFrame, ranks_path: str, text: str = "text", ids: str = "ids", decoded_as: str | None = None) -> DataFrame:
+    """``docs`` with the token ids of each text and, if a name is given, the bytes that the ids decode to.
+
+    The rank file, of fixed size, is read by the driver and broadcast.
+    """
     shared = docs.sparkSession.sparkContext.broadcast(_ranks(ranks_path))
 
-    @F.arrow_udf("array<int>")
+    @F.arrow_udf("struct<ids:array<int>,bytes:binary>")
     def encoded(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
         codec = _codec(shared.value)
         for lists in batches:
-            coded = lists.flatten().dictionary_encode()
-            used, sizes = coded.indices.to_numpy(), pc.list_value_length(lists).to_numpy()
-            met = np.bincount(used, minlength=len(coded.dictionary))
-            tokens = codec.encode(coded.dictionary.to_pylist(), met > 1)
-            each = np.array([len(t) for t in tokens], np.int32) // 4
-            ends = np.concatenate([[0], np.cumsum(sizes)])
-            flat = pa.py_buffer(b"".join([tokens[i] for i in used.tolist()]))
-            bounds = np.concatenate([[0], np.cumsum(each[used], dtype=np.int64)])[ends]
-            ids = pa.Array.from_buffers(pa.int32(), int(bounds[-1]), [None, flat])
-            yield pa.ListArray.from_arrays(pa.array(bounds, pa.int32()), ids)
+            found = [_encoded(codec, part) for part in _parts(lists, WORDS_PER_PART)]
+            back = [_decoded(codec, part) if decoded_as else pa.nulls(len(part), pa.binary()) for part in found]
+            tokens = pa.concat_arrays(found) if found else pa.array([], pa.list_(pa.int32()))
+            yield pa.StructArray.from_arrays([tokens, pa.concat_arrays(back) if back else pa.array([], pa.binary())], ["ids", "bytes"])
 
-    return docs.select(*[c for c in docs.columns if c.lower() != ids.lower()], encoded(words(text)).alias(ids))
+    new = {ids.lower()} | ({decoded_as.lower()} if decoded_as else set())
+    columns = [c for c in docs.columns if c.lower() not in new]
+    done = docs.select(*columns, encoded(words(text)).alias("_encoded"))
+    extra = [F.col("_encoded.bytes").alias(decoded_as)] if decoded_as else []
+    return done.select(*columns, F.col("_encoded.ids").alias(ids), *extra)
 
 
 def decoded(docs: DataFrame, ranks_path: str, ids: str | Column = "ids") -> Column:
@@ -160,21 +201,6 @@ def decoded(docs: DataFrame, ranks_path: str, ids: str | Column = "ids") -> Colu
     def joined(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
         codec = _codec(shared.value)
         for lists in batches:
-            sizes = pc.fill_null(pc.list_value_length(lists), 0).to_numpy()
-            tokens, ends, out = lists.flatten().to_numpy(), np.cumsum(sizes), []
-            first = 0
-            while first < len(sizes):  # some texts at a time, one at least
-                begin = ends[first] - sizes[first]
-                last = max(first + 1, int(np.searchsorted(ends, begin + TOKENS_AT_ONCE, side="right")))
-                part = sizes[first:last]
-                text = np.repeat(np.arange(len(part)), part)
-                pos = np.arange(len(text)) - np.repeat(np.cumsum(part) - part, part)
-                got = codec.decode(text, pos, tokens[begin : ends[last - 1]])
-                texts = [b""] * len(part)
-                for i, value in zip(got["text"].to_pylist(), got["bytes"].to_pylist(), strict=True):
-                    texts[i] = value
-                out += texts
-                first = last
-            yield pa.array(out, pa.binary())
+            yield _decoded(codec, lists)
 
     return joined(ids)
