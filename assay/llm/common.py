@@ -24,6 +24,13 @@ def use_checkpoints(spark: SparkSession) -> None:
         spark.sparkContext.setCheckpointDir(spark.conf.get("spark.checkpoint.dir", None) or scratch_dir(spark, "llm"))
 
 
+def bounded_batches(spark: SparkSession, rows: int = 2000, size: str = "16m") -> None:
+    """Smaller Arrow batches: with thousands of texts in a batch the defaults fill a Python worker."""
+    if int(spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch", "10000")) > rows:
+        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(rows))
+        spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", size)
+
+
 def in_pieces(texts: Iterable[str], size: int, overlap: int = 0) -> Iterator[list[tuple[int, str, int]]]:
     """Lists of (number of the text, piece, leading characters that are context only).
 

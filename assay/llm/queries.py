@@ -17,7 +17,7 @@ from assay.llm import (
     token_counts,
     toxicity,
 )
-from assay.llm.common import held_out
+from assay.llm.common import bounded_batches, held_out
 from assay.plans.shipping import ship_package
 
 QUERIES = {}
@@ -27,6 +27,7 @@ SQL: dict[str, str] = {}
 def query(build):
     def run(spark: SparkSession, folder: str) -> DataFrame:
         ship_package(spark)
+        bounded_batches(spark)
         return build(spark, folder)
 
     QUERIES[build.__name__] = run
