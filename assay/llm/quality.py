@@ -31,7 +31,7 @@ from assay.llm.common import in_pieces
 from assay.plans.storing import store
 
 ORDER = 4
-PIECE = 1 << 20
+PIECE = 1 << 21
 SHARD = 1_000_000
 GROUP_BYTES = 32 << 20
 QUANTILE, SLACK = 0.99, 1.25
@@ -134,14 +134,21 @@ def _shard(shards: int):
     return add
 
 
-def _planes(values: np.ndarray, kind) -> bytes:
-    """Numbers with all their first bytes together, then all second bytes, which compresses well."""
-    return values.astype(kind).view(np.uint8).reshape(len(values), -1).T.tobytes()
+_ZSTD = pa.Codec("zstd", 1)
 
 
-def _numbers(planes: bytes, kind) -> np.ndarray:
-    width = np.dtype(kind).itemsize
-    return np.ascontiguousarray(np.frombuffer(planes, np.uint8).reshape(width, -1).T).view(kind)[:, 0] if planes else np.zeros(0, kind)
+def _packed(values: np.ndarray, kind) -> bytes:
+    """Numbers with all their first bytes together, then all second bytes, compressed; small numbers cost little."""
+    planes = np.ascontiguousarray(values.astype(kind)).view(np.uint8).reshape(len(values), -1).T.tobytes()
+    return len(planes).to_bytes(8, "little") + _ZSTD.compress(planes, asbytes=True)
+
+
+def _unpacked(packed: bytes, kind) -> np.ndarray:
+    size = int.from_bytes(packed[:8], "little")
+    if not size:
+        return np.zeros(0, kind)
+    planes = np.frombuffer(_ZSTD.decompress(packed[8:], decompressed_size=size, asbytes=True), np.uint8)
+    return np.ascontiguousarray(planes.reshape(np.dtype(kind).itemsize, -1).T).view(kind)[:, 0]
 
 
 _PACKED = "shard int, share int, ids binary, keys binary, sizes binary, owners binary, counts binary"
@@ -163,8 +170,16 @@ def _pack(shards: int, shares: int):
                 rows = []
                 for s in range(shards):
                     chosen = shard[of] == s
+                    own, docs = distinct[shard == s], doc[chosen]
                     sizes = np.bincount(of[chosen], minlength=len(distinct))[shard == s]
-                    rows.append((s, share, mine.tobytes(), _planes(distinct[shard == s], np.uint64), _planes(sizes, np.uint32), _planes(doc[chosen], np.uint32), _planes(count[chosen], np.uint32)))
+                    # keys are sorted and so are the documents of a key: differences are small
+                    steps = np.diff(own, prepend=np.uint64(0))
+                    gaps = np.diff(docs, prepend=0)
+                    heads = np.cumsum(sizes) - sizes
+                    gaps[heads] = docs[heads]
+                    rows.append(
+                        (s, share, mine.tobytes(), _packed(steps, np.uint64), _packed(sizes, np.uint32), _packed(gaps, np.uint32), _packed(count[chosen], np.uint32))
+                    )
                 yield pa.RecordBatch.from_arrays([pa.array(c) for c in zip(*rows, strict=True)], ["shard", "share", "ids", "keys", "sizes", "owners", "counts"]).cast(_schema())
 
     return pack
@@ -185,8 +200,11 @@ def _summed(packed: pa.Table, model: pa.Table) -> pa.Table:
     out = [(np.zeros(0, np.int64), np.zeros(0), np.zeros(0, np.int64))]
     for row in range(packed.num_rows):
         ids, keys, sizes, owners, counts = (packed[n][row].as_py() for n in ("ids", "keys", "sizes", "owners", "counts"))
-        ids, keys = np.frombuffer(ids, np.int64), _numbers(keys, np.uint64)
-        sizes, owners, counts = (_numbers(v, np.uint32) for v in (sizes, owners, counts))
+        ids, keys = np.frombuffer(ids, np.int64), np.cumsum(_unpacked(keys, np.uint64), dtype=np.uint64)
+        sizes, counts = _unpacked(sizes, np.uint32).astype(np.int64), _unpacked(counts, np.uint32)
+        heads = np.cumsum(sizes) - sizes
+        run = np.cumsum(_unpacked(owners, np.uint32), dtype=np.int64)
+        owners = run - np.repeat(np.concatenate([[0], run])[heads], sizes)
         at = np.searchsorted(known, keys)
         if (at >= len(known)).any() or (known[at] != keys).any():
             raise ValueError("a 4-gram of the documents is missing from the model: the input changed between two reads")
