@@ -36,17 +36,18 @@ SHARD = 1_000_000
 GROUP_BYTES = 32 << 20
 QUANTILE, SLACK = 0.99, 1.25
 SENT_IDS = 4_000_000
+SENT_LANGUAGES = 100_000
 _START, _END = "\x02" * (ORDER - 1), "\x03"
 
 
 def grams(texts) -> tuple[np.ndarray, np.ndarray]:
     """Pieces of (4-gram, number of the text): one 4-gram per character, and one for the end."""
     for pieces in in_pieces([t + _END for t in texts], PIECE, ORDER - 1):
-        units = [np.frombuffer((_START[lead:] + p).encode("utf-16-le", "surrogatepass"), np.uint16) for _, p, lead in pieces]
+        units = [np.frombuffer((_START[lead:] + p).encode("utf-16-le", "surrogatepass"), np.uint16) for _, p, lead, _ in pieces]
         sizes = np.array([len(u) for u in units])
         flat = np.concatenate(units).astype(np.uint64)
         keys = (flat[:-3] << np.uint64(48)) | (flat[1:-2] << np.uint64(32)) | (flat[2:-1] << np.uint64(16)) | flat[3:]
-        owner = np.repeat([n for n, _, _ in pieces], sizes)[3:]
+        owner = np.repeat([n for n, _, _, _ in pieces], sizes)[3:]
         inside = np.ones(len(flat), bool)  # the first three units of a piece end no 4-gram of it
         starts = np.cumsum(sizes) - sizes
         for i in range(ORDER - 1):
@@ -216,7 +217,7 @@ def _summed(packed: pa.Table, model: pa.Table) -> pa.Table:
 
 def perplexities(docs: DataFrame, trusted: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
     """``doc_id``, ``perplexity``, ``trusted`` for every document with text; ``trusted`` holds the ids to learn from."""
-    texts = docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).alias("text")).filter("doc_id IS NOT NULL AND trim(text) <> ''")
+    texts = docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).alias("text")).filter(F.col("doc_id").isNotNull() & F.col("text").rlike(r"\S"))
     good = trusted.select(F.col(doc_id).cast("long").alias("doc_id")).filter("doc_id IS NOT NULL").distinct().withColumn("trusted", F.lit(True))
     good, seen = store(good, "trusted", n=F.count("*"))
     few = F.broadcast(good) if seen["n"] <= SENT_IDS else good  # ids alone: 16 bytes each
@@ -238,9 +239,12 @@ def classify(docs: DataFrame, trusted: DataFrame, doc_id: str = "doc_id", text:
     """``doc_id``, ``lang``, ``perplexity``, ``highest`` that the language allows, ``kept``."""
     scores, _ = store(perplexities(docs, trusted, doc_id, text), "perplexities")
     named = docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(lang).alias("lang")).filter("doc_id IS NOT NULL")
-    rows = named.groupBy("doc_id").agg(F.min("lang").alias("lang")).join(scores, "doc_id", "left")
+    rows, _ = store(named.groupBy("doc_id").agg(F.min("lang").alias("lang")).join(scores, "doc_id", "left"), "quality")
     limit = F.percentile_approx(F.when(F.col("trusted"), F.col("perplexity")), QUANTILE, 10_000) * SLACK
     by_language = rows.groupBy(F.coalesce("lang", F.lit("")).alias("of")).agg(limit.alias("own"))
+    by_language, seen = store(by_language, "quality-limits", n=F.count("*"))
+    if seen["n"] <= SENT_LANGUAGES:  # a language may have most of the rows: they stay where they are
+        by_language = F.broadcast(by_language)
     overall = rows.agg(limit.alias("all"))  # one row
     rows = rows.join(by_language, F.coalesce("lang", F.lit("")) == F.col("of"), "left").join(F.broadcast(overall))
     highest = F.coalesce("own", "all")
