@@ -31,8 +31,8 @@ def bounded_batches(spark: SparkSession, rows: int = 2000, size: str = "16m") ->
         spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", size)
 
 
-def in_pieces(texts: Iterable[str], size: int, overlap: int = 0) -> Iterator[list[tuple[int, str, int]]]:
-    """Lists of (number of the text, piece, leading characters that are context only).
+def in_pieces(texts: Iterable[str], size: int, overlap: int = 0) -> Iterator[list[tuple[int, str, int, bool]]]:
+    """Lists of (number of the text, piece, leading characters that are context only, whether the text ends).
 
     A list holds about ``size`` characters whatever the texts' lengths: short texts are
     put together, long ones cut, each cut repeating ``overlap`` characters.
@@ -42,7 +42,7 @@ def in_pieces(texts: Iterable[str], size: int, overlap: int = 0) -> Iterator[lis
         for start in range(0, len(text) or 1, size):
             lead = min(start, overlap)
             piece = text[start - lead : start + size]
-            held.append((number, piece, lead))
+            held.append((number, piece, lead, start + size >= len(text)))
             room -= len(piece) + 1
             if room <= 0:
                 yield held

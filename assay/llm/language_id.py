@@ -51,13 +51,15 @@ def gram_buckets(texts, orders=range(1, ORDERS + 1), bits: int = BUCKET_BITS) ->
     """(number of the text, bucket) of every n-gram, a piece and an order at a time."""
     shift = np.uint32(32 - bits)
     for pieces in in_pieces(texts, PIECE, orders[-1] - 1):
-        codes = np.frombuffer((" " + " ".join(p for _, p, _ in pieces) + " ").encode("utf-32-le"), np.uint32)
-        owner = np.repeat([n for n, _, _ in pieces], [len(p) + 1 for _, p, _ in pieces]).astype(np.int32)
+        codes = np.frombuffer((" " + " ".join(p for _, p, _, _ in pieces) + " ").encode("utf-32-le"), np.uint32)
+        owner = np.repeat([n for n, _, _, _ in pieces], [len(p) + 1 for _, p, _, _ in pieces]).astype(np.int32)
         owner = np.concatenate([np.array([-1], np.int32), owner])
         at = 1
-        for _, piece, lead in pieces:
+        for _, piece, lead, ends in pieces:
             owner[at : at + lead] = -1
             at += len(piece) + 1
+            if not ends:  # no word ends where a text is cut
+                owner[at - 1] = -1
         letter = codes != _SPACE
         spread = codes * np.uint32(2654435761) + np.uint32(12345)
         rolled, inner = np.zeros(len(codes), np.uint32), np.ones(len(codes), bool)
