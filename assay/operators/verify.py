@@ -7,6 +7,7 @@ from pyspark.sql import Column, DataFrame, functions as F
 from assay.functions.digests import digest_equal
 
 OK, FAIL, MISSING, EXTRA, UNREADABLE = "OK", "FAIL", "MISSING", "EXTRA", "UNREADABLE"
+DUPLICATE = "DUPLICATE"
 
 
 def one_per_path(rows: DataFrame, *columns: str) -> DataFrame:
@@ -23,26 +24,42 @@ def by_path(rows: DataFrame, column: str, unique: bool = False) -> DataFrame:
     return rows.select("path", column) if unique else one_per_path(rows, column)
 
 
+def _folded(rows: DataFrame, digest: str, present: str, mixed: str, unique: bool) -> DataFrame:
+    """Each path once: its digest, NULL if any of its rows has none, and whether its rows disagree."""
+    if unique:
+        return rows.select("path", F.col("digest").alias(digest), F.lit(True).alias(present), F.lit(False).alias(mixed))
+    same = F.lower("digest")
+    folded = rows.groupBy("path").agg(
+        F.max("digest").alias("last"), F.min(same).alias("low"), F.max(same).alias("high"), F.bool_or(F.col("digest").isNull()).alias("unread")
+    )
+    return folded.select(
+        "path",
+        F.when(~F.col("unread"), F.col("last")).alias(digest),
+        F.lit(True).alias(present),
+        F.coalesce(F.col("low") != F.col("high"), F.lit(False)).alias(mixed),
+    )
+
+
 def _sides(expected: DataFrame, actual: DataFrame, unique: bool) -> tuple[DataFrame, DataFrame]:
-    expected, actual = by_path(expected, "digest", unique), by_path(actual, "digest", unique)
-    left = expected.select("path", F.col("digest").alias("expected"), F.lit(True).alias("listed"))
-    right = actual.select("path", F.col("digest").alias("actual"), F.lit(True).alias("found"))
-    return left, right
+    left = _folded(expected, "expected", "listed", "listed_mixed", unique)
+    return left, _folded(actual, "actual", "found", "found_mixed", unique)
 
 
-def _status(expected: Column, actual: Column, listed: Column, found: Column) -> Column:
+def _status(expected: Column, actual: Column, listed: Column, found: Column, mixed: Column) -> Column:
     # Presence is tested before content, so missing is never mistaken for unreadable.
     return (
         F.when(found.isNull(), MISSING)
         .when(listed.isNull(), EXTRA)
         .when(actual.isNull(), UNREADABLE)
+        .when(mixed, DUPLICATE)
         .when(digest_equal(expected, actual), OK)
         .otherwise(FAIL)
     )
 
 
 def _verdicts(joined: DataFrame) -> DataFrame:
-    status = _status(F.col("expected"), F.col("actual"), F.col("listed"), F.col("found"))
+    mixed = F.col("listed_mixed") | F.col("found_mixed")
+    status = _status(F.col("expected"), F.col("actual"), F.col("listed"), F.col("found"), mixed)
     return joined.select(
         "path",
         status.alias("status"),
@@ -55,7 +72,8 @@ def _verdicts(joined: DataFrame) -> DataFrame:
 def check_full(expected: DataFrame, actual: DataFrame, unique: bool = False) -> DataFrame:
     """Two-sided check of ``(path, digest)`` tables: OK, FAIL, MISSING, EXTRA, UNREADABLE.
 
-    A path that is present with a NULL digest could not be read. Pass ``unique=True``
+    A path that is present with a NULL digest in any row could not be read. A path whose rows on one side
+    have different digests is DUPLICATE, never OK. Pass ``unique=True``
     when both sides are known to hold each path once.
     """
     left, right = _sides(expected, actual, unique)

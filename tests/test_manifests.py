@@ -200,3 +200,14 @@ def test_run_level_error_is_one_row(spark):
 def test_duplicate_keys(spark):
     lines = spark.createDataFrame([("a", 1), ("b", 2), ("a", 3), ("a", 9)], "path string, line_no long")
     assert [tuple(r) for r in manifests.duplicate_keys(lines).collect()] == [("a", 3)]
+
+
+def test_rows_that_disagree_about_a_path_are_never_ok(spark):
+    from assay.operators import verify
+
+    schema = "path string, digest string"
+    listed = spark.createDataFrame([("p", "bbbb"), ("q", "bbbb"), ("r", "aaaa"), ("r", "AAAA"), ("s", "cc"), ("s", "dd")], schema)
+    there = spark.createDataFrame([("p", "bbbb"), ("p", "aaaa"), ("q", None), ("q", "bbbb"), ("r", "aaaa"), ("s", "dd")], schema)
+    expected = {"p": "DUPLICATE", "q": "UNREADABLE", "r": "OK", "s": "DUPLICATE"}
+    assert {r.path: r.status for r in verify.check_full(listed, there).collect()} == expected
+    assert {r.path: r.status for r in verify.verify_manifest(listed, there).collect()} == expected
