@@ -233,6 +233,19 @@ def test_best_chain_is_the_one_of_all_chains():
         assert worth(substring_dedup.chains(x, y)[0]) == pytest.approx(max(map(worth, ordered)))
 
 
+def test_passages_behind_a_long_gap_and_around_different_words_are_kept(spark):
+    drawn = random.Random(5)
+    one, two, three = (invented(drawn, n) for n in (400, 70, 60))
+    noise = lambda n: invented(drawn, n)
+    texts = {1: one + noise(90) + two + noise(55) + three, 2: one + noise(100) + two + noise(60) + three}
+    docs = spark.createDataFrame([(d, " ".join(t)) for d, t in texts.items()], "doc_id bigint, text string")
+    covered = {i for r in substring_dedup.repeated_passages(docs).collect() for i in range(r.begin, r.end)}
+    wanted = {*range(400), *range(500, 570), *range(630, 690)}
+    assert wanted <= covered and len(covered - wanted) < 40
+    x = [*range(0, 400, 10), *range(600, 900, 10)]
+    assert [len(c) for c in substring_dedup.chains(x, x)] == [40, 30]
+
+
 def test_seeds_are_shared_by_any_common_run():
     drawn = np.random.default_rng(4)
     run = drawn.integers(0, 2**63, substring_dedup.K + substring_dedup.W - 1, dtype=np.uint64)
