@@ -2,10 +2,11 @@
 
 A word's embedding is the mean of the embeddings of its hashed character n-grams (three
 to six letters, its two ends marked), so a misspelling never seen shares most of its
-vectors with the words it comes from. A passage of ``WINDOW`` words is the mean of its words, and a linear
-softmax over it gives the two classes' probabilities. A text is as toxic as its worst passage:
-all windows of the whole text are scored and training follows the gradient through the
-highest, which keeps one insult from drowning in a long text.
+vectors with the words it comes from. A linear softmax over the mean of the ``TOP`` words
+that say most for class 1 gives the two classes' probabilities: all words of the whole
+text are scored and training follows the gradient through the highest, so that a few insults
+do not drown in a long text and one chance likeness does not condemn it. N-grams that
+fewer than ``LEAST`` examples have are left out.
 
 The classifier is fitted on a bounded sample: ``SAMPLE`` labelled rows of each class at
 most, those with the smallest hash of their id, and of these the texts of at most
@@ -30,9 +31,10 @@ from pyspark.sql import functions as F
 from assay.llm.language_id import gram_buckets
 
 SAMPLE, SAMPLE_BYTES = 1500, 1 << 16
-WINDOW, GRAMS, BITS, WIDTH = 2, range(3, 7), 18, 16
+TOP, LEAST = 3, 5
+GRAMS, BITS, WIDTH = range(3, 7), 18, 16
 EPOCHS, RATE, DECAY = 60, 0.05, 0.3
-BALANCE, WARM_UP = 0.15, 10
+BALANCE, WARM_UP = 0.3, 10
 WORDS_AT_ONCE = 1 << 15
 
 
@@ -75,31 +77,29 @@ def word_margins(margins: np.ndarray, words: list[str]) -> np.ndarray:
     return np.concatenate(out)
 
 
-def worst_windows(scalars: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(value, first word, end) of each text's highest window mean; texts shorter than a window are one window."""
+def worst_words(scalars: np.ndarray, ends: np.ndarray, top: int | None = TOP) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(mean, places, number) of each text's ``top`` highest words, of all words if there are fewer or ``top`` is None."""
     begins = np.concatenate([[0], ends[:-1]])
     sizes = ends - begins
-    span = np.minimum(WINDOW, np.maximum(sizes, 1))
-    total = np.concatenate([[0.0], np.cumsum(scalars, dtype=np.float64)])
-    counts = np.where(sizes > 0, sizes - span + 1, 0)  # windows of each text
-    text = np.repeat(np.arange(len(ends)), counts)
-    first = np.arange(len(text)) - np.repeat(np.cumsum(counts) - counts, counts) + begins[text]
-    means = (total[first + span[text]] - total[first]) / span[text]
-    value, start = np.zeros(len(ends)), begins.copy()
-    if len(text):
-        some = counts > 0
-        heads = (np.cumsum(counts) - counts)[some]
-        value[some] = np.maximum.reduceat(means, heads)
-        best = np.flatnonzero(means == value[text])
-        texts, at = np.unique(text[best], return_index=True)
-        start[texts] = first[best[at]]
-    return value, start, start + np.where(sizes > 0, span, 0)
+    text = np.repeat(np.arange(len(ends)), sizes)
+    if top is None:
+        places, n = np.arange(len(text)), sizes
+    else:
+        order = np.lexsort((-scalars, text))  # equal words in the order of the text
+        places, n = order[np.arange(len(text)) - begins[text] < top], np.minimum(sizes, top)
+    return np.bincount(text[places], scalars[places], len(ends)) / np.maximum(n, 1), places, n
+
+
+def _examples(word: np.ndarray, text_sizes: np.ndarray, n_words: int) -> np.ndarray:
+    """The number of texts that have each word."""
+    text = np.repeat(np.arange(len(text_sizes), dtype=np.int64), text_sizes)
+    return np.bincount(np.unique(text * n_words + word) % max(n_words, 1), minlength=n_words)
 
 
 def fit(word_lists: list[list[str]], toxic: np.ndarray, seed: int = 7) -> ToxicityModel:
     """Full-batch Adam on the cross-entropy; toxic texts weigh ``BALANCE`` of the whole.
 
-    In the first ``WARM_UP`` rounds a text is the mean of all its words, then its worst window.
+    In the first ``WARM_UP`` rounds a text is the mean of all its words, then of its worst.
     """
     drawn = np.random.default_rng(seed)
     embeddings = drawn.uniform(-1 / WIDTH, 1 / WIDTH, (1 << BITS, WIDTH)).astype(np.float32)
@@ -112,24 +112,20 @@ def fit(word_lists: list[list[str]], toxic: np.ndarray, seed: int = 7) -> Toxici
     sizes = np.diff(ends, prepend=0)
     used = np.unique(bucket)
     place = np.searchsorted(used, bucket)
-    embeddings_used = embeddings[used]
+    often = np.bincount(place, np.repeat(_examples(index, text_sizes, len(ends)), sizes), len(used))
+    common = (often >= LEAST).astype(np.float32)
+    embeddings_used = embeddings[used] * common[:, None]
     share = np.where(toxic == 1, BALANCE / max((toxic == 1).sum(), 1), (1 - BALANCE) / max((toxic == 0).sum(), 1))
     parts = [embeddings_used, weights, bias]
     moments = [(np.zeros_like(p), np.zeros_like(p)) for p in parts]
     for epoch in range(1, EPOCHS + 1):
         aim = weights[:, 1] - weights[:, 0]
         scalar = _sums((embeddings_used @ aim)[place], ends) / np.maximum(sizes, 1)
-        if epoch <= WARM_UP:  # the mean of the whole text
-            first, last = text_ends - text_sizes, text_ends
-            value = _sums(scalar[index], text_ends) / np.maximum(text_sizes, 1)
-        else:
-            value, first, last = worst_windows(scalar[index], text_ends)
-        chance = 1 / (1 + np.exp(-(value + bias[1] - bias[0])))
+        value, places, n = worst_words(scalar[index], text_ends, TOP if epoch > WARM_UP else None)
+        chance = 1 / (1 + np.exp(-np.clip(value + bias[1] - bias[0], -500, 500)))
         slope = share * (chance - toxic)
-        span = last - first
-        rows = np.repeat(first - (np.cumsum(span) - span), span) + np.arange(span.sum())
-        per_word = np.bincount(index[rows], np.repeat(slope / np.maximum(span, 1), span), len(ends)) / np.maximum(sizes, 1)
-        pull = np.bincount(place, np.repeat(per_word, sizes), len(used)).astype(np.float32)
+        per_word = np.bincount(index[places], np.repeat(slope / np.maximum(n, 1), n), len(ends)) / np.maximum(sizes, 1)
+        pull = np.bincount(place, np.repeat(per_word, sizes), len(used)).astype(np.float32) * common
         down = embeddings_used.T @ pull
         gradients = [np.outer(pull, aim), np.stack([-down, down], 1), np.array([-slope.sum(), slope.sum()])]
         for part, gradient, (mean, square) in zip(parts, gradients, moments, strict=True):
@@ -176,8 +172,8 @@ def score(docs: DataFrame, model: ToxicityModel | None, text: str = "text") -> D
                 coded = lists.flatten().dictionary_encode()
                 scalar = word_margins(margins, coded.dictionary.to_pylist())
                 text_ends = np.cumsum(pc.list_value_length(lists).to_numpy())
-                value, first, last = worst_windows(scalar[coded.indices.to_numpy()], text_ends)
-                yield pa.array(np.where(last > first, 1 / (1 + np.exp(-np.clip(value + bias, -500, 500))), 0.0))
+                value, _, n = worst_words(scalar[coded.indices.to_numpy()], text_ends)
+                yield pa.array(np.where(n > 0, 1 / (1 + np.exp(-np.clip(value + bias, -500, 500))), 0.0))
 
         scored = worst(words_of(text))
     return docs.select(*columns, scored.alias("score")).withColumn("predicted", (F.col("score") >= 0.5).cast("int"))
