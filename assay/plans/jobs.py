@@ -98,8 +98,9 @@ def _plan(
     at_destination = filetree.digest_files(
         open_files.select("path", F.col("destination_path").alias("abs_path"), F.col("found_size").alias("size")), options.digest
     )
-    intact = open_files.join(at_destination.select("path", "digest"), "path").filter(
-        digest_equal(F.col("digest"), F.col("recorded"))
+    intact, _ = store(
+        open_files.join(at_destination.select("path", "digest"), "path").filter(digest_equal(F.col("digest"), F.col("recorded"))),
+        "intact",
     )
     at_source = filetree.digest_files(intact.select("path", "abs_path", "size"), options.digest)
     same = intact.drop("digest").join(at_source.select("path", "digest"), "path")
@@ -164,9 +165,9 @@ def _stop_if_broken(done: DataFrame, options: JobOptions) -> None:
 
 
 def _read_back(spark: SparkSession, manifest: DataFrame, destination: str, digest: str) -> DataFrame:
-    """Digests of the listed files at the destination; what is not there has no row."""
+    """Digests of the listed files at the destination, read once; what is not there has no row."""
     there = filetree.scan_without_root(spark, destination).select("path", "abs_path", "size")
-    return filetree.digest_files(verify.entries_to_hash(manifest, there), digest)
+    return store(filetree.digest_files(verify.entries_to_hash(manifest, there), digest), "read-back")[0]
 
 
 def verify_tree(spark: SparkSession, target: str, digest: str = "xxh3_128") -> DataFrame:
@@ -189,6 +190,6 @@ def check_checksums(spark: SparkSession, directory: str) -> DataFrame:
     """Two-sided check of a folder against its checksum file; only expected files are hashed."""
     expected = readers.read_checksums(spark, f"{directory.rstrip('/')}/checksums.txt")
     listed = filetree.scan_flat(spark, directory)
-    hashed = filetree.digest_files(verify.entries_to_hash(expected, listed), "md5")
+    hashed, _ = store(filetree.digest_files(verify.entries_to_hash(expected, listed), "md5"), "digests")
     extra = listed.join(expected.select("path"), "path", "left_anti").select("path", F.lit(None).cast("string").alias("digest"))
     return verify.check_full(expected, hashed.select("path", "digest").unionByName(extra))

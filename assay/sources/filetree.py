@@ -25,7 +25,6 @@ from assay.operators import ignore
 from assay.plans.storing import store
 from assay.sources import stores
 
-MAX_ROUNDS = 512
 DIRS_PER_TASK = 64
 
 #: Directories a task opens before it hands on what is left.
@@ -166,8 +165,6 @@ def scan_all(
     rules = spark.createDataFrame([], schemas.RULE)
     n_dirs, rounds = 1, []
     while n_dirs:
-        if len(rounds) == MAX_ROUNDS:
-            raise RecursionError(f"{MAX_ROUNDS} rounds did not exhaust {root}")
         listed = _list_round(directories, n_dirs, budget, skips)
         found, seen = store(listed, "listing", n_open=F.count_if("open"))
         n_dirs = seen["n_open"]

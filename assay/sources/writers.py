@@ -9,12 +9,13 @@ from assay.functions.paths import CHECKSUMS_NAME, MANIFEST_NAME, MANIFEST_README
 from assay.functions.text import base64url_encode, json_report, manifest_line
 from assay.operators.manifests import latest_per_path, manifest_lines
 from assay.operators.runs import quarantine_rows
+from assay.plans.storing import store
 from assay.session import scratch_dir
 from assay.sources import stores
 
 QUARANTINE_DIR = ".quarantine"
 
-#: A single-file manifest is joined by one process, so its size is limited.
+#: A single-file manifest is joined by one process; a bigger one is a folder of sorted parts under the same name.
 SINGLE_FILE_BYTES = 1 << 30
 
 README_TEXT = """\
@@ -32,14 +33,15 @@ def write_manifest(manifest: DataFrame, folder: str, mode: str = "errorifexists"
     Returns the lines. Reading the folder, or joining its parts by
     :func:`publish_single_file`, gives the whole manifest.
     """
-    lines = manifest_lines(manifest)
+    # Sorting samples its input, which may read files: the narrow rows are stored first.
+    lines = manifest_lines(store(manifest, "unsorted")[0])
     lines.write.mode(mode).text(folder)
     return lines
 
 
 def write_checksums(manifest: DataFrame, folder: str, mode: str = "errorifexists") -> DataFrame:
     """As :func:`write_manifest`, sorted by name."""
-    lines = manifest.orderBy("path").select(manifest_line(F.col("digest"), F.col("path")).alias("value"))
+    lines = store(manifest, "unsorted")[0].orderBy("path").select(manifest_line(F.col("digest"), F.col("path")).alias("value"))
     lines.write.mode(mode).text(folder)
     return lines
 
@@ -68,24 +70,32 @@ def publish_single_file(parts: str, target: str, max_bytes: int = SINGLE_FILE_BY
     return target
 
 
+def _publish(lines: DataFrame, parts: str, target: str, max_bytes: int) -> str:
+    """One file, or above ``max_bytes`` a folder of the sorted parts, written by the tasks; readers take both."""
+    if sum(c["size"] for c in stores.list_dir(parts) if c["name"].startswith("part-")) <= max_bytes:
+        return publish_single_file(parts, target, max_bytes)
+    lines.write.mode("overwrite").text(target)
+    return target
+
+
 def write_manifest_bundle(
-    manifest: DataFrame, destination: str, verification: DataFrame, digest: str = "xxh3_128"
+    manifest: DataFrame, destination: str, verification: DataFrame, digest: str = "xxh3_128", max_bytes: int = SINGLE_FILE_BYTES
 ) -> str:
     """Manifest and a short README, only once the final verification has passed."""
     if not verification.first()["passed"]:
         raise ValueError("the final verification did not pass; no manifest is written")
     parts = scratch_dir(manifest.sparkSession, "manifest")
-    write_manifest(manifest, parts)
-    target = publish_single_file(parts, f"{destination.rstrip('/')}/{MANIFEST_NAME}")
+    lines = write_manifest(manifest, parts)
+    target = _publish(lines, parts, f"{destination.rstrip('/')}/{MANIFEST_NAME}", max_bytes)
     readme = README_TEXT.format(digest=digest, tool=CHECK_TOOLS[digest], manifest=MANIFEST_NAME)
     _write_small(f"{destination.rstrip('/')}/{MANIFEST_README}", readme)
     return target
 
 
-def write_checksums_file(manifest: DataFrame, directory: str) -> str:
+def write_checksums_file(manifest: DataFrame, directory: str, max_bytes: int = SINGLE_FILE_BYTES) -> str:
     parts = scratch_dir(manifest.sparkSession, "checksums")
-    write_checksums(manifest, parts)
-    return publish_single_file(parts, f"{directory.rstrip('/')}/{CHECKSUMS_NAME}")
+    lines = write_checksums(manifest, parts)
+    return _publish(lines, parts, f"{directory.rstrip('/')}/{CHECKSUMS_NAME}", max_bytes)
 
 
 def _write_small(target: str, content: str) -> None:

@@ -106,6 +106,17 @@ def test_a_manifest_too_big_for_one_file_stays_a_folder(spark, tmp_path):
     assert not target.exists()
 
 
+def test_a_bundle_of_any_size_is_written(spark, tmp_path):
+    rows = [("a-b", A), ("a/b", B), ("a", A)]
+    manifest = spark.createDataFrame(rows, "path string, digest string")
+    passed = spark.createDataFrame([(True,)], "passed boolean")
+    target = writers.write_manifest_bundle(manifest, str(tmp_path), passed, max_bytes=10)
+    assert readers.resolve_manifest(str(tmp_path)) == target
+    assert as_dict(readers.read_manifest(spark, target)) == dict(rows)
+    sums = writers.write_checksums_file(manifest, str(tmp_path), max_bytes=10)
+    assert spark.read.text(sums).count() == 3
+
+
 def test_checkpoint_file(spark, tmp_path):
     from base64 import urlsafe_b64encode as code
 
