@@ -22,6 +22,7 @@ from assay import schemas
 from assay.functions import paths
 from assay.functions.text import nfc
 from assay.operators import ignore
+from assay.plans import scans
 from assay.plans.storing import store
 from assay.sources import stores
 
@@ -289,10 +290,19 @@ def digest_files(entries: DataFrame, digest: str = "xxh3_128", bytes_per_task: i
 def spread_by_size(files: DataFrame, bytes_per_task: int = 4 << 30, files_per_task: int = 20_000) -> DataFrame:
     """Spread files over enough tasks for their volume and number, both counted while the list is stored.
 
-    Small files balance by hash; each file above the task volume is its own unit of
-    hash, and bounds its task, since one sequential digest cannot be split.
+    A file weighs its bytes and a fixed share for opening it. Files are laid end to end and
+    the line is cut into equal lengths, one per task: the file's middle decides. So a task
+    holds at most one length and one file more, and files of one size are dealt evenly; a
+    file above the length bounds its task, since one sequential digest cannot be split.
     """
-    stored, total = store(files, "work", volume=F.sum("size"), n=F.count("*"))
+    weight = F.greatest(F.coalesce("size", F.lit(0)), F.lit(0)) + F.lit(max(1, bytes_per_task // files_per_task))
+    sliced = files.withColumns({"_weight": weight.cast("decimal(38,0)"), scans.SLICE: F.spark_partition_id()})
+    stored, total = store(sliced, "work", weight=F.sum("_weight"), n=F.count("*"))
+    if not total["n"]:
+        return stored.select(*files.columns)
     width = int(files.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    wanted = max((total["volume"] or 0) // bytes_per_task, total["n"] // files_per_task) + 1
-    return stored.repartition(max(1, min(max(wanted, width), total["n"])), "path")
+    n_tasks = min(max(int(total["weight"]) // bytes_per_task + 1, width), total["n"])
+    laid = scans.running(stored, [], ["path"], {"_upto": F.col("_weight")})
+    middle = (F.col("_upto") - F.col("_weight") / 2).cast("double")
+    task = F.least(F.floor(middle * n_tasks / float(total["weight"])), F.lit(n_tasks - 1)).cast("int")
+    return laid.repartitionById(n_tasks, task).select(*files.columns)
