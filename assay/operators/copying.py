@@ -184,9 +184,12 @@ def stale_temps(listing: DataFrame) -> DataFrame:
     return listing.filter((F.col("kind") == "file") & paths.is_temp_name(paths.file_name(F.col("path"))))
 
 
-def clean_stale_temps(spark, destination: str, dry_run: bool = False) -> DataFrame:
-    """``(path, abs_path, deleted)`` of leftovers below ``destination``; deleting is best effort."""
-    found = stale_temps(scan_all(spark, destination)).select("path", "abs_path")
+def clean_stale_temps(spark, destination: str, dry_run: bool = False, listing: DataFrame | None = None) -> DataFrame:
+    """``(path, abs_path, deleted)`` of leftovers below ``destination``; deleting is best effort.
+
+    ``listing`` is what :func:`scan_all` found there, if that is known.
+    """
+    found = stale_temps(scan_all(spark, destination) if listing is None else listing).select("path", "abs_path")
     if dry_run:
         return found.withColumn("deleted", F.lit(False))
 
@@ -204,10 +207,11 @@ def delete_files(files: DataFrame) -> DataFrame:
     return store(files.mapInArrow(remove, "path string, abs_path string, deleted boolean"), "report")[0]
 
 
-def recover_interrupted(spark, destination: str) -> DataFrame:
+def recover_interrupted(spark, destination: str, listing: DataFrame | None = None) -> DataFrame:
     """Put back each backup whose final file is gone, delete the others; returns the actions taken."""
     root = destination.rstrip("/")
-    actions = recover_backups(scan_all(spark, destination).filter("kind = 'file'"))
+    found = scan_all(spark, destination) if listing is None else listing
+    actions = recover_backups(found.filter("kind = 'file'"))
 
     def act(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:

@@ -70,6 +70,8 @@ def verified_write(df: DataFrame, target: str, mode: str = "errorifexists") -> D
     df.write.mode("overwrite").parquet(staging)
     read_back = spark.read.schema(df.schema).parquet(staging)
     if not same_fingerprint(df, read_back):
+        fs, path = _filesystem(spark, staging)
+        fs.delete(path(staging), True)
         raise VerificationError(f"{staging} differs from what was written")
     promote_with_backup(spark, staging, target)
     return spark.read.schema(df.schema).parquet(target)

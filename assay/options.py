@@ -12,7 +12,8 @@ MAX_RETRIES_CEILING = 10
 class JobOptions:
     """Settings of a copy or verify job.
 
-    ``unlimited_retries`` lets a transient failure outlive ``max_retries``; since a
+    ``skip_junk`` is True or ``"basic"``, or ``"extended"``; ``probe`` writes, reads back and
+    deletes noise at the destination before a copy. ``unlimited_retries`` lets a transient failure outlive ``max_retries``; since a
     Spark task has to end, ``attempt_ceiling`` bounds it all the same.
     """
 
@@ -21,7 +22,8 @@ class JobOptions:
     unlimited_retries: bool = True
     no_manifest: bool = True
     respect_ignore_files: bool = False
-    skip_junk: bool = False
+    skip_junk: bool | str = False
+    probe: bool = True
     digest: str = "xxh3_128"
     failure_limit: int = 5
     attempt_ceiling: int = 20

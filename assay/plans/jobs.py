@@ -9,11 +9,11 @@ from pyspark.sql import DataFrame, SparkSession, functions as F, types as T
 
 from assay.functions.digests import digest_equal
 from assay.functions.paths import MANIFEST_NAME
-from assay.operators import copying, entries as guards, resume, runs, verify
+from assay.operators import copying, entries as guards, fingerprint, resume, runs, verify
 from assay.options import JobOptions
 from assay.schemas import COPY_OUTCOME
 from assay.plans.storing import store
-from assay.session import scratch_dir
+from assay.session import shared_dir
 from assay.sources import filetree, readers, stores, writers
 
 
@@ -37,8 +37,11 @@ def copy_tree(
     checkpoint_table: str | None = None,
     waves: int = 1,
 ) -> CopyResult:
-    """Scan, plan, copy with read-back, verify everything again, and only then write the manifest.
+    """Probe, scan, plan, copy with read-back, verify everything again, and only then write the manifest.
 
+    Before the plan, backups that an interrupted run left at the destination are put back
+    and its temporary files go. Without ``checkpoint_table`` the checkpoint lies in a folder
+    below the shared scratch folder, where a later run of the same pair finds it.
     Tasks copy in parallel, so failures "in a row" are judged in component order, wave by
     wave: with ``waves`` above 1 a failing device is noticed before the rest is tried.
     Each wave's outcomes are stored before anything else happens and are the checkpoint
@@ -47,24 +50,28 @@ def copy_tree(
     if overlapping(spark, source, destination):
         raise ValueError(f"{destination} lies in {source} or would overwrite it")
     stores.make_parents(f"{destination.rstrip('/')}/x")
-    copying.clean_stale_temps(spark, destination)
-    table = checkpoint_table or scratch_dir(spark, "checkpoint")
+    left = filetree.scan_all(spark, destination)
+    copying.recover_interrupted(spark, destination, left)
+    copying.clean_stale_temps(spark, destination, listing=left)
+    table = checkpoint_table or shared_dir(spark, "copy-checkpoints")
     key = spark.range(1).select(writers.checkpoint_key(F.lit(source), F.lit(destination))).first()[0]
 
-    junk = "basic" if options.skip_junk else None
+    junk = {False: None, True: "basic"}.get(options.skip_junk, options.skip_junk)
     listed = filetree.scan_tree(spark, source, skip_junk=junk, respect_ignore_files=options.respect_ignore_files)
     files = guards.keep_regular_files(listed)
     guards.require_non_empty(files, "files to copy")
     guards.require_clean_names(files, writes_manifest=not options.no_manifest)
 
+    if options.probe:
+        fingerprint.preflight_probe(spark, destination)
     work = _plan(spark, files, destination, table, key, options)
-    run = uuid.uuid4().hex
+    run = f"run-{uuid.uuid4().hex}"
     for wave in range(waves):
         part = work.filter(F.pmod(F.xxhash64("path"), F.lit(waves)) == wave) if waves > 1 else work
         outcomes = copying.verified_copy(part.filter("action = 'COPY'"), destination, options)
         rows = outcomes.unionByName(_skipped(part), allowMissingColumns=True)
-        writers.write_checkpoint(rows.withColumns({"run": F.lit(run), "wave": F.lit(wave)}), table, key)
-        done = _outcomes(spark, table, key).filter(F.col("run") == run)
+        writers.write_checkpoint(rows.withColumn("wave", F.lit(wave)), f"{table}/{key}", run, "run")
+        done = _outcomes(spark, f"{table}/{key}/run={run}")
         _set_aside(done.filter((F.col("wave") == wave) & (F.col("status") == "FAILED")), destination)
         _stop_if_broken(done, options)
 
@@ -118,11 +125,13 @@ def _previous(spark, files, destination, table, key, options) -> DataFrame | Non
         return manifest.withColumn("size", F.lit(0).cast("bigint"))
     if not _has_rows(spark, table, key):
         return None
-    return writers.read_checkpoint_table(spark, table, key, size="bytes")
+    # What cannot be read of an earlier run is copied again.
+    rows = _outcomes(spark, f"{table}/{key}", ignoreCorruptFiles="true").filter("digest IS NOT NULL")
+    return writers.newest_per_path(rows, size="bytes")
 
 
 def _has_rows(spark: SparkSession, table: str, key: str) -> bool:
-    path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(f"{table}/checkpoint_key={key}")
+    path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(f"{table}/{key}")
     return path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(path)
 
 
@@ -137,9 +146,9 @@ def _skipped(part: DataFrame) -> DataFrame:
     )
 
 
-def _outcomes(spark: SparkSession, table: str, key: str) -> DataFrame:
-    schema = T.StructType([*COPY_OUTCOME, T.StructField("run", T.StringType()), T.StructField("wave", T.IntegerType())])
-    return spark.read.schema(schema).parquet(f"{table}/checkpoint_key={key}")
+def _outcomes(spark: SparkSession, folder: str, **options: str) -> DataFrame:
+    schema = T.StructType([*COPY_OUTCOME, T.StructField("wave", T.IntegerType())])
+    return spark.read.schema(schema).options(**options).parquet(folder)
 
 
 def _set_aside(failures: DataFrame, destination: str) -> None:

@@ -38,7 +38,12 @@ def _local_root() -> str:
 
 
 def scratch_dir(spark: SparkSession, label: str) -> str:
-    """A fresh folder below the cluster's shared ``spark.checkpoint.dir``.
+    """A fresh folder below the cluster's shared ``spark.checkpoint.dir``."""
+    return shared_dir(spark, f"{label}-{uuid.uuid4().hex}")
+
+
+def shared_dir(spark: SparkSession, name: str) -> str:
+    """The folder of that name below the cluster's shared ``spark.checkpoint.dir``.
 
     Only a local-mode session may fall back to the machine's temporary folder: on a
     cluster the executors would not see it.
@@ -48,4 +53,4 @@ def scratch_dir(spark: SparkSession, label: str) -> str:
         if not spark.conf.get("spark.master", "").startswith("local"):
             raise ValueError("set spark.checkpoint.dir to a folder every executor can reach")
         root = _local_root()
-    return f"{root.rstrip('/')}/{label}-{uuid.uuid4().hex}"
+    return f"{root.rstrip('/')}/{name}"

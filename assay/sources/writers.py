@@ -116,14 +116,19 @@ def checkpoint_key_xxh3(source: Column, destination: Column) -> Column:
     return xxh3_128_hex(F.concat(source, F.lit("\u0000"), destination))
 
 
-def write_checkpoint(outcomes: DataFrame, table: str, key: str) -> None:
+def write_checkpoint(outcomes: DataFrame, table: str, key: str, column: str = "checkpoint_key") -> None:
     """Append finished entries; rewriting everything after each one would cost O(n²) bytes."""
-    outcomes.withColumn("checkpoint_key", F.lit(key)).write.mode("append").partitionBy("checkpoint_key").parquet(table)
+    outcomes.withColumn(column, F.lit(key)).write.mode("append").partitionBy(column).parquet(table)
 
 
 def read_checkpoint_table(spark: SparkSession, table: str, key: str, size: str = "size") -> DataFrame:
     """Newest ``(path, digest, size)`` per path of one checkpoint; failed entries carry no digest."""
     rows = spark.read.parquet(table).filter(F.col("checkpoint_key") == key).filter("digest IS NOT NULL")
+    return newest_per_path(rows, size)
+
+
+def newest_per_path(rows: DataFrame, size: str = "size") -> DataFrame:
+    """``(path, digest, size)`` of the row of each path that was finished last."""
     return latest_per_path(rows.withColumn("size", F.col(size)), "finished_ms", "digest", "size")
 
 

@@ -373,3 +373,55 @@ def test_probe_leaves_nothing_behind(spark, tmp_path):
 def test_options_are_clamped():
     wild = JobOptions(cooldown_secs=500, max_retries=0).clamp_options()
     assert (wild.cooldown_secs, wild.max_retries) == (120, 1)
+
+
+def test_files_are_dealt_by_volume(spark):
+    task = F.spark_partition_id().alias("task")
+    even = spark.range(100).select(F.format_string("f%03d", "id").alias("path"), F.lit("x").alias("abs_path"), F.lit(100 << 30).alias("size"))
+    tasks = filetree.spread_by_size(even, bytes_per_task=101 << 30).select(task).collect()
+    assert len({row.task for row in tasks}) == len(tasks) == 100
+    mixed = even.withColumn("size", F.when(F.col("path") == "f050", F.lit(1000)).when(F.col("path") < "f003", F.lit(None)).otherwise(10))
+    placed = filetree.spread_by_size(mixed, bytes_per_task=200, files_per_task=200)
+    loads = placed.groupBy(task).agg(F.sum(F.coalesce("size", F.lit(0)) + 1).alias("load"), F.max("size").alias("largest"), F.count("*").alias("n")).collect()
+    assert sum(row.n for row in loads) == 100
+    assert all(row.load <= 200 + row.largest + 1 for row in loads)
+    assert filetree.spread_by_size(even.limit(0)).count() == 0
+
+
+def test_copy_puts_backups_back_probes_and_finds_its_checkpoint(spark, tmp_path):
+    source, card = tmp_path / "src", tmp_path / "card"
+    source.mkdir()
+    (source / "a").write_text("a")
+    (source / "Thumbs.db").write_text("t")
+    (source / ".idea").mkdir()
+    (source / ".idea" / "b").write_text("b")
+    card.mkdir()
+    (card / "other.verify.old.1").write_text("o")
+    options = JobOptions(backoff_unit_secs=0.0, skip_junk="extended")
+    assert {row.status for row in jobs.copy_tree(spark, str(source), str(card), options).outcomes.collect()} == {"COPIED"}
+    again = jobs.copy_tree(spark, str(source), str(card), options)
+    assert {(row.path, row.status) for row in again.outcomes.collect()} == {("src/a", "SKIPPED")}
+    assert set(copied(card)) == {"other", "src/a"}
+
+
+def test_an_unreadable_checkpoint_is_no_obstacle(spark, tmp_path):
+    source, card, table = tmp_path / "src", tmp_path / "card", tmp_path / "checkpoint"
+    source.mkdir()
+    (source / "a").write_text("a")
+    options = JobOptions(backoff_unit_secs=0.0)
+    jobs.copy_tree(spark, str(source), str(card), options, checkpoint_table=str(table))
+    for part in table.rglob("part-*.parquet"):
+        part.write_bytes(b"broken")
+    for crc in table.rglob(".*.crc"):
+        crc.unlink()
+    result = jobs.copy_tree(spark, str(source), str(card), options, checkpoint_table=str(table))
+    assert {(row.path, row.status) for row in result.outcomes.collect()} == {("src/a", "COPIED")}
+
+
+def test_a_bad_device_stops_the_copy_before_it_begins(spark, tmp_path, monkeypatch):
+    (tmp_path / "src").mkdir()
+    (tmp_path / "src" / "a").write_text("a")
+    monkeypatch.setattr(fingerprint, "same_fingerprint", lambda written, read_back: False)
+    with pytest.raises(fingerprint.VerificationError):
+        jobs.copy_tree(spark, str(tmp_path / "src"), str(tmp_path / "card"), QUICK)
+    assert copied(tmp_path / "card") == {}
