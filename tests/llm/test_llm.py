@@ -246,6 +246,24 @@ def test_passages_behind_a_long_gap_and_around_different_words_are_kept(spark):
     assert [len(c) for c in substring_dedup.chains(x, x)] == [40, 30]
 
 
+def test_repeats_whose_parts_occur_earlier_elsewhere_are_found(spark):
+    drawn = random.Random(12)
+    texts, passages = {}, []
+    for i in range(12):  # halves occur in two documents before both together do
+        passage = invented(drawn, 50 + i)
+        halves = [passage[:30], passage[30:], passage, passage]
+        texts |= {4 * i + n: invented(drawn, 20 + n) + half + invented(drawn, 20) for n, half in enumerate(halves)}
+        passages.append(set(range(23, 23 + len(passage))))
+    texts[90] = texts[2] + texts[3]
+    texts[91] = list(texts[90])
+    docs = spark.createDataFrame([(d, " ".join(t)) for d, t in texts.items()], "doc_id bigint, text string")
+    rows = substring_dedup.repeated_passages(docs).collect()
+    covered = {d: {i for r in rows if r.doc_id == d for i in range(r.begin, r.end)} for d in texts}
+    assert all(passages[i] <= covered[4 * i + 3] and not covered[4 * i + 2] for i in range(12))
+    assert covered[91] == set(range(len(texts[91])))
+    assert all(texts[r.doc_id][r.begin : r.end] == texts[r.ref_id][r.ref_begin : r.ref_end] for r in rows if r.identity == 1)
+
+
 def test_seeds_are_shared_by_any_common_run():
     drawn = np.random.default_rng(4)
     run = drawn.integers(0, 2**63, substring_dedup.K + substring_dedup.W - 1, dtype=np.uint64)
