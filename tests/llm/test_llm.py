@@ -264,6 +264,23 @@ def test_repeats_whose_parts_occur_earlier_elsewhere_are_found(spark):
     assert all(texts[r.doc_id][r.begin : r.end] == texts[r.ref_id][r.ref_begin : r.ref_end] for r in rows if r.identity == 1)
 
 
+def test_passages_with_a_tenth_and_a_fifth_of_their_words_changed_are_found(spark):
+    drawn = random.Random(21)
+    texts, changed = {}, {}
+    for i in range(30):
+        passage, words = invented(drawn, 60), 12 if i >= 20 else 6
+        other = list(passage)
+        for at in drawn.sample(range(60), words):
+            other[at] = f"v{drawn.randrange(5000)}"
+        texts[i], texts[100 + i] = (invented(drawn, 40) + p + invented(drawn, 70) for p in (passage, other))
+        changed[100 + i] = words
+    docs = spark.createDataFrame([(d, " ".join(t)) for d, t in texts.items()], "doc_id bigint, text string")
+    rows = substring_dedup.repeated_passages(docs).collect()
+    found = {r.doc_id for r in rows if r.ref_id == r.doc_id - 100}
+    assert all(d in found for d, words in changed.items() if words == 6) and sum(words == 12 for d, words in changed.items() if d in found) >= 8
+    assert all(r.ref_id == r.doc_id - 100 and r.identity >= 0.8 and 30 <= r.begin and r.end <= 110 for r in rows)
+
+
 def test_seeds_are_shared_by_any_common_run():
     drawn = np.random.default_rng(4)
     run = drawn.integers(0, 2**63, substring_dedup.K + substring_dedup.W - 1, dtype=np.uint64)
