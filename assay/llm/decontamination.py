@@ -4,11 +4,13 @@ A text becomes a sequence of tokens in which numbers, names and units are typed
 placeholders; everything else is lower-cased and stripped of punctuation. Windows of
 ``WINDOW`` tokens, at least ``LITERALS`` of them words, are hashed and joined with the
 windows of the benchmark's items. A match carries the values in its placeholders: within
-a document and an item, every value of the item must be replaced by one and the same
+an occurrence of an item, every value of the item must be replaced by one and the same
 value throughout. A re-parameterised question passes, a chance meeting does not.
 
-A document is contaminated by an item if it matches at least ``COVERAGE`` of the item's
-windows, or ``RUN`` of them, with consistent values.
+A document is contaminated by an item if an occurrence matches at least ``COVERAGE`` of the
+item's windows, or ``RUN`` of them, with consistent values. Occurrences are the matches at one
+distance between document and item, those between two places where the item begins anew, and
+all matches of the document, so neither other versions nor inserted words hide a copy.
 
 Only windows whose hash the benchmark has are joined. For that the hashes are broadcast if the
 benchmark has at most ``SENT_WINDOWS`` windows (the count is taken first); a larger
@@ -26,7 +28,7 @@ import re
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from xxhash import xxh64_intdigest
 
@@ -169,17 +171,23 @@ def contaminated(docs: DataFrame, items: DataFrame, doc_id: str = "doc_id", item
     if sent is not None:
         ours, _ = store(ours, "benchmark-hits")
     pairs = F.zip_with("item_slots", "slots", lambda a, b: F.struct(a.alias("a"), b.alias("b")))
-    joined = ours.join(theirs, "part").select("doc_id", "item_id", "item_pos", "item_windows", pairs.alias("pairs"))
-    grouped = joined.groupBy("doc_id", "item_id").agg(
+    joined = ours.join(theirs, "part").select("doc_id", "item_id", "pos", "item_pos", "item_windows", pairs.alias("pairs"))
+    in_order = Window.partitionBy("doc_id", "item_id").orderBy("pos", "item_pos")
+    last, last_pos = F.lag("item_pos").over(in_order), F.lag("pos").over(in_order)
+    anew = F.coalesce((F.col("item_pos") < last) | ((F.col("item_pos") == last) & (F.col("pos") > last_pos)), F.lit(False))
+    joined = joined.withColumn("anew", anew.cast("int")).withColumn("round", F.sum("anew").over(in_order))
+    kinds = [("distance", F.col("pos") - F.col("item_pos")), ("round", F.col("round").cast("int")), ("all", F.lit(0))]
+    occurrence = F.explode(F.array(*[F.struct(F.lit(kind).alias("kind"), number.alias("number")) for kind, number in kinds]))
+    grouped = joined.withColumn("occurrence", occurrence).groupBy("doc_id", "item_id", "occurrence").agg(
         F.countDistinct("item_pos").alias("n_windows"),
         F.max("item_windows").alias("item_windows"),
         F.array_distinct(F.flatten(F.collect_set("pairs"))).alias("pairs"),
     )
     consistent = F.size(F.array_distinct(F.transform("pairs", lambda p: p["a"]))) == F.size("pairs")
     coverage = F.col("n_windows") / F.col("item_windows")
-    return grouped.filter(consistent & ((coverage >= COVERAGE) | (F.col("n_windows") >= RUN))).select(
-        "doc_id", "item_id", "n_windows", coverage.alias("coverage"), F.forall("pairs", lambda p: p["a"] == p["b"]).alias("same_values")
-    )
+    passed = grouped.filter(consistent & ((coverage >= COVERAGE) | (F.col("n_windows") >= RUN)))
+    best = F.max(F.struct("n_windows", coverage.alias("coverage"), F.forall("pairs", lambda p: p["a"] == p["b"]).alias("same_values")))
+    return passed.groupBy("doc_id", "item_id").agg(best.alias("best")).select("doc_id", "item_id", "best.*")
 
 
 def without_contaminated(docs: DataFrame, items: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:

@@ -318,6 +318,15 @@ def test_inconsistent_values_are_no_copy(spark):
     assert [r.doc_id for r in rows] == [0]
 
 
+def test_a_copy_beside_another_version_is_caught(spark):
+    items = spark.createDataFrame([(1, ITEM)], "item_id bigint, text string")
+    other, third = ITEM.replace("120", "360").replace("80", "90"), ITEM.replace("120", "7").replace("80", "5").replace("red", "very old red")
+    texts = [f"{ITEM} {other}", f"{other} Then again. {third}", f"{other} {other.replace('360', '11')} {ITEM}"]
+    for sent in (10**6, 0):
+        rows = {r.doc_id: r for r in decontamination.contaminated(docs_of(spark, texts), items, sent_windows=sent).collect()}
+        assert set(rows) == {0, 1, 2} and rows[0].same_values and not rows[1].same_values and rows[2].same_values
+
+
 def test_benchmark_passages_of_the_given_tables(spark):
     folder = "/root/testdata/sf0.01"
     rows = {(r.doc_id, r.item_id) for r in QUERIES["op8_benchmark_decontamination"](spark, folder).collect()}
