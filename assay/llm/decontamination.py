@@ -12,18 +12,22 @@ item's windows, or ``RUN`` of them, with consistent values. Occurrences are the
 distance between document and item, those between two places where the item begins anew, and
 all matches of the document, so neither other versions nor inserted words hide a copy.
 
+All windows are hashed a second time, with their lower-cased words as they are, so copies match
+that have too few plain words or are written in capitals.
+
 Only windows whose hash the benchmark has are joined. For that the hashes are broadcast if the
 benchmark has at most ``SENT_WINDOWS`` windows (the count is taken first); a larger
 benchmark is joined with all windows of the documents instead, with the same result.
 
 Cases: NULL, empty and wordless texts and rows without an id match nothing. An item of
-fewer than ``WINDOW`` tokens is one window of its own length; one without enough words is never
-matched. Repeated items and documents are counted once. Texts of any length are read whole.
+fewer than ``WINDOW`` tokens is one window of its own length. Without enough words only verbatim copies
+match. Repeated items and documents are counted once. Texts of any length are read whole.
 """
 
 from __future__ import annotations
 
 import re
+from itertools import product
 
 import numpy as np
 import pyarrow as pa
@@ -68,7 +72,7 @@ def token(raw: str) -> tuple[int, bool, bool, str]:
 
 
 def _tokens(lists: pa.Array):
-    """(kind, hash of the template token, value index, values, sizes) of all words of a batch that have a value."""
+    """(kind, hash of the template token, value index, values, sizes, hash of the value) of all words of a batch that have a value."""
     coded = lists.flatten().dictionary_encode()
     facts = [token(w) for w in coded.dictionary.to_pylist()]
     used = coded.indices.to_numpy()
@@ -81,25 +85,25 @@ def _tokens(lists: pa.Array):
     own = np.array([xxh64_intdigest(f[3]) for f in facts], np.uint64)[used]
     hashed = np.where(kind == _WORD, own, kind.astype(np.uint64))
     some = np.array([f[3] != "" for f in facts], bool)[used]
-    return kind[some], hashed[some], used[some], [f[3] for f in facts], np.bincount(text[some], minlength=len(sizes))
+    return kind[some], hashed[some], used[some], [f[3] for f in facts], np.bincount(text[some], minlength=len(sizes)), own[some]
 
 
-def _windows(kind: np.ndarray, hashed: np.ndarray, sizes: np.ndarray, width: int):
-    """(number of the text, first token, hash) of the windows of ``width`` tokens that have enough words."""
+def _windows(kind: np.ndarray, hashed: np.ndarray, sizes: np.ndarray, width: int, exact: bool):
+    """(number of the text, first token, hash) of the windows of ``width`` tokens: all if ``exact``, or those that have enough words."""
     counts = np.maximum(sizes - width + 1, 0)
     text = np.repeat(np.arange(len(sizes)), counts)
     first = np.arange(len(text)) + np.repeat((np.cumsum(sizes) - sizes) - (np.cumsum(counts) - counts), counts)
     words = np.concatenate([[0], np.cumsum(kind == _WORD)])
-    good = words[first + width] - words[first] >= min(LITERALS, width)
+    good = (words[first + width] - words[first] >= min(LITERALS, width)) | exact
     text, first = text[good], first[good]
-    rolled = np.full(len(first), np.uint64(width))
+    rolled = np.full(len(first), np.uint64(width + (exact << 32)))
     for i in range(width):
         rolled = (rolled ^ hashed[first + i]) * _FACTOR
         rolled ^= rolled >> np.uint64(29)
     return text, first, rolled.view(np.int64)
 
 
-_FOUND = "id bigint, part bigint, pos int, n_windows int, slots array<string>"
+_FOUND = "id bigint, part bigint, pos int, n_windows int, slots array<string>, exact boolean"
 
 
 def _reader(widths: list[int], sent=None, items: bool = False):
@@ -108,11 +112,11 @@ def _reader(widths: list[int], sent=None, items: bool = False):
     def read(batches):
         known = sent.value if sent is not None else None
         for batch in batches:
-            kind, hashed, used, values, sizes = _tokens(batch.column(1))
+            kind, hashed, used, values, sizes, own = _tokens(batch.column(1))
             starts = np.cumsum(sizes) - sizes
-            for width in widths:
+            for width, exact in product(widths, (False, True)):
                 of = np.where((sizes == width) | (width == WINDOW), sizes, 0) if items else sizes
-                text, first, found = _windows(kind, hashed, sizes, width)
+                text, first, found = _windows(kind, own if exact else hashed, sizes, width, exact)
                 if items and width != WINDOW:
                     text, first, found = (v[of[text] == width] for v in (text, first, found))
                 n = np.bincount(text, minlength=len(sizes))
@@ -123,7 +127,7 @@ def _reader(widths: list[int], sent=None, items: bool = False):
                 for cut in range(0, len(text), 50_000):
                     t, f, h = (v[cut : cut + 50_000] for v in (text, first, found))
                     inside = f[:, None] + np.arange(width)
-                    slot = kind[inside] != _WORD
+                    slot = (kind[inside] != _WORD) & (not exact)  # values that are the same need no comparison
                     taken = pa.array([values[i] for i in used[inside[slot]]], pa.string())
                     bounds = np.concatenate([[0], np.cumsum(slot.sum(1))])
                     yield pa.RecordBatch.from_pydict(
@@ -133,6 +137,7 @@ def _reader(widths: list[int], sent=None, items: bool = False):
                             "pos": pa.array((f - starts[t]).astype(np.int32)),
                             "n_windows": pa.array(n[t].astype(np.int32)),
                             "slots": pa.ListArray.from_arrays(pa.array(bounds, pa.int32()), taken),
+                            "exact": pa.array(np.full(len(t), exact)),
                         }
                     )
 
@@ -160,7 +165,7 @@ def contaminated(docs: DataFrame, items: DataFrame, doc_id: str = "doc_id", item
     lengths = texts.mapInArrow(_short_items, "n int").distinct().collect()  # at most WINDOW + 1 numbers
     widths = sorted({WINDOW} | {row.n for row in lengths if row.n})
     theirs, _ = store(texts.mapInArrow(_reader(widths, items=True), _FOUND), "benchmark-windows")
-    theirs = theirs.select("part", F.col("id").alias("item_id"), F.col("pos").alias("item_pos"), F.col("n_windows").alias("item_windows"), F.col("slots").alias("item_slots"))
+    theirs = theirs.select("part", F.col("id").alias("item_id"), F.col("pos").alias("item_pos"), F.col("n_windows").alias("item_windows"), F.col("slots").alias("item_slots"), "exact")
     parts = theirs.select("part").distinct()
     sent = None
     if parts.count() <= sent_windows:
@@ -171,7 +176,7 @@ def contaminated(docs: DataFrame, items: DataFrame, doc_id: str = "doc_id", item
     if sent is not None:
         ours, _ = store(ours, "benchmark-hits")
     pairs = F.zip_with("item_slots", "slots", lambda a, b: F.struct(a.alias("a"), b.alias("b")))
-    joined = ours.join(theirs, "part").select("doc_id", "item_id", "pos", "item_pos", "item_windows", pairs.alias("pairs"))
+    joined = ours.join(theirs, "part").select("doc_id", "item_id", "pos", "item_pos", "item_windows", "exact", pairs.alias("pairs"))
     in_order = Window.partitionBy("doc_id", "item_id").orderBy("pos", "item_pos")
     last, last_pos = F.lag("item_pos").over(in_order), F.lag("pos").over(in_order)
     anew = F.coalesce((F.col("item_pos") < last) | ((F.col("item_pos") == last) & (F.col("pos") > last_pos)), F.lit(False))
@@ -180,11 +185,13 @@ def contaminated(docs: DataFrame, items: DataFrame, doc_id: str = "doc_id", item
     occurrence = F.explode(F.array(*[F.struct(F.lit(kind).alias("kind"), number.alias("number")) for kind, number in kinds]))
     grouped = joined.withColumn("occurrence", occurrence).groupBy("doc_id", "item_id", "occurrence").agg(
         F.countDistinct("item_pos").alias("n_windows"),
-        F.max("item_windows").alias("item_windows"),
+        F.countDistinct(F.when(~F.col("exact"), F.col("item_pos"))).alias("n_templates"),
+        F.max(F.when(~F.col("exact"), F.col("item_windows"))).alias("templates"),
+        F.max(F.when(F.col("exact"), F.col("item_windows"))).alias("windows"),
         F.array_distinct(F.flatten(F.collect_set("pairs"))).alias("pairs"),
     )
     consistent = F.size(F.array_distinct(F.transform("pairs", lambda p: p["a"]))) == F.size("pairs")
-    coverage = F.col("n_windows") / F.col("item_windows")
+    coverage = F.greatest(F.col("n_templates") / F.col("templates"), F.col("n_windows") / F.col("windows"))
     passed = grouped.filter(consistent & ((coverage >= COVERAGE) | (F.col("n_windows") >= RUN)))
     best = F.max(F.struct("n_windows", coverage.alias("coverage"), F.forall("pairs", lambda p: p["a"] == p["b"]).alias("same_values")))
     return passed.groupBy("doc_id", "item_id").agg(best.alias("best")).select("doc_id", "item_id", "best.*")

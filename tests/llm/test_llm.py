@@ -327,6 +327,15 @@ def test_a_copy_beside_another_version_is_caught(spark):
         assert set(rows) == {0, 1, 2} and rows[0].same_values and not rows[1].same_values and rows[2].same_values
 
 
+def test_copies_without_enough_plain_words_are_caught(spark):
+    texts = ["What is 12 times 7?", "3 4 5 6 7 8 9 10 11 12 13 14", "Ask Anna, Ben Carl Dora Emil Fritz Gina Hugo Ida now", ITEM]
+    items = spark.createDataFrame(list(enumerate(texts)), "item_id bigint, text string")
+    docs = [*(f"Some words first. {t} And others behind it." for t in texts), ITEM.upper(), ITEM.title(), "What is 13 times 7?", *ODD]
+    for sent in (10**6, 0):
+        rows = decontamination.contaminated(docs_of(spark, docs), items, sent_windows=sent).collect()
+        assert {(r.doc_id, r.item_id) for r in rows} == {(0, 0), (1, 1), (2, 2), (3, 3), (4, 3), (5, 3)}
+
+
 def test_benchmark_passages_of_the_given_tables(spark):
     folder = "/root/testdata/sf0.01"
     rows = {(r.doc_id, r.item_id) for r in QUERIES["op8_benchmark_decontamination"](spark, folder).collect()}
