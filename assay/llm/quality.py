@@ -12,7 +12,9 @@ size depends neither on the corpus nor on a frequent 4-gram. What comes back is
 document and shard.
 
 A document is kept up to the perplexity that ``QUANTILE`` of the trusted documents of its
-language stay below, times ``SLACK``; a language without trusted documents takes all of them.
+language stay below. These are held out: a fifth of the trusted documents is not counted. A
+language without any takes those of all languages; where none is held out, or all are, the
+trusted documents are counted and judged alike.
 
 Cases: NULL, empty and blank texts have no perplexity and are not kept. Rows that repeat
 an id are one document; rows without an id are left out. Without trusted text nothing is
@@ -27,14 +29,14 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from assay.llm.common import in_pieces
+from assay.llm.common import held_out, in_pieces
 from assay.plans.storing import store
 
 ORDER = 4
 PIECE = 1 << 21
 SHARD = 1_000_000
 GROUP_BYTES = 32 << 20
-QUANTILE, SLACK = 0.99, 1.25
+QUANTILE = 0.99
 SENT_IDS = 4_000_000
 SENT_LANGUAGES = 100_000
 _START, _END = "\x02" * (ORDER - 1), "\x03"
@@ -237,10 +239,17 @@ def perplexities(docs: DataFrame, trusted: DataFrame, doc_id: str = "doc_id", te
 
 def classify(docs: DataFrame, trusted: DataFrame, doc_id: str = "doc_id", text: str = "text", lang: str = "lang") -> DataFrame:
     """``doc_id``, ``lang``, ``perplexity``, ``highest`` that the language allows, ``kept``."""
-    scores, _ = store(perplexities(docs, trusted, doc_id, text), "perplexities")
+    out = held_out(doc_id)
+    ids = docs.filter(F.col(text).rlike(r"\S")).select(F.col(doc_id).cast("long").alias(doc_id))
+    good = trusted.select(F.col(doc_id).cast("long").alias(doc_id)).filter(F.col(doc_id).isNotNull()).distinct().join(ids, doc_id, "left_semi")
+    good, seen = store(good, "trusted-texts", n=F.count("*"), out=F.count_if(out))
+    split = 0 < seen["out"] < seen["n"]
+    learnt = good.filter(~out) if split else good
+    judged = (good.filter(out) if split else good).select(F.col(doc_id).alias("doc_id"), F.lit(True).alias("judged"))
+    scores, _ = store(perplexities(docs, learnt, doc_id, text).drop("trusted").join(judged, "doc_id", "left"), "perplexities")
     named = docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(lang).alias("lang")).filter("doc_id IS NOT NULL")
     rows, _ = store(named.groupBy("doc_id").agg(F.min("lang").alias("lang")).join(scores, "doc_id", "left"), "quality")
-    limit = F.percentile_approx(F.when(F.col("trusted"), F.col("perplexity")), QUANTILE, 10_000) * SLACK
+    limit = F.percentile_approx(F.when(F.col("judged"), F.col("perplexity")), QUANTILE, 10_000)
     by_language = rows.groupBy(F.coalesce("lang", F.lit("")).alias("of")).agg(limit.alias("own"))
     by_language, seen = store(by_language, "quality-limits", n=F.count("*"))
     if seen["n"] <= SENT_LANGUAGES:  # a language may have most of the rows: they stay where they are

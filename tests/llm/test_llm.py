@@ -436,6 +436,15 @@ def test_quality_keeps_what_reads_like_trusted_text(spark):
     assert quality.classify(docs.limit(0), none).count() == 0
 
 
+def test_quality_limit_is_the_quantile_of_held_out_trusted_text(spark):
+    folder = "/root/testdata/sf0.01"
+    labels = spark.read.parquet(f"{folder}/labels.parquet")
+    rows = QUERIES["op3_quality"](spark, folder).join(labels.filter("quality = 1").select("doc_id", held_out().alias("out")).distinct(), "doc_id").toPandas()
+    for _, mine in rows[rows.perplexity.notna()].groupby("lang"):
+        out = mine[mine.out]
+        assert not len(out) or mine.highest.iloc[0] <= out.perplexity.max() * (1 + 1e-9)
+
+
 def test_pipeline_stages(spark):
     import corpus_pipeline
 
