@@ -6,11 +6,14 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from assay.llm import (
+    alignment,
     byte_bpe,
+    cover_tree,
     decontamination,
     embedding_dedup,
     language_id,
     licences,
+    prefix_trie,
     quality,
     simhash,
     substring_dedup,
@@ -108,3 +111,20 @@ def op8_benchmark_decontamination(spark, folder):
 def op3_quality(spark, folder):
     docs, labels = table(spark, folder, "documents"), table(spark, folder, "labels")
     return quality.classify(docs, labels.filter("quality = 1"))
+
+
+@query
+def op11_token_alignment(spark, folder):
+    return alignment.align(table(spark, folder, "documents"), tokenizer("byte_bpe_50k.json"), tokenizer("piece_bpe_32k.model"))
+
+
+@query
+def op12_top_k_search(spark, folder):
+    vectors = table(spark, folder, "embeddings").select("vec_id", "embedding")
+    return cover_tree.top_k(cover_tree.stepped(vectors), F.col("vec_id") % 100 == 0)
+
+
+@query
+def op13_prefix_trie(spark, folder):
+    turns = prefix_trie.rebuilt(prefix_trie.conversations(table(spark, folder, "conversations")))
+    return prefix_trie.trie(turns)
