@@ -180,22 +180,39 @@ def progress_stream(t: Tables):
     states = scratch_dir(t.spark, "job-state")
     feed = _as_stream(t, X.progress_log(t), "progress-feed")
     progress.progress_stream(feed, states, order=ORDER).awaitTermination()
-    return _job_state(t, states)
+    return progress.current_state(t.spark, states).select("job_id", "phase", "current_file", "total_bytes", "completed_bytes")
 
 
-@query(JOB_STATE)
-def throttled_updates(t: Tables):
-    states = scratch_dir(t.spark, "job-state")
-    feed = _as_stream(t, X.progress_log(t), "progress-feed")
-    live = progress.progress_stream(feed, states, order=ORDER, every="1 second")
-    live.processAllAvailable()
-    live.stop()
-    return _job_state(t, states)
+APART = 6 * 3600
 
 
-def _job_state(t: Tables, states: str):
-    return progress.current_state(t.spark, states).select(
-        "job_id", "phase", "current_file", "total_bytes", "completed_bytes"
+@query(
+    PROGRESS.replace("WITH ", "WITH RECURSIVE ", 1).rstrip()
+    + f""",
+placed AS (SELECT *, row_number() OVER (PARTITION BY job_id ORDER BY ts, event_id) AS position FROM progressed),
+due(job_id, position, ts) AS (
+  SELECT job_id, position, ts FROM placed WHERE position = 1
+  UNION ALL
+  SELECT p.job_id, p.position, p.ts
+  FROM (SELECT d.job_id, min(p.position) AS position
+        FROM due d JOIN placed p ON p.job_id = d.job_id AND p.position > d.position
+        WHERE p.kind = 'Phase' OR epoch_us(p.ts) - epoch_us(d.ts) > {APART}000000 GROUP BY d.job_id) n
+  JOIN placed p USING (job_id, position)),
+states AS (
+  SELECT job_id, position, ts, kind, total_bytes, completed_bytes,
+         last_value(CASE WHEN kind = 'Phase' THEN phase END IGNORE NULLS) OVER w AS phase,
+         last_value(CASE WHEN kind = 'CurrentFile' THEN file END IGNORE NULLS) OVER w AS current_file
+  FROM placed WINDOW w AS (PARTITION BY job_id ORDER BY position ROWS UNBOUNDED PRECEDING))
+SELECT job_id, s.position AS n_events, epoch_us(s.ts) AS at_us, kind = 'Phase' AS phase_changed, phase, current_file, total_bytes, completed_bytes
+FROM due JOIN states s USING (job_id, position)"""
+)
+def throttled_updates(t: Tables):
+    """The given events are hours apart, so updates are at most every six hours here."""
+    place = scratch_dir(t.spark, "job-updates")
+    feed = _as_stream(t, X.progress_log(t), "progress-feed")
+    progress.throttled_updates(feed, place, order=ORDER, seconds=APART).awaitTermination()
+    return progress.kept_rows(t.spark, place).select(
+        "job_id", "n_events", F.unix_micros("at").alias("at_us"), "phase_changed", "phase", "current_file", "total_bytes", "completed_bytes"
     )
 
 

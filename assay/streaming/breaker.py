@@ -1,15 +1,67 @@
-"""The failure circuit breaker as a live alert."""
+"""The failure circuit breaker as a live alert, on Spark's own keyed state."""
 
 from __future__ import annotations
 
 from collections.abc import Callable, Sequence
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import DataFrame, SparkSession, functions as F
-from pyspark.sql.streaming import StreamingQuery
+from pyspark.sql.streaming import StatefulProcessor, StreamingQuery
 
-from assay.operators.runs import FAILURE_LIMIT, breaker_positions
-from assay.streaming.progress import throttled_updates
-from assay.streaming.state import VersionedState
+from assay.operators.runs import FAILURE_LIMIT
+from assay.streaming.progress import kept_rows, start
+
+
+class FollowRuns(StatefulProcessor):
+    """A run's position and open streak; the row it stops at is emitted once, in the micro-batch it happens."""
+
+    def __init__(self, run: str, order: Sequence[str], limit: int, reset_on_skip: bool):
+        self.run, self.order, self.limit, self.reset_on_skip = run, list(order), limit, reset_on_skip
+
+    def init(self, handle) -> None:
+        self.state = handle.getValueState("run", "n_seen bigint, streak bigint, stopped boolean")
+
+    def handleInputRows(self, key, rows, timerValues):
+        seen, streak, stopped = self.state.get() or (0, 0, False)
+        if stopped:  # what a stopped run still sends changes nothing
+            return
+        log = pd.concat(list(rows), ignore_index=True).sort_values(self.order, kind="stable")
+        at, streak = stop_of(log, streak, self.limit, self.reset_on_skip)
+        self.state.update((seen + len(log), streak, at is not None))
+        if at is not None:
+            yield pd.DataFrame({self.run: [key[0]], "stop_position": [seen + at]})
+
+    def close(self) -> None:
+        pass
+
+
+def stop_of(log: pd.DataFrame, streak: int, limit: int, reset_on_skip: bool) -> tuple[int | None, int]:
+    """The 1-based row an ordered log stops at, or None, and the streak open after it; ``streak`` was open before."""
+    status = log["status"]
+    fails = (status == "FAIL").to_numpy()
+    resets = ((status == "OK") | (reset_on_skip & (status == "SKIP"))).to_numpy()
+    counted = np.concatenate([[streak], streak + np.cumsum(fails)])
+    # failures counted up to the last reset; before any, the open streak goes on
+    base = np.maximum.accumulate(np.where(np.concatenate([[False], resets]), counted, 0))
+    streaks = (counted - base)[1:]
+    trips = fails & (streaks >= limit)
+    if "error_class" in log:
+        trips |= fails & (log["error_class"] == "DEVICE").to_numpy()
+    stops = np.flatnonzero(trips)
+    return (int(stops[0]) + 1 if len(stops) else None), int(streaks[-1]) if len(streaks) else streak
+
+
+def run_stops(log: DataFrame, run: str = "run_id", order: Sequence[str] = ("seq",), limit: int = FAILURE_LIMIT, reset_on_skip: bool = False) -> DataFrame:
+    """A stream of log rows as a stream of ``(run, stop_position)``, each run at most once.
+
+    Rows of a run have to arrive in order from micro-batch to micro-batch; within one they
+    may be in any order. Rows without a run belong to none.
+    """
+    wanted = [c for c in dict.fromkeys([run, *order, "status", "error_class"]) if c in log.columns]
+    schema = f"{run} {log.schema[run].dataType.simpleString()}, stop_position bigint"
+    follow = FollowRuns(run, order, limit, reset_on_skip)
+    return log.filter(F.col(run).isNotNull()).select(wanted).groupBy(run).transformWithStateInPandas(follow, schema, "Append", "None")
 
 
 def stream_breaker(
@@ -22,43 +74,10 @@ def stream_breaker(
     every: str | None = None,
     alert: Callable[[DataFrame], None] | None = None,
 ) -> StreamingQuery:
-    """Follow each run's streak of failures across micro-batches.
-
-    State per run: rows seen, the streak still open, and the position the run stopped
-    at. ``alert`` is handed the runs that tripped in a batch. Rows of a run have to
-    arrive in order from batch to batch.
-    """
-    state = VersionedState(log.sparkSession, f"{folder}/state")
-
-    def fold(batch: DataFrame, batch_id: int) -> None:
-        before = state.read(before=batch_id)
-        placed = breaker_positions(batch, run, order, limit, reset_on_skip, before=before)
-        seen = placed.groupBy(run).agg(
-            F.max("position").alias("n_seen"),
-            F.max_by("streak", "position").alias("open_streak"),
-            F.min(F.when(F.col("trips"), F.col("position"))).alias("stop_position"),
-        )
-        if before is not None:
-            old = before.select(run, *[F.col(c).alias(f"old_{c}") for c in before.columns if c != run])
-            joined = old.join(seen, run, "full_outer")
-            seen = joined.select(
-                run,
-                F.coalesce("n_seen", "old_n_seen").alias("n_seen"),
-                F.coalesce("open_streak", "old_open_streak").alias("open_streak"),
-                F.coalesce("old_stop_position", "stop_position").alias("stop_position"),
-            )
-        state.write(seen, batch_id)
-        if alert:
-            now = state.read().filter("stop_position IS NOT NULL")
-            fresh = now if before is None else now.join(before.filter("stop_position IS NOT NULL"), run, "left_anti")
-            if not fresh.isEmpty():
-                alert(fresh)
-
-    writer = log.writeStream.foreachBatch(fold).option("checkpointLocation", f"{folder}/offsets")
-    return throttled_updates(writer, every).start()
+    """Keep the stops below ``folder`` and hand them to ``alert`` as they happen."""
+    return start(run_stops(log, run, order, limit, reset_on_skip), folder, every, alert)
 
 
 def tripped_runs(spark: SparkSession, folder: str) -> DataFrame:
     """Runs that stopped, and where."""
-    state = VersionedState(spark, f"{folder}/state").read()
-    return state.filter("stop_position IS NOT NULL").select(state.columns[0], "stop_position")
+    return kept_rows(spark, folder)

@@ -9,7 +9,6 @@ from pyspark.sql import DataFrame
 from pyspark.sql.streaming import StreamingQuery
 
 from assay.operators.manifests import digest_entries
-from assay.streaming.progress import throttled_updates
 
 
 def _first_of_batch(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -34,4 +33,4 @@ def stream_checksum(
         .option("path", target)
         .option("checkpointLocation", f"{target.rstrip('/')}.offsets")
     )
-    return throttled_updates(writer, every).start()
+    return (writer.trigger(processingTime=every) if every else writer.trigger(availableNow=True)).start()

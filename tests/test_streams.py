@@ -1,5 +1,9 @@
 import random
+import time
+from collections import Counter
+from datetime import datetime, timedelta
 
+import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
@@ -10,11 +14,11 @@ from assay.streaming import breaker, checksum, progress
 LOG = "run_id int, seq long, status string"
 
 
-def feed(spark, folder, batches, schema):
+def feed(spark, folder, batches, schema, first=0):
     """One file per batch, in order, read one file at a time."""
     import os
 
-    for number, rows in enumerate(batches):
+    for number, rows in enumerate(batches, first):
         part = f"{folder}/staged-{number}"
         spark.createDataFrame(rows, schema).coalesce(1).write.json(part)
         os.makedirs(f"{folder}/in", exist_ok=True)
@@ -24,40 +28,73 @@ def feed(spark, folder, batches, schema):
     return spark.readStream.schema(schema).option("maxFilesPerTrigger", 1).json(f"{folder}/in")
 
 
+def expected_stops(spark, rows, reset_on_skip=False):
+    batch = runs.failure_circuit_breaker(spark.createDataFrame([r for r in rows if r[0] is not None], LOG), reset_on_skip=reset_on_skip)
+    return {r.run_id: r.stop_position for r in batch.filter("stop_position IS NOT NULL").collect()}
+
+
 @pytest.mark.parametrize("reset_on_skip", [False, True])
-def test_breaker_across_batches(spark, tmp_path, reset_on_skip):
+def test_breaker_across_batches_and_restarts(spark, tmp_path, reset_on_skip):
     rng = random.Random(3)
-    rows = [(rng.choice([0, 0, 1, 2]), n, rng.choices(["FAIL", "OK", "SKIP"], [6, 2, 2])[0]) for n in range(300)]
-    batches = [rows[n : n + 40] for n in range(0, 300, 40)]
-    alerts = []
-    stream = feed(spark, str(tmp_path), batches, LOG)
-    query = breaker.stream_breaker(
-        stream, str(tmp_path / "state"), reset_on_skip=reset_on_skip, alert=lambda df: alerts.extend(df.collect())
-    )
-    query.awaitTermination()
-    batch = runs.failure_circuit_breaker(spark.createDataFrame(rows, LOG), reset_on_skip=reset_on_skip)
-    expected = {r.run_id: r.stop_position for r in batch.filter("stop_position IS NOT NULL").collect()}
-    got = {r.run_id: r.stop_position for r in breaker.tripped_runs(spark, str(tmp_path / "state")).collect()}
-    assert got == expected
-    assert {r.run_id for r in alerts} == set(expected) and len(alerts) == len(expected)
+    rows = [(rng.choice([0, 0, 1, 2, None]), n, rng.choices(["FAIL", "OK", "SKIP"], [6, 2, 2])[0]) for n in range(300)]
+    rows += [(7, 400 + n, "FAIL") for n in range(9)]  # this run is cut between its third and fourth failure
+    batches = [rows[:100], rows[100:303], rows[303:]]
+    for batch in batches:
+        rng.shuffle(batch)
+    alerts, folder = [], str(tmp_path / "state")
+    for n, some in ((0, batches[:2]), (2, batches[2:])):  # a new query: state and position come from the folder
+        stream = feed(spark, str(tmp_path), some, LOG, first=n)
+        query = breaker.stream_breaker(stream, folder, reset_on_skip=reset_on_skip, alert=lambda df: alerts.extend(df.collect()))
+        query.awaitTermination()
+        if n == 0:
+            assert 7 not in {r.run_id for r in alerts}
+    expected = expected_stops(spark, rows, reset_on_skip)
+    assert {r.run_id: r.stop_position for r in breaker.tripped_runs(spark, folder).collect()} == expected
+    assert expected[7] == 5 and len(alerts) == len(expected) == breaker.tripped_runs(spark, folder).count()
+
+
+def test_breaker_stops_in_the_batch_it_happens(spark, tmp_path):
+    rows = [(1, n, "FAIL") for n in range(12)]
+    seen = []
+    stream = feed(spark, str(tmp_path), [rows[:3], rows[3:6], rows[6:]], LOG)
+    query = breaker.run_stops(stream).writeStream.outputMode("append").option("checkpointLocation", str(tmp_path / "c"))
+    query.foreachBatch(lambda df, n: seen.extend((n, *r) for r in df.collect())).trigger(availableNow=True).start().awaitTermination()
+    assert seen == [(1, 1, 5)]
+
+
+def test_device_failure_stops_at_once():
+    log = pd.DataFrame({"status": ["OK", "FAIL", "FAIL"], "error_class": [None, "FILE", "DEVICE"]})
+    assert breaker.stop_of(log, 0, 5, False) == (3, 2)
+    assert breaker.stop_of(log.iloc[1:2], 4, 5, False) == (1, 5)
+    assert breaker.stop_of(log.iloc[:0], 2, 5, False) == (None, 2)
 
 
 PROGRESS = PROGRESS_EVENT
 
 
-def test_progress_across_batches(spark, tmp_path):
-    rng = random.Random(5)
+def job_events(rng, n):
     kinds = ["TotalBytes", "BytesAdvanced", "BytesAdvanced", "CurrentFile", "Phase", "Log", "CooldownLeft"]
-    rows = [
-        (rng.choice("aab"), n, None, rng.choice(kinds), f"p{n}", rng.randint(0, 99) * (1 if n % 3 else 4), f"f{n}", "Info", f"m{n}")
-        for n in range(240)
-    ]
-    stream = feed(spark, str(tmp_path), [rows[n : n + 50] for n in range(0, 240, 50)], PROGRESS)
-    updates = []
-    progress.progress_stream(
-        stream, str(tmp_path / "state"), keep_lines=4, report=lambda state: updates.append(state.count())
-    ).awaitTermination()
-    got = {row.job_id: row for row in progress.current_state(spark, str(tmp_path / "state")).collect()}
+    start = datetime(2024, 1, 1)
+    rows = []
+    for i in range(n):
+        kind = rng.choice(kinds)
+        ts = start + timedelta(milliseconds=130 * i + rng.randrange(100))
+        rows.append((rng.choice("aab"), i, ts, kind, f"p{i}", rng.randint(0, 99) * (1 if i % 3 else 4), f"f{i}", "Info", f"m{i}"))
+    return rows
+
+
+def test_progress_across_batches_and_a_restart(spark, tmp_path):
+    rng = random.Random(5)
+    rows = job_events(rng, 240)
+    batches = [rows[n : n + 50] for n in range(0, 240, 50)]
+    for batch in batches:
+        rng.shuffle(batch)
+    updates, folder = [], str(tmp_path / "state")
+    for first, some in ((0, batches[:2]), (2, batches[2:])):
+        stream = feed(spark, str(tmp_path), some, PROGRESS, first=first)
+        progress.progress_stream(stream, folder, keep_lines=4, report=lambda state: updates.append(state.count())).awaitTermination()
+    got = {row.job_id: row for row in progress.current_state(spark, folder).collect()}
+    rows.sort(key=lambda r: r[1])
     events = spark.createDataFrame(rows, PROGRESS)
     states = {row.job_id: row for row in runs.latest_state(events).collect()}
     totals = runs.running_progress(events).groupBy("job_id").agg(
@@ -68,11 +105,42 @@ def test_progress_across_batches(spark, tmp_path):
         assert (row.total_bytes, row.completed_bytes) == (t.total_bytes, t.completed_bytes)
         state = states[job_id]
         assert (row.phase, row.current_file, row.n_events) == (state.phase, state.current_file, state.n_events)
-        tail = [f"m{n}" for j, n, _, kind, *_ in rows if j == job_id and kind == "Log"][-4:]
-        assert [line.message for line in row.log] == tail
+        assert row.log == [f"m{n}" for j, n, _, kind, *_ in rows if j == job_id and kind == "Log"][-4:]
     assert len(updates) == 5
 
 
+def test_updates_on_phase_changes_or_after_a_second(spark, tmp_path):
+    rng = random.Random(6)
+    rows = job_events(rng, 200)
+    expected, last, seen = [], {}, Counter()
+    for job, n, ts, kind, *_ in rows:
+        seen[job] += 1
+        if kind == "Phase" or job not in last or ts - last[job] > timedelta(seconds=1):
+            last[job] = ts
+            expected.append((job, ts, kind == "Phase", seen[job]))
+    folder = str(tmp_path / "state")
+    for first, some in ((0, [rows[:70]]), (1, [rows[70:90], rows[90:]])):
+        stream = feed(spark, str(tmp_path), some, PROGRESS, first=first)
+        progress.throttled_updates(stream, folder, order=["seq"]).awaitTermination()
+    got = progress.kept_rows(spark, folder).select("job_id", "at", "phase_changed", "n_events").collect()
+    assert sorted(map(tuple, got)) == sorted(expected)
+
+
+def test_silent_jobs_show_their_last_state_by_a_timer(spark, tmp_path):
+    rows = [("a", n, None, "CurrentFile", None, None, f"f{n}", None, None) for n in range(3)]
+    seen, folder = [], str(tmp_path / "state")
+    stream = feed(spark, str(tmp_path), [rows[:1], rows[1:]], PROGRESS)
+    query = progress.throttled_updates(stream, folder, order=["seq"], clock="processing", seconds=4, every="0.2 seconds", report=lambda df: seen.extend(df.collect()))
+    try:
+        deadline = time.time() + 60
+        while time.time() < deadline and len(seen) < 2:
+            time.sleep(0.2)
+    finally:
+        query.stop()
+    assert [r.current_file for r in seen] == ["f0", "f2"]
+    assert (seen[1].at - seen[0].at).total_seconds() > 4
+
+
 def test_manifest_stream_writes_each_path_once_even_when_restarted(spark, tmp_path):
     schema = "path string, payload string, size long"
     rows = [(f"p{n % 30}" if n % 3 else "hot", f"x{n}", 1) for n in range(300)]
