@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, Observation
 
-from assay.session import scratch_dir
+from assay.session import scratch_dir, shared_dir
 
 
 def store(df: DataFrame, label: str, **metrics: Column) -> tuple[DataFrame, dict]:
@@ -20,3 +20,14 @@ def store(df: DataFrame, label: str, **metrics: Column) -> tuple[DataFrame, dict
         df = df.observe(seen, *[value.alias(name) for name, value in metrics.items()])
     df.write.parquet(place)
     return df.sparkSession.read.schema(schema).parquet(place), seen.get if metrics else {}
+
+
+def discard(*tables: DataFrame) -> None:
+    """Delete stored tables that nothing reads any more; call it once all that depends on them is stored itself."""
+    for table in tables:
+        files = table.inputFiles()
+        place = files[0].rpartition("/")[0] if files else ""
+        # only folders that scratch_dir made
+        if place.rstrip("/").removeprefix("file:").lstrip("/").startswith(shared_dir(table.sparkSession, "").removeprefix("file:").lstrip("/")):
+            path = table.sparkSession.sparkContext._jvm.org.apache.hadoop.fs.Path(place)
+            path.getFileSystem(table.sparkSession.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
