@@ -25,6 +25,7 @@ import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from assay.llm.common import free_name
 from assay.llm.token_counts import merges_left, words
 
 LONG_WORD = 256
@@ -65,7 +66,7 @@ class Codec:
         self.byte_ids = np.array([self.ids[bytes([b])] for b in range(256)], np.int32)
         self.known: dict[str, bytes] = {}
         self._pairs = None
-        self.db = duckdb.connect(config={"threads": 1, "memory_limit": "150MB"})
+        self.db = duckdb.connect(config={"threads": 1, "memory_limit": "150MB", "temp_directory": ""})
         left, right, merged = (np.array(v, np.int64) for v in zip(*self._splits(), strict=True))
         tables = {
             "merges": {"pair": left * 2**32 + right, "merged": merged},
@@ -156,18 +157,15 @@ def _encoded(codec: Codec, lists: pa.Array) -> pa.Array:
 
 
 def _decoded(codec: Codec, lists: pa.Array) -> pa.Array:
-    """The bytes of rows of token ids."""
-    out = [b""] * len(lists)
-    first = 0
-    for part in _parts(lists, TOKENS_AT_ONCE):
-        sizes = pc.fill_null(pc.list_value_length(part), 0).to_numpy()
-        text = np.repeat(np.arange(first, first + len(part)), sizes)
-        pos = np.arange(len(text)) - np.repeat(np.cumsum(sizes) - sizes, sizes)
-        got = codec.decode(text, pos, part.flatten())
+    """The bytes of rows of token ids, so many tokens at a time, wherever texts end."""
+    ends, flat = np.cumsum(pc.fill_null(pc.list_value_length(lists), 0).to_numpy(), dtype=np.int64), lists.flatten()
+    out: list[list[bytes]] = [[] for _ in range(len(lists))]
+    for start in range(0, len(flat), TOKENS_AT_ONCE):
+        pos = np.arange(start, min(start + TOKENS_AT_ONCE, len(flat)))
+        got = codec.decode(np.searchsorted(ends, pos, side="right"), pos, flat.slice(start, len(pos)))
         for i, value in zip(got["text"].to_pylist(), got["bytes"].to_pylist(), strict=True):
-            out[i] = value
-        first += len(part)
-    return pa.array(out, pa.binary())
+            out[i].append(value)
+    return pa.array([b"".join(parts) for parts in out], pa.binary())
 
 
 def encode(docs: DataFrame, ranks_path: str, text: str = "text", ids: str = "ids", decoded_as: str | None = None) -> DataFrame:
@@ -188,9 +186,10 @@ def encode(docs: DataFrame, ranks_path: str, text: str = "text", ids: str = "ids
 
     new = {ids.lower()} | ({decoded_as.lower()} if decoded_as else set())
     columns = [c for c in docs.columns if c.lower() not in new]
-    done = docs.select(*columns, encoded(words(text)).alias("_encoded"))
-    extra = [F.col("_encoded.bytes").alias(decoded_as)] if decoded_as else []
-    return done.select(*columns, F.col("_encoded.ids").alias(ids), *extra)
+    both = free_name("_encoded", docs)
+    done = docs.select(*columns, encoded(words(text)).alias(both))
+    extra = [F.col(f"{both}.bytes").alias(decoded_as)] if decoded_as else []
+    return done.select(*columns, F.col(f"{both}.ids").alias(ids), *extra)
 
 
 def decoded(docs: DataFrame, ranks_path: str, ids: str | Column = "ids") -> Column:

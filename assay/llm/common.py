@@ -51,6 +51,14 @@ def in_pieces(texts: Iterable[str], size: int, overlap: int = 0) -> Iterator[lis
         yield held
 
 
+def free_name(wanted: str, *frames: DataFrame) -> str:
+    """``wanted``, with underscores behind it until no column of the frames has that name."""
+    taken = {c.lower() for frame in frames for c in frame.columns}
+    while wanted.lower() in taken:
+        wanted += "_"
+    return wanted
+
+
 def local_roots(n: int, left: np.ndarray, right: np.ndarray) -> np.ndarray:
     """The smallest index that each of ``n`` nodes reaches over the edges (left, right)."""
     root = np.arange(n)

@@ -36,6 +36,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from xxhash import xxh64_intdigest
 
+from assay.llm.common import free_name
 from assay.llm.substring_dedup import words_of
 from assay.plans.storing import store
 
@@ -199,5 +200,6 @@ def contaminated(docs: DataFrame, items: DataFrame, doc_id: str = "doc_id", item
 
 def without_contaminated(docs: DataFrame, items: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
     """``docs`` without the contaminated ones."""
-    found = contaminated(docs, items, doc_id, text=text).select(F.col("doc_id").alias("_id")).distinct()
-    return docs.join(found, F.col(doc_id).cast("long") == F.col("_id"), "left_anti")
+    own = free_name("_id", docs)
+    found = contaminated(docs, items, doc_id, text=text).select(F.col("doc_id").alias(own)).distinct()
+    return docs.join(found, F.col(doc_id).cast("long") == F.col(own), "left_anti")

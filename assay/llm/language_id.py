@@ -22,7 +22,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from assay.llm.common import in_pieces
+from assay.llm.common import free_name, in_pieces
 
 ORDERS = 4
 BUCKET_BITS = 16
@@ -152,4 +152,5 @@ def predict(docs: DataFrame, model: LanguageModel, text: str = "text") -> DataFr
             yield pd.DataFrame({"lang_pred": names[best], "score": score})
 
     columns = [c for c in docs.columns if c.lower() not in ("lang_pred", "score")]
-    return docs.select(*columns, scored(letters(text)).alias("_scored")).select(*columns, "_scored.lang_pred", "_scored.score")
+    both = free_name("_scored", docs)
+    return docs.select(*columns, scored(letters(text)).alias(both)).select(*columns, f"{both}.lang_pred", f"{both}.score")

@@ -28,7 +28,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from xxhash import xxh64_intdigest
 
-from assay.llm.common import components, local_roots
+from assay.llm.common import components, free_name, local_roots
 from assay.plans.storing import store
 
 SEED = 42
@@ -122,9 +122,8 @@ def links(fingerprints: DataFrame, column: str = "bits") -> DataFrame:
     return below.select("trie", "members").mapInArrow(_walk, "a bigint, b bigint")
 
 
-def near_duplicates(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
-    """``doc_id``, ``fingerprint`` and ``component_id``, the smallest id reachable over links."""
-    rows, _ = store(docs.select(F.col(doc_id).alias("doc_id"), fingerprint(text).alias("bits")), "simhash")
+def _groups(rows: DataFrame) -> DataFrame:
+    """(bits, component, component_id) of all fingerprints of ``rows`` (doc_id, bits)."""
     classes, _ = store(rows.groupBy("bits").agg(F.min("doc_id").alias("first_id")), "simhash-classes")
     reached = components(links(classes), "a", "b")
     grouped = (
@@ -132,5 +131,24 @@ def near_duplicates(docs: DataFrame, doc_id: str = "doc_id", text: str = "text")
         .select("bits", "first_id", F.coalesce("component", "bits").alias("component"))
     )
     smallest = grouped.groupBy("component").agg(F.min("first_id").alias("component_id"))
-    named = grouped.join(smallest, "component").select("bits", "component_id")
-    return rows.join(named, "bits").select("doc_id", as_hex("bits").alias("fingerprint"), "component_id")
+    return grouped.join(smallest, "component").select("bits", "component", "component_id")
+
+
+def near_duplicates(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
+    """``doc_id``, ``fingerprint`` and ``component_id``, the smallest id reachable over links."""
+    rows, _ = store(docs.select(F.col(doc_id).alias("doc_id"), fingerprint(text).alias("bits")), "simhash")
+    return rows.join(_groups(rows), "bits").select("doc_id", as_hex("bits").alias("fingerprint"), "component_id")
+
+
+def one_of_each_group(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
+    """One row of ``docs`` for each component: the one with the smallest id, NULL last, then the smallest digest of its text.
+
+    Rows are judged one by one, each by its own fingerprint, whatever ids they share. Rows
+    equal in both id and text are copies of each other.
+    """
+    bits, row = free_name("_bits", docs), free_name("_row", docs)
+    rows, _ = store(docs.select("*", fingerprint(text).alias(bits), F.monotonically_increasing_id().alias(row)), "simhash-rows")
+    short = rows.select(F.col(doc_id).alias("doc_id"), F.col(bits).alias("bits"), F.col(row).alias("row"), F.md5(F.col(text).cast("binary")).alias("digest"))
+    order = F.struct(F.col("doc_id").isNull().alias("unnamed"), "doc_id", "digest", "row")
+    chosen = short.join(_groups(short), "bits").groupBy("component").agg(F.min(order).alias("first"))
+    return rows.join(chosen.select(F.col("first.row").alias(row)), row, "left_semi").select(docs.columns)

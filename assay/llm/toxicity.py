@@ -51,7 +51,8 @@ class ToxicityModel:
 
 def words_of(text: str | Column) -> Column:
     column = F.lower(F.coalesce(F.col(text) if isinstance(text, str) else text, F.lit("")))
-    return F.regexp_extract_all(column, F.lit(r"\p{N}*\p{L}[\p{L}\p{M}\p{N}]*(?:[*$][\p{L}\p{M}\p{N}]+)*"), F.lit(0))
+    # possessive: a repeated group that may give back recurses in the JVM, once per repeat
+    return F.regexp_extract_all(column, F.lit(r"\p{N}*+\p{L}[\p{L}\p{M}\p{N}]*+(?:[*$][\p{L}\p{M}\p{N}]++)*+"), F.lit(0))
 
 
 def subwords(words: list[str]) -> tuple[np.ndarray, np.ndarray]:

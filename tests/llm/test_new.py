@@ -12,7 +12,7 @@ import sentencepiece
 from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
-from assay.llm import alignment, cover_tree, prefix_trie
+from assay.llm import alignment, byte_bpe, cover_tree, decontamination, language_id, prefix_trie, simhash, substring_dedup, toxicity
 from assay.llm.queries import QUERIES
 from assay.llm.token_counts import byte_letters
 
@@ -259,3 +259,55 @@ def test_member_intervals():
             sharing = [i for i, s in enumerate(sequences) if s[:d] == sequence[:d]]
             found = [int(prefix_trie.extents(levels, np.array([row]), np.array([d]), left)[0]) for left in (True, False)]
             assert found == [sharing[0], sharing[-1]]
+
+
+def test_a_long_row_of_starred_words_is_scored(spark):
+    docs = spark.createDataFrame([(1, "a*" * 1_000_000), (2, "a$b c*d")], "doc_id bigint, text string")
+    assert [r.n for r in docs.select(F.size(toxicity.words_of("text")).alias("n")).collect()] == [1, 2]
+    model = toxicity.fit([["good", "fine"], ["bad*word", "vile"]] * 6, np.array([0, 1] * 6))
+    assert all(0 <= r.score <= 1 for r in toxicity.score(docs, model).collect())
+
+
+def test_long_texts_are_encoded_and_decoded(spark):
+    text = "alpha béta, " * 4_000_000
+    ranks = public_tokenizers.path("byte_bpe_multi_50k.tiktoken")
+    docs = spark.createDataFrame([(1,), (2,)], "doc_id bigint").withColumn("text", F.when(F.col("doc_id") == 1, F.repeat(F.lit("alpha béta, "), 4_000_000)).otherwise("x"))
+    rows = byte_bpe.encode(docs, ranks, decoded_as="back").select(F.size("ids").alias("n"), F.sha2("back", 256).alias("back")).collect()
+    assert rows[0].back == sha256(text.encode()).hexdigest() and rows[0].n > 12_000_000 and rows[1].n == 1
+
+
+def test_names_of_the_input_never_clash(spark):
+    text = " ".join(f"w{i}" for i in range(80))
+    names = ["_id", "_spans", "_encoded", "_scored", "_bits", "_row"]
+    rows = [(i, t, *[f"{n}{i}" for n in names]) for i, t in enumerate([text, f"before {text} after", None, ""])]
+    docs = spark.createDataFrame(rows, "doc_id bigint, text string, " + ", ".join(f"{n} string" for n in names))
+    items = spark.createDataFrame([(1, " ".join(f"w{i}" for i in range(30)))], "item_id bigint, text string")
+    cut = substring_dedup.remove_passages(docs, substring_dedup.repeated_passages(docs))
+    assert {r.doc_id: (r.text, r._id, r._spans) for r in cut.collect()}[1] == ("before after", "_id1", "_spans1")
+    assert sorted((r.doc_id, r._id) for r in decontamination.without_contaminated(docs, items).collect()) == [(2, "_id2"), (3, "_id3")]
+    encoded = byte_bpe.encode(docs, public_tokenizers.path("byte_bpe_multi_50k.tiktoken"), decoded_as="back")
+    assert {r.doc_id: r._encoded for r in encoded.collect()} == {i: f"_encoded{i}" for i in range(4)}
+    model = language_id.train(spark.createDataFrame([("the cat", "en"), ("der Hund", "de")], "text string, lang string"))
+    assert {r.doc_id: r._scored for r in language_id.predict(docs, model).collect()} == {i: f"_scored{i}" for i in range(4)}
+    assert {r.doc_id: (r._bits, r._row) for r in simhash.one_of_each_group(docs).collect()} == {0: ("_bits0", "_row0"), 2: ("_bits2", "_row2")}
+
+
+def test_one_row_of_each_group_stays(spark):
+    texts = ["one two three four five", "six seven eight nine ten", "clean words that nobody else has", "another text that stands alone"]
+    rows = [(5, texts[0]), (5, texts[1]), (None, texts[2]), (None, texts[3]), (1, texts[0]), (None, texts[1]), (7, texts[2].upper()), (8, texts[3]), (8, texts[3])]
+    docs = spark.createDataFrame([(*r, "x") for r in rows], "doc_id bigint, text string, component string")
+    got = sorted(map(tuple, simhash.one_of_each_group(docs).collect()), key=str)
+    assert got == sorted([(1, texts[0], "x"), (5, texts[1], "x"), (7, texts[2].upper(), "x"), (8, texts[3], "x")], key=str)
+    assert simhash.one_of_each_group(docs.limit(0)).count() == 0
+
+
+def test_the_pipeline_keeps_rows_that_share_an_id(spark):
+    import corpus_pipeline
+
+    given = spark.read.parquet(f"{FOLDER}/documents.parquet")
+    docs = given.withColumn("doc_id", F.when(F.col("doc_id") % 3 == 0, None).otherwise(F.col("doc_id") % 50)).withColumn("_id", F.lit(1))
+    kept = dict(corpus_pipeline.STAGES)["simhash_near_dedup"](spark, docs, FOLDER).select(simhash.fingerprint("text").alias("bits")).collect()
+    groups = simhash.near_duplicates(given).select("component_id").distinct().count()
+    assert len(kept) == groups
+    for name in ("substring_dedup", "benchmark_decontamination"):
+        assert dict(corpus_pipeline.STAGES)[name](spark, docs, FOLDER).columns == docs.columns
