@@ -6,16 +6,21 @@ from pyspark.sql import Column, DataFrame, functions as F
 
 from assay.functions.digests import digest_equal
 from assay.functions.paths import MANIFEST_NAME, is_reserved_first, path_parts, record_key
-from assay.operators.verify import by_path
+from assay.operators.verify import folded
 
 SKIP, COPY = "SKIP", "COPY"
 
 
 def resume_size_precheck(previous: DataFrame, destination: DataFrame) -> DataFrame:
-    """``(path, size_differs)``: both sizes known and different means copy, without hashing."""
-    recorded = by_path(previous, "size").withColumnRenamed("size", "recorded_size")
-    found = by_path(destination, "size").withColumnRenamed("size", "found_size")
-    return recorded.join(found, "path").select("path", _sizes_differ().alias("size_differs"))
+    """``(path, size_differs)``: two known sizes that differ, of either side, mean copy, without hashing."""
+    known = F.when(F.col("size") > 0, F.col("size"))
+
+    def side(rows: DataFrame, name: str) -> DataFrame:
+        return rows.groupBy("path").agg(F.min(known).alias(f"{name}_low"), F.max(known).alias(f"{name}_high"))
+
+    both = side(previous, "recorded").join(side(destination, "found"), "path")
+    differs = F.least("recorded_low", "found_low") != F.greatest("recorded_high", "found_high")
+    return both.select("path", F.coalesce(differs, F.lit(False)).alias("size_differs"))
 
 
 def _sizes_differ() -> Column:
@@ -30,18 +35,21 @@ def resume_plan(
 
     SKIP only when the entry is in the previous manifest, exists at the destination, and
     both contents still match the manifest. The inputs are ``(path, digest)`` tables; a
-    NULL digest means unreadable. All three meet on path, so each is shuffled once.
+    NULL digest means unreadable. A path whose rows disagree counts as changed on that side,
+    and a manifest that has two digests of a path can't vouch for either. All three meet on
+    path, so each is shuffled once.
     """
-    src = by_path(source, "digest", unique).withColumnRenamed("digest", "source_digest")
-    prev = by_path(previous, "digest", unique).withColumnRenamed("digest", "recorded")
-    dest = by_path(destination, "digest", unique).select("path", F.col("digest").alias("found"), F.lit(True).alias("exists"))
+    src = folded(source, "source_digest", "given", "source_mixed", unique)
+    prev = folded(previous, "recorded", "listed", "recorded_mixed", unique).drop("listed")
+    dest = folded(destination, "found", "exists", "found_mixed", unique)
     reason = (
-        F.when(F.col("recorded").isNull(), "new")
+        F.when(F.col("recorded_mixed"), "conflicting_records")
+        .when(F.col("recorded").isNull(), "new")
         .when(F.col("exists").isNull(), "missing_at_destination")
         .when(F.col("found").isNull(), "destination_unreadable")
-        .when(~digest_equal(F.col("found"), F.col("recorded")), "destination_changed")
+        .when(F.col("found_mixed") | ~digest_equal(F.col("found"), F.col("recorded")), "destination_changed")
         .when(F.col("source_digest").isNull(), "source_unreadable")
-        .when(~digest_equal(F.col("source_digest"), F.col("recorded")), "source_changed")
+        .when(F.col("source_mixed") | ~digest_equal(F.col("source_digest"), F.col("recorded")), "source_changed")
         .otherwise("verified")
     )
     planned = src.join(prev, "path", "left").join(dest, "path", "left")

@@ -10,21 +10,18 @@ OK, FAIL, MISSING, EXTRA, UNREADABLE = "OK", "FAIL", "MISSING", "EXTRA", "UNREAD
 DUPLICATE = "DUPLICATE"
 
 
-def one_per_path(rows: DataFrame, *columns: str) -> DataFrame:
-    """Reduce repeated paths to one row, the largest.
+def sizes_by_path(rows: DataFrame, low: str, high: str, unique: bool = False) -> DataFrame:
+    """Each path once, with the smallest and largest size among its rows.
 
     Repeats collapse before the shuffle, and the join that follows reuses the
     partitioning, so a path holding a third of all rows never meets itself.
     """
-    return rows.groupBy("path").agg(F.max(F.struct(*columns)).alias("row")).select("path", "row.*")
-
-
-def by_path(rows: DataFrame, column: str, unique: bool = False) -> DataFrame:
-    """``(path, column)`` with each path once; ``unique`` tells it already is."""
-    return rows.select("path", column) if unique else one_per_path(rows, column)
+    if unique:
+        return rows.select("path", F.col("size").alias(low), F.col("size").alias(high))
+    return rows.groupBy("path").agg(F.min("size").alias(low), F.max("size").alias(high))
 
 
-def _folded(rows: DataFrame, digest: str, present: str, mixed: str, unique: bool) -> DataFrame:
+def folded(rows: DataFrame, digest: str, present: str, mixed: str, unique: bool = False) -> DataFrame:
     """Each path once: its digest, NULL if any of its rows has none, and whether its rows disagree."""
     if unique:
         return rows.select("path", F.col("digest").alias(digest), F.lit(True).alias(present), F.lit(False).alias(mixed))
@@ -41,8 +38,8 @@ def _folded(rows: DataFrame, digest: str, present: str, mixed: str, unique: bool
 
 
 def _sides(expected: DataFrame, actual: DataFrame, unique: bool) -> tuple[DataFrame, DataFrame]:
-    left = _folded(expected, "expected", "listed", "listed_mixed", unique)
-    return left, _folded(actual, "actual", "found", "found_mixed", unique)
+    left = folded(expected, "expected", "listed", "listed_mixed", unique)
+    return left, folded(actual, "actual", "found", "found_mixed", unique)
 
 
 def _status(expected: Column, actual: Column, listed: Column, found: Column, mixed: Column) -> Column:
@@ -115,18 +112,19 @@ def sorted_problems(results: DataFrame) -> DataFrame:
 
 
 def status_summary(results: DataFrame, cancelled: bool = False) -> DataFrame:
-    """One row of counts; ``checked`` leaves out missing and extra entries."""
+    """One row of counts; ``checked`` leaves out missing and extra entries, all others add up to it."""
 
     def n(*statuses: str) -> Column:
         return F.count_if(F.col("status").isin(*statuses))
 
     return results.agg(
-        n(OK, FAIL, UNREADABLE).alias("checked"),
+        n(OK, FAIL, UNREADABLE, DUPLICATE).alias("checked"),
         n(OK).alias("ok"),
         n(FAIL).alias("fail"),
         n(MISSING).alias("missing"),
         n(EXTRA).alias("extra"),
         n(UNREADABLE).alias("hash_errors"),
+        n(DUPLICATE).alias("duplicates"),
         F.lit(False).alias("partial"),
         F.lit(cancelled).alias("cancelled"),
     )
@@ -140,6 +138,7 @@ def failed_summary(spark, error: str) -> DataFrame:
         F.lit(error).alias("error"),
         *columns,
         F.lit(1).cast("bigint").alias("hash_errors"),
+        F.lit(0).cast("bigint").alias("duplicates"),
         F.lit(False).alias("partial"),
         F.lit(False).alias("cancelled"),
     )
@@ -147,7 +146,7 @@ def failed_summary(spark, error: str) -> DataFrame:
 
 def problem_counts(results: DataFrame) -> DataFrame:
     """Problems per status and in total, for a one-sided check."""
-    problems = results.filter(F.col("status").isin(MISSING, FAIL, UNREADABLE))
+    problems = results.filter(F.col("status").isin(MISSING, FAIL, UNREADABLE, DUPLICATE))
     return (
         problems.rollup("status")
         .agg(F.count("*").alias("n"))
@@ -169,25 +168,38 @@ def generate_summary(entries: DataFrame, payload: str = "payload", cancelled: bo
 
 
 def manifest_bytes(manifest: DataFrame, actual: DataFrame) -> DataFrame:
-    """Bytes a verification will read: sizes at the destination, 0 where missing."""
-    sizes = manifest.select("path").distinct().join(by_path(actual, "size"), "path", "left")
+    """Bytes a verification will read: sizes at the destination, 0 where missing.
+
+    A path whose rows disagree about its size counts with the largest, and in ``n_mixed``.
+    """
+    sizes = manifest.select("path").distinct().join(sizes_by_path(actual, "low", "high"), "path", "left")
     return sizes.agg(
-        F.count("*").alias("n_entries"), F.coalesce(F.sum(F.coalesce("size", F.lit(0))), F.lit(0)).alias("total_bytes")
+        F.count("*").alias("n_entries"),
+        F.coalesce(F.sum(F.coalesce("high", F.lit(0))), F.lit(0)).alias("total_bytes"),
+        F.count_if(F.col("low") != F.col("high")).alias("n_mixed"),
     )
 
 
 def verify_copy(written: DataFrame, read_back: DataFrame) -> DataFrame:
-    """Entries whose digest when read back differs from the one taken while writing."""
-    left = by_path(written, "digest").withColumnRenamed("digest", "written")
-    right = by_path(read_back, "digest").withColumnRenamed("digest", "read_back")
-    return left.join(right, "path").filter(~digest_equal(F.col("written"), F.col("read_back")))
+    """Entries whose digest when read back differs from the one taken while writing.
+
+    So does every path whose rows disagree on either side: all digests known of it have to be one.
+    """
+    same = F.lower("digest")
+
+    def side(rows: DataFrame, name: str) -> DataFrame:
+        return rows.groupBy("path").agg(F.max("digest").alias(name), F.min(same).alias(f"{name}_low"), F.max(same).alias(f"{name}_high"))
+
+    both = side(written, "written").join(side(read_back, "read_back"), "path")
+    differ = F.least("written_low", "read_back_low") != F.greatest("written_high", "read_back_high")
+    return both.filter(differ).select("path", "written", "read_back")
 
 
 def byte_count_check(source: DataFrame, destination: DataFrame) -> DataFrame:
-    """Entries whose byte counts differ."""
-    left = by_path(source, "size").withColumnRenamed("size", "bytes_read")
-    right = by_path(destination, "size").withColumnRenamed("size", "bytes_written")
-    return left.join(right, "path").filter("bytes_read <> bytes_written")
+    """Entries whose byte counts differ, between the sides or among the rows of one."""
+    both = sizes_by_path(source, "least_read", "bytes_read").join(sizes_by_path(destination, "least_written", "bytes_written"), "path")
+    differ = F.least("least_read", "least_written") != F.greatest("bytes_read", "bytes_written")
+    return both.filter(differ).select("path", "bytes_read", "bytes_written")
 
 
 def final_reverify(manifest: DataFrame, actual: DataFrame, unique: bool = False) -> DataFrame:

@@ -59,6 +59,52 @@ def destination_entries(t: Tables) -> DataFrame:
     return there.unionByName(extra)
 
 
+# The same sides with repeated rows. Listed paths come again with the same digest in upper case (5: a) or
+# with another one and another size (5: b); found ones likewise (6: a, b), and again unreadable (6: c).
+
+REPEATS = """
+expected_rows AS (
+  SELECT path, md5(payload) AS digest, size FROM source
+  UNION ALL
+  SELECT path, CASE substr(md5(path), 5, 1) WHEN 'a' THEN upper(md5(payload)) ELSE md5(payload || 'y') END,
+         size + CASE substr(md5(path), 5, 1) WHEN 'a' THEN 0 ELSE 1 END
+  FROM source WHERE substr(md5(path), 5, 1) IN ('a', 'b')),
+actual_rows AS (
+  SELECT path, md5(payload) AS digest, size FROM destination
+  UNION ALL
+  SELECT path, CASE substr(md5(path), 6, 1) WHEN 'a' THEN upper(md5(payload)) WHEN 'b' THEN md5(payload || 'z') END,
+         size + CASE substr(md5(path), 6, 1) WHEN 'b' THEN 1 ELSE 0 END
+  FROM destination WHERE substr(md5(path), 6, 1) IN ('a', 'b', 'c')),
+listed AS (
+  SELECT path, count(DISTINCT lower(digest)) > 1 AS mixed, bool_or(digest IS NULL) AS unread, lower(min(digest)) AS digest, count(DISTINCT size) > 1 AS sizes_mixed
+  FROM expected_rows GROUP BY path),
+there AS (
+  SELECT path, count(DISTINCT lower(digest)) > 1 AS mixed, bool_or(digest IS NULL) AS unread, lower(min(digest)) AS digest, count(DISTINCT size) > 1 AS sizes_mixed
+  FROM actual_rows GROUP BY path),
+judged AS (
+  SELECT coalesce(l.path, t.path) AS path,
+         CASE WHEN t.path IS NULL THEN 'MISSING' WHEN l.path IS NULL THEN 'EXTRA' WHEN t.unread THEN 'UNREADABLE'
+              WHEN l.mixed OR t.mixed THEN 'DUPLICATE' WHEN l.digest = t.digest THEN 'OK' ELSE 'FAIL' END AS status
+  FROM listed l FULL OUTER JOIN there t ON l.path = t.path)"""
+
+
+def _again(rows: DataFrame, digit: int, letter: str) -> DataFrame:
+    """``(path, digest, size)`` of rows (path, payload, size), some of them a second time."""
+    fault, digest = draw(F.col("path"), digit), F.md5(F.col("payload").cast("binary"))
+    other = F.md5(F.concat("payload", F.lit(letter)).cast("binary"))
+    second = rows.filter(fault.isin("a", "b", "c") if letter == "z" else fault.isin("a", "b"))
+    second = second.select("path", F.when(fault == "a", F.upper(digest)).when(fault == "b", other).alias("digest"), (F.col("size") + (fault == "b").cast("int")).alias("size"))
+    return rows.select("path", digest.alias("digest"), "size").unionByName(second)
+
+
+def expected_rows(t: Tables) -> DataFrame:
+    return _again(source_entries(t), 5, "y")
+
+
+def actual_rows(t: Tables) -> DataFrame:
+    return _again(destination_entries(t), 6, "z")
+
+
 # The previous run recorded two thirds of the entries; since then some sources changed.
 
 PREVIOUS = """

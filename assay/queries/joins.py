@@ -81,10 +81,10 @@ def first_problem(t: Tables):
 
 @query(
     SIDES
-    + """SELECT count(*) FILTER (status IN ('OK', 'FAIL', 'UNREADABLE')) AS checked, count(*) FILTER (status = 'OK') AS ok,
+    + """SELECT count(*) FILTER (status IN ('OK', 'FAIL', 'UNREADABLE', 'DUPLICATE')) AS checked, count(*) FILTER (status = 'OK') AS ok,
                 count(*) FILTER (status = 'FAIL') AS fail, count(*) FILTER (status = 'MISSING') AS missing,
                 count(*) FILTER (status = 'EXTRA') AS extra, count(*) FILTER (status = 'UNREADABLE') AS hash_errors,
-                FALSE AS partial, FALSE AS cancelled FROM results"""
+                count(*) FILTER (status = 'DUPLICATE') AS duplicates, FALSE AS partial, FALSE AS cancelled FROM results"""
 )
 def status_summary(t: Tables):
     return verify.status_summary(results(t))
@@ -110,7 +110,7 @@ def final_reverify(t: Tables):
 
 @query(
     SIDES
-    + """SELECT count(*) AS n_entries, CAST(sum(coalesce(a.size, 0)) AS BIGINT) AS total_bytes
+    + """SELECT count(*) AS n_entries, CAST(sum(coalesce(a.size, 0)) AS BIGINT) AS total_bytes, 0::BIGINT AS n_mixed
          FROM expected e LEFT JOIN actual a USING (path)"""
 )
 def manifest_bytes(t: Tables):
@@ -135,6 +135,65 @@ def byte_count_check(t: Tables):
     return verify.byte_count_check(X.source_entries(t), X.destination_entries(t))
 
 
+# The same with paths that come more than once, on both sides -------------------------------
+
+REPEATED = X.with_(X.SOURCE, X.DESTINATION, X.REPEATS)
+
+
+@query(REPEATED + "SELECT path, status FROM judged")
+def check_full_repeats(t: Tables):
+    return verify.check_full(X.expected_rows(t), X.actual_rows(t)).select("path", "status")
+
+
+@query(
+    REPEATED
+    + """SELECT count(*) FILTER (status NOT IN ('MISSING', 'EXTRA')) AS checked, count(*) FILTER (status = 'OK') AS ok,
+                count(*) FILTER (status = 'FAIL') AS fail, count(*) FILTER (status = 'MISSING') AS missing,
+                count(*) FILTER (status = 'EXTRA') AS extra, count(*) FILTER (status = 'UNREADABLE') AS hash_errors,
+                count(*) FILTER (status = 'DUPLICATE') AS duplicates, FALSE AS partial, FALSE AS cancelled FROM judged"""
+)
+def status_summary_repeats(t: Tables):
+    return verify.status_summary(verify.check_full(X.expected_rows(t), X.actual_rows(t)))
+
+
+@query(
+    REPEATED
+    + """SELECT coalesce(status, 'TOTAL') AS status, count(*) AS n FROM judged
+         WHERE status NOT IN ('OK', 'EXTRA') GROUP BY ROLLUP (status)"""
+)
+def problem_counts_repeats(t: Tables):
+    return verify.problem_counts(verify.verify_manifest(X.expected_rows(t), X.actual_rows(t)))
+
+
+@query(
+    REPEATED
+    + """SELECT path FROM (SELECT path, digest FROM expected_rows WHERE path IN (SELECT path FROM actual_rows)
+                           UNION ALL SELECT path, digest FROM actual_rows WHERE path IN (SELECT path FROM expected_rows))
+         GROUP BY path HAVING count(DISTINCT lower(digest)) > 1"""
+)
+def verify_copy_repeats(t: Tables):
+    return verify.verify_copy(X.expected_rows(t), X.actual_rows(t)).select("path")
+
+
+@query(
+    REPEATED
+    + """SELECT path FROM (SELECT path, size FROM expected_rows WHERE path IN (SELECT path FROM actual_rows)
+                           UNION ALL SELECT path, size FROM actual_rows WHERE path IN (SELECT path FROM expected_rows))
+         GROUP BY path HAVING count(DISTINCT size) > 1"""
+)
+def byte_count_check_repeats(t: Tables):
+    return verify.byte_count_check(X.expected_rows(t), X.actual_rows(t)).select("path")
+
+
+@query(
+    REPEATED
+    + """SELECT count(*) AS n_entries, CAST(sum(coalesce(a.size, 0)) AS BIGINT) AS total_bytes, count(*) FILTER (a.sizes > 1) AS n_mixed
+         FROM listed LEFT JOIN (SELECT path, max(size) AS size, count(DISTINCT size) AS sizes FROM actual_rows GROUP BY path) a USING (path)"""
+)
+def manifest_bytes_repeats(t: Tables):
+    return verify.manifest_bytes(X.expected_rows(t), X.actual_rows(t))
+
+
 # Resume ---------------------------------------------------------------------------------
 
 RESUME = X.with_(
@@ -156,6 +215,35 @@ def resume_plan(t: Tables):
     return resume.resume_plan(source, X.previous_manifest(t), actual(t))
 
 
+@query(
+    X.with_(X.SOURCE, X.DESTINATION, X.REPEATS, X.PREVIOUS)
+    + """, recorded AS (
+  SELECT path, count(DISTINCT digest) > 1 AS mixed, min(digest) AS digest FROM (
+    SELECT path, digest FROM previous UNION ALL
+    SELECT path, CASE substr(md5(path), 7, 1) WHEN 'a' THEN digest ELSE md5(digest) END FROM previous WHERE substr(md5(path), 7, 1) IN ('a', 'b'))
+  GROUP BY path)
+SELECT s.path, CASE WHEN r.mixed THEN 'conflicting_records' WHEN r.path IS NULL THEN 'new' WHEN t.path IS NULL THEN 'missing_at_destination'
+                    WHEN t.unread THEN 'destination_unreadable' WHEN t.mixed OR t.digest <> r.digest THEN 'destination_changed'
+                    WHEN s.mixed OR s.digest <> r.digest THEN 'source_changed' ELSE 'verified' END AS reason
+FROM listed s LEFT JOIN recorded r ON s.path = r.path LEFT JOIN there t ON s.path = t.path"""
+)
+def resume_plan_repeats(t: Tables):
+    previous, fault = X.previous_manifest(t), X.draw(F.col("path"), 7)
+    again = previous.filter(fault.isin("a", "b")).withColumn("digest", F.when(fault == "a", F.col("digest")).otherwise(F.md5(F.col("digest").cast("binary"))))
+    return resume.resume_plan(X.expected_rows(t), previous.unionByName(again), X.actual_rows(t)).select("path", "reason")
+
+
+@query(
+    REPEATED
+    + """SELECT path, sizes > 1 AS size_differs FROM (
+           SELECT path, count(DISTINCT size) AS sizes FROM (
+             SELECT path, size, 'e' AS side FROM expected_rows UNION ALL SELECT path, size, 'a' FROM actual_rows)
+           GROUP BY path HAVING count(DISTINCT side) = 2)"""
+)
+def resume_size_precheck_repeats(t: Tables):
+    return resume.resume_size_precheck(X.expected_rows(t), X.actual_rows(t))
+
+
 @query(
     RESUME
     + """SELECT p.path, p.size > 0 AND d.size > 0 AND p.size <> d.size AS size_differs

@@ -184,7 +184,7 @@ def test_check_full_statuses(spark):
     }
     summary = verify.status_summary(results).first().asDict()
     assert summary == {
-        "checked": 3, "ok": 1, "fail": 1, "missing": 1, "extra": 1, "hash_errors": 1, "partial": False, "cancelled": False,
+        "checked": 3, "ok": 1, "fail": 1, "missing": 1, "extra": 1, "hash_errors": 1, "duplicates": 0, "partial": False, "cancelled": False,
     }
     one_sided = verify.verify_manifest(expected, actual)
     assert {r.status: r.n for r in verify.problem_counts(one_sided).collect()} == {
