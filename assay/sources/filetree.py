@@ -24,7 +24,7 @@ from assay.functions.text import nfc
 from assay.operators import ignore
 from assay.plans import scans
 from assay.plans.storing import store
-from assay.sources import stores
+from assay.sources import stores, treesource
 
 DIRS_PER_TASK = 64
 
@@ -244,9 +244,11 @@ def read_ignore_rules(entries: DataFrame) -> tuple[DataFrame, DataFrame]:
 
 
 def scan_flat(spark: SparkSession, directory: str, own_name: str = paths.CHECKSUMS_NAME) -> DataFrame:
-    """Everything but directories in one folder, by NFC name, without the engine's own artifacts."""
-    one = spark.createDataFrame([("", directory)], "path string, abs_path string")
-    listed = _list_round(one, 1).filter("NOT is_dir AND kind <> 'gone'").drop("open")
+    """Everything but directories in one folder, by NFC name, without the engine's own artifacts.
+
+    Several tasks list it, each a share of the names, and none holds the folder as a list.
+    """
+    listed = treesource.read_tree(spark, directory, recursive="false", includeRoot="false").filter("NOT is_dir AND kind <> 'gone'")
     named = listed.withColumn("path", nfc(F.col("path")))
     return store(named.filter(~paths.is_own_artifact(F.col("path"), own_name)), "listing")[0].orderBy("path")
 

@@ -6,7 +6,7 @@ import hashlib
 import io
 import os
 import stat
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 BLOCK_BYTES = 1024 * 1024
 
@@ -29,18 +29,20 @@ def _times(info: os.stat_result) -> dict:
     return {"mtime": info.st_mtime_ns // 1000, "atime": info.st_atime_ns // 1000}
 
 
-def list_dir(location: str) -> Iterator[dict]:
+def list_dir(location: str, wanted: Callable[[str], bool] | None = None) -> Iterator[dict]:
     """Children of one directory: name, kind (dir, file, link, other), size, times, error.
 
-    Links are reported, never followed. A child that vanishes while listed keeps a row
+    Only names that are ``wanted`` are looked at. Links are reported, never followed. A child that vanishes while listed keeps a row
     with its error, as does a name that is not UTF-8; any other failure is raised.
     """
     if not is_posix(location):
-        yield from _list_store(location)
+        yield from (row for row in _list_store(location) if wanted is None or wanted(row["name"]))
         return
     with os.scandir(local_path(location)) as children:
         for child in children:
             name = child.name.encode("utf-8", "replace").decode("utf-8")
+            if wanted is not None and not wanted(name):
+                continue
             row = {"name": name, "kind": "other", "size": None, "mtime": None, "atime": None, "scan_error": None}
             try:
                 info = child.stat(follow_symlinks=False)
@@ -50,7 +52,9 @@ def list_dir(location: str) -> Iterator[dict]:
             kind = {stat.S_IFDIR: "dir", stat.S_IFREG: "file", stat.S_IFLNK: "link"}.get(stat.S_IFMT(info.st_mode), "other")
             if name != child.name:
                 row["scan_error"] = "name is not UTF-8"
-            yield row | {"kind": kind, "size": info.st_size if kind == "file" else None} | _times(info)
+            # a file moved or copied here keeps its modification time; the time its entry changed tells
+            changed = max(info.st_ctime_ns, info.st_mtime_ns) // 1000
+            yield row | {"kind": kind, "size": info.st_size if kind == "file" else None, "changed": changed} | _times(info)
 
 
 def _list_store(location: str) -> Iterator[dict]:
