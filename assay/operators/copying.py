@@ -18,6 +18,7 @@ from assay.options import JobOptions
 from assay.schemas import COPY_OUTCOME
 from assay.plans.storing import store
 from assay.sources import stores
+from assay.sources.events import JobEvents, TaskEvents
 from assay.sources.filetree import scan_all, spread_by_size
 
 # The I/O kinds the error classes tell apart.
@@ -47,39 +48,75 @@ class AttemptFailed(Exception):
         return DEVICE if self.io_kind in DEVICE_IO_KINDS else TRANSIENT
 
 
+STOP_CHECK_SECS = 0.5
+
+
 def verified_copy(
-    work: DataFrame, destination: str, options: JobOptions = JobOptions(), backup: bool = False
+    work: DataFrame,
+    destination: str,
+    options: JobOptions = JobOptions(),
+    backup: bool = False,
+    stop_file: str | None = None,
+    events: JobEvents | None = None,
 ) -> DataFrame:
     """Copy each ``(path, abs_path, size)`` to ``destination/path``; one outcome row per file.
 
     Each file is written under a temporary name while being digested, synced, read back
     and digested again, and renamed last. Temporary names carry the task attempt, so a
     rerun or speculative task cannot collide, and a repeated copy ends in the same file.
-    After a device failure a task leaves the rest of its files alone (``STOPPED``).
+    A task has a stretch of the files in component order. After a device failure, or
+    ``failure_limit`` failures in a row, it leaves the rest of them alone (``STOPPED``) and
+    leaves ``stop_file`` behind, at the sight of which the others stop as well: their
+    outcomes so far are kept. Tasks report to ``events`` as they go.
     The copying happens when the outcome is read: write it out first, then use that.
     """
     root = destination.rstrip("/")
+    told, job, phase = (events.folder, events.job, events.phases) if events else (None, "", 0)
 
     def copy_batches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        share = _Share(root, TaskContext.get().taskAttemptId(), options, backup)
+        context = TaskContext.get()
+        share = _Share(root, context.taskAttemptId(), options, backup, stop_file)
+        progress = TaskEvents(told, job, phase, context.partitionId())
+        last = None
         for batch in batches:
-            yield pa.RecordBatch.from_pylist([share.copy(file) for file in batch.to_pylist()], _ARROW_OUTCOME)
+            rows = []
+            for file in batch.to_pylist():
+                row, last = share.copy(file), file["path"]
+                rows.append(row)
+                progress.done(last, file["size"] or 0, f"{last}: {row['reason']}" if row["status"] == "FAILED" else None)
+            yield pa.RecordBatch.from_pylist(rows, _ARROW_OUTCOME)
+        progress.flush(last)
 
-    return spread_by_size(work.select("path", "abs_path", "size")).mapInArrow(copy_batches, COPY_OUTCOME)
+    spread = spread_by_size(work.select("path", "abs_path", "size")).sortWithinPartitions(F.split("path", "/"))
+    return spread.mapInArrow(copy_batches, COPY_OUTCOME)
 
 
 class _Share:
     """The files of one task."""
 
-    def __init__(self, root: str, task: int, options: JobOptions, backup: bool):
-        self.root, self.task, self.options, self.backup = root, task, options, backup
-        self.device_failed = False
+    def __init__(self, root: str, task: int, options: JobOptions, backup: bool, stop_file: str | None = None):
+        self.root, self.task, self.options, self.backup, self.stop_file = root, task, options, backup, stop_file
+        self.device_failed = self.stopped = False
+        self.streak, self.looked = 0, 0.0
 
     def copy(self, file: dict) -> dict:
         row = dict.fromkeys(COPY_OUTCOME.names) | {"path": file["path"], "bytes": file["size"], "attempts": 0}
-        if self.device_failed:
+        if self._is_stopped():
             return row | {"status": "STOPPED", "finished_ms": _now_ms()}
-        return row | self._try(file["abs_path"], f"{self.root}/{file['path']}") | {"finished_ms": _now_ms()}
+        row |= self._try(file["abs_path"], f"{self.root}/{file['path']}") | {"finished_ms": _now_ms()}
+        self.streak = self.streak + 1 if row["status"] == "FAILED" else 0
+        if self.device_failed or self.streak >= self.options.failure_limit:
+            self.stopped = True
+            if self.stop_file:
+                stores.make_parents(self.stop_file)
+                stores.open_write(self.stop_file).close()
+        return row
+
+    def _is_stopped(self) -> bool:
+        now = time.monotonic()
+        if not self.stopped and self.stop_file and now - self.looked >= STOP_CHECK_SECS:
+            self.looked, self.stopped = now, stores.exists(self.stop_file)
+        return self.stopped
 
     def _try(self, source: str, target: str) -> dict:
         options, attempt = self.options, 0

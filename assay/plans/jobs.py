@@ -13,8 +13,9 @@ from assay.operators import copying, entries as guards, fingerprint, resume, run
 from assay.options import JobOptions
 from assay.schemas import COPY_OUTCOME
 from assay.plans.storing import store
-from assay.session import shared_dir
+from assay.session import scratch_dir, shared_dir
 from assay.sources import filetree, readers, stores, writers
+from assay.sources.events import JobEvents
 
 
 class RunStopped(RuntimeError):
@@ -36,14 +37,18 @@ def copy_tree(
     options: JobOptions = JobOptions(),
     checkpoint_table: str | None = None,
     waves: int = 1,
+    events: str | None = None,
 ) -> CopyResult:
     """Probe, scan, plan, copy with read-back, verify everything again, and only then write the manifest.
 
     Before the plan, backups that an interrupted run left at the destination are put back
     and its temporary files go. Without ``checkpoint_table`` the checkpoint lies in a folder
     below the shared scratch folder, where a later run of the same pair finds it.
-    Tasks copy in parallel, so failures "in a row" are judged in component order, wave by
-    wave: with ``waves`` above 1 a failing device is noticed before the rest is tried.
+    Tasks copy in parallel, each a stretch of the files in component order. The first that
+    meets a device failure or too many failures in a row stops all of them; what they have
+    done by then is kept. Streaks over the edges of stretches are found after each wave.
+    ``events`` is a folder for PROGRESS_EVENT rows, written while the job runs:
+    ``events.event_stream`` follows it, ``progress_stream`` folds it.
     Each wave's outcomes are stored before anything else happens and are the checkpoint
     a later run resumes from.
     """
@@ -54,6 +59,8 @@ def copy_tree(
     copying.recover_interrupted(spark, destination, left)
     copying.clean_stale_temps(spark, destination, listing=left)
     table = checkpoint_table or shared_dir(spark, "copy-checkpoints")
+    report = JobEvents(events, f"copy-{uuid.uuid4().hex}")
+    report.phase("Scanning")
     key = spark.range(1).select(writers.checkpoint_key(F.lit(source), F.lit(destination))).first()[0]
 
     junk = {False: None, True: "basic"}.get(options.skip_junk, options.skip_junk)
@@ -66,15 +73,20 @@ def copy_tree(
         fingerprint.preflight_probe(spark, destination)
     work = _plan(spark, files, destination, table, key, options)
     run = f"run-{uuid.uuid4().hex}"
+    stop_file = f"{scratch_dir(spark, 'stop')}/stop"
+    if events:
+        to_copy = work.filter("action = 'COPY'").agg(F.coalesce(F.sum("size"), F.lit(0))).first()[0]
+        report.phase("Copying", int(to_copy))
     for wave in range(waves):
         part = work.filter(F.pmod(F.xxhash64("path"), F.lit(waves)) == wave) if waves > 1 else work
-        outcomes = copying.verified_copy(part.filter("action = 'COPY'"), destination, options)
+        outcomes = copying.verified_copy(part.filter("action = 'COPY'"), destination, options, stop_file=stop_file, events=report)
         rows = outcomes.unionByName(_skipped(part), allowMissingColumns=True)
         writers.write_checkpoint(rows.withColumn("wave", F.lit(wave)), f"{table}/{key}", run, "run")
         done = _outcomes(spark, f"{table}/{key}/run={run}")
         _set_aside(done.filter((F.col("wave") == wave) & (F.col("status") == "FAILED")), destination)
         _stop_if_broken(done, options)
 
+    report.phase("Verifying")
     failures = done.filter("status = 'FAILED'")
     manifest = done.filter("digest IS NOT NULL").select("path", "digest")
     guards.require_non_empty(manifest, "file copied")
@@ -84,6 +96,7 @@ def copy_tree(
         raise RunStopped(f"the final verification failed: {verification.first()}")
     if not options.no_manifest:
         writers.write_manifest_bundle(manifest, destination, verification, options.digest)
+    report.phase("Done")
     return CopyResult(manifest, done, failures, verification)
 
 

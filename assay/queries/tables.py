@@ -186,9 +186,9 @@ def write_checkpoint(t: Tables):
 def write_quarantine(t: Tables):
     place = scratch_dir(t.spark, "quarantine")
     failures = _failures(t)
-    rows = writers.write_quarantine(failures, place)
+    writers.write_quarantine(failures, place)
     back = t.spark.read.schema(QUARANTINE).json(f"{place}/{writers.QUARANTINE_DIR}")
-    return back.join(rows.select("source_relative", "report_name"), "source_relative").select(*rows.columns)
+    return back.select("*", F.url_decode(F.substring_index(F.input_file_name(), "/", -1)).alias("report_name"))
 
 
 def _failures(t: Tables) -> DataFrame:

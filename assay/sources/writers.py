@@ -2,8 +2,13 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import pyarrow as pa
+from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
+from assay.functions import paths
 from assay.functions.digests import xxh3_128_hex
 from assay.functions.paths import CHECKSUMS_NAME, MANIFEST_NAME, MANIFEST_README
 from assay.functions.text import base64url_encode, json_report, manifest_line
@@ -98,8 +103,9 @@ def write_checksums_file(manifest: DataFrame, directory: str, max_bytes: int = S
     return _publish(lines, parts, f"{directory.rstrip('/')}/{CHECKSUMS_NAME}", max_bytes)
 
 
-def _write_small(target: str, content: str) -> None:
-    temporary = f"{target}.verify.tmp.1"
+def _write_small(target: str, content: str, temporary: str | None = None) -> None:
+    temporary = temporary or f"{target}.verify.tmp.1"
+    stores.make_parents(target)
     with stores.open_write(temporary) as out:
         out.write(content.encode("utf-8"))
         stores.sync(out)
@@ -139,10 +145,23 @@ def checkpoint_lines(records: DataFrame) -> DataFrame:
 
 
 def write_quarantine(failures: DataFrame, destination: str) -> DataFrame:
-    """Append one JSON report per failed entry below the destination; returns the rows."""
+    """One JSON report per failed entry, a file named by ``report_name``; returns the rows.
+
+    A report is written under a name of its task's attempt and renamed, so a task that is run
+    again, or twice at once, leaves one file per name.
+    """
+    folder = f"{destination.rstrip('/')}/{QUARANTINE_DIR}"
     rows = quarantine_rows(failures)
-    reports = rows.select(
-        json_report(F.col("source_relative"), F.col("attempts"), F.col("unix_time"), F.col("reason")).alias("value")
-    )
-    reports.write.mode("append").text(f"{destination.rstrip('/')}/{QUARANTINE_DIR}")
-    return rows
+    text = json_report(F.col("source_relative"), F.col("attempts"), F.col("unix_time"), F.col("reason"))
+
+    def write(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        attempt = TaskContext.get().taskAttemptId()
+        for batch in batches:
+            for name, report in zip(batch.column("report_name").to_pylist(), batch.column("report").to_pylist(), strict=True):
+                _write_small(f"{folder}/{name}", report + "\n", f"{folder}/.{attempt}{paths.TEMP_MARKER}.{attempt}")
+            yield batch.drop_columns(["report"])
+
+    reported = rows.withColumn("report", text)
+    schema = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in rows.schema)
+    # stored: the files are written once, with the times that the rows tell
+    return store(store(reported, "failures")[0].mapInArrow(write, schema), "reports")[0]

@@ -1,3 +1,4 @@
+import json
 import os
 
 import pytest
@@ -319,6 +320,56 @@ def test_too_many_failures_in_a_row_stop_the_run(spark, tmp_path, monkeypatch):
         jobs.copy_tree(spark, str(source), str(tmp_path / "card"), QUICK)
 
 
+def test_a_failing_store_stops_a_large_copy_early(spark, tmp_path, monkeypatch):
+    source = tmp_path / "src"
+    source.mkdir()
+    for n in range(400):
+        (source / f"f{n:03d}").write_text("x")
+    for n in range(3, 9):  # in a row, early in the tree
+        (tmp_path / "card" / "src" / f"f{n:03d}" / "occupied").mkdir(parents=True)
+    table = str(tmp_path / "done")
+    slow = JobOptions(backoff_unit_secs=0.05, unlimited_retries=False)
+    with pytest.raises(jobs.RunStopped, match="entry 8"):
+        jobs.copy_tree(spark, str(source), str(tmp_path / "card"), slow, checkpoint_table=table)
+    counts = dict(spark.read.parquet(table).groupBy("status").count().collect())
+    assert counts["FAILED"] == 5 and counts["STOPPED"] >= 190 and sum(counts.values()) == 400
+    reports = os.listdir(tmp_path / "card" / ".quarantine")
+    assert sorted(r.split(".")[0] for r in reports) == [f"src__f{n:03d}" for n in range(3, 8)]
+
+
+def test_a_copy_reports_while_it_runs(spark, tree, tmp_path, monkeypatch):
+    from assay.sources import events
+    from assay.streaming import progress
+
+    monkeypatch.setattr(events, "CHUNK_FILES", 2)
+    root, files = tree
+    (tmp_path / "card" / "photos" / "empty" / "occupied").mkdir(parents=True)
+    told = str(tmp_path / "events")
+    result = jobs.copy_tree(spark, str(root), str(tmp_path / "card"), QUICK, events=told)
+    progress.progress_stream(events.event_stream(spark, told), str(tmp_path / "state")).awaitTermination()
+    state = progress.current_state(spark, str(tmp_path / "state")).first()
+    total = sum(map(len, files.values()))
+    assert (state.phase, state.total_bytes, state.completed_bytes) == ("Done", total, total)
+    assert result.outcomes.count() == len(files) and any("photos/empty" in line for line in state.log)
+    names = [n for n in os.listdir(told) if n.endswith(".json")]
+    assert len(names) >= len(files) // 2
+
+
+def test_a_repeated_task_reports_the_same(tmp_path):
+    from assay.sources import events
+
+    def lines(task):
+        for n in range(130):
+            task.done(f"f{n}", n, "bad" if n == 5 else None)
+        task.flush("f129")
+        return {p.name: [{k: v for k, v in json.loads(line).items() if k != "ts"} for line in p.read_text().splitlines()] for p in tmp_path.iterdir()}
+
+    first, again = (lines(events.TaskEvents(str(tmp_path), "job", 2, 7)) for _ in range(2))
+    assert first == again and len(first) == 3
+    rows = [row for rows in first.values() for row in rows]
+    assert sum(r.get("bytes", 0) for r in rows) == sum(range(130)) and len({r["seq"] for r in rows}) == len(rows)
+
+
 def test_pick_resume_manifest(spark):
     rows, entries = "path string, digest string", "path string"
     placed = spark.createDataFrame([("a", "1")], rows)
