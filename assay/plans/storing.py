@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Observation
+from pyspark.sql import Column, DataFrame, Observation, SparkSession
 
 from assay.session import scratch_dir, shared_dir
 
@@ -22,8 +22,17 @@ def store(df: DataFrame, label: str, **metrics: Column) -> tuple[DataFrame, dict
     return df.sparkSession.read.schema(schema).parquet(place), seen.get if metrics else {}
 
 
+def release(spark: SparkSession) -> None:
+    """Let shuffle files of finished queries go.
+
+    Spark removes them once the driver has collected their plans as garbage, which a quiet
+    driver may not do for half an hour.
+    """
+    spark.sparkContext._jvm.System.gc()
+
+
 def discard(*tables: DataFrame) -> None:
-    """Delete stored tables that nothing reads any more; call it once all that depends on them is stored itself."""
+    """Delete stored tables that nothing reads any more, see :func:`release` too; what depends on them has to be stored itself."""
     for table in tables:
         files = table.inputFiles()
         place = files[0].rpartition("/")[0] if files else ""
@@ -31,3 +40,4 @@ def discard(*tables: DataFrame) -> None:
         if place.rstrip("/").removeprefix("file:").lstrip("/").startswith(shared_dir(table.sparkSession, "").removeprefix("file:").lstrip("/")):
             path = table.sparkSession.sparkContext._jvm.org.apache.hadoop.fs.Path(place)
             path.getFileSystem(table.sparkSession.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
+        release(table.sparkSession)
