@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import time
+
 from pyspark.sql import Column, DataFrame, Observation, SparkSession
 
 from assay.session import scratch_dir, shared_dir
@@ -28,7 +30,9 @@ def release(spark: SparkSession) -> None:
     Spark removes them once the driver has collected their plans as garbage, which a quiet
     driver may not do for half an hour.
     """
-    spark.sparkContext._jvm.System.gc()
+    for _ in range(2):  # the plan of the query that ran last is garbage only from the second time on
+        spark.sparkContext._jvm.System.gc()
+        time.sleep(0.3)
 
 
 def discard(*tables: DataFrame) -> None:
