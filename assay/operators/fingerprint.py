@@ -4,20 +4,21 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame, SparkSession, functions as F
+from pyspark.sql import Column, DataFrame, Observation, SparkSession, functions as F
 
 from assay.functions.digests import digest_to_bigint
 from assay.functions.rows import row_text
 
 PROBE_BYTES = 10 << 20
 
-_LIMB_BITS = 20
+#: A row's 128 bits are added up in pieces of so many hex digits: 32 bits, so that a BIGINT holds 2^31 rows' worth.
+_LIMB_DIGITS = 8
 
 
 def row_hash(df: DataFrame, columns: Sequence[str] | None = None, double_scale: int | None = None) -> Column:
-    """60 bits of MD5 over the row's fields."""
+    """MD5 over the row's fields, in hex."""
     fields = [df.schema[name] for name in (columns or df.columns)]
-    return digest_to_bigint(F.md5(row_text(fields, double_scale).cast("binary")))
+    return F.md5(row_text(fields, double_scale).cast("binary"))
 
 
 def table_fingerprint(
@@ -26,31 +27,26 @@ def table_fingerprint(
     columns: Sequence[str] | None = None,
     double_scale: int | None = None,
 ) -> DataFrame:
-    """Row count, sum and xor of the row hashes, per key or for the whole table.
+    """Row count, and sum and xor of all 128 bits of the rows' digests, per key or for the whole table.
 
-    One pass with partial aggregation: a task sends one row per key. The sum is kept in
-    20-bit limbs, so plain BIGINT adders last for trillions of rows. ``double_scale``
-    compares doubles as decimals, for engines that print them differently.
+    One pass with partial aggregation: a task sends one row per key. A digest is four limbs
+    of 32 bits, added and xored each for itself as plain numbers; the sum is the four
+    limbs' sums, in hex, the highest first. ``double_scale`` compares doubles as decimals, for
+    engines that print them differently.
     """
-    hashed = df.select(*keys, row_hash(df, columns, double_scale).alias("h"))
-    mask = (1 << _LIMB_BITS) - 1
-    limbs = [F.sum(F.shiftright("h", _LIMB_BITS * i).bitwiseAND(F.lit(mask))) for i in range(3)]
-    total = sum(
-        (F.coalesce(limb, F.lit(0)).cast("decimal(20,0)") * F.lit(1 << (_LIMB_BITS * i)).cast("decimal(18,0)")
-         for i, limb in enumerate(limbs)),
-        F.lit(0).cast("decimal(38,0)"),
-    )
-    return hashed.groupBy(*keys).agg(
-        F.count("*").alias("n_rows"),
-        total.cast("decimal(38,0)").cast("string").alias("hash_sum"),
-        F.coalesce(F.bit_xor("h"), F.lit(0)).alias("hash_xor"),
-    )
-
-
-def same_fingerprint(left: DataFrame, right: DataFrame, double_scale: int | None = None) -> bool:
-    one = table_fingerprint(left, double_scale=double_scale).first()
-    other = table_fingerprint(right, columns=left.columns, double_scale=double_scale).first()
-    return one == other
+    return df.groupBy(*keys).agg(*_aggregates(df, columns, double_scale))
+
+
+def _aggregates(df: DataFrame, columns: Sequence[str] | None = None, double_scale: int | None = None) -> list[Column]:
+    digest, none = row_hash(df, columns, double_scale), F.lit(0)
+    limbs = [F.conv(F.substring(digest, 1 + _LIMB_DIGITS * i, _LIMB_DIGITS), 16, 10).cast("bigint") for i in range(4)]
+    sums = [F.lpad(F.lower(F.hex(F.coalesce(F.sum(limb), none))), 16, "0") for limb in limbs]
+    xors = [F.lpad(F.lower(F.hex(F.coalesce(F.bit_xor(limb), none))), _LIMB_DIGITS, "0") for limb in limbs]
+    return [F.count("*").alias("n_rows"), F.concat(*sums).alias("hash_sum"), F.concat(*xors).alias("hash_xor")]
+
+
+def same_fingerprint(written: dict, read_back: DataFrame) -> bool:
+    return written == table_fingerprint(read_back).first().asDict()
 
 
 class VerificationError(RuntimeError):
@@ -60,16 +56,18 @@ class VerificationError(RuntimeError):
 def verified_write(df: DataFrame, target: str, mode: str = "errorifexists") -> DataFrame:
     """Write to a staging folder, read it back, compare fingerprints, then promote it.
 
-    ``df`` has to be repeatable: it is read once to write and once to fingerprint. The
-    staging folder lies next to the target, so promotion is a rename within one store.
+    The fingerprint is taken of the rows as they are written, so ``df`` is computed once and
+    need not be repeatable. The staging folder lies next to the target, so promotion is a
+    rename within one store.
     """
     spark = df.sparkSession
     staging = f"{target.rstrip('/')}.staging-{df.sparkSession.sparkContext.applicationId}"
     if mode == "errorifexists" and _exists(spark, target):
         raise FileExistsError(target)
-    df.write.mode("overwrite").parquet(staging)
+    seen = Observation()
+    df.observe(seen, *_aggregates(df)).write.mode("overwrite").parquet(staging)
     read_back = spark.read.schema(df.schema).parquet(staging)
-    if not same_fingerprint(df, read_back):
+    if not same_fingerprint(seen.get, read_back):
         fs, path = _filesystem(spark, staging)
         fs.delete(path(staging), True)
         raise VerificationError(f"{staging} differs from what was written")

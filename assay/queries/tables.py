@@ -264,10 +264,17 @@ def _positions(t: Tables, ordered: DataFrame) -> DataFrame:
 # Fingerprints -------------------------------------------------------------------------------
 
 _ROW = f"l_orderkey || '|' || l_partkey || '|' || l_suppkey || '|' || l_linenumber || '|' || {LINEITEM_TEXT}"
+_LIMBS = [f"CAST(('0x' || substr(d, {1 + 8 * i}, 8)) AS BIGINT)" for i in range(4)]
+_SUMS = (
+    "count(*) AS n_rows, "
+    + " || ".join(f"printf('%016x', CAST(sum({limb}) AS BIGINT))" for limb in _LIMBS)
+    + " AS hash_sum, "
+    + " || ".join(f"printf('%08x', bit_xor({limb}))" for limb in _LIMBS)
+    + " AS hash_xor"
+)
 _FINGERPRINT = f"""
-WITH hashed AS (
-  SELECT *, CAST(('0x' || substr(md5({_ROW}), 1, 15)) AS BIGINT) AS h FROM lineitem)
-SELECT {{keys}} count(*) AS n_rows, CAST(sum(h) AS VARCHAR) AS hash_sum, bit_xor(h) AS hash_xor FROM hashed {{group}}"""
+WITH hashed AS (SELECT *, md5({_ROW}) AS d FROM lineitem)
+SELECT {{keys}} {_SUMS} FROM hashed {{group}}"""
 
 
 @query(_FINGERPRINT.format(keys="l_returnflag, l_linestatus,", group="GROUP BY l_returnflag, l_linestatus"))
@@ -292,10 +299,10 @@ def promote_with_backup(t: Tables):
 
 
 @query(
-    """WITH hashed AS (
-  SELECT CAST(('0x' || substr(md5(l_orderkey || '|' || CAST(('0x' || substr(md5(CAST(l_orderkey AS VARCHAR)), 1, 15)) AS BIGINT)), 1, 15)) AS BIGINT) AS h
+    f"""WITH hashed AS (
+  SELECT md5(l_orderkey || '|' || CAST(('0x' || substr(md5(CAST(l_orderkey AS VARCHAR)), 1, 15)) AS BIGINT)) AS d
   FROM lineitem)
-SELECT count(*) AS n_rows, CAST(sum(h) AS VARCHAR) AS hash_sum, bit_xor(h) AS hash_xor FROM hashed"""
+SELECT {_SUMS} FROM hashed"""
 )
 def preflight_probe(t: Tables):
     # As much noise as the table about to be written has rows.
