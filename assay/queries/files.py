@@ -15,7 +15,7 @@ from assay.plans.storing import store
 from assay.queries import fixtures as X
 from assay.queries.registry import Tables, query
 from assay.session import scratch_dir
-from assay.sources import filetree, readers, stores, writers
+from assay.sources import filetree, readers, stores, treesource, writers
 
 SRC = X.with_(X.SOURCE)
 QUICK = JobOptions(digest="md5", backoff_unit_secs=0.0)
@@ -54,6 +54,22 @@ def scan_tree(t: Tables):
     return filetree.scan_tree(t.spark, f"{source_files(t)}/root").select("path", "size")
 
 
+@query(SRC + "SELECT path, size FROM source WHERE starts_with(path, 'root/') AND contains(path, '/en/') AND size > 100")
+def scan_tree_source(t: Tables):
+    """The listing as a data source, which opens no folder that the conditions rule out."""
+    listed = treesource.read_tree(t.spark, f"{source_files(t)}/root").filter("kind = 'file' AND size > 100")
+    return listed.filter(F.col("path").startswith("root/") & F.col("path").contains("/en/")).select("path", "size")
+
+
+@query(SRC + "SELECT path, size FROM source")
+def stream_tree(t: Tables):
+    """New files as a stream, run until none is left."""
+    target, root = scratch_dir(t.spark, "arrived"), f"{source_files(t)}/root"
+    feed = treesource.stream_tree(t.spark, root, settleSeconds="0").select("path", "size").writeStream.format("parquet")
+    feed.option("path", target).option("checkpointLocation", f"{target}.offsets").trigger(availableNow=True).start().awaitTermination()
+    return t.spark.read.parquet(target)
+
+
 @query(SRC + "SELECT substr(path, 6) AS path, size FROM source")
 def scan_without_root(t: Tables):
     return filetree.scan_without_root(t.spark, f"{source_files(t)}/root").select("path", "size")
