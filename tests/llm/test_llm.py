@@ -478,3 +478,21 @@ def test_fingerprint_column_matches_the_function(spark):
     texts = ["a b c d", None, "", "One two"]
     rows = docs_of(spark, texts).select("doc_id", simhash.fingerprint(F.col("text")).alias("f")).orderBy("doc_id").collect()
     assert [r.f for r in rows] == [simhash.simhash(t) for t in texts]
+
+
+def test_common_words_are_those_of_the_table():
+    drawn = np.random.default_rng(5)
+    for _ in range(200):
+        a, b = (drawn.integers(0, 6, drawn.integers(0, 90)).tolist() for _ in range(2))
+        table = np.zeros((len(a) + 1, len(b) + 1), int)
+        for i, word in enumerate(a, 1):
+            for j, other in enumerate(b, 1):
+                table[i, j] = table[i - 1, j - 1] + 1 if word == other else max(table[i - 1, j], table[i, j - 1])
+        assert substring_dedup.common(a, b) == table[-1, -1]
+
+
+def test_white_space_of_any_kind_and_place_parts_words(spark):
+    run = [f"w{i}" for i in range(60)]
+    texts = [" ".join(run), "\t\n " + "\r\n".join(run) + " \x0b\x0c", "", " \n ", None]
+    found = substring_dedup.repeated_passages(docs_of(spark, texts)).collect()
+    assert [(r.doc_id - r.ref_id, r.begin, r.end, r.ref_begin, r.ref_end) for r in found] == [(1, 0, 60, 0, 60)]
