@@ -88,6 +88,22 @@ def open_write(location: str):
     return store.open_output_stream(path)
 
 
+def copy_range(part: str, begin: int, length: int, target: str, at: int) -> int:
+    """Copy bytes [begin, begin + length) of ``part`` to the place ``at`` of a mounted file that is there; how many they were."""
+    source = open_read(part) if is_posix(part) else _arrow(part)[0].open_input_file(_arrow(part)[1])
+    left = length
+    with source, open(local_path(target), "r+b", buffering=0) as out:
+        source.seek(begin)
+        out.seek(at)
+        while left > 0 and (block := source.read(min(BLOCK_BYTES, left))):
+            done = 0
+            while done < len(block):
+                done += out.write(block[done:])
+            left -= len(block)
+        sync(out)
+    return length - left
+
+
 def sync(stream) -> None:
     """Push written bytes to the device where the store has such a notion."""
     if isinstance(stream, io.FileIO):

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Iterator
+from itertools import accumulate
 
 import pyarrow as pa
 from pyspark import TaskContext
@@ -20,8 +21,8 @@ from assay.sources import stores
 
 QUARANTINE_DIR = ".quarantine"
 
-#: A single-file manifest is joined by one process; a bigger one is a folder of sorted parts under the same name.
-SINGLE_FILE_BYTES = 1 << 30
+#: A file of many parts is written in pieces of so many bytes, by so many tasks at most.
+PIECE_BYTES, MOST_TASKS = 64 << 20, 2000
 
 README_TEXT = """\
 The manifest beside this file lists the {digest} digest of every file in this folder.
@@ -51,23 +52,24 @@ def write_checksums(manifest: DataFrame, folder: str, mode: str = "errorifexists
     return lines
 
 
-def publish_single_file(parts: str, target: str, max_bytes: int = SINGLE_FILE_BYTES) -> str:
-    """Join sorted part files into one, through a temporary name, streaming block by block.
+def publish_single_file(parts: str, target: str) -> str:
+    """Join sorted part files into one file of any size, for exchange with tools that want one.
 
-    For exchange with tools that want one file; a bigger manifest stays a folder.
+    The sizes of the parts before a part tell where it begins, so tasks copy pieces of
+    ``PIECE_BYTES`` straight to their places; a piece that is copied again is the same. Stores
+    that write files only from front to back get theirs streamed by one task. The file has a
+    temporary name until it is whole. No bytes pass the driver.
     """
-    children = sorted((c for c in stores.list_dir(parts) if c["name"].startswith("part-")), key=lambda c: c["name"])
-    total = sum(child["size"] for child in children)
-    if total > max_bytes:
-        raise ValueError(f"{total} bytes exceed the {max_bytes} of a single-file manifest; use the folder")
-    temporary = f"{target}.verify.tmp.1"
+    spark = SparkSession.active()
+    children = sorted((c for c in stores.list_dir(parts) if c["name"].startswith("part-") and c["size"]), key=lambda c: c["name"])
+    starts = list(accumulate((c["size"] for c in children), initial=0))
+    rows = [(f"{parts}/{c['name']}", start, c["size"]) for c, start in zip(children, starts, strict=False)]
+    table = spark.createDataFrame(rows, "part string, start long, size long")
+    write = _in_places if stores.is_posix(target) else _in_order
+    temporary, written = write(table, target, starts[-1])
     try:
-        with stores.open_write(temporary) as out:
-            for child in children:
-                with stores.open_read(f"{parts}/{child['name']}") as part:
-                    while block := part.read(stores.BLOCK_BYTES):
-                        out.write(block)
-            stores.sync(out)
+        if written != starts[-1]:
+            raise OSError(f"{written} of {starts[-1]} bytes were written to {temporary}")
         stores.move(temporary, target)
     except BaseException:
         stores.delete(temporary)
@@ -75,32 +77,68 @@ def publish_single_file(parts: str, target: str, max_bytes: int = SINGLE_FILE_BY
     return target
 
 
-def _publish(lines: DataFrame, parts: str, target: str, max_bytes: int) -> str:
-    """One file, or above ``max_bytes`` a folder of the sorted parts, written by the tasks; readers take both."""
-    if sum(c["size"] for c in stores.list_dir(parts) if c["name"].startswith("part-")) <= max_bytes:
-        return publish_single_file(parts, target, max_bytes)
-    lines.write.mode("overwrite").text(target)
-    return target
+def _in_places(parts: DataFrame, target: str, size: int) -> tuple[str, int]:
+    """Every task writes its pieces where they belong; the file and the bytes written."""
+    temporary = f"{target}.verify.tmp.1"
+    stores.make_parents(target)
+    with stores.open_write(temporary) as out:
+        out.truncate(size)
+
+    def copy(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            lengths = [stores.copy_range(**piece, target=temporary) for piece in batch.to_pylist()]
+            yield pa.RecordBatch.from_pydict({"length": pa.array(lengths, pa.int64())})
+
+    begin = F.explode(F.sequence(F.lit(0), F.col("size") - 1, F.lit(PIECE_BYTES))).alias("begin")
+    pieces = parts.select("part", "start", "size", begin).select(
+        "part", "begin", F.least(F.lit(PIECE_BYTES), F.col("size") - F.col("begin")).alias("length"), (F.col("start") + F.col("begin")).alias("at")
+    )
+    tasks = max(1, min(-(-size // PIECE_BYTES) + parts.sparkSession.sparkContext.defaultParallelism, MOST_TASKS))
+    try:
+        written = pieces.repartition(tasks).mapInArrow(copy, "length long").agg(F.sum("length")).first()[0]
+    except BaseException:
+        stores.delete(temporary)
+        raise
+    return temporary, written or 0
+
+
+def _in_order(parts: DataFrame, target: str, size: int) -> tuple[str, int]:
+    """One task streams all parts, under a name of its attempt; the file and the bytes written."""
+    folder = target.rpartition("/")[0]
+
+    def copy(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        attempt = TaskContext.get().taskAttemptId()
+        name, written = f"{folder}/.{attempt}{paths.TEMP_MARKER}.{attempt}", 0
+        with stores.open_write(name) as out:
+            for batch in batches:
+                for part in batch.column("part").to_pylist():
+                    with stores.open_read(part) as stream:
+                        while block := stream.read(stores.BLOCK_BYTES):
+                            out.write(block)
+                            written += len(block)
+            stores.sync(out)
+        yield pa.RecordBatch.from_pydict({"name": [name], "length": pa.array([written], pa.int64())})
+
+    stores.make_parents(target)
+    return tuple(parts.coalesce(1).sortWithinPartitions("start").mapInArrow(copy, "name string, length long").first())
 
 
-def write_manifest_bundle(
-    manifest: DataFrame, destination: str, verification: DataFrame, digest: str = "xxh3_128", max_bytes: int = SINGLE_FILE_BYTES
-) -> str:
+def write_manifest_bundle(manifest: DataFrame, destination: str, verification: DataFrame, digest: str = "xxh3_128") -> str:
     """Manifest and a short README, only once the final verification has passed."""
     if not verification.first()["passed"]:
         raise ValueError("the final verification did not pass; no manifest is written")
     parts = scratch_dir(manifest.sparkSession, "manifest")
-    lines = write_manifest(manifest, parts)
-    target = _publish(lines, parts, f"{destination.rstrip('/')}/{MANIFEST_NAME}", max_bytes)
+    write_manifest(manifest, parts)
+    target = publish_single_file(parts, f"{destination.rstrip('/')}/{MANIFEST_NAME}")
     readme = README_TEXT.format(digest=digest, tool=CHECK_TOOLS[digest], manifest=MANIFEST_NAME)
     _write_small(f"{destination.rstrip('/')}/{MANIFEST_README}", readme)
     return target
 
 
-def write_checksums_file(manifest: DataFrame, directory: str, max_bytes: int = SINGLE_FILE_BYTES) -> str:
+def write_checksums_file(manifest: DataFrame, directory: str) -> str:
     parts = scratch_dir(manifest.sparkSession, "checksums")
-    lines = write_checksums(manifest, parts)
-    return _publish(lines, parts, f"{directory.rstrip('/')}/{CHECKSUMS_NAME}", max_bytes)
+    write_checksums(manifest, parts)
+    return publish_single_file(parts, f"{directory.rstrip('/')}/{CHECKSUMS_NAME}")
 
 
 def _write_small(target: str, content: str, temporary: str | None = None) -> None:

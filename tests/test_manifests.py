@@ -3,7 +3,7 @@ from pyspark.sql import functions as F
 
 from assay.operators import manifests, verify
 from assay.schemas import MANIFEST, VERIFY_RESULT
-from assay.sources import readers, writers
+from assay.sources import readers, stores, writers
 
 A, B = "a" * 32, "b" * 32
 
@@ -98,23 +98,55 @@ def test_written_manifest_is_in_component_order_and_reads_back(spark, tmp_path):
     assert as_dict(readers.read_manifest(spark, parts)) == dict(rows)
 
 
-def test_a_manifest_too_big_for_one_file_stays_a_folder(spark, tmp_path):
-    parts, target = str(tmp_path / "parts"), tmp_path / "manifest.xxh3"
-    writers.write_manifest(spark.createDataFrame([("a", A)], "path string, digest string"), parts)
-    with pytest.raises(ValueError, match="use the folder"):
-        writers.publish_single_file(parts, str(target), max_bytes=10)
-    assert not target.exists()
+@pytest.mark.parametrize("piece", [1, 7, 1 << 20])
+def test_pieces_of_any_size_make_one_file(spark, tmp_path, monkeypatch, piece):
+    monkeypatch.setattr(writers, "PIECE_BYTES", piece)
+    parts, target = tmp_path / "parts", tmp_path / "new" / "manifest.xxh3"
+    parts.mkdir()
+    bodies = [b"first\n", b"", "zweite é\n".encode() * 3, b"x" * 20, b"end\n"]
+    for i, body in enumerate(bodies):
+        (parts / f"part-{i:05}").write_bytes(body)
+    (parts / "_SUCCESS").write_bytes(b"no part")
+    writers.publish_single_file(str(parts), str(target))
+    assert target.read_bytes() == b"".join(bodies)
+    assert [p.name for p in target.parent.iterdir()] == [target.name]
 
 
-def test_a_bundle_of_any_size_is_written(spark, tmp_path):
+def test_stores_that_write_in_order_are_streamed(spark, tmp_path):
+    parts = [(str(tmp_path / f"part-{i}"), i * 3, 3) for i in range(5)]
+    for i, (place, *_) in enumerate(parts):
+        open(place, "w").write(f"{i}{i}\n")
+    table = spark.createDataFrame(parts[::-1], "part string, start long, size long")
+    name, written = writers._in_order(table, str(tmp_path / "out" / "all"), 15)
+    assert written == 15 and open(name).read() == "00\n11\n22\n33\n44\n"
+
+
+def test_a_part_that_is_cut_short_leaves_no_file(spark, tmp_path, monkeypatch):
+    parts, target = tmp_path / "parts", tmp_path / "manifest.xxh3"
+    parts.mkdir()
+    (parts / "part-0").write_bytes(b"short")
+    listed = [{"name": "part-0", "size": 9}]
+    monkeypatch.setattr(writers.stores, "list_dir", lambda place: listed)
+    with pytest.raises(OSError, match="5 of 9"):
+        writers.publish_single_file(str(parts), str(target))
+    assert [p.name for p in tmp_path.iterdir()] == ["parts"]
+
+
+def test_without_rows_the_file_is_empty(spark, tmp_path):
+    none = spark.createDataFrame([], "path string, digest string")
+    assert open(writers.write_checksums_file(none, str(tmp_path))).read() == ""
+
+
+def test_a_bundle_is_one_file_and_a_readme(spark, tmp_path, monkeypatch):
+    monkeypatch.setattr(writers, "PIECE_BYTES", 10)
     rows = [("a-b", A), ("a/b", B), ("a", A)]
     manifest = spark.createDataFrame(rows, "path string, digest string")
     passed = spark.createDataFrame([(True,)], "passed boolean")
-    target = writers.write_manifest_bundle(manifest, str(tmp_path), passed, max_bytes=10)
-    assert readers.resolve_manifest(str(tmp_path)) == target
+    target = writers.write_manifest_bundle(manifest, str(tmp_path), passed)
+    assert stores.is_file(target) and readers.resolve_manifest(str(tmp_path)) == target
     assert as_dict(readers.read_manifest(spark, target)) == dict(rows)
-    sums = writers.write_checksums_file(manifest, str(tmp_path), max_bytes=10)
-    assert spark.read.text(sums).count() == 3
+    sums = writers.write_checksums_file(manifest, str(tmp_path))
+    assert stores.is_file(sums) and [r.value[34:] for r in spark.read.text(sums).collect()] == ["a", "a-b", "a/b"]
 
 
 def test_checkpoint_file(spark, tmp_path):
