@@ -374,6 +374,30 @@ def test_licences_in_canonical_form(spark):
     assert licences.scan(no_rows(spark), licences.known_licences(spark)).count() == 0
 
 
+def test_usual_licence_files_match_as_a_whole(spark):
+    import textwrap
+
+    titles = {"MIT": "The MIT License (MIT)", "ISC": "ISC License", "BSD-2-Clause": 'BSD 2-Clause "Simplified" License', "BSD-3-Clause": "BSD 3-Clause License"}
+    wholes = [(name, text) for name, text in licences.KNOWN if len(text) > 400]
+    assert {name for name, _ in wholes} == {"MIT", "MIT-0", "ISC", "0BSD", "BSD-2-Clause", "BSD-3-Clause", "Zlib", "BSL-1.0", "Unlicense"}
+    files = []
+    for name, text in wholes:
+        for width in (60, 72, 79):
+            body = "\n".join(textwrap.fill(part, width) for part in text.split("\n"))
+            files.append((name, f"{titles.get(name, '')}\n\nCopyright (c) 2019-2024, Some One <some@one.org>\nAll rights reserved.\n\n{body}\n"))
+        files.append((name, text.replace("1. ", "* ").replace("2. ", "* ").replace("3. ", "- ")))
+    docs = docs_of(spark, [text for _, text in files])
+    found = {r.doc_id: r.licence for r in licences.scan(docs, licences.known_licences(spark)).collect()}
+    assert [found[i] for i in range(len(files))] == [name for name, _ in files]
+
+
+def test_licence_rows_stay_rows(spark):
+    rows = [(7, "a b", 1, 2), (7, "a b", 3, 4), (7, "c", 5, 6), (7, "a\nb", 7, 8), (None, None, 1, 1), (None, None, 1, 1), (None, "SPDX-License-Identifier: MIT", 1, 1), (8, "MIT License", 1, 1)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, digest int, forms int")
+    out = licences.scan(docs, licences.known_licences(spark)).collect()
+    assert sorted((r.doc_id or 0, r.digest is not None, r.notices or "") for r in out) == [(0, False, "")] * 2 + [(0, True, "MIT")] + [(7, True, "")] * 4 + [(8, False, "")]
+
+
 def test_licence_query_agrees_with_sql(spark):
     from compare import connect, duckdb_rows, spark_rows
 
