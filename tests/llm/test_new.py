@@ -311,3 +311,60 @@ def test_the_pipeline_keeps_rows_that_share_an_id(spark):
     assert len(kept) == groups
     for name in ("substring_dedup", "benchmark_decontamination"):
         assert dict(corpus_pipeline.STAGES)[name](spark, docs, FOLDER).columns == docs.columns
+
+
+def plain_extended(a, b, cost):
+    """The end of the alignment of beginnings with the highest score, from the whole table of edit distances."""
+    best = {}
+    for i in range(len(a) + 1):
+        for j in range(len(b) + 1):
+            ways = [best[i - 1, j] + 1] if i else []
+            ways += [best[i, j - 1] + 1] if j else []
+            ways += [best[i - 1, j - 1] + (a[i - 1] != b[j - 1])] if i and j else []
+            best[i, j] = min(ways, default=0)
+    return best, lambda i, j: (i + j) // 2 - (1 + cost) * best[i, j]
+
+
+def test_extended_finds_the_best_ends(monkeypatch):
+    monkeypatch.setattr(substring_dedup, "DROP", 1000)  # nothing is given up
+    drawn = np.random.default_rng(4)
+    sides = []
+    for _ in range(40):
+        a = drawn.integers(0, 5, drawn.integers(0, 14)).tolist()
+        b = [w for w in a if drawn.random() > 0.15] + drawn.integers(0, 5, drawn.integers(0, 3)).tolist()
+        sides.append((a, b))
+    flat = [np.array(sum((pair[k] for pair in sides), [0]), np.uint32) for k in (0, 1)]
+    sizes = [np.array([len(pair[k]) for pair in sides]) for k in (0, 1)]
+    starts = [np.cumsum(n) - n + 1 for n in sizes]
+    for cost in (1, 3):
+        for step in (1, -1):
+            at = starts if step == 1 else [s + n - 1 for s, n in zip(starts, sizes, strict=True)]
+            found = substring_dedup.extended(*flat, *at, *sizes, np.full(len(sides), step), cost)
+            for (a, b), i, j in zip(sides, *found, strict=True):
+                best, score = plain_extended(a[::step], b[::step], cost)
+                assert score(i, j) == max(score(*ends) for ends in best)
+
+
+def test_reachable_bounds_reached_from_above():
+    drawn = np.random.default_rng(6)
+    shape = (300, substring_dedup.REACH + substring_dedup.K + 1)
+    a = drawn.integers(0, 20, shape).astype(np.int16)
+    b = np.where(drawn.random(shape) < 0.2, 21, np.roll(a, 1, 1)).astype(np.int16)
+    n_a, n_b = (drawn.integers(0, shape[1], shape[0]) for _ in range(2))
+    for i in range(shape[0]):
+        a[i, n_a[i] :], b[i, n_b[i] :] = -1, -2
+    exact = substring_dedup.reached(a, b, n_a, n_b, 9)
+    assert (substring_dedup.reachable(a, b, n_a, 9) >= exact).all()
+    assert exact.max() > 9
+
+
+def test_word_hashes_depend_on_the_words_alone():
+    import pyarrow as pa
+
+    words = ["", "a", "b", "ab", "ba", "aa", "wörter", "x" * 3000, "x" * 2999]
+    whole = substring_dedup._hashes(pa.array(words))
+    assert len(set(whole.tolist())) == len(words)
+    assert substring_dedup._hashes(pa.array(["zz", *words]).slice(1)).tolist() == whole.tolist()
+    assert len(substring_dedup._hashes(pa.array([], pa.string()))) == 0
+    many = pa.array([f"{i:x}" for i in range(200_000)])
+    assert len(set(substring_dedup._hashes(many).tolist())) == len(many)
