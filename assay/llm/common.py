@@ -31,11 +31,6 @@ def bounded_batches(spark: SparkSession, rows: int = 2000, size: str = "16m") ->
         spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", size)
 
 
-def hash_small_parts(spark: SparkSession, size: str = "64m") -> None:
-    """Joins whose smaller side has no part above ``size`` after the shuffle hash it instead of sorting both; larger ones sort."""
-    spark.conf.set("spark.sql.adaptive.maxShuffledHashJoinLocalMapThreshold", size)
-
-
 def in_pieces(texts: Iterable[str], size: int, overlap: int = 0) -> Iterator[list[tuple[int, str, int, bool]]]:
     """Lists of (number of the text, piece, leading characters that are context only, whether the text ends).
 
