@@ -194,8 +194,9 @@ def saturating_add(t: Tables):
        FROM (SELECT event_id, event_id * 922337203685477 AS a FROM events)"""
 )
 def doubled_work(t: Tables):
-    size = F.col("event_id") * 922337203685477
-    return t.events.select("event_id", numbers.doubled_work(size).alias("work"))
+    # ids beyond 10,000 leave the range of BIGINT: such sizes are held at its end, as their doubles are
+    size = F.least(F.col("event_id").cast("decimal(19,0)") * F.lit(922337203685477), F.lit(numbers.INT64_MAX)).cast("bigint")
+    return t.events.select("event_id", F.when(F.col("event_id").isNotNull(), numbers.doubled_work(size)).alias("work"))
 
 
 _PROGRESS = "(SELECT event_id, event_id - 100 AS completed, user_id * 60 - 60 AS total FROM events)"

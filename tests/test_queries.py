@@ -31,6 +31,13 @@ def test_xxh3_query_matches_the_package(spark):
         assert digest == xxh3_128_hexdigest(texts[doc_id].encode())
 
 
+def test_doubled_work_of_ids_beyond_the_range(spark, tmp_path):
+    top, unit = 2**63 - 1, 922337203685477
+    spark.createDataFrame([(1,), (4999,), (5001,), (10_001,), (600_000,), (None,)], "event_id bigint").write.parquet(str(tmp_path / "events.parquet"))
+    works = {r.event_id: r.work for r in queries()["doubled_work"](spark, str(tmp_path)).collect()}
+    assert works == {1: 2 * unit, 4999: 9998 * unit, 5001: top, 10_001: top, 600_000: top, None: None}
+
+
 def test_entry_is_one_summary_row(spark):
     assert entry(spark).count() == 1
 
