@@ -151,3 +151,20 @@ def test_manifest_stream_writes_each_path_once_even_when_restarted(spark, tmp_pa
     checksum.stream_checksum(stream, target).awaitTermination()
     written = spark.read.parquet(target)
     assert written.count() == written.select("path").distinct().count() == len({row[0] for row in rows})
+
+
+def test_streams_keep_keyed_state_whatever_store_the_session_names(spark, tmp_path):
+    setting, plain = "spark.sql.streaming.stateStore.providerClass", "org.apache.spark.sql.execution.streaming.state.HDFSBackedStateStoreProvider"
+    before = spark.conf.get(setting)
+    spark.conf.set(setting, plain)
+    try:
+        rows = [(1, n, "FAIL") for n in range(4)], [(1, 4, "FAIL"), (2, 5, "OK")]
+        breaker.stream_breaker(feed(spark, tmp_path, rows, LOG), str(tmp_path / "out")).awaitTermination()
+        assert breaker.tripped_runs(spark, str(tmp_path / "out")).collect() == [(1, 5)]
+        events = [("j", 1, "TotalBytes", 10), ("j", 2, "BytesAdvanced", 4)], [("j", 3, "BytesAdvanced", 5)]
+        jobs = feed(spark, tmp_path / "jobs", events, "job_id string, seq long, kind string, bytes long")
+        progress.progress_stream(jobs, str(tmp_path / "state")).awaitTermination()
+        assert progress.current_state(spark, str(tmp_path / "state")).select("job_id", "total_bytes", "completed_bytes").collect() == [("j", 10, 9)]
+        assert spark.conf.get(setting) == plain  # the session's own setting is left as it was
+    finally:
+        spark.conf.set(setting, before)
