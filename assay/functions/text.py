@@ -2,16 +2,39 @@
 
 from __future__ import annotations
 
-import pandas as pd
+import unicodedata
+from collections.abc import Iterator
+
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, functions as F
 from pyspark.sql.types import StringType
 
 SIZE_UNITS = ("B", "KB", "MB", "GB", "TB")
-
-
-@F.pandas_udf(StringType())
-def _nfc(value: pd.Series) -> pd.Series:
-    return value.str.normalize("NFC")
+#: Bytes of texts that are normalized at once, or one text.
+BYTES_AT_ONCE = 1 << 20
+
+
+@F.arrow_udf(StringType())
+def _nfc(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
+    for values in batches:
+        yield normalized(values)
+
+
+def normalized(values: pa.Array) -> pa.Array:
+    """NFC of each text. A few texts at a time are Python's, the others stay in Arrow's buffers."""
+    if values.null_count == len(values):
+        return values
+    sizes, pieces, first = pc.fill_null(pc.binary_length(values), 0).to_pylist(), [], 0
+    while first < len(values):
+        last, held = first + 1, sizes[first]
+        while last < len(values) and held + sizes[last] <= BYTES_AT_ONCE:
+            held += sizes[last]
+            last += 1
+        texts = values.slice(first, last - first).to_pylist()
+        pieces.append(pa.array([text and unicodedata.normalize("NFC", text) for text in texts], values.type))
+        first = last
+    return pa.concat_arrays(pieces)
 
 
 def nfc(value: Column) -> Column:

@@ -170,3 +170,19 @@ def test_attempt_outcome(evaluate):
     assert outcome("TRANSIENT", 50, unlimited=True) == "retry"
     assert outcome("FILE", 3, unlimited=True) == "give_up"
     assert outcome("DEVICE", 1, unlimited=True) == "stop"
+
+
+def test_nfc_holds_few_texts_at_a_time(monkeypatch):
+    import pyarrow as pa
+
+    from assay.functions import text
+
+    monkeypatch.setattr(text, "BYTES_AT_ONCE", 8)
+    texts = ["café", None, "", "plain", "한", "̈́" * 9]
+    seen, plain = [], text.unicodedata.normalize
+    assert text.normalized(pa.array(texts)).to_pylist() == [t and plain("NFC", t) for t in texts]
+    assert text.normalized(pa.array([None, None], pa.string())).to_pylist() == [None, None]
+    pieces = text.pa.concat_arrays
+    monkeypatch.setattr(text.pa, "concat_arrays", lambda arrays: seen.extend(map(len, arrays)) or pieces(arrays))
+    text.normalized(pa.array(texts))
+    assert seen == [3, 1, 1, 1]
