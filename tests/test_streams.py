@@ -168,3 +168,22 @@ def test_streams_keep_keyed_state_whatever_store_the_session_names(spark, tmp_pa
         assert spark.conf.get(setting) == plain  # the session's own setting is left as it was
     finally:
         spark.conf.set(setting, before)
+
+
+def test_larger_tables_are_streamed_in_more_files_not_larger_ones(spark, tmp_path, monkeypatch):
+    from assay.queries import logs
+    from assay.queries.registry import Tables
+    from assay.queries.fixtures import source_entries
+
+    docs = [(n, f"text {n}" * 50, "en", "web", 300) for n in range(400)]
+    spark.createDataFrame(docs, "doc_id long, text string, lang string, source string, n_chars int").write.parquet(str(tmp_path / "documents.parquet"))
+    t = Tables(spark, str(tmp_path))
+    monkeypatch.setattr(logs, "FEED_BYTES", 2000)
+    rows = logs._as_stream(t, source_entries(t), "payload-feed")
+    done = rows.select("path").writeStream.format("memory").queryName("streamed").trigger(availableNow=True).start()
+    done.awaitTermination()
+    assert sorted(spark.table("streamed").toPandas()["path"]) == sorted(f"root/web/en/doc_{n}.txt" for n in range(400))
+    batches = [p["sources"][0]["numInputRows"] for p in done.recentProgress if p["numInputRows"]]
+    assert len(batches) == logs.MICRO_BATCHES
+    files = spark.read.parquet(str(tmp_path / "documents.parquet"))
+    assert logs.feed_files(files) > 4 and logs.feed_files(spark.range(1)) == 4
