@@ -8,7 +8,6 @@ from assay.functions import digests, text
 from assay.operators import entries as E, fingerprint, manifests, runs, verify
 from assay.queries import fixtures as X
 from assay.queries.registry import Tables, query
-from assay.schemas import QUARANTINE
 from assay.session import scratch_dir
 from assay.sources import readers, writers
 
@@ -187,8 +186,7 @@ def write_quarantine(t: Tables):
     place = scratch_dir(t.spark, "quarantine")
     failures = _failures(t)
     writers.write_quarantine(failures, place)
-    back = t.spark.read.schema(QUARANTINE).json(f"{place}/{writers.QUARANTINE_DIR}")
-    return back.select("*", F.url_decode(F.substring_index(F.input_file_name(), "/", -1)).alias("report_name"))
+    return readers.read_quarantine(t.spark, place)
 
 
 def _failures(t: Tables) -> DataFrame:

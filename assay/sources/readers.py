@@ -2,12 +2,18 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window, functions as F
 
 from assay.functions import paths, text
 from assay.operators import manifests
 from assay.plans.sizing import BROADCAST_LIMIT_BYTES, estimated_bytes
-from assay.sources import stores
+from assay.plans.storing import store
+from assay.schemas import QUARANTINE
+from assay.sources import stores, treesource
+from assay.sources.writers import QUARANTINE_DIR, REPORTS_PER_TASK
 
 
 OPEN_COST_BYTES = 4 << 20
@@ -84,3 +90,29 @@ def parse_checkpoint_records(lines: DataFrame) -> DataFrame:
             F.coalesce(F.element_at("fields", 2).try_cast("bigint"), F.lit(0)).alias("size"),
         )
     )
+
+
+def read_quarantine(spark: SparkSession, destination: str) -> DataFrame:
+    """QUARANTINE rows of the reports that ``write_quarantine`` left, with the name of each.
+
+    Tasks list the folder and open the reports, so their number burdens neither the driver
+    nor a single task.
+    """
+    listed = treesource.read_tree(spark, f"{destination.rstrip('/')}/{QUARANTINE_DIR}", recursive="false", includeRoot="false")
+    listed = listed.filter("kind = 'file' AND NOT path RLIKE '^[._]'")  # unfinished ones begin with a dot
+    files, seen = store(listed.select("path", "abs_path"), "listing", n=F.count("*"))
+
+    def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for some in range(0, batch.num_rows, 1000):
+                rows = []
+                for file in batch.slice(some, 1000).to_pylist():
+                    with stores.open_read(file["abs_path"]) as stream:
+                        lines = stream.read().decode("utf-8").split("\n")
+                    rows += [(file["path"], line) for line in lines if line.strip()]
+                yield pa.RecordBatch.from_arrays([pa.array([row[i] for row in rows], pa.string()) for i in (0, 1)], ["path", "value"])
+
+    width = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    spread = files.repartition(max(width, -(-seen["n"] // REPORTS_PER_TASK)), "path")
+    report = F.from_json("value", QUARANTINE)
+    return spread.mapInArrow(read, "path string, value string").select(report.alias("report"), "path").select("report.*", F.col("path").alias("report_name"))

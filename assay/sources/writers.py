@@ -20,6 +20,10 @@ from assay.session import scratch_dir
 from assay.sources import stores
 
 QUARANTINE_DIR = ".quarantine"
+#: Reports that a task writes, or reads, if there are more than tasks.
+REPORTS_PER_TASK = 20_000
+#: Reports that are pushed to the device together.
+REPORTS_AT_ONCE = 250
 
 #: A file of many parts is written in pieces of so many bytes, by so many tasks at most.
 PIECE_BYTES, MOST_TASKS = 64 << 20, 2000
@@ -150,6 +154,18 @@ def _write_small(target: str, content: str, temporary: str | None = None) -> Non
     stores.move(temporary, target)
 
 
+def _write_together(folder: str, temporary: str, names: list[str], contents: list[str]) -> None:
+    """Small files, all on the device before the first has its name; of equal names the last stays."""
+    for i, content in enumerate(contents):
+        with stores.open_write(f"{temporary}{i:03d}") as out:
+            out.write((content + "\n").encode("utf-8"))
+            stores.begin_sync(out)
+    for i in range(len(names)):
+        stores.sync_file(f"{temporary}{i:03d}")
+    for i, name in enumerate(names):
+        stores.move(f"{temporary}{i:03d}", f"{folder}/{name}")
+
+
 def checkpoint_key(source: Column, destination: Column) -> Column:
     """24 hex digits naming the checkpoint of one (source, destination) pair."""
     return F.substring(F.sha2(F.concat(source, destination).cast("binary"), 256), 1, 24)
@@ -194,12 +210,19 @@ def write_quarantine(failures: DataFrame, destination: str) -> DataFrame:
 
     def write(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         attempt = TaskContext.get().taskAttemptId()
+        temporary = f"{folder}/.{attempt}{paths.TEMP_MARKER}.{attempt}"
+        stores.make_parents(temporary)
         for batch in batches:
-            for name, report in zip(batch.column("report_name").to_pylist(), batch.column("report").to_pylist(), strict=True):
-                _write_small(f"{folder}/{name}", report + "\n", f"{folder}/.{attempt}{paths.TEMP_MARKER}.{attempt}")
-            yield batch.drop_columns(["report"])
+            names, reports = (batch.column(c).to_pylist() for c in ("report_name", "report"))
+            for some in range(0, len(names), REPORTS_AT_ONCE):
+                _write_together(folder, temporary, names[some : some + REPORTS_AT_ONCE], reports[some : some + REPORTS_AT_ONCE])
+            yield batch.drop_columns(["report", "place"])
 
-    reported = rows.withColumn("report", text)
+    reported = rows.withColumns({"report": text, "place": F.monotonically_increasing_id()})
     schema = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in rows.schema)
+    stored, seen = store(reported, "failures", n=F.count("*"))
+    width = int(failures.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    # rows of one name go to one task, so that the last of them stays
+    spread = stored.repartition(max(width, -(-seen["n"] // REPORTS_PER_TASK)), "report_name").sortWithinPartitions("place")
     # stored: the files are written once, with the times that the rows tell
-    return store(store(reported, "failures")[0].mapInArrow(write, schema), "reports")[0]
+    return store(spread.mapInArrow(write, schema), "reports")[0]
