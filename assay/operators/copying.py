@@ -49,6 +49,10 @@ class AttemptFailed(Exception):
 
 
 STOP_CHECK_SECS = 0.5
+#: Files, and bytes in all, that are written before the first of them is synced.
+FILES_AT_ONCE, BYTES_AT_ONCE = 250, 8 << 20
+#: Files that a task deletes.
+DELETES_PER_TASK = 10_000
 
 
 def verified_copy(
@@ -62,7 +66,7 @@ def verified_copy(
     """Copy each ``(path, abs_path, size)`` to ``destination/path``; one outcome row per file.
 
     Each file is written under a temporary name while being digested, synced, read back
-    and digested again, and renamed last. Temporary names carry the task attempt, so a
+    and digested again, and renamed last; small files are written some at a time before they are synced. Temporary names carry the task attempt, so a
     rerun or speculative task cannot collide, and a repeated copy ends in the same file.
     A task has a stretch of the files in component order. After a device failure, or
     ``failure_limit`` failures in a row, it leaves the rest of them alone (``STOPPED``) and
@@ -80,8 +84,8 @@ def verified_copy(
         last = None
         for batch in batches:
             rows = []
-            for file in batch.to_pylist():
-                row, last = share.copy(file), file["path"]
+            for file, row in share.copy_all(batch.to_pylist()):
+                last = file["path"]
                 rows.append(row)
                 progress.done(last, file["size"] or 0, f"{last}: {row['reason']}" if row["status"] == "FAILED" else None)
             yield pa.RecordBatch.from_pylist(rows, _ARROW_OUTCOME)
@@ -99,11 +103,60 @@ class _Share:
         self.device_failed = self.stopped = False
         self.streak, self.looked = 0, 0.0
 
-    def copy(self, file: dict) -> dict:
+    def copy_all(self, files: list[dict]) -> Iterator[tuple[dict, dict]]:
+        """Each file with its outcome, in order.
+
+        Files that are small together are written and synced first, and then read back and renamed
+        one by one, so that the device commits its journal about once for all of them.
+        """
+        first = 0
+        while first < len(files):
+            last, size, targets = first, 0, set()
+            while last < len(files) and last - first < FILES_AT_ONCE and files[last]["path"] not in targets:
+                size += files[last]["size"] or 0
+                if size > BYTES_AT_ONCE and last > first:
+                    break
+                targets.add(files[last]["path"])
+                last += 1
+            group = files[first:last]
+            written = self._write_ahead(group) if last - first > 1 else {}
+            for file in group:
+                yield file, self.copy(file, written.pop(file["path"], None))
+            first = last
+
+    def _write_ahead(self, files: list[dict]) -> dict[str, tuple[str, int] | AttemptFailed]:
+        """By path, what the first attempt at writing the file led to; ends with the first failure of the device."""
+        written: dict[str, tuple[str, int] | AttemptFailed] = {}
+        for file in files:
+            if self._is_stopped():
+                break
+            temporary = self._temporary(file["path"], 1)
+            try:
+                written[file["path"]] = _write(file["abs_path"], temporary, self.options.digest)
+            except AttemptFailed as failure:
+                stores.delete(temporary)
+                written[file["path"]] = failure
+                if failure.error_class == DEVICE:
+                    break
+        for path, done in written.items():
+            if isinstance(done, tuple):
+                try:
+                    stores.sync_file(self._temporary(path, 1))
+                except OSError as error:
+                    written[path] = AttemptFailed("DestinationWrite", error)
+        return written
+
+    def _temporary(self, path: str, attempt: int) -> str:
+        return f"{self.root}/{path}{paths.TEMP_MARKER}.{self.task}{attempt:03d}"
+
+    def copy(self, file: dict, written: tuple[str, int] | AttemptFailed | None = None) -> dict:
+        """The outcome of one file; ``written`` is what writing it ahead led to."""
         row = dict.fromkeys(COPY_OUTCOME.names) | {"path": file["path"], "bytes": file["size"], "attempts": 0}
         if self._is_stopped():
+            if isinstance(written, tuple):
+                stores.delete(self._temporary(file["path"], 1))
             return row | {"status": "STOPPED", "finished_ms": _now_ms()}
-        row |= self._try(file["abs_path"], f"{self.root}/{file['path']}") | {"finished_ms": _now_ms()}
+        row |= self._try(file["abs_path"], file["path"], written) | {"finished_ms": _now_ms()}
         self.streak = self.streak + 1 if row["status"] == "FAILED" else 0
         if self.device_failed or self.streak >= self.options.failure_limit:
             self.stopped = True
@@ -118,14 +171,17 @@ class _Share:
             self.looked, self.stopped = now, stores.exists(self.stop_file)
         return self.stopped
 
-    def _try(self, source: str, target: str) -> dict:
-        options, attempt = self.options, 0
+    def _try(self, source: str, path: str, written: tuple[str, int] | AttemptFailed | None = None) -> dict:
+        options, attempt, target = self.options, 0, f"{self.root}/{path}"
         while True:
             attempt += 1
-            temporary = f"{target}{paths.TEMP_MARKER}.{self.task}{attempt:03d}"
+            temporary = self._temporary(path, attempt)
             try:
-                digest, size, times_kept = _attempt(source, target, temporary, options.digest, self.backup)
+                if isinstance(written, AttemptFailed):
+                    raise written
+                digest, size, times_kept = _attempt(source, target, temporary, options.digest, self.backup, written)
             except AttemptFailed as failure:
+                written = None
                 stores.delete(temporary)
                 cls = failure.error_class
                 unlimited = cls == TRANSIENT and options.unlimited_retries
@@ -145,8 +201,11 @@ def _now_ms() -> int:
     return time.time_ns() // 1_000_000
 
 
-def _attempt(source: str, target: str, temporary: str, digest: str, backup: bool) -> tuple[str, int, bool]:
-    written, size = _write(source, temporary, digest)
+def _attempt(
+    source: str, target: str, temporary: str, digest: str, backup: bool, ahead: tuple[str, int] | None = None
+) -> tuple[str, int, bool]:
+    """Digest and size of what ``target`` has, and whether with the source's times; ``ahead`` is of a file already written."""
+    written, size = ahead or _write(source, temporary, digest, synced=True)
     try:
         read_back = stores.digest_file(temporary, digest)
     except OSError as error:
@@ -161,7 +220,7 @@ def _attempt(source: str, target: str, temporary: str, digest: str, backup: bool
     return written, size, times_kept
 
 
-def _write(source: str, temporary: str, digest: str) -> tuple[str, int]:
+def _write(source: str, temporary: str, digest: str, synced: bool = False) -> tuple[str, int]:
     """One read of the source feeds both the digest and the copy."""
     state, n_read, n_written = stores.new_digest(digest), 0, 0
     try:
@@ -193,7 +252,7 @@ def _write(source: str, temporary: str, digest: str) -> tuple[str, int]:
                 except OSError as error:
                     raise AttemptFailed("DestinationWrite", error) from error
             try:
-                stores.sync(writer)
+                (stores.sync if synced else stores.begin_sync)(writer)
             except OSError as error:
                 raise AttemptFailed("DestinationWrite", error) from error
     if n_written != n_read:
@@ -241,7 +300,13 @@ def delete_files(files: DataFrame) -> DataFrame:
             done = [_quietly(stores.delete, location) for location in batch.column("abs_path").to_pylist()]
             yield batch.append_column("deleted", pa.array(done, pa.bool_()))
 
-    return store(files.mapInArrow(remove, "path string, abs_path string, deleted boolean"), "report")[0]
+    return store(_spread(files, "abs_path").mapInArrow(remove, "path string, abs_path string, deleted boolean"), "report")[0]
+
+
+def _spread(files: DataFrame, column: str) -> DataFrame:
+    """Neighbours share a task, and no task has many: tasks that delete in the same folders wait for each other."""
+    width = int(files.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    return files.repartitionByRange(max(width, -(-files.count() // DELETES_PER_TASK)), column)
 
 
 def recover_interrupted(spark, destination: str, listing: DataFrame | None = None) -> DataFrame:

@@ -2,8 +2,8 @@
 
 A tree is listed in rounds. Each round spreads the directories still to be listed over
 the cluster; a task lists its share and walks on below it until it has opened a fixed
-number of directories, and hands the rest to the next round. So no task is stuck with a
-large subtree, the driver never holds a listing, a small tree takes one round, and
+number of directories or entries, and hands the rest to the next round. A directory of many
+names is handed on in shares of its names. So no task is stuck with a large subtree, the driver never holds a listing, a small tree takes one round, and
 pruned directories are never opened. Spark's ``binaryFile`` source is no substitute: it
 leaves out empty and hidden files and holds whole contents in memory.
 """
@@ -14,6 +14,7 @@ from collections import deque
 from collections.abc import Callable, Iterator
 from functools import reduce
 from itertools import islice
+from zlib import crc32
 
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, functions as F
@@ -28,32 +29,45 @@ from assay.sources import stores, treesource
 
 DIRS_PER_TASK = 64
 
-#: Directories a task opens before it hands on what is left.
-WALK_BUDGET = 1000
+#: Directories a task opens, or entries it lists, before it hands on what is left.
+WALK_BUDGET, ENTRY_BUDGET = 1000, 20_000
+#: A directory of more names than this is listed in so many shares; each costs a pass over the names.
+ONE_SHARE, SHARES = 5000, 32
 
 _LISTED = (
-    "parent string, name string, abs_path string, kind string, size long, mtime long, atime long, scan_error string, open boolean"
+    "parent string, name string, abs_path string, kind string, size long, mtime long, atime long, scan_error string, open boolean, share int, shares int"
 )
 _LISTED_ARROW = pa.schema(
     [
         ("parent", pa.string()), ("name", pa.string()), ("abs_path", pa.string()), ("kind", pa.string()),
         ("size", pa.int64()), ("mtime", pa.int64()), ("atime", pa.int64()), ("scan_error", pa.string()),
-        ("open", pa.bool_()),
+        ("open", pa.bool_()), ("share", pa.int32()), ("shares", pa.int32()),
     ]
 )
 _ROWS_PER_BATCH = 10_000
 
 
-def _walk(batch: pa.RecordBatch, budget: int, skips: Callable[[str], bool] | None) -> Iterator[dict]:
-    """Rows of the batch's directories and of what the budget allows to open below them."""
+def _walk(batch: pa.RecordBatch, budget: int, skips: Callable[[str], bool] | None, hand_on: bool) -> Iterator[dict]:
+    """Rows of the batch's directories and of what the budgets allow to open below them; rows of kind ``share`` are handed on."""
     todo = deque(batch.to_pylist())
     budget += len(todo)
+    listed = 0
     while todo:
         directory = todo.popleft()
         base = directory["abs_path"].rstrip("/")
         budget -= 1
+        share, shares = directory.get("share", 0), directory.get("shares", 1)
+        rest = {"parent": directory["path"], "name": "", "abs_path": directory["abs_path"], "kind": "share", "open": True}
+        wanted = (lambda name, share=share, shares=shares: crc32(name.encode()) % shares == share) if shares > 1 else None
         try:
-            for child in stores.list_dir(base or "/"):
+            if hand_on and shares == 1 and stores.has_more_names(base or "/", ONE_SHARE):
+                yield from (rest | {"share": i, "shares": SHARES} for i in range(SHARES))
+                continue
+            if hand_on and listed > ENTRY_BUDGET:
+                yield rest | {"share": share, "shares": shares}
+                continue
+            for child in stores.list_dir(base or "/", wanted):
+                listed += 1
                 row = child | {"parent": directory["path"], "abs_path": f"{base}/{child['name']}", "open": False}
                 if child["kind"] == "dir":
                     path = f"{directory['path']}/{child['name']}" if directory["path"] else child["name"]
@@ -66,16 +80,17 @@ def _walk(batch: pa.RecordBatch, budget: int, skips: Callable[[str], bool] | Non
         except FileNotFoundError as error:
             if not directory["path"]:
                 raise
-            gone = {"parent": directory["path"], "name": "", "abs_path": base, "kind": "gone", "open": False}
-            yield gone | {"scan_error": f"vanished: {error.strerror}"}
+            if share == 0:
+                gone = {"parent": directory["path"], "name": "", "abs_path": base, "kind": "gone", "open": False}
+                yield gone | {"scan_error": f"vanished: {error.strerror}"}
 
 
 def _list_round(
-    directories: DataFrame, n_dirs: int, budget: int = 0, skips: Callable[[str], bool] | None = None
+    directories: DataFrame, n_dirs: int, budget: int = 0, skips: Callable[[str], bool] | None = None, hand_on: bool = False
 ) -> DataFrame:
     def list_batches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            rows = _walk(batch, budget, skips)
+            rows = _walk(batch, budget, skips, hand_on)
             while chunk := list(islice(rows, _ROWS_PER_BATCH)):
                 yield pa.RecordBatch.from_pylist(chunk, _LISTED_ARROW)
 
@@ -94,6 +109,8 @@ def _list_round(
         F.timestamp_micros("atime").alias("atime"),
         "scan_error",
         "open",
+        "share",
+        "shares",
     )
 
 
@@ -166,9 +183,11 @@ def scan_all(
     rules = spark.createDataFrame([], schemas.RULE)
     n_dirs, rounds = 1, []
     while n_dirs:
-        listed = _list_round(directories, n_dirs, budget, skips)
+        listed = _list_round(directories, n_dirs, budget, skips, hand_on=True)
         found, seen = store(listed, "listing", n_open=F.count_if("open"))
         n_dirs = seen["n_open"]
+        shares = found.filter("kind = 'share'").select("path", "abs_path", "share", "shares")
+        found = found.filter("kind <> 'share'").drop("share", "shares")
         if junk is not None:
             found = found.filter((F.col("kind") == "gone") | ~junk(paths.path_parts(F.col("path")), F.col("is_dir")))
         if keep is not None:
@@ -177,13 +196,13 @@ def scan_all(
             rules = _extend_rules(rules, found)
             found = _drop_ignored(found, rules)
         rounds.append(found)
-        directories = found.filter("open").select("path", "abs_path")
+        directories = found.filter("open").select("path", "abs_path", F.lit(0).alias("share"), F.lit(1).alias("shares")).unionByName(shares)
     return reduce(DataFrame.unionByName, rounds).drop("open")
 
 
 def list_directories(directories: DataFrame) -> DataFrame:
     """One level below each of ``(path, abs_path)``; a vanished directory becomes a row with a ``scan_error``."""
-    return _list_round(directories, directories.count()).drop("open")
+    return _list_round(directories, directories.count()).drop("open", "share", "shares")
 
 
 def _extend_rules(rules: DataFrame, found: DataFrame) -> DataFrame:

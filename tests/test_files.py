@@ -1,6 +1,8 @@
+import errno
 import json
 import os
 
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 from xxhash import xxh3_128_hexdigest
@@ -8,7 +10,7 @@ from xxhash import xxh3_128_hexdigest
 from assay.operators import copying, fingerprint, resume
 from assay.options import JobOptions
 from assay.plans import jobs
-from assay.sources import filetree, stores
+from assay.sources import filetree, readers, stores, writers
 
 QUICK = JobOptions(backoff_unit_secs=0.0, unlimited_retries=False, no_manifest=False)
 
@@ -476,3 +478,61 @@ def test_a_bad_device_stops_the_copy_before_it_begins(spark, tmp_path, monkeypat
     with pytest.raises(fingerprint.VerificationError):
         jobs.copy_tree(spark, str(tmp_path / "src"), str(tmp_path / "card"), QUICK)
     assert copied(tmp_path / "card") == {}
+
+
+def test_large_folders_are_listed_in_shares_by_several_tasks(spark, tmp_path, monkeypatch):
+    names = {f"a/f{n}" for n in range(40)} | {f"a/d{n}/g" for n in range(3)} | {f"b{n}/f" for n in range(9)} | {"café"}
+    for name in names:
+        (tmp_path / "top" / name).parent.mkdir(parents=True, exist_ok=True)
+        (tmp_path / "top" / name).write_text(name)
+    monkeypatch.setattr(filetree, "ONE_SHARE", 10)
+    monkeypatch.setattr(filetree, "ENTRY_BUDGET", 4)
+    rows = filetree.scan_all(spark, str(tmp_path / "top"))
+    assert sorted(r.path for r in rows.collect()) == sorted(names | {"a", "a/d0", "a/d1", "a/d2"} | {f"b{n}" for n in range(9)})
+    assert set(rows.columns) == set(filetree.list_directories(spark.createDataFrame([("", str(tmp_path))], "path string, abs_path string")).columns)
+    share = [{"path": "a", "abs_path": str(tmp_path / "top" / "a")}]
+    walked = list(filetree._walk(pa.RecordBatch.from_pylist(share), 0, None, True))
+    assert {r["kind"] for r in walked} == {"share"} and len(walked) == filetree.SHARES  # nothing of it is left to this task
+
+
+def test_leftovers_are_deleted_by_several_tasks(spark, tmp_path):
+    files = [(f"f{n}", str(tmp_path / f"f{n}")) for n in range(50)]
+    for _, place in files:
+        open(place, "w").close()
+    one = spark.createDataFrame(files, "path string, abs_path string").coalesce(1)
+    report = copying.delete_files(one)
+    assert {r.path for r in report.filter("deleted").collect()} == {p for p, _ in files}
+    assert len(report.inputFiles()) > 1 and os.listdir(tmp_path) == []
+
+
+def test_files_written_ahead_end_as_if_copied_one_by_one(tmp_path, monkeypatch):
+    for n in range(6):
+        (tmp_path / f"s{n}").write_bytes(b"x" * n)
+    work = [{"path": f"p{n}", "abs_path": str(tmp_path / f"s{n}"), "size": n} for n in range(6)]
+    share = copying._Share(str(tmp_path / "out"), 1, QUICK, False)
+    again = [*work[:3], work[1], {"path": "gone", "abs_path": str(tmp_path / "none"), "size": 1}, *work[3:]]
+    rows = [row for _, row in share.copy_all(again)]
+    assert [(r["path"], r["status"], r["attempts"]) for r in rows] == [(f["path"], *(("FAILED", QUICK.max_retries) if f["path"] == "gone" else ("COPIED", 1))) for f in again]
+    assert sorted(os.listdir(tmp_path / "out")) == [f"p{n}" for n in range(6)]
+    # files written ahead when the device fails leave nothing behind
+    attempt, full = copying._attempt, copying.AttemptFailed("DestinationWrite", OSError(errno.ENOSPC, "full"))
+
+    def filling(source, *rest):
+        if source.endswith("s2"):
+            raise full
+        return attempt(source, *rest)
+
+    monkeypatch.setattr(copying, "_attempt", filling)
+    share = copying._Share(str(tmp_path / "full"), 1, QUICK, False)
+    assert [row["status"] for _, row in share.copy_all(work)] == ["COPIED", "COPIED", "FAILED", "STOPPED", "STOPPED", "STOPPED"]
+    assert sorted(os.listdir(tmp_path / "full")) == ["p0", "p1"]
+
+
+def test_reports_come_back_with_their_names_and_the_last_of_a_name_stays(spark, tmp_path):
+    rows = [(f"a/{n}", 1, 5, f"r{n}") for n in range(30)] + [("a/7", 2, 5, "later"), ("café + b", 3, 6, None)]
+    failures = spark.createDataFrame(rows, "source_relative string, attempts int, unix_time long, reason string").coalesce(1)
+    reports = writers.write_quarantine(failures, str(tmp_path))
+    assert reports.count() == 32 and len(reports.inputFiles()) > 1
+    back = {r.source_relative: (r.attempts, r.unix_time, r.reason, r.report_name) for r in readers.read_quarantine(spark, str(tmp_path)).collect()}
+    assert back["a/7"] == (2, 5, "later", "a__7.5.failed.json") and back["café + b"] == (3, 6, None, "café + b.6.failed.json")
+    assert len(back) == 31 == len(os.listdir(tmp_path / ".quarantine"))
