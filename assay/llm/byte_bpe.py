@@ -25,14 +25,16 @@ import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from assay.llm.common import free_name
+from assay.llm.common import bounded_batches, free_name
 from assay.llm.token_counts import merges_left, words
 
 LONG_WORD = 256
 WORDS_AT_ONCE = 20_000
 TOKENS_AT_ONCE = 250_000
-WORDS_PER_PART = 500_000
+WORDS_PER_PART = 100_000
 REMEMBERED = 250_000
+#: Rows of an Arrow batch: Spark holds a batch's words as rows besides, and a worker its tokens and bytes.
+ROWS = 500
 
 ENCODE = """
 WITH RECURSIVE parts(word, tokens, done) AS (
@@ -100,8 +102,8 @@ class Codec:
             out[word] = flat[begin:end]
         return out
 
-    def encode(self, distinct: list[str], often: np.ndarray) -> list[bytes]:
-        """Token ids, as 32-bit numbers, of each of the distinct words; those met ``often`` are remembered."""
+    def encode(self, distinct: list[str]) -> list[bytes]:
+        """Token ids, as 32-bit numbers, of each of the distinct words; short words are remembered."""
         new = [w for w in distinct if w not in self.known]
         found = {w: np.array(self._long(w), np.int32).tobytes() for w in new if len(w.encode()) > LONG_WORD}
         short = [w for w in new if w not in found]
@@ -110,10 +112,10 @@ class Codec:
             found.update(zip(part, self._contracted(part), strict=True))
         known = self.known
         out = [found[w] if w in found else known[w] for w in distinct]
-        again = [w for w, n in zip(distinct, often.tolist(), strict=True) if n and len(w) <= 32 and w not in known]
+        again = [w for w in short if len(w) <= 32]
         if len(known) + len(again) > REMEMBERED:
             known.clear()
-        known.update((w, found[w]) for w in again[:REMEMBERED] if w in found)
+        known.update((w, found[w]) for w in again[:REMEMBERED])
         return out
 
     def decode(self, text: np.ndarray, pos: np.ndarray, token: pa.Array) -> pa.Table:
@@ -146,14 +148,11 @@ def _parts(lists: pa.Array, most: int) -> Iterator[pa.Array]:
 def _encoded(codec: Codec, lists: pa.Array) -> pa.Array:
     """Token ids of rows of words."""
     coded = lists.flatten().dictionary_encode()
-    used, sizes = coded.indices.to_numpy(), pc.list_value_length(lists).to_numpy()
-    met = np.bincount(used, minlength=len(coded.dictionary))
-    tokens = codec.encode(coded.dictionary.to_pylist(), met > 1)
-    each = np.array([len(t) for t in tokens], np.int32) // 4
-    ends = np.concatenate([[0], np.cumsum(sizes)])
-    flat = pa.py_buffer(b"".join([tokens[i] for i in used.tolist()]))
-    bounds = np.concatenate([[0], np.cumsum(each[used], dtype=np.int64)])[ends]
-    return pa.ListArray.from_arrays(pa.array(bounds, pa.int32()), pa.Array.from_buffers(pa.int32(), int(bounds[-1]), [None, flat]))
+    ends = np.concatenate([[0], np.cumsum(pc.list_value_length(lists).to_numpy())])
+    tokens = pa.array(codec.encode(coded.dictionary.to_pylist()), pa.binary()).take(coded.indices)
+    # from the take on, the words' ids lie one after another
+    bounds = np.concatenate([[0], np.cumsum(pc.binary_length(tokens).to_numpy(), dtype=np.int64)])[ends] // 4
+    return pa.ListArray.from_arrays(pa.array(bounds, pa.int32()), pa.Array.from_buffers(pa.int32(), int(bounds[-1]), [None, tokens.buffers()[2]]))
 
 
 def _decoded(codec: Codec, lists: pa.Array) -> pa.Array:
@@ -174,6 +173,7 @@ def encode(docs: DataFrame, ranks_path: str, text: str = "text", ids: str = "ids
     The rank file, of fixed size, is read by the driver and broadcast.
     """
     shared = docs.sparkSession.sparkContext.broadcast(_ranks(ranks_path))
+    bounded_batches(docs.sparkSession, ROWS)
 
     @F.arrow_udf("struct<ids:array<int>,bytes:binary>")
     def encoded(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:

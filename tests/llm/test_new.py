@@ -368,3 +368,16 @@ def test_word_hashes_depend_on_the_words_alone():
     assert len(substring_dedup._hashes(pa.array([], pa.string()))) == 0
     many = pa.array([f"{i:x}" for i in range(200_000)])
     assert len(set(substring_dedup._hashes(many).tolist())) == len(many)
+
+
+def test_short_words_are_contracted_once_and_batches_are_small(spark, monkeypatch):
+    import pyarrow as pa
+
+    codec = byte_bpe.Codec(byte_bpe._ranks(public_tokenizers.path("byte_bpe_multi_50k.tiktoken")))
+    words, seen = [f" kwrtz{i}" for i in range(50)], []
+    contracted = codec._contracted
+    monkeypatch.setattr(codec, "_contracted", lambda new: seen.extend(new) or contracted(new))
+    first, again = (byte_bpe._encoded(codec, pa.array([words, words[:5]])).to_pylist() for _ in range(2))
+    assert first == again and seen == words
+    byte_bpe.encode(spark.createDataFrame([("a",)], "text string"), public_tokenizers.path("byte_bpe_multi_50k.tiktoken"))
+    assert int(spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch")) <= byte_bpe.ROWS
