@@ -51,7 +51,7 @@ def drop_near_duplicates(spark, docs, sf_dir):
 @_stage
 def cut_repeated_passages(spark, docs, sf_dir):
     """All documents, without the passages that repeat a document of smaller id."""
-    cut = substring_dedup.remove_passages(docs, substring_dedup.repeated_passages(docs))
+    cut = substring_dedup.remove_passages(docs, substring_dedup.repeated_passages(docs, by_text=True))
     return cut.withColumn("n_chars", F.length("text").cast(docs.schema["n_chars"].dataType)).select(docs.columns)
 
 

@@ -381,3 +381,33 @@ def test_short_words_are_contracted_once_and_batches_are_small(spark, monkeypatc
     assert first == again and seen == words
     byte_bpe.encode(spark.createDataFrame([("a",)], "text string"), public_tokenizers.path("byte_bpe_multi_50k.tiktoken"))
     assert int(spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch")) <= byte_bpe.ROWS
+
+
+def test_texts_that_share_an_id_are_cut_one_by_one(spark):
+    drawn = np.random.default_rng(9)
+    noise = lambda n: [f"w{i}" for i in drawn.integers(0, 10**6, n)]
+    passage, other = noise(70), noise(60)
+    texts = [(1, passage), (2, other), (5, noise(40) + passage), (5, noise(300) + other + noise(5)), (5, noise(8)), (2**40, passage[:55]), (None, passage)]
+    docs = spark.createDataFrame([(i, " ".join(t)) for i, t in texts], "doc_id bigint, text string")
+    rows = substring_dedup.repeated_passages(docs).collect()
+    assert sorted((r.doc_id, r.begin, r.end, r.ref_id, r.ref_begin, r.ref_end) for r in rows) == [(5, 40, 110, 1, 0, 70), (5, 300, 360, 2, 0, 60), (2**40, 0, 55, 1, 0, 55)]
+    cut = substring_dedup.remove_passages(docs, substring_dedup.repeated_passages(docs, by_text=True)).collect()
+    left = [(1, passage), (2, other), (5, texts[2][1][:40]), (5, texts[3][1][:300] + texts[3][1][360:]), (5, texts[4][1]), (2**40, []), (None, passage)]
+    assert sorted((str(r.doc_id), r.text.split()) for r in cut) == sorted((str(i), t) for i, t in left)
+
+
+def test_runs_of_seeds_that_several_documents_have():
+    import pyarrow as pa
+
+    drawn = np.random.default_rng(3)
+    run = drawn.integers(0, 2**63, 58, dtype=np.uint64)
+    texts = [np.concatenate([drawn.integers(0, 2**63, n, dtype=np.uint64), part, drawn.integers(0, 2**63, 90, dtype=np.uint64)]) for n, part in ((33, run), (0, run), (70, run[:49]))]
+    text, pos, value = substring_dedup.seeds(np.concatenate(texts), np.array([len(t) for t in texts]))
+    held = [{v for t, v in zip(text, value, strict=True) if t == i} for i in range(3)]
+    shared = np.array([sum(v in h for h in held) > 1 for v in value])
+    columns = [text[shared], pos[shared], np.array([len(t) for t in texts])[text[shared]]]
+    rows = pa.RecordBatch.from_arrays([pa.array(c.astype(np.int64)) for c in columns], ["doc_id", "pos", "size"])
+    found = {d: (b, n) for d, b, n in zip(*(c.to_pylist() for c in substring_dedup._spans(rows)), strict=True)}
+    # all runs of the repeat, and few beside it
+    assert found[0][0] <= 33 and found[0][0] + found[0][1] >= 91 and found[0][1] <= 58 + 2 * substring_dedup.W
+    assert found[1][0] == 0 and 58 <= found[1][1] <= 58 + substring_dedup.W
