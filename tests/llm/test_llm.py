@@ -281,6 +281,24 @@ def test_passages_with_a_tenth_and_a_fifth_of_their_words_changed_are_found(spar
     assert all(r.ref_id == r.doc_id - 100 and r.identity >= 0.8 and 30 <= r.begin and r.end <= 110 for r in rows)
 
 
+@pytest.mark.parametrize("few", [32, 0])
+def test_changed_passages_whose_parts_occur_earlier_elsewhere_are_found(spark, monkeypatch, few):
+    monkeypatch.setattr(substring_dedup, "FEW", few, raising=False)  # 0: all places are compared by their pairs of words
+    drawn = random.Random(33)
+    texts, phrase = {}, invented(drawn, 14)
+    for i in range(40):  # both halves come first in two other documents
+        passage = invented(drawn, 26) + (phrase if i % 2 else invented(drawn, 14)) + invented(drawn, 26)
+        other = list(passage)
+        for at in drawn.sample(range(66), 3 + i % 7):
+            other[at] = f"v{drawn.randrange(5000)}"
+        halves = [passage[:33], passage[33:], passage, other]
+        texts |= {1000 * n + i: invented(drawn, 20 + n) + half + invented(drawn, 20) for n, half in enumerate(halves)}
+    docs = spark.createDataFrame([(d, " ".join(t)) for d, t in texts.items()], "doc_id bigint, text string")
+    rows = substring_dedup.repeated_passages(docs).collect()
+    assert {(r.doc_id, r.ref_id) for r in rows} == {(3000 + i, 2000 + i) for i in range(40)}
+    assert all(r.identity >= 0.8 and r.end - r.begin >= 50 and 15 <= r.begin and r.end <= 97 for r in rows)
+
+
 def test_seeds_are_shared_by_any_common_run():
     drawn = np.random.default_rng(4)
     run = drawn.integers(0, 2**63, substring_dedup.K + substring_dedup.W - 1, dtype=np.uint64)
