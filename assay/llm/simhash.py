@@ -144,11 +144,23 @@ def one_of_each_group(docs: DataFrame, doc_id: str = "doc_id", text: str = "text
     """One row of ``docs`` for each component: the one with the smallest id, NULL last, then the smallest digest of its text.
 
     Rows are judged one by one, each by its own fingerprint, whatever ids they share. Rows
-    equal in both id and text are copies of each other.
+    equal in both id and text are copies of each other, of which the first is taken. Ids, fingerprints and
+    digests alone are stored: texts are read again, not written a second time.
     """
-    bits, row = free_name("_bits", docs), free_name("_row", docs)
-    rows, _ = store(docs.select("*", fingerprint(text).alias(bits), F.monotonically_increasing_id().alias(row)), "simhash-rows")
-    short = rows.select(F.col(doc_id).alias("doc_id"), F.col(bits).alias("bits"), F.col(row).alias("row"), F.md5(F.col(text).cast("binary")).alias("digest"))
-    order = F.struct(F.col("doc_id").isNull().alias("unnamed"), "doc_id", "digest", "row")
-    chosen = short.join(_groups(short), "bits").groupBy("component").agg(F.min(order).alias("first"))
-    return rows.join(chosen.select(F.col("first.row").alias(row)), row, "left_semi").select(docs.columns)
+    key, row = free_name("_key", docs), free_name("_row", docs)
+    digest = F.sha2(F.col(text).cast("binary"), 256)
+    own = F.concat_ws(":", F.coalesce(digest, F.lit("-")), F.col(doc_id).cast("string"))  # without a colon if the id is NULL
+    rows, _ = store(docs.select(F.col(doc_id).alias("doc_id"), fingerprint(text).alias("bits"), F.md5(F.col(text).cast("binary")).alias("digest"), own.alias("key")), "simhash-rows")
+    order = F.struct(F.col("doc_id").isNull().alias("unnamed"), "doc_id", "digest", "key")
+    chosen = rows.join(_groups(rows), "bits").groupBy("component").agg(F.min(order).alias("first")).select(F.col("first.key").alias("key"))
+    copies = rows.groupBy("key").agg(F.count("*").alias("n"))
+    chosen, _ = store(chosen.join(copies, "key").withColumnRenamed("key", key), "simhash-chosen")
+    keyed = docs.withColumn(key, own)
+    alone = keyed.join(chosen.filter("n = 1"), key, "left_semi").select(docs.columns)
+    if chosen.filter("n > 1").isEmpty():
+        return alone
+    # many copies of one row are first reduced where they are read
+    first = F.min_by(F.struct(*docs.columns), row).alias("first"), F.min(row).alias(row)
+    repeated = keyed.withColumn(row, F.monotonically_increasing_id()).join(chosen.filter("n > 1"), key, "left_semi")
+    repeated = repeated.groupBy(key, F.pmod(row, F.lit(32)).alias("share")).agg(*first)
+    return alone.unionByName(repeated.groupBy(key).agg(F.min_by("first", row).alias("first")).select("first.*"))

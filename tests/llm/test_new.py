@@ -301,6 +301,15 @@ def test_one_row_of_each_group_stays(spark):
     assert simhash.one_of_each_group(docs.limit(0)).count() == 0
 
 
+def test_texts_are_not_stored_to_find_one_row_of_each_group(spark, tmp_path, monkeypatch):
+    drawn = np.random.default_rng(2)
+    rows = [(i, " ".join(f"w{w}" for w in drawn.integers(0, 10**6, 400))) for i in range(300)]
+    docs = spark.createDataFrame([*rows, rows[5], rows[5]], "doc_id bigint, text string")
+    monkeypatch.setattr("assay.plans.storing.scratch_dir", lambda spark, label: str(tmp_path / f"{label}-{len(list(tmp_path.iterdir()))}"))
+    assert sorted(map(tuple, simhash.one_of_each_group(docs).collect())) == rows
+    assert sum(f.stat().st_size for f in tmp_path.rglob("*.parquet")) < sum(len(t) for _, t in rows) / 5
+
+
 def test_the_pipeline_keeps_rows_that_share_an_id(spark):
     import corpus_pipeline
 
