@@ -367,6 +367,44 @@ def test_reachable_bounds_reached_from_above():
     assert exact.max() > 9
 
 
+def test_outranked_counts_within_stretches():
+    drawn = np.random.default_rng(7)
+    sizes = drawn.integers(1, 120, 20)
+    place = np.repeat(np.arange(20), sizes)
+    offset = np.concatenate([np.sort(drawn.choice(2 * substring_dedup.REACH + substring_dedup.K, n, replace=False)) for n in sizes])
+    rank, wanted = drawn.permutation(len(place)) + 1, drawn.choice(len(place), 150, replace=False)
+    for size in (49, 64):
+        got = substring_dedup.outranked(place, offset, rank, size, wanted)
+        for i, most in zip(wanted, got, strict=True):
+            higher = offset[(place == place[i]) & (rank > rank[i])]
+            assert most == max(((higher >= s) & (higher < s + size)).sum() for s in range(offset[i] - size + 1, offset[i] + 1))
+
+
+def test_places_that_share_frequent_words_alone_make_no_pairs():
+    import pyarrow as pa
+
+    # one place has 24 pairs that many others have, spread over it, and a rare one: no stretch has enough of them beside it
+    offset = np.append(np.arange(0, 120, 5), 61)
+    n = np.append(np.full(24, 1000), 2)
+    columns = [np.zeros(25, np.int64), offset, np.arange(25), n]
+    kept = substring_dedup._rare_pairs(pa.RecordBatch.from_arrays([pa.array(c) for c in columns], ["at", "offset", "token", "n"]))
+    assert len(kept[0]) == 0
+    # two places with a passage in common keep one of its pairs, however frequent the others are
+    drawn = np.random.default_rng(3)
+    for _ in range(50):
+        n, shared = drawn.integers(2, 2000, 200), np.arange(substring_dedup.SHARED)
+        sides = []
+        for first, size in ((0, 49), (100, 64)):  # (number of the first pair of its own, length of the stretch)
+            within = np.sort(drawn.choice(size, len(shared), replace=False)) + 30
+            rest = np.setdiff1d(np.arange(130), within)
+            rest = rest[drawn.random(len(rest)) < 0.5]
+            at, token = np.append(within, rest), np.append(shared, first + 20 + np.arange(len(rest)) % 80)
+            order = np.argsort(at)
+            sides.append([np.ones(len(at), np.int64), at[order], token[order], n[token[order]]])
+        mine, other = (substring_dedup._rare_pairs(pa.RecordBatch.from_arrays([pa.array(c) for c in side], ["at", "offset", "token", "n"])) for side in sides)
+        assert set(mine[0].filter(mine[2]).to_pylist()) & set(other[0].to_pylist()) & set(shared.tolist())
+
+
 def test_word_hashes_depend_on_the_words_alone():
     import pyarrow as pa
 
