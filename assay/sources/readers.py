@@ -3,6 +3,8 @@
 from __future__ import annotations
 
 from collections.abc import Iterator
+from itertools import islice
+from zlib import crc32
 
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window, functions as F
@@ -12,12 +14,15 @@ from assay.operators import manifests
 from assay.plans.sizing import BROADCAST_LIMIT_BYTES, estimated_bytes
 from assay.plans.storing import store
 from assay.schemas import QUARANTINE
-from assay.sources import stores, treesource
+from assay.sources import stores
+from assay.sources.treesource import SHARES
 from assay.sources.writers import QUARANTINE_DIR, REPORTS_PER_TASK
 
 
 OPEN_COST_BYTES = 4 << 20
 OFFSET_BYTES = 512
+#: File names that a task passes on together.
+NAMES_AT_ONCE = 10_000
 
 
 def numbered_lines(spark: SparkSession, location: str) -> DataFrame:
@@ -95,21 +100,30 @@ def parse_checkpoint_records(lines: DataFrame) -> DataFrame:
 def read_quarantine(spark: SparkSession, destination: str) -> DataFrame:
     """QUARANTINE rows of the reports that ``write_quarantine`` left, with the name of each.
 
-    Tasks list the folder and open the reports, so their number burdens neither the driver
-    nor a single task.
+    Tasks list the folder, each a share of the names, and open the reports, so their number
+    burdens neither the driver nor a single task.
     """
-    listed = treesource.read_tree(spark, f"{destination.rstrip('/')}/{QUARANTINE_DIR}", recursive="false", includeRoot="false")
-    listed = listed.filter("kind = 'file' AND NOT path RLIKE '^[._]'")  # unfinished ones begin with a dot
-    files, seen = store(listed.select("path", "abs_path"), "listing", n=F.count("*"))
+    folder = f"{destination.rstrip('/')}/{QUARANTINE_DIR}"
+
+    def names(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for share in batch.column(0).to_pylist():
+                # unfinished ones begin with a dot
+                found = stores.file_names(folder, lambda name, share=share: name[0] not in "._" and crc32(name.encode()) % SHARES == share)
+                while some := list(islice(found, NAMES_AT_ONCE)):
+                    yield pa.RecordBatch.from_pydict({"path": pa.array(some, pa.string())})
+
+    listed = spark.range(0, SHARES, 1, SHARES).mapInArrow(names, "path string")
+    files, seen = store(listed, "listing", n=F.count("*"))
 
     def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for some in range(0, batch.num_rows, 1000):
                 rows = []
-                for file in batch.slice(some, 1000).to_pylist():
-                    with stores.open_read(file["abs_path"]) as stream:
+                for name in batch.column(0).slice(some, 1000).to_pylist():
+                    with stores.open_read(f"{folder}/{name}") as stream:
                         lines = stream.read().decode("utf-8").split("\n")
-                    rows += [(file["path"], line) for line in lines if line.strip()]
+                    rows += [(name, line) for line in lines if line.strip()]
                 yield pa.RecordBatch.from_arrays([pa.array([row[i] for row in rows], pa.string()) for i in (0, 1)], ["path", "value"])
 
     width = int(spark.conf.get("spark.sql.shuffle.partitions"))

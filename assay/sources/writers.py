@@ -23,7 +23,7 @@ QUARANTINE_DIR = ".quarantine"
 #: Reports that a task writes, or reads, if there are more than tasks.
 REPORTS_PER_TASK = 20_000
 #: Reports that are pushed to the device together.
-REPORTS_AT_ONCE = 250
+REPORTS_AT_ONCE = 2000
 
 #: A file of many parts is written in pieces of so many bytes, by so many tasks at most.
 PIECE_BYTES, MOST_TASKS = 64 << 20, 2000
@@ -156,14 +156,13 @@ def _write_small(target: str, content: str, temporary: str | None = None) -> Non
 
 def _write_together(folder: str, temporary: str, names: list[str], contents: list[str]) -> None:
     """Small files, all on the device before the first has its name; of equal names the last stays."""
-    for i, content in enumerate(contents):
-        with stores.open_write(f"{temporary}{i:03d}") as out:
+    written = [f"{temporary}{i:04d}" for i in range(len(names))]
+    for file, content in zip(written, contents, strict=True):
+        with stores.open_write(file) as out:
             out.write((content + "\n").encode("utf-8"))
-            stores.begin_sync(out)
-    for i in range(len(names)):
-        stores.sync_file(f"{temporary}{i:03d}")
-    for i, name in enumerate(names):
-        stores.move(f"{temporary}{i:03d}", f"{folder}/{name}")
+    stores.sync_files(written)
+    for file, name in zip(written, names, strict=True):
+        stores.move(file, f"{folder}/{name}")
 
 
 def checkpoint_key(source: Column, destination: Column) -> Column:

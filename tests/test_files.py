@@ -536,3 +536,27 @@ def test_reports_come_back_with_their_names_and_the_last_of_a_name_stays(spark,
     back = {r.source_relative: (r.attempts, r.unix_time, r.reason, r.report_name) for r in readers.read_quarantine(spark, str(tmp_path)).collect()}
     assert back["a/7"] == (2, 5, "later", "a__7.5.failed.json") and back["café + b"] == (3, 6, None, "café + b.6.failed.json")
     assert len(back) == 31 == len(os.listdir(tmp_path / ".quarantine"))
+
+
+def test_reports_are_pushed_to_the_device_together_and_listed_without_a_look_at_each(tmp_path, monkeypatch):
+    synced, every = [], stores._sync_all
+    monkeypatch.setattr(stores, "_sync_all", lambda folder: synced.append(sorted(os.listdir(tmp_path))) or 0)
+    monkeypatch.setattr(stores, "sync_file", lambda location: synced.append(location))
+    names = [f"r{n}.failed.json" for n in range(600)]
+    writers._write_together(str(tmp_path), f"{tmp_path}/.t", names, names)
+    # one request while all are written and none has its name
+    assert len(synced) == 1 and len(synced[0]) == 600 and all(name.startswith(".t") for name in synced[0])
+    assert sorted(os.listdir(tmp_path)) == sorted(names) and (tmp_path / names[7]).read_text() == names[7] + "\n"
+    synced.clear()
+    monkeypatch.setattr(stores, "_sync_all", None)
+    stores.sync_files([f"{tmp_path}/{name}" for name in names])
+    assert synced == [f"{tmp_path}/{name}" for name in names]
+    if every:
+        monkeypatch.setattr(stores, "_sync_all", lambda folder: -1)
+        with pytest.raises(OSError):
+            stores.sync_files([f"{tmp_path}/{names[0]}"])
+    (tmp_path / "folder").mkdir()
+    (tmp_path / "link").symlink_to(tmp_path / names[0])
+    assert sorted(stores.file_names(str(tmp_path), lambda name: name != names[0])) == sorted(names[1:])
+    with pytest.raises(FileNotFoundError):
+        list(stores.file_names(f"{tmp_path}/none", bool))
