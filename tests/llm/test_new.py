@@ -15,6 +15,7 @@ from tokenizers import Tokenizer
 from assay.llm import alignment, byte_bpe, cover_tree, decontamination, language_id, prefix_trie, simhash, substring_dedup, toxicity
 from assay.llm.queries import QUERIES
 from assay.llm.token_counts import byte_letters
+from assay.plans import storing
 
 FOLDER = "/root/testdata/sf0.001"
 VOCABULARY, MODEL = (public_tokenizers.path(n) for n in ("byte_bpe_50k.json", "piece_bpe_32k.model"))
@@ -458,3 +459,75 @@ def test_runs_of_seeds_that_several_documents_have():
     # all runs of the repeat, and few beside it
     assert found[0][0] <= 33 and found[0][0] + found[0][1] >= 91 and found[0][1] <= 58 + 2 * substring_dedup.W
     assert found[1][0] == 0 and 58 <= found[1][1] <= 58 + substring_dedup.W
+
+
+def test_long_tables_are_worked_off_in_parts_with_equal_results(spark, monkeypatch):
+    drawn = np.random.default_rng(11)
+    noise = lambda n: [f"w{i}" for i in drawn.integers(0, 10**6, n)]
+    phrase, tail, verbatim = noise(20), noise(50), noise(60)
+    changed = [w if i % 12 else f"x{i}" for i, w in enumerate(tail)]
+    texts = {i: noise(30) + phrase + noise(30) for i in range(60)}
+    # a passage around the phrase that the phrase's first document lacks, with changes, and a verbatim one
+    texts[40], texts[50] = noise(70) + phrase + tail + noise(10), noise(90) + phrase + changed
+    texts[51], texts[52] = noise(40) + verbatim, verbatim + noise(40)
+    docs = spark.createDataFrame([(i, " ".join(t)) for i, t in texts.items()], "doc_id bigint, text string")
+    for module in (storing, substring_dedup):  # the files may stay
+        monkeypatch.setattr(module, "release", lambda spark: None)
+    by_task = sorted(substring_dedup.repeated_passages(docs).collect())
+    assert {(50, 40), (52, 51)} <= {(r.doc_id, r.ref_id) for r in by_task}
+    halves = lambda key, rows, at_once: [F.pmod(F.xxhash64(key), F.lit(2)) == i for i in range(2)]
+    monkeypatch.setattr(substring_dedup, "_parts", halves)
+    monkeypatch.setattr(substring_dedup, "MANY", substring_dedup.FEW)
+    assert sorted(substring_dedup.repeated_passages(docs).collect()) == by_task
+
+
+def test_parts_hold_every_row_once(spark, monkeypatch):
+    monkeypatch.setattr(substring_dedup, "LEAST_AT_ONCE", 10)
+    rows = spark.range(100).toDF("key")
+    for count, at_once, n in ((0, 0, 1), (100, 100, 1), (100, 30, 4), (100, 0, 10)):
+        parts = substring_dedup._parts("key", count, at_once)
+        assert len(parts) == n and sorted(r.key for part in parts for r in rows.filter(part).collect()) == list(range(100))
+
+
+@pytest.mark.parametrize("at_once", [1, 300, 1 << 21])
+def test_one_task_finds_the_places_that_joins_find(monkeypatch, at_once):
+    import pyarrow as pa
+
+    monkeypatch.setattr(substring_dedup, "PAIRS_AT_ONCE", at_once)
+    drawn, rows = np.random.default_rng(13), []
+    for seed, n in ((-5, 50), (7, 40), (9, 1)):
+        shared = drawn.integers(0, 2**32, (5, 133), np.uint32)
+        for i in range(n):
+            words = drawn.integers(0, 2**32, 133, np.uint32)
+            begin = int(drawn.integers(0, 60))
+            words[begin : begin + 70] = shared[drawn.integers(0, 5), begin : begin + 70]
+            lead = int(drawn.integers(0, 30)) if i % 3 == 0 else 0
+            rows.append((seed, i // 2, 100 + i, bool(drawn.random() < 0.7), 900 + i, lead, words[lead:].tobytes()))
+    types = [pa.int64(), pa.int64(), pa.int32(), pa.bool_(), pa.int32(), pa.int32(), pa.binary()]
+    batch = pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), types, strict=True)], [f"c{i}" for i in range(7)])
+    place, nth, value = substring_dedup._pairs_around(batch.column(0), batch.column(6))
+    counts = {v: int(n) for v, n in zip(*np.unique(value, return_counts=True), strict=True)}
+    pairs = [(2 * p + rows[p][3], rows[p][5] + k, v, counts[v]) for p, k, v in zip(place.tolist(), nth.tolist(), value.tolist(), strict=True) if counts[v] > 1]
+    kept = substring_dedup._rare_pairs(pa.RecordBatch.from_arrays([pa.array(c) for c in zip(*pairs, strict=True)], ["at", "offset", "token", "n"]))
+    by_token = {}
+    for token, at, own in zip(*(c.to_pylist() for c in kept), strict=True):
+        by_token.setdefault(token, []).append((at, own))
+    tied = {(a // 2, b // 2) for group in by_token.values() for a, own in group if own for b, _ in group if a > b}
+    expected = sorted((rows[a][1], rows[a][2], rows[b][1], rows[b][2], rows[a][4]) for a, b in tied if rows[a][1] > rows[b][1])
+    got = [list(zip(*(c.to_pylist() for c in columns), strict=True)) for columns in substring_dedup._alike_places(batch)]
+    assert sorted(row for some in got for row in some) == expected and len(expected) > 50
+    assert len(got) > 1 or at_once > 300
+
+
+def test_ends_are_moved_at_several_costs_at_once():
+    drawn = np.random.default_rng(17)
+    a = drawn.integers(0, 50, 900).astype(np.uint32)
+    b = np.where(drawn.random(900) < 0.2, 99, a).astype(np.uint32)
+    at, step = np.array([0, 450, 899, 300, 0]), np.array([1, 1, -1, -1, 1])
+    room = np.where(step > 0, 900 - at, at + 1) * np.array([1, 1, 1, 1, 0])
+    costs = np.array([3, 1, 2, 4, 1])
+    together = substring_dedup.extended(a, b, at, at, room, room, step, costs)
+    for i in range(5):
+        alone = substring_dedup.extended(a, b, at[i : i + 1], at[i : i + 1], room[i : i + 1], room[i : i + 1], step[i : i + 1], int(costs[i]))
+        assert (together[0][i], together[1][i]) == (alone[0][0], alone[1][0])
+    assert together[0][1] > 300 and together[0][4] == 0
